@@ -2,24 +2,49 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import weak_quality
+from framelake.llm import packing, token_counts, weak_quality
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _tokenizer_file(name: str) -> str:
+    """Path of a public vocabulary file; FRAMELAKE_TOKENIZERS names another folder."""
+    return os.path.join(os.environ.get("FRAMELAKE_TOKENIZERS", "/opt/tokenizers"), name)
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_counts.vocabulary_pieces(_tokenizer_file("byte_bpe_50k.tiktoken"))
+    return token_counts.count_tokens(_documents(spark, sf_dir).select("doc_id", "text"), pieces).drop("text")
+
+
+#: Fixed value: how the byte-level vocabularies split a text before merging.
+BYTE_BPE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _vocabulary() -> packing.Vocabulary:
+    return packing.Vocabulary.read(_tokenizer_file("byte_bpe_50k.tiktoken"), BYTE_BPE_PATTERN)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir), _vocabulary())
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = weak_quality.classify_quality(_documents(spark, sf_dir).select("doc_id", "text"))
     return scored.select("doc_id", "quality_pattern", "quality_label", "quality_score", "quality_keep")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_token_counts": op4_token_counts,
+    "op5_packing": op5_packing,
     "op10_quality": op10_quality,
 }
 
