@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import order_minhash, packing, token_counts, weak_quality
+from framelake.llm import jaccard_join, order_minhash, packing, token_counts, weak_quality
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprint_edits(_documents(spark, sf_dir))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_documents(spark, sf_dir))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = weak_quality.classify_quality(_documents(spark, sf_dir).select("doc_id", "text"))
     return scored.select("doc_id", "quality_pattern", "quality_label", "quality_score", "quality_keep")
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
     "op6_order_minhash": op6_order_minhash,
+    "op8_jaccard_join": op8_jaccard_join,
     "op10_quality": op10_quality,
 }
 
