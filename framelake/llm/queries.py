@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import jaccard_join, order_minhash, packing, token_counts, weak_quality
+from framelake.llm import jaccard_join, lm_scoring, order_minhash, packing, token_counts, weak_quality
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,11 @@ def _tokenizer_file(name: str) -> str:
     return os.path.join(os.environ.get("FRAMELAKE_TOKENIZERS", "/opt/tokenizers"), name)
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_counts.vocabulary_pieces(_tokenizer_file("byte_bpe_50k.tiktoken"))
+    return lm_scoring.score_documents(_documents(spark, sf_dir), pieces, class_column="lang")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_counts.vocabulary_pieces(_tokenizer_file("byte_bpe_50k.tiktoken"))
     return token_counts.count_tokens(_documents(spark, sf_dir).select("doc_id", "text"), pieces).drop("text")
@@ -51,6 +56,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lm_scoring": op2_lm_scoring,
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
     "op6_order_minhash": op6_order_minhash,
