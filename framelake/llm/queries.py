@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import jaccard_join, lm_scoring, order_minhash, packing, token_counts, weak_quality
+from framelake.llm import jaccard_join, lm_scoring, order_minhash, packing, pfair_mix, token_counts, weak_quality
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,15 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_documents(spark, sf_dir))
 
 
+#: Sources are mixed by the root of their bytes.
+MIX_ALPHA = 0.5
+
+
+def op9_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "source", "text")
+    return pfair_mix.mix_sources(docs, pfair_mix.source_weights(docs, MIX_ALPHA)).drop("text")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = weak_quality.classify_quality(_documents(spark, sf_dir).select("doc_id", "text"))
     return scored.select("doc_id", "quality_pattern", "quality_label", "quality_score", "quality_keep")
@@ -61,7 +70,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_order_minhash": op6_order_minhash,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_pfair_mix": op9_pfair_mix,
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_pfair_mix": """
+WITH RECURSIVE rows_ AS (
+  SELECT doc_id, source, coalesce(source, '') AS s, md5(concat_ws(chr(1), CAST(doc_id AS VARCHAR), text)) AS k,
+         CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS b
+  FROM documents),
+weights AS (SELECT s, sqrt(CAST(sum(b) AS DOUBLE)) AS w FROM rows_ GROUP BY s),
+size AS (SELECT count(*) AS c, greatest(1000, 2 * count(*)) AS p, sum(w) AS t FROM weights),
+exact AS (SELECT s, (p - c) * w / t AS x, p FROM weights, size),
+rest AS (SELECT max(p) - count(*) - sum(floor(x)) AS n FROM exact),
+shares AS (
+  SELECT s, CAST(1 + floor(x) + CASE WHEN row_number() OVER (ORDER BY floor(x) - x, s) <= (SELECT n FROM rest) THEN 1 ELSE 0 END AS BIGINT) AS q
+  FROM exact),
+lists AS (SELECT list(q ORDER BY s) AS q, list(s ORDER BY s) AS s, CAST(sum(q) AS BIGINT) AS p, count(*) AS c FROM shares),
+plan AS (
+  SELECT CAST(-1 AS BIGINT) AS slot, list_transform(q, lambda x: CAST(0 AS BIGINT)) AS done, CAST(NULL AS BIGINT) AS pick, CAST(NULL AS BIGINT) AS i FROM lists
+  UNION ALL
+  SELECT slot, list_transform(done, lambda v, j: CASE WHEN j = pick THEN v + 1 ELSE v END), pick, done[pick]
+  FROM (
+    SELECT plan.slot + 1 AS slot, done, list_sort(list_transform(
+      list_filter(range(1, c + 1), lambda j: done[j] < q[j] AND (done[j] * p) // q[j] <= plan.slot + 1),
+      lambda j: struct_pack(d := ((done[j] + 1) * p + q[j] - 1) // q[j], e := -(((done[j] + 2) * p + q[j] - 1) // q[j]), j := j)))[1].j AS pick
+    FROM plan, lists WHERE plan.slot + 1 < p)),
+slots AS (SELECT lists.s[pick] AS s, i, slot, (i * p) // lists.q[pick] AS release, ((i + 1) * p + lists.q[pick] - 1) // lists.q[pick] AS deadline FROM plan, lists WHERE pick IS NOT NULL),
+placed AS (
+  SELECT doc_id, source, s, coalesce(sum(b) OVER (PARTITION BY s ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_ FROM rows_)
+SELECT doc_id, source, CAST(at_ // 65536 AS BIGINT) AS mix_block,
+       CAST(release + p * ((at_ // 65536) // q) AS BIGINT) AS mix_release,
+       CAST(deadline + p * ((at_ // 65536) // q) AS BIGINT) AS mix_deadline,
+       CAST(slot + p * ((at_ // 65536) // q) AS BIGINT) AS mix_slot,
+       CAST(at_ % 65536 AS BIGINT) AS mix_offset
+FROM placed JOIN shares USING (s) JOIN (SELECT p FROM lists) ON true JOIN slots ON slots.s = placed.s AND slots.i = (at_ // 65536) % q
+""",
+}

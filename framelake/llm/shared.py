@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that a task turns into Python objects at once.
 CHUNK_ROWS = 512
@@ -46,6 +48,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_table(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
+    """A table of the given rows, which the driver holds; a literal in the plan."""
+    entries = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{ddl}>>")
+    return spark.range(1).select(F.inline(entries))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
