@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import jaccard_join, lm_scoring, order_minhash, packing, pfair_mix, token_counts, weak_quality
+from framelake.llm import jaccard_join, kd_shards, lm_scoring, order_minhash, packing, pfair_mix, token_counts, weak_quality
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(_documents(spark, sf_dir), pieces, class_column="lang")
 
 
+def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards.shard_documents(_documents(spark, sf_dir), shards=16)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_counts.vocabulary_pieces(_tokenizer_file("byte_bpe_50k.tiktoken"))
     return token_counts.count_tokens(_documents(spark, sf_dir).select("doc_id", "text"), pieces).drop("text")
@@ -66,6 +70,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_scoring": op2_lm_scoring,
+    "op3_kd_shards": op3_kd_shards,
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
     "op6_order_minhash": op6_order_minhash,
