@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import jaccard_join, kd_shards, lm_scoring, order_minhash, packing, pfair_mix, token_counts, weak_quality
+from framelake.llm import jaccard_join, kd_shards, lm_scoring, order_minhash, packing, pfair_mix, pii, token_counts, weak_quality
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,15 @@ def _tokenizer_file(name: str) -> str:
     return os.path.join(os.environ.get("FRAMELAKE_TOKENIZERS", "/opt/tokenizers"), name)
 
 
+#: Key of the pseudonyms; FRAMELAKE_PII_KEY holds the one of a production run.
+PII_KEY = "framelake"
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return pii.pseudonymize(docs, os.environ.get("FRAMELAKE_PII_KEY", PII_KEY))
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_counts.vocabulary_pieces(_tokenizer_file("byte_bpe_50k.tiktoken"))
     return lm_scoring.score_documents(_documents(spark, sf_dir), pieces, class_column="lang")
@@ -69,6 +78,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_kd_shards": op3_kd_shards,
     "op4_token_counts": op4_token_counts,
