@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import jaccard_join, kd_shards, lm_scoring, order_minhash, packing, pfair_mix, pii, token_counts, weak_quality
+from framelake.llm import ann_partitions, jaccard_join, kd_shards, lm_scoring, order_minhash, packing, pfair_mix, pii, token_counts, weak_quality
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprint_edits(_documents(spark, sf_dir))
 
 
+def op7_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_partitions.nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_documents(spark, sf_dir))
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
     "op6_order_minhash": op6_order_minhash,
+    "op7_learned_partitions": op7_learned_partitions,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_pfair_mix": op9_pfair_mix,
     "op10_quality": op10_quality,
