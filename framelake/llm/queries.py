@@ -24,9 +24,13 @@ def _tokenizer_file(name: str) -> str:
 PII_KEY = "framelake"
 
 
+def pii_key() -> str:
+    return os.environ.get("FRAMELAKE_PII_KEY", PII_KEY)
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
-    return pii.pseudonymize(docs, os.environ.get("FRAMELAKE_PII_KEY", PII_KEY))
+    return pii.pseudonymize(docs, pii_key())
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,12 +51,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 BYTE_BPE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _vocabulary() -> packing.Vocabulary:
+def packing_vocabulary() -> packing.Vocabulary:
     return packing.Vocabulary.read(_tokenizer_file("byte_bpe_50k.tiktoken"), BYTE_BPE_PATTERN)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_documents(spark, sf_dir), _vocabulary())
+    return packing.pack_documents(_documents(spark, sf_dir), packing_vocabulary())
 
 
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
