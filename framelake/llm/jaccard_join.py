@@ -1,17 +1,22 @@
 """N-gram Jaccard join: prefixes under several global token orders, then exact verification.
 
 Two sets that are alike enough share a token among the first few of each, under
-any order of all tokens. Rare tokens come first in every order used here, by a
-sketch of how many texts hold each; ties follow another hash in each order.
+any order of all tokens. In the first order used here a token comes the earlier
+the rarer its rarest word is, by a sketch of how often words occur, so few texts
+share a prefix token by chance; the other orders are those of hashes, which know
+nothing of the first.
 
 1. Texts become sets of shingles; equal sets are one class.
 2. Classes that share a token of the first order's prefix are tested against
    one of them, a different one for each token, so work grows with the rows
    and not with the square of a group.
 3. What that links forms clusters. Pairs that share a prefix token but lie in
-   different clusters are then all tested, so no link between clusters is lost.
+   different clusters are then all tested, so no link between clusters is lost:
+   as rows where few classes share the token, block against block inside tasks
+   where many do.
 
-Before a test a pair must share a prefix token under every other order too.
+Before a pair's sets are fetched it must share a prefix token under every other
+order too.
 """
 
 from __future__ import annotations
@@ -28,18 +33,31 @@ from framelake.llm.components import connected_components
 from framelake.llm.shared import row_chunks, stored
 from framelake.llm.wordhash import mix, sequence_hashes, text_bytes, word_hashes
 
-#: Counters of the sketch of token frequencies; its size does not depend on the data.
-SKETCH = 1 << 18
+#: Counters of the sketch of word frequencies; its size does not depend on the data.
+SKETCH = 1 << 20
+
+#: A token is the level of its rarest word in the upper bits, then bits of its hash.
+LEVEL_BITS = 6
+
+#: The level of a word whose counter is at the mean; two levels double it.
+MEAN_LEVEL = 24
 
 #: Seeds of the token orders; the first makes candidates, the others filter them.
 ORDERS = (0, 0x51ED270B, 0x2545F491)
 
-#: From this sketch level on, a token's texts are dealt over 2^(level - HOT_LEVEL + 1) tasks.
-HOT_LEVEL = 5
+#: From this level on, a token's texts are dealt over 2, 4, 8 tasks and so on, two levels each.
+HOT_LEVEL = 32
 
-#: Tokens are compared by so many bytes of their hash.
+#: Tokens are compared by so many low bytes.
 TOKEN_BYTES = 6
 
+#: Classes that share a token are paired one by one up to this many, block by block beyond.
+PAIRED_CLASSES = 32
+
+#: Classes of a block, and tokens that are compared at once between two blocks.
+BLOCK_CLASSES = 512
+TABLE_COLUMNS = 4096
+
 #: Classes that a worker remembers to have seen.
 SEEN_CLASSES = 1_000_000
 
@@ -54,10 +72,11 @@ class Shingles:
     words: int = 4
     percent: int = 85
 
-    def sets(self, column: pa.Array) -> list[np.ndarray]:
-        """Sorted distinct shingle hashes of each text; few words make one shingle, none an empty set."""
+    def sets(self, column: pa.Array, levels: np.ndarray) -> list[np.ndarray]:
+        """Sorted distinct tokens of each text; few words make one shingle, none an empty set."""
         hashes, counts = word_hashes(*text_bytes(column), fold=True)
-        grams = sequence_hashes(hashes, self.words)
+        level = levels[(hashes & np.uint64(SKETCH - 1)).astype(np.int64)]
+        grams = tokens_of(hashes, level, self.words)
         out = []
         end = 0
         for count in counts.tolist():
@@ -68,7 +87,7 @@ class Shingles:
                 fresh[1:] = found[1:] != found[:-1]
                 out.append(found[fresh])
             else:
-                out.append(sequence_hashes(hashes[start:end], count) if count else np.zeros(0, np.uint64))
+                out.append(tokens_of(hashes[start:end], level[start:end], count) if count else np.zeros(0, np.uint64))
         return out
 
     def prefix_length(self, n: int) -> int:
@@ -94,29 +113,38 @@ def class_of(tokens: np.ndarray) -> int:
     return int(mix(np.array([total]))[0].astype(np.int64))
 
 
-def in_order(tokens: np.ndarray, levels: np.ndarray, seed: int, first: int) -> np.ndarray:
-    """Indices of the ``first`` tokens: those of the lowest level, then of the least hash."""
-    hashed = mix(tokens + np.uint64(seed)) if seed else tokens
-    key = (levels[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (hashed >> np.uint64(6))
-    return np.argpartition(key, first - 1)[:first] if first < len(key) else np.arange(len(key))
+def tokens_of(hashes: np.ndarray, level: np.ndarray, k: int) -> np.ndarray:
+    """A token per run of ``k`` words."""
+    n = max(0, len(hashes) - k + 1)
+    least = level[:n].copy()
+    for j in range(1, k):
+        np.minimum(least, level[j : j + n], out=least)
+    return (least.astype(np.uint64) << np.uint64(64 - LEVEL_BITS)) | (sequence_hashes(hashes, k) >> np.uint64(LEVEL_BITS))
+
 
+def first_in_order(tokens: np.ndarray, seed: int, first: int) -> np.ndarray:
+    """The first so many of sorted tokens: as they are, or in the order of a hash with the seed."""
+    if not seed or first >= len(tokens):
+        return tokens[:first]
+    return tokens[np.argpartition(mix(tokens ^ np.uint64(seed)), first - 1)[:first]]
 
-def frequency_levels(docs: DataFrame, shingles: Shingles) -> np.ndarray:
-    """Per counter of the sketch, the logarithm of how many times the mean it holds; SKETCH bytes."""
+
+def word_levels(docs: DataFrame) -> np.ndarray:
+    """The level of each counter of the sketch; SKETCH bytes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
         for batch in row_chunks(batches):
-            for tokens in shingles.sets(batch.column(0)):
-                np.add.at(total, (tokens & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+            hashes, _ = word_hashes(*text_bytes(batch.column(0)), fold=True)
+            np.add.at(total, (hashes & np.uint64(SKETCH - 1)).astype(np.int64), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["counter", "n"])
 
     counted = docs.select("text").mapInArrow(count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     totals = np.zeros(SKETCH)
     totals[counted.column("counter").to_numpy()] = counted.column("n").to_numpy()
-    # At least eight, so that a small table has no levels by chance.
-    return np.floor(np.log2(1 + totals / max(totals.mean(), 8))).astype(np.uint8)
+    relative = np.log2(np.maximum(totals, 1) / max(totals.mean(), 1))
+    return np.clip(np.floor(2 * relative) + MEAN_LEVEL, 0, (1 << LEVEL_BITS) - 1).astype(np.uint8)
 
 
 def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -134,7 +162,7 @@ def _classes(docs: DataFrame, shingles: Shingles, levels) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in row_chunks(batches):
-            sets = shingles.sets(batch.column(1))
+            sets = shingles.sets(batch.column(1), levels.value)
             classes, prefixes, spreads = [class_of(s) for s in sets], [], []
             for tokens, own in zip(sets, classes, strict=True):
                 if own in seen or not len(tokens):
@@ -144,10 +172,10 @@ def _classes(docs: DataFrame, shingles: Shingles, levels) -> DataFrame:
                 if len(seen) >= SEEN_CLASSES:
                     seen.clear()
                 seen.add(own)
-                first = tokens[in_order(tokens, levels.value, ORDERS[0], shingles.prefix_length(len(tokens)))]
+                first = first_in_order(tokens, ORDERS[0], shingles.prefix_length(len(tokens)))
                 prefixes.append(first.astype(np.int64))
-                level = levels.value[(first & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.int8)
-                spreads.append(np.maximum(level - HOT_LEVEL + 1, 0).astype(np.int8))
+                level = (first >> np.uint64(64 - LEVEL_BITS)).astype(np.int8)
+                spreads.append(np.maximum((level - HOT_LEVEL) // 2 + 1, 0).astype(np.int8))
             columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), _lists(prefixes, pa.int64()), _lists(spreads, pa.int8())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "class", "prefix", "spread"])
 
@@ -162,7 +190,7 @@ def _sets_of(docs: DataFrame, shingles: Shingles, levels, wanted: DataFrame) ->
         seen: set[int] = set()
         for batch in row_chunks(batches):
             out: dict[str, list] = {"class": [], "n": [], "tokens": [], "others": []}
-            for tokens in shingles.sets(batch.column(0)):
+            for tokens in shingles.sets(batch.column(0), levels.value):
                 own = class_of(tokens)
                 if own in seen:
                     continue
@@ -170,11 +198,11 @@ def _sets_of(docs: DataFrame, shingles: Shingles, levels, wanted: DataFrame) ->
                     seen.clear()
                 seen.add(own)
                 first = shingles.prefix_length(len(tokens))
-                cut = np.sort(tokens >> np.uint64(64 - 8 * TOKEN_BYTES))
+                cut = np.sort(tokens & np.uint64((1 << 8 * TOKEN_BYTES) - 1))
                 out["class"].append(own)
                 out["n"].append(len(tokens))
                 out["tokens"].append(cut.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES].tobytes())
-                out["others"].append([tokens[in_order(tokens, levels.value, seed, first)].astype(np.int64) for seed in ORDERS[1:]])
+                out["others"].append([first_in_order(tokens, seed, first).astype(np.int64) for seed in ORDERS[1:]])
             columns = [pa.array(out["class"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["tokens"], pa.binary()), *(_lists([x[k] for x in out["others"]], pa.int64()) for k in range(len(ORDERS) - 1))]
             yield pa.RecordBatch.from_arrays(columns, names=["class", "n", "tokens", *(f"order{k}" for k in range(1, len(ORDERS)))])
 
@@ -187,6 +215,13 @@ def _sets_of(docs: DataFrame, shingles: Shingles, levels, wanted: DataFrame) ->
     return stored(texts.mapInArrow(read, f"class long, n long, tokens binary{orders}"), "sets")
 
 
+def unpacked(data: bytes) -> np.ndarray:
+    """Tokens from TOKEN_BYTES bytes each."""
+    wide = np.zeros((len(data) // TOKEN_BYTES, 8), np.uint8)
+    wide[:, :TOKEN_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, TOKEN_BYTES)
+    return wide.view("<u8").ravel()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, shingles: Shingles) -> DataFrame:
     """The pairs (a, b) of classes that are alike, with their sets read from ``sets``."""
     others = [f"order{k}" for k in range(1, len(ORDERS))]
@@ -199,13 +234,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, shingles: Shingles) -> DataFram
     filtered = stored(pairs.select("a", "b").distinct(), "filtered")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def unpack(data: bytes) -> np.ndarray:
-            wide = np.zeros((len(data) // TOKEN_BYTES, 8), np.uint8)
-            wide[:, :TOKEN_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, TOKEN_BYTES)
-            return wide.view("<u8").ravel()
-
         for batch in row_chunks(batches):
-            alike = [shingles.alike(unpack(x), unpack(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            alike = [shingles.alike(unpacked(x), unpacked(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
     tokens = sets.select("class", "tokens")
@@ -231,10 +261,14 @@ def _postings(classes: DataFrame) -> DataFrame:
     return stored(ranked.where("class <> pivot or after <> class or spread > 0").select("token", "class", "n", "pivot", "pivot_n"), "postings")
 
 
+def _unsettled(members: DataFrame) -> DataFrame:
+    """The members (token, class, n, component) of tokens that several components share, with how many they are."""
+    several = members.groupBy("token").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("held_by")).where("_low < _high").select("token", "held_by")
+    return members.join(several, "token")
+
+
 def _across(members: DataFrame, shingles: Shingles) -> DataFrame:
-    """Pairs of classes (a, b) that share a token but lie in different components; members: token, class, n, component."""
-    several = members.groupBy("token").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("token")
-    members = members.join(several, "token", "left_semi")
+    """Pairs of classes (a, b) that share a token but lie in different components."""
     groups = members.select("token", "component").distinct()
     left, right = (groups.select("token", F.col("component").alias(x)) for x in ("_left", "_right"))
     pairs = left.join(right, "token").where("_left < _right")
@@ -244,24 +278,90 @@ def _across(members: DataFrame, shingles: Shingles) -> DataFrame:
     return pairs.where(shingles.sizes_fit("x_n", "y_n")).select(*_ordered("x", "y")).distinct()
 
 
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each set on the left shares with each on the right."""
+    tokens, code = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    on_left = owner < len(left)
+    both = (np.bincount(code[on_left], minlength=len(tokens)) > 0) & (np.bincount(code[~on_left], minlength=len(tokens)) > 0)
+    column = (np.cumsum(both) - 1)[code]
+    use = both[code]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(both.sum()), TABLE_COLUMNS):
+        some = use & (column >= start) & (column < start + TABLE_COLUMNS)
+        table = np.zeros((len(left) + len(right), TABLE_COLUMNS), np.float32)
+        table[owner[some], column[some] - start] = 1
+        out += table[: len(left)] @ table[len(left) :].T
+    return out
+
+
+def _blockwise(members: DataFrame, sets: DataFrame, shingles: Shingles) -> DataFrame:
+    """Links between components among classes that share a token, found block against block inside tasks.
+
+    Of the links of two blocks only as many are returned as join components.
+    """
+    blocks = members.withColumn("_blocks", F.ceil(F.col("held_by") / F.lit(BLOCK_CLASSES)).cast("int")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("_blocks")).cast("int"))
+    dealt = blocks.select("token", "class", "component", "block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
+    dealt = dealt.select("token", "class", "component", "block", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        block = table.column("block").to_numpy()
+        classes, component = table.column("class").to_numpy(), table.column("component").to_numpy()
+        tokens = [unpacked(x) for x in table.column("tokens").to_pylist()]
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        found = []
+        if len(left) and len(right):
+            shared = shared_counts([tokens[k] for k in left], [tokens[k] for k in right])
+            size = np.array([len(x) for x in tokens])
+            alike = 100 * shared >= shingles.percent * (size[left][:, None] + size[right][None] - shared)
+            alike &= (component[left][:, None] != component[right][None]) & (shared > 0)
+            root = {c: c for c in component.tolist()}
+
+            def find(c: int) -> int:
+                while root[c] != c:
+                    root[c] = root[root[c]]
+                    c = root[c]
+                return c
+
+            for x, y in np.argwhere(alike).tolist():
+                p, q = find(int(component[left[x]])), find(int(component[right[y]]))
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    found.append(sorted((int(classes[left[x]]), int(classes[right[y]]))))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    known = sets.select(F.col("class").alias("_class"), "tokens")
+    rows = dealt.join(known, F.col("class") == F.col("_class")).select("token", "i", "j", "block", "class", "component", "tokens")
+    return stored(rows.groupBy("token", "i", "j").applyInArrow(compare, "a long, b long"), "links")
+
+
 def jaccard_links(docs: DataFrame, shingles: Shingles = Shingles()) -> tuple[DataFrame, DataFrame]:
     """Documents by class, and enough verified links between classes for the exact components.
 
     The first is doc_id, n_shingles, class; the second a, b.
     """
-    levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, shingles))
+    levels = docs.sparkSession.sparkContext.broadcast(word_levels(docs))
     classes = _classes(docs, shingles, levels)
     postings = _postings(classes)
+    ids = classes.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        paired = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+        return _verified(pairs, _sets_of(docs, shingles, levels, ids.join(paired, "class", "left_semi")), shingles)
+
     near = stored(postings.where("class <> pivot").where(shingles.sizes_fit("n", "pivot_n")).select(*_ordered("class", "pivot")).distinct(), "pairs")
-    shared = postings.select("class").distinct()
-    wanted = classes.groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(shared, "class", "left_semi")
-    sets = _sets_of(docs, shingles, levels, wanted)
-    links = _verified(near, sets, shingles)
+    links = tested(near)
     clusters = connected_components(links)
     members = postings.select("token", "class", "n").distinct().join(clusters, F.col("class") == F.col("node"), "left").select("token", "class", "n", F.coalesce("component", "class").alias("component"))
-    rest = stored(_across(members, shingles).join(near, ["a", "b"], "left_anti"), "pairs")
+    members = stored(_unsettled(members), "unsettled")
+    few, many = members.where(F.col("held_by") <= PAIRED_CLASSES), members.where(F.col("held_by") > PAIRED_CLASSES)
+    rest = stored(_across(few, shingles).join(near, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
-        links = links.union(_verified(rest, sets, shingles))
+        links = links.union(tested(rest))
+    if not many.isEmpty():
+        wanted = ids.join(many.select("class").distinct(), "class", "left_semi")
+        links = links.union(_blockwise(many, _sets_of(docs, shingles, levels, wanted), shingles))
     return classes.select("doc_id", "n_shingles", "class"), links
 
 
