@@ -27,7 +27,7 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], left_time: str, righ
     merged = own.unionByName(other)
     span = [*by]
     if bucket:
-        merged = merged.withColumn("_span", F.floor(F.col("_t") / F.lit(bucket)))
+        merged = merged.withColumn("_span", F.coalesce(F.floor(F.col("_t") / F.lit(bucket)), F.lit(-(1 << 62))))
         span.append("_span")
     running = Window.partitionBy(*span).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     found = F.max("_best").over(running)
@@ -35,7 +35,7 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], left_time: str, righ
     if bucket:
         before = Window.partitionBy(*by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
         spans = merged.groupBy(*span).agg(F.max("_best").alias("_own")).select(*span, F.max("_own").over(before).alias("_earlier"))
-        carried = carried.join(spans, span).withColumn("_found", F.coalesce("_found", "_earlier"))
+        carried = carried.join(spans, span, "left").withColumn("_found", F.coalesce("_found", "_earlier"))
     hit = F.col("_t").isNotNull()
     return carried.where("_row is not null").select(
         "_row.*", F.when(hit, F.col("_found.t") * F.lit(sign)).alias(f"{prefix}_time"), F.when(hit, F.col("_found.i") * F.lit(1 if greatest_index else -1)).alias(f"{prefix}_index")
