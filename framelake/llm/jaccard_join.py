@@ -154,7 +154,7 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 
 def _classes(docs: DataFrame, shingles: Shingles, levels) -> DataFrame:
-    """doc_id, n_shingles, class, prefix array<long> and spread array<tinyint> of every document.
+    """doc_id, text_hash, n_shingles, class, prefix array<long> and spread array<tinyint> of every document.
 
     A class that a task has met before has an empty prefix.
     """
@@ -162,7 +162,7 @@ def _classes(docs: DataFrame, shingles: Shingles, levels) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in row_chunks(batches):
-            sets = shingles.sets(batch.column(1), levels.value)
+            sets = shingles.sets(batch.column(2), levels.value)
             classes, prefixes, spreads = [class_of(s) for s in sets], [], []
             for tokens, own in zip(sets, classes, strict=True):
                 if own in seen or not len(tokens):
@@ -176,11 +176,11 @@ def _classes(docs: DataFrame, shingles: Shingles, levels) -> DataFrame:
                 prefixes.append(first.astype(np.int64))
                 level = (first >> np.uint64(64 - LEVEL_BITS)).astype(np.int8)
                 spreads.append(np.maximum((level - HOT_LEVEL) // 2 + 1, 0).astype(np.int8))
-            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), _lists(prefixes, pa.int64()), _lists(spreads, pa.int8())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "class", "prefix", "spread"])
+            columns = [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), _lists(prefixes, pa.int64()), _lists(spreads, pa.int8())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_shingles", "class", "prefix", "spread"])
 
-    source = docs.select(F.col("doc_id").cast("long"), "text")
-    return stored(source.mapInArrow(read, "doc_id long, n_shingles long, class long, prefix array<long>, spread array<tinyint>"), "classes")
+    source = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    return stored(source.mapInArrow(read, "doc_id long, text_hash long, n_shingles long, class long, prefix array<long>, spread array<tinyint>"), "classes")
 
 
 def _sets_of(docs: DataFrame, shingles: Shingles, levels, wanted: DataFrame) -> DataFrame:
@@ -339,7 +339,7 @@ def _blockwise(members: DataFrame, sets: DataFrame, shingles: Shingles) -> DataF
 def jaccard_links(docs: DataFrame, shingles: Shingles = Shingles()) -> tuple[DataFrame, DataFrame]:
     """Documents by class, and enough verified links between classes for the exact components.
 
-    The first is doc_id, n_shingles, class; the second a, b.
+    The first is doc_id, text_hash, n_shingles, class; the second a, b.
     """
     levels = docs.sparkSession.sparkContext.broadcast(word_levels(docs))
     classes = _classes(docs, shingles, levels)
@@ -362,7 +362,7 @@ def jaccard_links(docs: DataFrame, shingles: Shingles = Shingles()) -> tuple[Dat
     if not many.isEmpty():
         wanted = ids.join(many.select("class").distinct(), "class", "left_semi")
         links = links.union(_blockwise(many, _sets_of(docs, shingles, levels, wanted), shingles))
-    return classes.select("doc_id", "n_shingles", "class"), links
+    return classes.select("doc_id", "text_hash", "n_shingles", "class"), links
 
 
 def jaccard_components(docs: DataFrame, shingles: Shingles = Shingles()) -> DataFrame:
@@ -386,6 +386,26 @@ def jaccard_components(docs: DataFrame, shingles: Shingles = Shingles()) -> Data
 
 
 def keep_one_of_each(docs: DataFrame, shingles: Shingles = Shingles()) -> DataFrame:
-    """The rows of ``docs`` with the least doc_id of their component, texts without shingles included."""
-    found = jaccard_components(docs, shingles).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(found, docs.doc_id.cast("long").eqNullSafe(found._kept), "left_semi")
+    """One row of ``docs`` of each component: that of the least doc_id, of these of the least hash of its text.
+
+    Rows without an id come last. Of repeated rows one stays. Texts without
+    shingles are linked with nothing and all stay. The columns are those of
+    ``docs``; an empty table stays empty.
+    """
+    rows, links = jaccard_links(docs, shingles)
+    clusters = connected_components(links)
+    held = rows.where("n_shingles > 0").groupBy("doc_id", "text_hash", "class").agg(F.count(F.lit(1)).alias("n_rows"))
+    labelled = held.join(clusters, F.col("class") == F.col("node"), "left").select("doc_id", "text_hash", "n_rows", F.coalesce("component", "class").alias("component"))
+    chosen = labelled.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n_rows")).alias("one"))
+    bare = rows.where("n_shingles = 0").select(F.col("doc_id").alias("_fl_id"), F.col("text_hash").alias("_fl_hash"), F.lit(1).cast("long").alias("_fl_rows")).distinct()
+    kept = stored(chosen.select(F.col("one.doc_id").alias("_fl_id"), F.col("one.text_hash").alias("_fl_hash"), F.col("one.n_rows").alias("_fl_rows")).union(bare), "kept")
+    hashed = docs.withColumn("_fl_text_hash", F.xxhash64("text"))
+    same = lambda some: hashed.doc_id.cast("long").eqNullSafe(some._fl_id) & (hashed._fl_text_hash == some._fl_hash)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    repeated = kept.where("_fl_rows > 1")
+    if repeated.isEmpty():
+        return hashed.join(kept, same(kept), "left_semi").select(*columns)
+    once = kept.where("_fl_rows = 1")
+    single = hashed.join(once, same(once), "left_semi")
+    first = hashed.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "_fl_text_hash"])
+    return single.unionByName(first).select(*columns)

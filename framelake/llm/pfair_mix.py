@@ -79,6 +79,10 @@ def source_weights(docs: DataFrame, alpha: float) -> dict[str, float]:
     return {r["source"]: float(r["bytes"]) ** alpha for r in rows}
 
 
+#: What a placed row is given.
+MIX_COLUMNS = ["mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_offset"]
+
+
 def mix_sources(docs: DataFrame, weights: dict[str, float], block_bytes: int = BLOCK_BYTES, period: int = PERIOD) -> DataFrame:
     """``docs`` (doc_id, text, source and others) with mix_block, mix_release, mix_deadline, mix_slot and mix_offset.
 
@@ -88,34 +92,42 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], block_bytes: int = B
     Every row is placed once. Where a source is spent its later slots stay
     empty, and the others keep their proportions. A null source is the empty
     one, a null text is empty; repeated rows follow each other; a source
-    missing from ``weights`` is an error. An empty table gives no rows.
+    missing from ``weights`` is an error. An empty table gives no rows. Columns
+    of ``docs`` that are named like the new ones are replaced.
     """
+    placed = _placed(docs, weights, block_bytes, period)
+    kept = [c for c in docs.columns if c.lower() not in MIX_COLUMNS]
+    return placed.select(*(F.col(f"`{c}`") for c in kept), *(F.col(f"_fl_{c}").alias(c) for c in MIX_COLUMNS))
+
+
+def _placed(docs: DataFrame, weights: dict[str, float], block_bytes: int, period: int) -> DataFrame:
+    """``docs`` with the new columns under names of their own."""
     period = max(period, 2 * len(weights))
     shares = whole_shares(weights, period)
     spark = docs.sparkSession
-    rows = [{"_s": s, "_i": i, "_release": r, "_deadline": d, "_slot": t} for s, i, r, d, t in pfair_period(shares)]
-    plan = small_table(spark, rows, "_s string, _i long, _release long, _deadline long, _slot long")
-    sizes = small_table(spark, [{"_s2": s, "_n": n} for s, n in shares.items()], "_s2 string, _n long")
+    rows = [{"_fl_s": s, "_fl_i": i, "_fl_release": r, "_fl_deadline": d, "_fl_slot": t} for s, i, r, d, t in pfair_period(shares)]
+    plan = small_table(spark, rows, "_fl_s string, _fl_i long, _fl_release long, _fl_deadline long, _fl_slot long")
+    sizes = small_table(spark, [{"_fl_s2": s, "_fl_n": n} for s, n in shares.items()], "_fl_s2 string, _fl_n long")
     size = (F.octet_length(F.coalesce("text", F.lit(""))) + F.lit(1)).cast("long")
-    keyed = docs.withColumns({"_source": F.coalesce("source", F.lit(NO_SOURCE)), "_key": _order_key(), "_bytes": size}).withColumn("_group", F.substring("_key", 1, GROUP_DIGITS))
+    keyed = docs.withColumns({"_fl_source": F.coalesce("source", F.lit(NO_SOURCE)), "_fl_key": _order_key(), "_fl_bytes": size}).withColumn("_fl_group", F.substring("_fl_key", 1, GROUP_DIGITS))
     # Bytes before a row: those of its source's groups before, and those before it in its group.
-    groups_before = Window.partitionBy("_source").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    light = docs.select(F.coalesce("source", F.lit(NO_SOURCE)).alias("_source"), F.substring(_order_key(), 1, GROUP_DIGITS).alias("_group"), size.alias("_bytes"))
-    bases = light.groupBy("_source", "_group").agg(F.sum("_bytes").alias("_sum")).select("_source", "_group", F.coalesce(F.sum("_sum").over(groups_before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_source", "_group").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.withColumn("_before", F.coalesce(F.sum("_bytes").over(inside), F.lit(0))).join(bases, ["_source", "_group"]).withColumn("_at", F.col("_base") + F.col("_before"))
-    placed = placed.withColumn("mix_block", F.expr(f"_at div {int(block_bytes)}"))
-    placed = placed.join(F.broadcast(sizes), F.col("_source") == F.col("_s2"), "left").withColumn("_n", F.coalesce("_n", F.raise_error(F.concat(F.lit("no weight for source "), F.col("_source"))).cast("long")))
-    placed = placed.withColumns({"_turn": F.expr("mix_block div _n"), "_in": F.expr("mix_block % _n")})
-    placed = placed.join(F.broadcast(plan), (F.col("_source") == F.col("_s")) & (F.col("_in") == F.col("_i")))
-    shift = F.col("_turn") * F.lit(period)
+    groups_before = Window.partitionBy("_fl_source").orderBy("_fl_group").rowsBetween(Window.unboundedPreceding, -1)
+    light = docs.select(F.coalesce("source", F.lit(NO_SOURCE)).alias("_fl_source"), F.substring(_order_key(), 1, GROUP_DIGITS).alias("_fl_group"), size.alias("_fl_bytes"))
+    bases = light.groupBy("_fl_source", "_fl_group").agg(F.sum("_fl_bytes").alias("_fl_sum")).select("_fl_source", "_fl_group", F.coalesce(F.sum("_fl_sum").over(groups_before), F.lit(0)).alias("_fl_base"))
+    inside = Window.partitionBy("_fl_source", "_fl_group").orderBy("_fl_key").rowsBetween(Window.unboundedPreceding, -1)
+    placed = keyed.withColumn("_fl_before", F.coalesce(F.sum("_fl_bytes").over(inside), F.lit(0))).join(bases, ["_fl_source", "_fl_group"]).withColumn("_fl_at", F.col("_fl_base") + F.col("_fl_before"))
+    placed = placed.withColumn("_fl_mix_block", F.expr(f"_fl_at div {int(block_bytes)}"))
+    placed = placed.join(F.broadcast(sizes), F.col("_fl_source") == F.col("_fl_s2"), "left").withColumn("_fl_n", F.coalesce("_fl_n", F.raise_error(F.concat(F.lit("no weight for source "), F.col("_fl_source"))).cast("long")))
+    placed = placed.withColumns({"_fl_turn": F.expr("_fl_mix_block div _fl_n"), "_fl_in": F.expr("_fl_mix_block % _fl_n")})
+    placed = placed.join(F.broadcast(plan), (F.col("_fl_source") == F.col("_fl_s")) & (F.col("_fl_in") == F.col("_fl_i")))
+    shift = F.col("_fl_turn") * F.lit(period)
     return placed.select(
         *(F.col(f"`{c}`") for c in docs.columns),
-        "mix_block",
-        (F.col("_release") + shift).alias("mix_release"),
-        (F.col("_deadline") + shift).alias("mix_deadline"),
-        (F.col("_slot") + shift).alias("mix_slot"),
-        (F.col("_at") - F.col("mix_block") * F.lit(block_bytes)).alias("mix_offset"),
+        "_fl_mix_block",
+        (F.col("_fl_release") + shift).alias("_fl_mix_release"),
+        (F.col("_fl_deadline") + shift).alias("_fl_mix_deadline"),
+        (F.col("_fl_slot") + shift).alias("_fl_mix_slot"),
+        (F.col("_fl_at") - F.col("_fl_mix_block") * F.lit(block_bytes)).alias("_fl_mix_offset"),
     )
 
 
@@ -125,6 +137,6 @@ def in_mixed_order(docs: DataFrame, weights: dict[str, float], block_bytes: int
     Writing the result keeps the order: its files follow each other, and each
     is sorted. Rows of a block follow their offset in it.
     """
-    order = ["mix_slot", "mix_offset", "doc_id"]
-    mixed = mix_sources(docs, weights, block_bytes, period)
+    order = ["_fl_mix_slot", "_fl_mix_offset", "doc_id"]
+    mixed = _placed(docs, weights, block_bytes, period)
     return mixed.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -176,10 +176,10 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     """
     others = [c for c in docs.columns if c.lower() != "pii_count"]
     hit = F.expr(f"if(text rlike {_quoted(HINT)}, regexp_extract_all(text, {_quoted(ANY)}, 0), array())")
-    found = docs.select(*[F.col(f"`{c}`") for c in others], hit.alias("_found"))
-    found = found.withColumn("_new", F.expr(f"transform(_found, m -> {Pseudonyms(key).of('m')})"))
+    found = docs.select(*[F.col(f"`{c}`") for c in others], hit.alias("_fl_found"))
+    found = found.withColumn("_fl_new", F.expr(f"transform(_fl_found, m -> {Pseudonyms(key).of('m')})"))
     gaps = f"split(text, {_quoted(ANY)}, -1)"
-    joined = _let(gaps, "g", "concat(g[0], array_join(zip_with(_new, slice(g, 2, size(_new)), (n, x) -> concat(n, x)), ''))")
-    text = F.expr(f"if(coalesce(size(_found), 0) > 0, {joined}, text)")
-    count = F.expr("coalesce(aggregate(zip_with(_found, _new, (m, n) -> if(m = n, 0, 1)), 0, (t, x) -> t + x), 0)")
+    joined = _let(gaps, "g", "concat(g[0], array_join(zip_with(_fl_new, slice(g, 2, size(_fl_new)), (n, x) -> concat(n, x)), ''))")
+    text = F.expr(f"if(coalesce(size(_fl_found), 0) > 0, {joined}, text)")
+    count = F.expr("coalesce(aggregate(zip_with(_fl_found, _fl_new, (m, n) -> if(m = n, 0, 1)), 0, (t, x) -> t + x), 0)")
     return found.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in others], count.cast("int").alias("pii_count"))
