@@ -10,7 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from framelake.llm.wordhash import SPREAD, mix
+from framelake.llm.wordhash import SPREAD
 
 #: What stands before each word, as in the pieces that begin a word.
 WORD_START = b" "
@@ -21,7 +21,10 @@ TABLE_WORDS = 1 << 14
 #: Bytes of a table; fewer long words are handled at once.
 TABLE_BYTES = 1 << 20
 
+#: Bits of a slot in the tables of pieces, and what spreads the pieces over them.
 SLOT_BITS = 20
+FIRST_ODD = np.uint64(0x9FB21C651E98DF25)
+SECOND_ODDS = [np.uint64((0xD6E8FEB86659FD93 + (k << 20)) & ((1 << 64) - 1)) for k in range(1000)]
 
 
 class Lattice:
@@ -34,16 +37,19 @@ class Lattice:
         self.longest = max(len(pieces[k]) for k in usable)
         self.values = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
         self._byte = self.values.tolist()
-        keys = mix(np.array([self._state(pieces[k]) for k in usable], np.uint64))
-        # Two tables by different bits of the hash; what collides in the first lies in the second.
-        self.keys = np.concatenate([keys, np.zeros(1, np.uint64)])
-        self.first = np.full(1 << SLOT_BITS, len(keys), np.int32)
-        slots = (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        self.first[slots] = np.arange(len(keys))
-        lost = np.flatnonzero(self.first[slots] != np.arange(len(keys)))
-        self.second = {int(keys[k]): int(k) for k in lost}
-        self.second_keys = np.sort(keys[lost])
-        self.second_ids = np.array([self.second[int(k)] for k in self.second_keys], np.int64)
+        keys = np.array([self._state(pieces[k]) for k in usable], np.uint64)
+        self.keys = np.append(keys, np.uint64(0))
+        # Two tables with slots of their own; what collides in the first lies in the second.
+        at = np.arange(len(keys))
+        self.first, self.second = (np.full(1 << SLOT_BITS, len(keys), np.int32) for _ in range(2))
+        self.first[self._slots(keys, FIRST_ODD)] = at
+        lost = at[self.first[self._slots(keys, FIRST_ODD)] != at]
+        self.second_odd = next(odd for odd in SECOND_ODDS if len(np.unique(self._slots(keys[lost], odd))) == len(lost))
+        self.second[self._slots(keys[lost], self.second_odd)] = lost
+
+    @staticmethod
+    def _slots(states: np.ndarray, odd: np.uint64) -> np.ndarray:
+        return ((states * odd) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
     def _state(self, piece: bytes) -> int:
         state = len(piece)
@@ -57,20 +63,19 @@ class Lattice:
     def arcs(self, table: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
         """For each start and end the index of the piece of every word there; len(self) where there is none."""
         n, length = table.shape
+        values = self.values[table.T]
+        none = len(self)
         found = {}
         for start in range(length):
             state = np.zeros(n, np.uint64)
             for end in range(start + 1, min(length, start + self.longest) + 1):
-                state = state * SPREAD + self.values[table[:, end - 1]]
-                # The length enters as the start of the sum; its share is added afterwards.
-                hashed = mix(state + np.uint64((end - start) * pow(int(SPREAD), end - start, 1 << 64) & (1 << 64) - 1))
-                index = self.first[(hashed >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
-                index = np.where(self.keys[index] == hashed, index, len(self))
-                if len(self.second_keys):
-                    at = np.searchsorted(self.second_keys, hashed)
-                    at[at == len(self.second_keys)] = 0
-                    index = np.where(self.second_keys[at] == hashed, self.second_ids[at], index)
-                if (index < len(self)).any():
+                state = state * SPREAD + values[end - 1]
+                # A piece's state begins with its length, whose share is added here.
+                own = state + np.uint64((end - start) * pow(int(SPREAD), end - start, 1 << 64) & (1 << 64) - 1)
+                index = self.first[self._slots(own, FIRST_ODD)]
+                other = self.second[self._slots(own, self.second_odd)]
+                index = np.where(self.keys[index] == own, index, np.where(self.keys[other] == own, other, none))
+                if (index != none).any():
                     found[start, end] = index
         return found
 
@@ -85,14 +90,16 @@ class Lattice:
                 yield part, np.frombuffer(b"".join(WORD_START + words[i] for i in part), np.uint8).reshape(len(part), -1)
 
     @staticmethod
-    def _logsum(terms: list[np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
+    def _logsum(terms: list[np.ndarray]) -> np.ndarray | float:
         if not terms:
-            return np.full(shape, -np.inf)
+            return -np.inf
         terms = np.array(terms)
         top = terms.max(axis=0)
         safe = np.where(np.isfinite(top), top, 0)
+        terms -= safe
+        np.exp(terms, out=terms)
         with np.errstate(divide="ignore"):
-            return safe + np.log(np.exp(terms - safe).sum(axis=0))
+            return safe + np.log(terms.sum(axis=0))
 
     def forward(self, arcs: dict, scores: np.ndarray, n: int, length: int) -> np.ndarray:
         """Log probability of all segmentations up to each position, per word and column of ``scores``."""
@@ -100,20 +107,20 @@ class Lattice:
         for (start, end), index in arcs.items():
             into.setdefault(end, []).append((start, index))
         shape = (n, *scores.shape[1:])
-        out = np.full((length + 1, *shape), -np.inf)
+        out = np.full((length + 1, *shape), -np.inf, scores.dtype)
         out[0] = 0
         for end in range(1, length + 1):
-            out[end] = self._logsum([out[start] + scores[index] for start, index in into.get(end, [])], shape)
+            out[end] = self._logsum([out[start] + scores[index] for start, index in into.get(end, [])])
         return out
 
     def backward(self, arcs: dict, scores: np.ndarray, n: int, length: int) -> np.ndarray:
         out_of: dict[int, list] = {}
         for (start, end), index in arcs.items():
             out_of.setdefault(start, []).append((end, index))
-        out = np.full((length + 1, n), -np.inf)
+        out = np.full((length + 1, n), -np.inf, scores.dtype)
         out[length] = 0
         for start in range(length - 1, -1, -1):
-            out[start] = self._logsum([out[end] + scores[index] for end, index in out_of.get(start, [])], (n,))
+            out[start] = self._logsum([out[end] + scores[index] for end, index in out_of.get(start, [])])
         return out
 
     def log_probability(self, words: list[bytes], scores: np.ndarray) -> np.ndarray:
@@ -127,20 +134,28 @@ class Lattice:
 
     def expected_counts(self, words: list[bytes], weights: np.ndarray, scores: np.ndarray) -> np.ndarray:
         """How often each piece is used over all segmentations of the words, per column of ``weights`` (words x columns)."""
-        scores = np.append(scores, -np.inf)
-        total = np.zeros((weights.shape[1], len(self) + 1))
+        double = np.append(scores, -np.inf)
+        single = double.astype(np.float32)
+        total = np.zeros((weights.shape[1], len(self)))
         for at, table in self.tables(words):
             n, length = table.shape
+            # Single precision is enough for the shares within a word, unless its logarithm is large.
+            scores = single if length <= 64 else double
             arcs = self.arcs(table)
             ahead, behind = self.forward(arcs, scores, n, length), self.backward(arcs, scores, n, length)
             whole = ahead[length]
             sound = np.isfinite(whole)
-            columns = np.ascontiguousarray(weights[at].T)
+            used, share, word = [], [], []
             for (start, end), index in arcs.items():
-                share = np.exp(np.where(sound, ahead[start] + scores[index] + behind[end] - np.where(sound, whole, 0), -np.inf))
-                for column, own in zip(total, columns, strict=True):
-                    column += np.bincount(index, share * own, len(column))
-        return total[:, :-1].T
+                hit = np.flatnonzero((index < len(self)) & sound & np.isfinite(ahead[start]) & np.isfinite(behind[end]))
+                used.append(index[hit])
+                share.append(np.exp(ahead[start][hit] + scores[index[hit]] + behind[end][hit] - whole[hit]))
+                word.append(at[hit])
+            if used:
+                used, share, word = np.concatenate(used), np.concatenate(share), np.concatenate(word)
+                for column, own in zip(total, weights.T, strict=True):
+                    column += np.bincount(used, share * own[word], len(column))
+        return total.T
 
 
 @lru_cache(maxsize=2)

@@ -85,6 +85,13 @@ def is_monotonic(rows: DataFrame, stream: list[str], order: list[str], value: st
     return kept.groupBy(*stream).agg(F.bool_and("_ok").alias("monotonic"))
 
 
+def service_until_output(rows: DataFrame, stream: list[str], order: list[str], is_output: str, duration: str) -> DataFrame:
+    """(stream, frame, service): what was spent since the output before, for each output in turn; what follows the last is left out."""
+    before = _ordered(stream, order).rowsBetween(Window.unboundedPreceding, -1)
+    framed = rows.withColumn("frame", F.coalesce(F.sum(F.col(is_output).cast("long")).over(before), F.lit(0)))
+    return framed.groupBy(*stream, "frame").agg(F.sum(duration).alias("service"), F.bool_or(is_output).alias("_out")).where("_out").drop("_out")
+
+
 def cache_hits(accesses: DataFrame, cache: list[str], order: list[str], block: str, capacity: int) -> DataFrame:
     """``accesses`` with hit: whether a least-recently-used cache of ``capacity`` blocks still holds the block.
 

@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.functions import scalars
+from framelake.functions import audio, scalars
 from framelake.functions import time as media
-from framelake.operators import asof, runs, seek, streams, summaries
+from framelake.operators import asof, pictures, runs, seek, streams, summaries, tracks
 from framelake.sources import bitstreams, mp4
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -393,3 +393,113 @@ def boxes(spark, sf_dir):
     table = box(b"stts", bytes(4) + (2).to_bytes(4, "big") + b"".join(x.to_bytes(4, "big") for x in (3, 100, 2, 50)))
     file = box(b"ftyp", b"isom") + box(b"moov", box(b"trak", box(b"mdia", box(b"minf", box(b"stbl", table)))))
     return mp4.boxes(spark.createDataFrame([("a.mp4", file), ("cut.mp4", file[:-4])], "path string, content binary"))
+
+
+@query("f6_order_counts_by_cycle", "WITH e AS (SELECT user_id AS stream, event_id AS i, event_id // 20 % 16 AS fn, event_type <> 'view' AS ref FROM events), o AS (SELECT *, CASE WHEN lag(fn) OVER (PARTITION BY stream ORDER BY i) > fn THEN 1 ELSE 0 END AS turn FROM e), a AS (SELECT *, CAST(sum(turn) OVER (PARTITION BY stream ORDER BY i) * 16 + fn AS BIGINT) AS abs_frame_num FROM o), w AS (SELECT *, CASE WHEN NOT ref AND abs_frame_num > 0 THEN abs_frame_num - 1 ELSE abs_frame_num END AS n FROM a) "
+       "SELECT stream, i, abs_frame_num, CAST(CASE WHEN n > 0 THEN (n - 1) // 3 * 9 + [2, 5, 9][(n - 1) % 3 + 1] ELSE 0 END + CASE WHEN ref THEN 0 ELSE -1 END AS BIGINT) AS poc FROM w")
+def order_counts_by_cycle(spark, sf_dir):
+    rows = pictures.whole_frame_numbers(_events(spark, sf_dir, "event_id div 20 % 16 as fn", "event_type <> 'view' as ref"), ["stream"], ["i"], "fn", 16)
+    return rows.select("stream", "i", "abs_frame_num", pictures.order_count_by_cycle(F.col("abs_frame_num"), F.col("ref"), F.lit(False), [2, 3, 4], -1, F.lit(0)).alias("poc"))
+
+
+@query("f7_order_counts_by_frame", "WITH e AS (SELECT user_id AS stream, event_id AS i, event_id // 20 % 16 AS fn, event_type <> 'view' AS ref FROM events), o AS (SELECT *, CASE WHEN lag(fn) OVER (PARTITION BY stream ORDER BY i) > fn THEN 1 ELSE 0 END AS turn FROM e) SELECT stream, i, CAST(2 * (sum(turn) OVER (PARTITION BY stream ORDER BY i) * 16 + fn) - CASE WHEN ref THEN 0 ELSE 1 END AS BIGINT) AS poc FROM o")
+def order_counts_by_frame(spark, sf_dir):
+    rows = pictures.whole_frame_numbers(_events(spark, sf_dir, "event_id div 20 % 16 as fn", "event_type <> 'view' as ref"), ["stream"], ["i"], "fn", 16)
+    return rows.select("stream", "i", pictures.order_count_by_frame(F.col("abs_frame_num"), F.col("ref"), F.lit(False)).alias("poc"))
+
+
+_HELD = "(SELECT string_agg(CAST(q.i AS VARCHAR), ',' ORDER BY q.i DESC) FROM (SELECT r.i FROM e r WHERE r.stream = e.stream AND r.i < e.i AND r.ref ORDER BY r.i DESC LIMIT 4) q)"
+
+
+@query("f11_retained_references", f"WITH e AS (SELECT user_id AS stream, event_id AS i, event_type IN ('purchase', 'signup') AS ref FROM events WHERE user_id % 10 = 0) SELECT stream, i, coalesce({_HELD}, '') AS held FROM e")
+def retained_references(spark, sf_dir):
+    """A tenth of the streams, as the SQL that checks it compares all pairs; the operator is the same for all."""
+    rows = _events(spark, sf_dir, "event_type in ('purchase', 'signup') as ref").where("stream % 10 = 0")
+    held = pictures.retained_references(rows, ["stream"], ["i"], "i", "ref", 4)
+    return held.select("stream", "i", F.array_join(F.col("references").cast("array<string>"), ",").alias("held"))
+
+
+@query("d1_parameter_sets", "WITH e AS (SELECT user_id AS stream, event_id AS at, event_type, event_id % 3 AS pps_id, event_id % 2 AS sps_id FROM events), p AS (SELECT stream, at, pps_id, (SELECT max(s.at) FROM e s WHERE s.event_type = 'signup' AND s.stream = e.stream AND s.sps_id = e.sps_id AND s.at < e.at) AS sps_at FROM e WHERE event_type = 'purchase'), "
+       "l AS (SELECT stream, at, pps_id, (SELECT max(p.at) FROM p WHERE p.stream = e.stream AND p.pps_id = e.pps_id AND p.at < e.at) AS pps_at FROM e WHERE event_type = 'click') SELECT l.stream, l.at, l.pps_id, l.pps_at, p.sps_at FROM l LEFT JOIN p ON p.stream = l.stream AND p.at = l.pps_at")
+def parameter_sets(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").selectExpr("user_id as stream", "event_id as at", "event_type", "event_id % 3 as pps_id", "event_id % 2 as sps_id")
+    of = lambda kind, *columns: rows.where(F.col("event_type") == kind).select("stream", "at", *columns)
+    return pictures.bind_parameter_sets(of("click", "pps_id"), of("purchase", "pps_id", "sps_id"), of("signup", "sps_id"), ["stream"])
+
+
+@query("g4_reorder_depth", "SELECT o_orderkey AS i, coalesce(CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 5 END, CASE WHEN [66, 77, 100][o_orderkey % 3 + 1] = 66 THEN 0 ELSE o_custkey % 16 END) AS depth FROM orders")
+def reorder_depth(spark, sf_dir):
+    key, other = F.col("o_orderkey"), F.col("o_custkey")
+    profile = F.element_at(F.array(*map(F.lit, (66, 77, 100))), (key % 3 + 1).cast("int"))
+    return _table(spark, sf_dir, "orders").select(key.alias("i"), pictures.reorder_depth(F.when(key % 4 == 0, key % 5), profile, other % 16).alias("depth"))
+
+
+@query("g5_reference_lists")
+def reference_lists(spark, sf_dir):
+    """Lists of every user's last events as a reference buffer; held against plain Python in the tests."""
+    buffers = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.col("event_id").alias("id"), (F.col("event_id") % 16).alias("frame_num"), (F.col("event_id") * 7 % 64).alias("poc"), F.when(F.col("event_id") % 5 == 0, F.col("event_id") % 3).cast("int").alias("long_index")))), 1, 6).alias("held"))
+    both = buffers.select("user_id", pictures.p_list(F.col("held"), F.lit(8), 16).alias("p"), pictures.b_lists(F.col("held"), F.lit(30)).alias("b"))
+    return both.select("user_id", "p", "b.list0", "b.list1", pictures.active_list(F.col("p"), F.lit(4), F.slice("p", 3, 2)).alias("active"))
+
+
+@query("i5_audio_frames", "SELECT o_orderkey AS i, CASE WHEN o_orderkey % 50 - 5 >= 0 THEN CAST((o_orderkey % 50 - 5) * 44100 // (1 + o_custkey % 1000) AS BIGINT) END AS frames FROM orders")
+def audio_frames(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"), audio.frames_of_duration(F.col("o_orderkey") % 50 - 5, 1 + F.col("o_custkey") % 1000, 44100).alias("frames"))
+
+
+@query("k16_implicit_weights", "WITH e AS (SELECT event_id AS i, event_id % 40 - 20 AS c, event_id % 23 - 11 AS f, event_id % 31 - 15 AS s FROM events), d AS (SELECT *, least(greatest(s - f, -128), 127) AS td, least(greatest(c - f, -128), 127) AS tb FROM e), x AS (SELECT *, CASE WHEN td <> 0 THEN CAST(trunc((16384 + abs(td) // 2) / td) AS BIGINT) END AS tx FROM d), w AS (SELECT i, s = f AS same, CAST(floor((tb * tx + 32) / 256.0) AS BIGINT) AS w FROM x) SELECT i, CAST(CASE WHEN same OR w IS NULL OR w < -64 OR w > 128 THEN 32 ELSE w END AS INTEGER) AS weight FROM w")
+def implicit_weights(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").selectExpr("event_id as i", "event_id % 40 - 20 as c", "event_id % 23 - 11 as f", "event_id % 31 - 15 as s")
+    return rows.select("i", scalars.implicit_weight(F.col("c"), F.col("f"), F.col("s")).alias("weight"))
+
+
+@query("j3_timelines", "SELECT user_id AS stream, event_id AS i, CAST(sum(CASE WHEN event_id % 101 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS timeline FROM events")
+def timelines(spark, sf_dir):
+    return streams.number_groups(_events(spark, sf_dir), ["stream"], ["i"], F.col("i") % 101 == 0, "timeline")
+
+
+@query("j13_cursor", "SELECT user_id AS stream, event_id AS i FROM events WHERE event_id >= (user_id * 37) % 9000")
+def cursor(spark, sf_dir):
+    return _events(spark, sf_dir).where("i >= (stream * 37) % 9000")
+
+
+@query("j19_service_times", "WITH e AS (SELECT user_id AS stream, event_id AS i, event_type, event_id % 83 AS d FROM events), g AS (SELECT *, count(*) FILTER (WHERE event_type = 'view') OVER (PARTITION BY stream ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS frame FROM e) SELECT stream, CAST(frame AS BIGINT) AS frame, CAST(sum(d) AS BIGINT) AS service FROM g GROUP BY stream, frame HAVING bool_or(event_type = 'view')")
+def service_times(spark, sf_dir):
+    return streams.service_until_output(_events(spark, sf_dir, "event_type = 'view' as is_output", "event_id % 83 as d"), ["stream"], ["i"], "is_output", "d")
+
+
+@query("m2_companded_samples")
+def companded_samples(spark, sf_dir):
+    codes = spark.range(256).select(F.col("id").cast("int").alias("code"))
+    return codes.select("code", audio.mu_law(F.col("code")).alias("mu"), audio.a_law(F.col("code")).alias("a"))
+
+
+def sample_file() -> bytes:
+    """A small MP4 with one track of video: five samples in two chunks."""
+    box = lambda kind, body: (8 + len(body)).to_bytes(4, "big") + kind + body
+    numbers = lambda *values: b"".join(v.to_bytes(4, "big") for v in values)
+    listed = lambda kind, n, *values: box(kind, bytes(4) + numbers(n, *values))
+    tables = listed(b"stts", 2, 3, 100, 2, 50) + listed(b"ctts", 2, 2, 10, 3, 20) + listed(b"stsc", 2, 1, 2, 1, 2, 3, 1) + box(b"stsz", bytes(4) + numbers(0, 5, 10, 11, 12, 13, 14)) + listed(b"stco", 2, 1000, 2000) + listed(b"stss", 2, 1, 4)
+    media_box = box(b"mdhd", bytes(12) + numbers(15360, 350) + bytes(4)) + box(b"hdlr", bytes(8) + b"vide" + bytes(13)) + box(b"minf", box(b"stbl", tables))
+    return box(b"ftyp", b"isom") + box(b"moov", box(b"trak", box(b"mdia", media_box)))
+
+
+@query(
+    "a6_samples_of_files",
+    """SELECT 'a.mp4' AS path, 0 AS track, * FROM (VALUES (0, 1000, 10, 0, 10, 100, 1, true), (1, 1010, 11, 100, 110, 100, 1, false), (2, 2000, 12, 200, 220, 100, 1, false),
+    (3, 2012, 13, 300, 320, 50, 1, true), (4, 2025, 14, 350, 370, 50, 1, false)) AS t(sample_index, "offset", size, dts, pts, duration, description, sync)""",
+)
+def samples_of_files(spark, sf_dir):
+    return tracks.samples_of_files(spark.createDataFrame([("a.mp4", sample_file())], "path string, content binary"))
+
+
+@query("c3_first_video_track", "SELECT 'a.mp4' AS path, 0 AS track")
+def first_video_track(spark, sf_dir):
+    files = spark.createDataFrame([("a.mp4", sample_file())], "path string, content binary")
+    return tracks.first_video_track(tracks.track_headers(files), tracks.sample_sizes(files))
+
+
+@query("b6_compact_sizes", "SELECT * FROM (VALUES (1, 0, 10), (1, 1, 11), (1, 2, 12), (2, 0, 1), (2, 1, 255), (3, 0, 258)) t(id, sample_index, size)")
+def compact_sizes(spark, sf_dir):
+    rows = spark.createDataFrame([(1, bytearray(b"\xab\xc0"), 4, 3), (2, bytearray(b"\1\xff"), 8, 2), (3, bytearray(b"\1\2"), 16, 1)], "id int, data binary, bits int, n long")
+    return tracks.compact_sizes(rows, "data", "bits", "n").select("id", "sample_index", "size")
