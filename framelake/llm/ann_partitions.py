@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm.shared import stored
@@ -33,8 +33,8 @@ GRAPH_NEIGHBOURS = 10
 #: A query visits as many parts as it takes to reach this probability, and between these numbers of them.
 PROBABILITY, LEAST_PROBES, MOST_PROBES = 0.995, 3, 24
 
-#: Rows of a part are dealt over so many tasks.
-PART_SPLITS = 4
+#: A task compares about so many vectors of a part with about so many queries.
+SPLIT_VECTORS, BLOCK_QUERIES = 1_024, 4_096
 
 
 def exact_neighbours(points: np.ndarray, k: int) -> np.ndarray:
@@ -208,11 +208,20 @@ def build_index(rows: DataFrame, k: int = 10, sample: int = SAMPLE) -> Index:
     return Index(stored(filed, "index"), router, parts)
 
 
+def _shares(rows: DataFrame, parts: int, most: int) -> Column:
+    """Into how many shares of about ``most`` rows each part's ``rows`` are dealt; the driver holds a count per part."""
+    counts = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    table = F.array(*(F.lit(max(1, -(-counts.get(p, 0) // most))) for p in range(parts)))
+    return F.element_at(table, F.col("part") + 1)
+
+
 def search(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest other vectors found for each of ``queries`` (vec_id, embedding).
 
     Nearest by Euclidean distance, ties to the lesser id. Equal queries are
-    answered once.
+    answered once. The vectors of a part and the queries sent to it are both
+    dealt into shares by hash, and each pair of shares is compared by itself,
+    so a task stays small however many of either a part has.
     """
     router = index.router
     asked = queries.groupBy("embedding").agg(F.xxhash64("embedding").alias("query"))
@@ -229,9 +238,10 @@ def search(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(order[row, column].astype(np.int32))], names=["query", "embedding", "part"])
 
     routed = stored(asked.select("query", "embedding").mapInArrow(route, "query long, embedding array<double>, part int"), "routed")
-    splits = F.explode(F.sequence(F.lit(0), F.lit(PART_SPLITS - 1))).alias("split")
-    sent = routed.select("part", splits, "query", "embedding")
-    filed = index.filed.withColumn("split", F.pmod(F.xxhash64("embedding"), F.lit(PART_SPLITS)).cast("int"))
+    splits, blocks = _shares(index.filed, index.parts, SPLIT_VECTORS), _shares(routed, index.parts, BLOCK_QUERIES)
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    sent = routed.select("part", every(splits).alias("split"), F.pmod("query", blocks).cast("int").alias("block"), "query", "embedding")
+    filed = index.filed.select("part", F.pmod(F.xxhash64("embedding"), splits).cast("int").alias("split"), every(blocks).alias("block"), "embedding", "ids")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {"query": [], "vec_id": [], "score": []}
@@ -247,7 +257,7 @@ def search(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
                 out["vec_id"] += [v for _, v in found]
         return pa.table({"query": pa.array(out["query"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
-    found = sent.groupBy("part", "split").cogroup(filed.groupBy("part", "split")).applyInArrow(compare, "query long, vec_id long, score double")
+    found = sent.groupBy("part", "split", "block").cogroup(filed.groupBy("part", "split", "block")).applyInArrow(compare, "query long, vec_id long, score double")
     best = found.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k + 1).alias("near"))
     answered = queries.select(F.col("vec_id").alias("query_id"), F.xxhash64("embedding").alias("_query")).distinct().join(best, F.col("_query") == F.col("query"))
     others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)

@@ -128,6 +128,15 @@ def test_neighbours_edge_cases(spark):
     assert ann_partitions.nearest_neighbours(spark.createDataFrame(rows[:1], ddl)).count() == 0
 
 
+def test_shares_of_a_part_do_not_change_the_result(spark, monkeypatch):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    whole = found_by_query(ann_partitions.nearest_neighbours(table, 5))
+    monkeypatch.setattr(ann_partitions, "SPLIT_VECTORS", 100)
+    monkeypatch.setattr(ann_partitions, "BLOCK_QUERIES", 20)
+    assert found_by_query(ann_partitions.nearest_neighbours(table, 5)) == whole
+
+
 def test_parts_are_balanced():
     points = np.random.default_rng(0).standard_normal((600, 8))
     parts = ann_partitions.balanced_parts(ann_partitions.exact_neighbours(points, 8), 7)
