@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions import audio, scalars
 from framelake.functions import time as media
-from framelake.operators import asof, pictures, runs, seek, streams, summaries, tracks
+from framelake.operators import asof, packets, pictures, runs, seek, streams, summaries, tracks
 from framelake.sources import bitstreams, mp4
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,12 +61,13 @@ def decode_times(spark, sf_dir):
 
 @query(
     "b4_presentation_times",
-    f"WITH d AS ({_DTS}), c AS (SELECT p_brand AS track, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey, k) - 1 AS BIGINT) AS sample_index, p_partkey % 5 - 2 AS shift FROM (SELECT *, unnest(generate_series(1, p_size)) AS k FROM part WHERE p_partkey % 3 = 0)) "
+    f"WITH d AS ({_DTS}), c AS (SELECT p_brand AS track, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey, k) - 1 AS BIGINT) AS sample_index, p_partkey % 5 - 2 AS shift FROM (SELECT *, unnest(generate_series(1, p_size - 1)) AS k FROM part)) "
     "SELECT track, sample_index, CAST(dts + coalesce(shift, 0) AS BIGINT) AS pts FROM d LEFT JOIN c USING (track, sample_index)",
 )
 def presentation_times(spark, sf_dir):
     times = decode_times(spark, sf_dir)
-    shifts = runs.expand_runs(_runs(spark, sf_dir).where("run % 3 = 0").withColumn("shift", F.col("run") % 5 - 2), ["track"], ["run"], "count", ["shift"])
+    shorter = _runs(spark, sf_dir).withColumns({"count": F.col("count") - 1, "shift": F.col("run") % 5 - 2})
+    shifts = runs.expand_runs(shorter, ["track"], ["run"], "count", ["shift"])
     return times.join(shifts, ["track", "sample_index"], "left").select("track", "sample_index", (F.col("dts") + F.coalesce("shift", F.lit(0))).alias("pts"))
 
 
@@ -90,12 +91,12 @@ def sample_table_fusion(spark, sf_dir):
 
 @query(
     "d6_chunk_run_lookup",
-    "SELECT track, chunk, first, size FROM (SELECT k.track, k.chunk, r.first, r.size, r.nxt FROM (SELECT o_orderkey % 8 AS track, o_orderkey AS chunk FROM orders) k JOIN (SELECT p_partkey % 8 AS track, p_partkey AS first, p_size AS size, lead(p_partkey) OVER (PARTITION BY p_partkey % 8 ORDER BY p_partkey) AS nxt FROM part WHERE p_partkey % 5 = 1) r "
+    "SELECT track, chunk, first, size FROM (SELECT k.track, k.chunk, r.first, r.size, r.nxt FROM (SELECT o_orderkey % 8 AS track, o_orderkey AS chunk FROM orders) k JOIN (SELECT p_partkey % 8 AS track, 5 * p_partkey AS first, p_size AS size, lead(5 * p_partkey) OVER (PARTITION BY p_partkey % 8 ORDER BY p_partkey) AS nxt FROM part) r "
     "ON k.track = r.track AND k.chunk >= r.first AND (r.nxt IS NULL OR k.chunk < r.nxt))",
 )
 def chunk_run_lookup(spark, sf_dir):
     keys = _table(spark, sf_dir, "orders").selectExpr("o_orderkey % 8 as track", "o_orderkey as chunk")
-    starts = _table(spark, sf_dir, "part").where("p_partkey % 5 = 1").selectExpr("p_partkey % 8 as track", "p_partkey as first", "p_size as size")
+    starts = _table(spark, sf_dir, "part").selectExpr("p_partkey % 8 as track", "5 * p_partkey as first", "p_size as size")
     return runs.lookup_run(keys, starts, ["track"], "chunk", "first", ["first", "size"])
 
 
@@ -141,11 +142,11 @@ def fragment_times(spark, sf_dir):
 
 @query(
     "b17_timeline_offset",
-    "WITH e AS (SELECT o_custkey AS track, o_orderkey AS ordinal, o_orderkey % 500 AS seg, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 1000 ELSE -1 END AS mt FROM orders WHERE o_orderkey % 4 < 2), g AS (SELECT track, sum(CASE WHEN mt = -1 THEN seg ELSE 0 END) AS em, count(*) FILTER (WHERE mt <> -1) AS nm, max(ordinal) FILTER (WHERE mt = -1) AS le, max(ordinal) FILTER (WHERE mt <> -1) AS ma, max(mt) FILTER (WHERE mt <> -1) AS st FROM e GROUP BY track), "
+    "WITH e AS (SELECT o_custkey AS track, o_orderkey AS ordinal, o_orderkey % 500 AS seg, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 1000 ELSE -1 END AS mt FROM orders), g AS (SELECT track, sum(CASE WHEN mt = -1 THEN seg ELSE 0 END) AS em, count(*) FILTER (WHERE mt <> -1) AS nm, max(ordinal) FILTER (WHERE mt = -1) AS le, max(ordinal) FILTER (WHERE mt <> -1) AS ma, max(mt) FILTER (WHERE mt <> -1) AS st FROM e GROUP BY track), "
     'f AS (SELECT *, coalesce(nm = 1 AND coalesce(le, -1) < ma AND em * 12 % 10 = 0, false) AS supported FROM g) SELECT track, CASE WHEN supported THEN CAST(em * 12 // 10 - st AS BIGINT) END AS "offset", supported FROM f',
 )
 def timeline_offset(spark, sf_dir):
-    edits = _table(spark, sf_dir, "orders").where("o_orderkey % 4 < 2").selectExpr(
+    edits = _table(spark, sf_dir, "orders").selectExpr(
         "o_custkey as track", "o_orderkey as ordinal", "o_orderkey % 500 as segment_duration", "case when o_orderkey % 3 = 0 then o_orderkey % 1000 else -1 end as media_time", "1 as rate_int", "0 as rate_fraction", "10 as movie_timescale", "12 as media_timescale"
     )
     return runs.timeline_offset(edits, ["track"])
@@ -311,14 +312,14 @@ def frame_limit(spark, sf_dir):
 @query(
     "g9_seek_plan",
     "WITH s AS (SELECT user_id AS track, event_id AS sample_index, event_id + (event_id * 7) % 5 AS pts, event_type = 'purchase' AS sync FROM events), k AS (SELECT track, sample_index, pts, lead(sample_index) OVER (PARTITION BY track ORDER BY sample_index) AS nxt FROM s WHERE sync), "
-    "t AS (SELECT DISTINCT user_id AS track, event_id AS target FROM events WHERE event_id % 3 = 0), p AS (SELECT t.track, target, (SELECT k.sample_index FROM k WHERE k.track = t.track AND k.pts <= target ORDER BY k.pts DESC, k.sample_index LIMIT 1) AS keyframe_index FROM t), "
+    "t AS (SELECT DISTINCT user_id AS track, event_id AS target FROM events), p AS (SELECT t.track, target, (SELECT k.sample_index FROM k WHERE k.track = t.track AND k.pts <= target ORDER BY k.pts DESC, k.sample_index LIMIT 1) AS keyframe_index FROM t), "
     "w AS (SELECT p.track, target, keyframe_index, s.sample_index, s.pts FROM p JOIN k ON k.track = p.track AND k.sample_index = p.keyframe_index JOIN s ON s.track = p.track AND s.sample_index >= keyframe_index AND (k.nxt IS NULL OR s.sample_index <= k.nxt)), "
     "c AS (SELECT track, target, keyframe_index, min(struct_pack(pts := pts, i := sample_index)) AS m FROM w WHERE pts >= target GROUP BY ALL) SELECT c.track, c.target, c.keyframe_index, c.m.i AS selected_index, max(w.sample_index) - c.keyframe_index + 1 AS required FROM c JOIN w ON w.track = c.track AND w.target = c.target WHERE w.pts <= c.m.pts GROUP BY c.track, c.target, c.keyframe_index, c.m.i",
 )
 def seek_plan(spark, sf_dir):
     events = _table(spark, sf_dir, "events")
     samples = events.selectExpr("user_id as track", "event_id as sample_index", "event_id + (event_id * 7) % 5 as pts", "event_type = 'purchase' as sync")
-    return seek.seek_plan(events.where("event_id % 3 = 0").selectExpr("user_id as track", "event_id as target"), samples, ["track"])
+    return seek.seek_plan(events.selectExpr("user_id as track", "event_id as target"), samples, ["track"])
 
 
 @query("g10_seek_source", "SELECT event_id AS i, CASE WHEN CASE WHEN event_id % 4 > 0 THEN event_id % 29 END >= greatest(event_id % 17, coalesce(CASE WHEN event_id % 3 > 0 THEN event_id % 23 END, event_id % 17)) THEN 'Forward' WHEN CASE WHEN event_id % 3 > 0 THEN event_id % 23 END > event_id % 17 THEN 'Checkpoint' ELSE 'Keyframe' END AS source FROM events")
@@ -408,19 +409,22 @@ def order_counts_by_frame(spark, sf_dir):
     return rows.select("stream", "i", pictures.order_count_by_frame(F.col("abs_frame_num"), F.col("ref"), F.lit(False)).alias("poc"))
 
 
-_HELD = "(SELECT string_agg(CAST(q.i AS VARCHAR), ',' ORDER BY q.i DESC) FROM (SELECT r.i FROM e r WHERE r.stream = e.stream AND r.i < e.i AND r.ref ORDER BY r.i DESC LIMIT 4) q)"
-
-
-@query("f11_retained_references", f"WITH e AS (SELECT user_id AS stream, event_id AS i, event_type IN ('purchase', 'signup') AS ref FROM events WHERE user_id % 10 = 0) SELECT stream, i, coalesce({_HELD}, '') AS held FROM e")
+@query(
+    "f11_retained_references",
+    "WITH e AS (SELECT user_id AS stream, event_id AS i, event_type IN ('purchase', 'signup') AS ref FROM events), h AS (SELECT stream, i, list(i) FILTER (WHERE ref) OVER (PARTITION BY stream ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS refs FROM e) "
+    "SELECT stream, i, coalesce(array_to_string(list_reverse(refs[-4:]), ','), '') AS held FROM h",
+)
 def retained_references(spark, sf_dir):
-    """A tenth of the streams, as the SQL that checks it compares all pairs; the operator is the same for all."""
-    rows = _events(spark, sf_dir, "event_type in ('purchase', 'signup') as ref").where("stream % 10 = 0")
+    rows = _events(spark, sf_dir, "event_type in ('purchase', 'signup') as ref")
     held = pictures.retained_references(rows, ["stream"], ["i"], "i", "ref", 4)
     return held.select("stream", "i", F.array_join(F.col("references").cast("array<string>"), ",").alias("held"))
 
 
-@query("d1_parameter_sets", "WITH e AS (SELECT user_id AS stream, event_id AS at, event_type, event_id % 3 AS pps_id, event_id % 2 AS sps_id FROM events), p AS (SELECT stream, at, pps_id, (SELECT max(s.at) FROM e s WHERE s.event_type = 'signup' AND s.stream = e.stream AND s.sps_id = e.sps_id AND s.at < e.at) AS sps_at FROM e WHERE event_type = 'purchase'), "
-       "l AS (SELECT stream, at, pps_id, (SELECT max(p.at) FROM p WHERE p.stream = e.stream AND p.pps_id = e.pps_id AND p.at < e.at) AS pps_at FROM e WHERE event_type = 'click') SELECT l.stream, l.at, l.pps_id, l.pps_at, p.sps_at FROM l LEFT JOIN p ON p.stream = l.stream AND p.at = l.pps_at")
+@query(
+    "d1_parameter_sets",
+    'WITH e AS (SELECT user_id AS stream, event_id AS i, event_type, event_id % 3 AS pps_id, event_id % 2 AS sps_id FROM events), p AS (SELECT stream, i, pps_id, (SELECT max(s.i) FROM e s WHERE s.event_type = \'signup\' AND s.stream = e.stream AND s.sps_id = e.sps_id AND s.i < e.i) AS sps_at FROM e WHERE event_type = \'purchase\'), '
+    'l AS (SELECT stream, i, pps_id, (SELECT max(p.i) FROM p WHERE p.stream = e.stream AND p.pps_id = e.pps_id AND p.i < e.i) AS pps_at FROM e WHERE event_type = \'click\') SELECT l.stream, l.i AS "at", l.pps_id, l.pps_at, p.sps_at FROM l LEFT JOIN p ON p.stream = l.stream AND p.i = l.pps_at',
+)
 def parameter_sets(spark, sf_dir):
     rows = _table(spark, sf_dir, "events").selectExpr("user_id as stream", "event_id as at", "event_type", "event_id % 3 as pps_id", "event_id % 2 as sps_id")
     of = lambda kind, *columns: rows.where(F.col("event_type") == kind).select("stream", "at", *columns)
@@ -468,6 +472,80 @@ def service_times(spark, sf_dir):
     return streams.service_until_output(_events(spark, sf_dir, "event_type = 'view' as is_output", "event_id % 83 as d"), ["stream"], ["i"], "is_output", "d")
 
 
+@query("c1_packets", "WITH t AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) SELECT user_id AS stream, event_id AS i, CAST(event_id * 3 - n AS BIGINT) AS pts, CAST(event_id - n AS BIGINT) AS dts, CAST(1000 + user_id % 5 AS BIGINT) AS timescale FROM events JOIN t USING (user_id)")
+def timed_packets(spark, sf_dir):
+    samples = _events(spark, sf_dir, "event_id * 3 as pts", "event_id as dts")
+    timelines = samples.groupBy("stream").agg((-F.count(F.lit(1))).alias("offset")).selectExpr("stream", "offset", "1000 + stream % 5 as timescale")
+    return packets.packets(samples, timelines, ["stream"])
+
+
+@query("c2_track_kinds", "SELECT c_custkey AS track, CASE handler WHEN 'vide' THEN 'Video' WHEN 'soun' THEN 'Audio' WHEN 'text' THEN 'Subtitle' WHEN 'meta' THEN 'Metadata' ELSE 'Unknown' END AS kind FROM (SELECT c_custkey, ['vide', 'soun', 'text', 'meta', 'hint'][c_custkey % 5 + 1] AS handler FROM customer)")
+def track_kinds(spark, sf_dir):
+    rows = _table(spark, sf_dir, "customer").selectExpr("c_custkey as track", "element_at(array('vide', 'soun', 'text', 'meta', 'hint'), cast(c_custkey % 5 + 1 as int)) as handler")
+    return rows.select("track", scalars.track_kind(F.col("handler")).alias("kind"))
+
+
+@query("c8_visible_frames", "SELECT user_id AS stream, event_id AS i FROM events WHERE event_type IN ('view', 'click')")
+def visible_frames(spark, sf_dir):
+    rows = _events(spark, sf_dir, "event_type = 'view' as show", "case when event_type <> 'signup' then event_type = 'click' end as show_existing")
+    return rows.where(packets.is_shown(F.col("show"), F.col("show_existing"))).select("stream", "i")
+
+
+@query("c9_unit_kinds", "SELECT i, CASE WHEN t IN (1, 5) THEN 'slice' WHEN t IN (2, 3, 4, 20, 21) THEN 'unsupported' WHEN t = 7 THEN 'sequence_parameters' WHEN t = 8 THEN 'picture_parameters' WHEN t = 9 THEN 'delimiter' WHEN t = 10 THEN 'end_of_sequence' WHEN t = 11 THEN 'end_of_stream' ELSE 'ignored' END AS kind FROM (SELECT o_orderkey AS i, o_orderkey % 32 AS t FROM orders)")
+def unit_kinds(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"), scalars.nal_kind(F.col("o_orderkey") % 32).alias("kind"))
+
+
+@query("c10_constant_descriptions", "SELECT o_custkey AS track, count(DISTINCT coalesce(CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END, '')) = 1 AS constant FROM orders GROUP BY o_custkey")
+def constant_descriptions(spark, sf_dir):
+    rows = _table(spark, sf_dir, "orders").selectExpr("o_custkey as track", "case when o_orderstatus <> 'P' then o_orderstatus end as description")
+    return packets.keeps_description(rows, ["track"], "description")
+
+
+@query("d2_descriptions", "SELECT o_orderkey AS sample, s.track, s.description, n_name AS format, CASE WHEN n_name IS NULL THEN 'invalid: no such description' END AS error FROM (SELECT o_orderkey, CAST(o_custkey % 25 AS BIGINT) AS track, CAST(o_orderkey % 5 AS BIGINT) AS description FROM orders) s LEFT JOIN nation ON n_nationkey = s.track AND n_regionkey = s.description")
+def descriptions(spark, sf_dir):
+    samples = _table(spark, sf_dir, "orders").selectExpr("o_orderkey as sample", "o_custkey % 25 as track", "o_orderkey % 5 as description")
+    known = _table(spark, sf_dir, "nation").selectExpr("cast(n_nationkey as bigint) as track", "cast(n_regionkey as bigint) as description", "n_name as format")
+    return packets.with_description(samples, known, ["track"], ["format"])
+
+
+@query("d4_fragments_of_tracks", "SELECT f.fragment, f.track_id, r_regionkey * 10 AS default_duration, CASE WHEN n_nationkey IS NULL THEN 'invalid: unknown track' END AS error FROM (SELECT c_custkey AS fragment, CAST(c_custkey % 30 AS INTEGER) AS track_id FROM customer) f LEFT JOIN nation ON n_nationkey = f.track_id LEFT JOIN region ON r_regionkey = f.track_id WHERE n_nationkey IS NULL OR n_regionkey > 0")
+def fragments_of_tracks(spark, sf_dir):
+    fragments = _table(spark, sf_dir, "customer").selectExpr("c_custkey as fragment", "cast(c_custkey % 30 as int) as track_id")
+    known = _table(spark, sf_dir, "nation").selectExpr("n_nationkey as track_id", "n_regionkey as descriptions")
+    defaults = _table(spark, sf_dir, "region").selectExpr("r_regionkey as track_id", "r_regionkey * 10 as duration")
+    return packets.fragments_of_tracks(fragments, known, defaults, ["duration"])
+
+
+@query("d15_resolved_references", "WITH s AS (SELECT user_id AS stream, event_id AS i, [" + ", ".join(f"max(CASE WHEN ((event_id % 256) >> {k}) & 1 = 1 THEN event_id END) OVER w" for k in range(8)) + "] AS slots FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), r AS (SELECT stream, i, slots[i % 8 + 1] AS ref0, slots[i // 8 % 8 + 1] AS ref1, slots[i // 64 % 8 + 1] AS ref2 FROM s) SELECT *, CASE WHEN ref0 IS NULL OR ref1 IS NULL OR ref2 IS NULL THEN 'invalid: missing reference' END AS error FROM r")
+def resolved_references(spark, sf_dir):
+    rows = _events(spark, sf_dir, "event_id % 256 as refresh", "event_id % 8 as a", "event_id div 8 % 8 as b", "event_id div 64 % 8 as c")
+    return packets.resolve_references(rows, ["stream"], ["i"], "i", "refresh", ["a", "b", "c"]).drop("refresh", "a", "b", "c")
+
+
+@query("e3_visible_bytes", "SELECT p_brand AS run, count(*) AS frames, CAST(sum(w * h + 2 * ((w + 1) // 2) * ((h + 1) // 2)) AS BIGINT) AS bytes FROM (SELECT p_brand, 3 * p_size AS w, 2 * p_size + 1 AS h FROM part) GROUP BY p_brand")
+def visible_bytes(spark, sf_dir):
+    rows = _table(spark, sf_dir, "part").select(F.col("p_brand").alias("run"), packets.visible_bytes(3 * F.col("p_size"), 2 * F.col("p_size") + 1).alias("bytes"))
+    return rows.groupBy("run").agg(F.count(F.lit(1)).alias("frames"), F.sum("bytes").alias("bytes"))
+
+
+@query("e5_retained_bytes", "SELECT p_brand AS buffer, CAST(least(sum(CAST(p_partkey AS HUGEINT) * 100000000000000), 9223372036854775807) AS BIGINT) AS retained FROM part GROUP BY p_brand")
+def retained_bytes(spark, sf_dir):
+    return packets.retained_bytes(_table(spark, sf_dir, "part").selectExpr("p_brand as buffer", "p_partkey * 100000000000000 as size"), ["buffer"], "size")
+
+
+@query("e8_syntax_totals", "SELECT l_suppkey AS frame, count(*) AS blocks, CAST(sum(l_linenumber) AS BIGINT) AS coefficients, CAST(sum(abs(l_partkey % 9 - 4)) AS BIGINT) AS magnitude FROM lineitem GROUP BY l_suppkey")
+def syntax_totals(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem")
+    return rows.groupBy(F.col("l_suppkey").alias("frame")).agg(F.count(F.lit(1)).alias("blocks"), F.sum("l_linenumber").alias("coefficients"), F.sum(F.abs(F.col("l_partkey") % 9 - 4)).alias("magnitude"))
+
+
+@query("f1_sync_index", "SELECT user_id AS stream, event_id AS i, event_id // 16 AS t, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id // 16, event_id) - 1 AS BIGINT) AS position FROM events WHERE event_type = 'purchase'")
+def sync_index(spark, sf_dir):
+    rows = _events(spark, sf_dir, "event_id div 16 as t", "event_type = 'purchase' as sync")
+    return packets.sync_index(rows, ["stream"], "t", "i", "sync").drop("sync")
+
+
 @query("m2_companded_samples")
 def companded_samples(spark, sf_dir):
     codes = spark.range(256).select(F.col("id").cast("int").alias("code"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions import scalars
 from framelake.functions import time as media
-from framelake.operators import asof, runs, seek, streams, summaries
+from framelake.operators import asof, packets, runs, seek, streams, summaries
 from framelake.sources import bitstreams, mp4
 
 
@@ -121,6 +121,48 @@ def test_parsers_give_rows_for_any_bytes(spark):
     assert [r.error for r in got if r.path == "b"][-1].startswith("invalid")
 
 
+def test_packets_follow_their_timeline(spark):
+    samples = table(spark, [(1, 0, 5, 4, "x"), (2, 0, 7, 7, "x"), (None, 0, 1, 1, "x")], "track int, i int, pts long, dts long, timescale_of string")
+    timelines = table(spark, [(1, -3, 90000)], "track int, offset long, timescale long")
+    got = {r.track: (r.pts, r.dts, r.timescale) for r in packets.packets(samples, timelines, ["track"]).collect()}
+    assert got == {1: (2, 1, 90000), 2: (7, 7, None), None: (1, 1, None)}
+
+
+def test_lookups_say_what_is_missing(spark):
+    samples = table(spark, [(1, 1, "a"), (1, 2, "a"), (1, None, "a")], "track int, description int, name string")
+    known = table(spark, [(1, 1, None)], "track int, description int, format string")
+    got = {r.description: (r.format, r.error) for r in packets.with_description(samples, known, ["track"], ["format"]).collect()}
+    assert got == {1: (None, None), 2: (None, "invalid: no such description"), None: (None, "invalid: no such description")}
+    fragments = table(spark, [(0, 1), (1, 2), (2, 3), (3, 9), (4, None)], "fragment int, track_id int")
+    tracks = table(spark, [(1, 1), (2, 0), (3, 2)], "track_id int, descriptions int")
+    found = packets.fragments_of_tracks(fragments, tracks, table(spark, [(1, 40)], "track_id int, duration int"), ["duration"]).collect()
+    assert {r.fragment: (r.default_duration, r.error) for r in found} == {0: (40, None), 2: (None, None), 3: (None, "invalid: unknown track"), 4: (None, "invalid: unknown track")}
+
+
+def test_whole_track_checks(spark):
+    rows = table(spark, [(1, "a"), (1, "a"), (2, "a"), (2, None), (3, None), (3, None)], "track int, description string")
+    assert {r.track: r.constant for r in packets.keeps_description(rows, ["track"], "description").collect()} == {1: True, 2: False, 3: True}
+    held = table(spark, [(1, (1 << 63) - 1), (1, 5), (2, None), (3, 4)], "buffer int, size long")
+    assert {r.buffer: r.retained for r in packets.retained_bytes(held, ["buffer"], "size").collect()} == {1: (1 << 63) - 1, 2: 0, 3: 4}
+    sync = table(spark, [(1, 9, 0, True), (1, 9, 1, True), (1, 3, 2, True), (1, 1, 3, False)], "track int, t long, i int, sync boolean")
+    assert [(r.i, r.position) for r in packets.sync_index(sync, ["track"], "t", "i", "sync").orderBy("position").collect()] == [(2, 0), (0, 1), (1, 2)]
+    sizes = table(spark, [(3, 5), (4, 4)], "w long, h long").select(packets.visible_bytes(F.col("w"), F.col("h")).alias("n")).collect()
+    assert [r.n for r in sizes] == [15 + 2 * 2 * 3, 16 + 8]
+
+
+def test_references_are_those_of_the_slots(spark):
+    rng = random.Random(4)
+    rows = [(s, i, rng.randrange(256), *(rng.randrange(8) for _ in range(3))) for s in range(2) for i in range(40)]
+    got = packets.resolve_references(table(spark, rows, "s int, i int, refresh int, a int, b int, c int"), ["s"], ["i"], "i", "refresh", ["a", "b", "c"]).collect()
+    want, slots = {}, {}
+    for s, i, refresh, *refs in rows:
+        held = slots.setdefault(s, [None] * 8)
+        want[s, i] = [held[r] for r in refs]
+        slots[s] = [i if refresh >> k & 1 else x for k, x in enumerate(held)]
+    assert {(r.s, r.i): [r.ref0, r.ref1, r.ref2] for r in got} == want
+    assert all((r.error is None) == (None not in want[r.s, r.i]) for r in got)
+
+
 def test_empty_tables(spark):
     rows = table(spark, [], "track int, run int, count int, delta int")
     assert runs.decode_times(rows, ["track"], ["run"], "count", "delta").count() == 0
