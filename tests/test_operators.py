@@ -8,9 +8,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from framelake.functions import scalars
+from framelake.functions import audio, scalars
 from framelake.functions import time as media
-from framelake.operators import asof, packets, runs, seek, streams, summaries
+from framelake.operators import asof, packets, pictures, runs, seek, streams, summaries
 from framelake.sources import bitstreams, mp4
 
 
@@ -163,6 +163,39 @@ def test_references_are_those_of_the_slots(spark):
     assert all((r.error is None) == (None not in want[r.s, r.i]) for r in got)
 
 
+def test_reference_lists_equal_plain_python(spark):
+    rng = random.Random(6)
+    buffers = []
+    for k in range(60):
+        n = rng.randint(0, 5)
+        frames, pocs, longs = rng.sample(range(16), n), rng.sample(range(40), n), rng.sample(range(8), n)
+        buffers.append((k, [(10 * k + j, frames[j], pocs[j], longs[j] if rng.random() < 0.3 else None) for j in range(n)]))
+    rows = table(spark, buffers, f"k int, held {pictures.REFERENCE}")
+    p, b = pictures.p_list(F.col("held"), F.lit(8), 16), pictures.b_lists(F.col("held"), F.lit(20))
+    got = {r.k: r for r in rows.select("k", p.alias("p"), b.alias("b"), pictures.active_list(p, F.lit(3), F.slice(p, 2, 2)).alias("active")).collect()}
+    for k, held in buffers:
+        short, long = [x for x in held if x[3] is None], [x[0] for x in sorted(held, key=lambda x: x[3] or 0) if x[3] is not None]
+        want = [x[0] for x in sorted(short, key=lambda x: -(x[1] - 16 if x[1] > 8 else x[1]))] + long
+        before = [x[0] for x in sorted(short, key=lambda x: -x[2]) if x[2] <= 20]
+        after = [x[0] for x in sorted(short, key=lambda x: x[2]) if x[2] > 20]
+        one, two = before + after + long, after + before + long
+        if one == two and len(two) > 1:
+            two[:2] = two[1::-1]
+        active = (want + [None] * 3)[:3]
+        for at, moved in enumerate(want[1:3]):
+            active = (active[:at] + [moved] + [x for x in active[at:] if x != moved])[:3]
+        assert (got[k].p, got[k].b.list0, got[k].b.list1, got[k].active) == (want, one, two, active)
+
+
+def test_companded_samples_are_those_of_the_standard(spark):
+    codes = {0x00: -32124, 0x80: 32124, 0xFF: 0, 0x7F: 0}
+    rows = table(spark, [(c,) for c in codes], "c int").select("c", audio.mu_law(F.col("c")).alias("x")).collect()
+    assert {r.c: r.x * 32768 for r in rows} == codes
+    codes = {0xD5: 8, 0x55: -8, 0xAA: 32256, 0x2A: -32256}
+    rows = table(spark, [(c,) for c in codes], "c int").select("c", audio.a_law(F.col("c")).alias("x")).collect()
+    assert {r.c: r.x * 32768 for r in rows} == codes
+
+
 def test_empty_tables(spark):
     rows = table(spark, [], "track int, run int, count int, delta int")
     assert runs.decode_times(rows, ["track"], ["run"], "count", "delta").count() == 0
