@@ -21,14 +21,17 @@ def duration_fits(frames: Column, value: Column, timescale: Column, rate: int) -
 
 
 def audio_config(data: Column) -> Column:
-    """struct(object_type, rate, channels) of the first two bytes of a configuration; null if it is not supported.
+    """struct(object_type, rate, channels) of an audio configuration; null if it is not supported.
 
-    Supported are object type 2 with a rate by index and one or two channels.
+    Supported are object type 2, a rate by index or in 24 bits of its own, and
+    one or two channels.
     """
-    both = F.conv(F.hex(F.substring(data, 1, 2)), 16, 10).cast("int")
-    kind, index, channels = F.shiftright(both, 11), F.shiftright(both, 7).bitwiseAND(15), F.shiftright(both, 3).bitwiseAND(15)
-    rate = F.try_element_at(F.array(*map(F.lit, RATES)), index + 1)
-    fits = (F.length(data) >= 2) & (kind == 2) & rate.isNotNull() & channels.isin(1, 2)
+    bits = lambda size, shift, mask: F.shiftright(F.conv(F.hex(F.substring(data, 1, size)), 16, 10).cast("long"), shift).bitwiseAND(mask).cast("int")
+    kind, index = bits(2, 11, 31), bits(2, 7, 15)
+    own = (index == 15) & (F.length(data) >= 5)
+    rate = F.when(own, bits(5, 7, 0xFFFFFF)).otherwise(F.try_element_at(F.array(*map(F.lit, RATES)), index + 1))
+    channels = F.when(own, bits(5, 3, 15)).otherwise(bits(2, 3, 15))
+    fits = (F.length(data) >= 2) & (kind == 2) & (rate > 0) & channels.isin(1, 2)
     return F.when(fits, F.struct(kind.alias("object_type"), rate.alias("rate"), channels.alias("channels")))
 
 

@@ -34,6 +34,11 @@ def nal_header(first_byte: Column) -> Column:
     return F.when((first_byte >= 0) & (first_byte < 128), F.struct(ref_idc.alias("ref_idc"), first_byte.bitwiseAND(31).alias("type")))
 
 
+def unit_length_size(record: Column) -> Column:
+    """Bytes of the length before each unit, from a decoder configuration; null where it is too short."""
+    return F.when(F.length(record) >= 7, big_endian(record, 4, 1).bitwiseAND(3) + 1).cast("int")
+
+
 def nal_kind(unit_type: Column) -> Column:
     """What a decoder does with a unit of this type."""
     return (

@@ -388,6 +388,20 @@ def byte_stream_units(spark, sf_dir):
     return bitstreams.split_packets(spark.createDataFrame(packets, "id long, data binary"), bitstreams.start_code_units).selectExpr("id", "unit", "stream_offset", "hex(data) as data", "error")
 
 
+@query("a9_configuration_sets", "SELECT * FROM (VALUES (1, 4, 0, 8, '6742', NULL), (1, 4, 1, 13, '68', NULL), (2, 1, 0, 6, '', 'invalid: bad parameter set'), (3, NULL, 0, 0, '', 'invalid: bad configuration header')) t(id, length_size, unit, stream_offset, data, error)")
+def configuration_sets(spark, sf_dir):
+    records = [(1, bytes.fromhex("01640028ffe1000267420100016800")), (2, bytes.fromhex("01640028fce100026742")[:6] + bytes.fromhex("00026842")), (3, b"\1\2")]
+    rows = spark.createDataFrame(records, "id long, data binary")
+    sets = bitstreams.split_packets(rows, bitstreams.configuration_sets).selectExpr("id", "unit", "stream_offset", "hex(data) as data", "error")
+    return sets.join(rows.select("id", scalars.unit_length_size(F.col("data")).alias("length_size")), "id")
+
+
+@query("b20_audio_configurations", "SELECT * FROM (VALUES ('1210', 44100, 2), ('1188', 48000, 1), ('1780562210', 44100, 2), ('0A10', NULL, NULL), ('1220', NULL, NULL), ('12', NULL, NULL), ('1690', NULL, NULL)) t(config, rate, channels)")
+def audio_configurations(spark, sf_dir):
+    rows = spark.createDataFrame([(x,) for x in ("1210", "1188", "1780562210", "0A10", "1220", "12", "1690")], "config string")
+    return rows.select("config", audio.audio_config(F.unhex("config")).alias("c")).select("config", "c.rate", "c.channels")
+
+
 @query("a5_boxes")
 def boxes(spark, sf_dir):
     box = lambda kind, body: (8 + len(body)).to_bytes(4, "big") + kind + body

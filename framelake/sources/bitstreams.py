@@ -65,6 +65,36 @@ def superframe(data: bytes) -> Iterator[tuple[int, bytes, str | None]]:
         at += size
 
 
+#: Types of sequence and picture parameter sets, with the bits that hold how many follow.
+PARAMETER_SETS = ((7, 0x1F), (8, 0xFF))
+
+
+def configuration_sets(record: bytes) -> Iterator[tuple[int, bytes, str | None]]:
+    """Parameter sets of a decoder configuration: those of sequences, then of pictures; a faulty record gives its error alone, at the start of the list that holds it."""
+    if len(record) < 7 or record[0] != 1 or record[4] < 0xFC or record[5] < 0xE0:
+        yield 0, b"", "invalid: bad configuration header"
+        return
+    found, at = [], 5
+    for kind, mask in PARAMETER_SETS:
+        left = record[at] & mask if at < len(record) else 0
+        at += 1
+        if not left:
+            yield at - 1, b"", "invalid: no parameter sets"
+            return
+        for start, unit, error in prefixed_units(record[at:], 2):
+            if error or unit[0] & 0x9F != kind:
+                break
+            found.append((at + start, unit, None))
+            left -= 1
+            if not left:
+                at += start + len(unit)
+                break
+        if left:
+            yield at, b"", "invalid: bad parameter set"
+            return
+    yield from found
+
+
 def unescaped(data: bytes) -> bytes | None:
     """Payload without its emulation prevention bytes; null where a forbidden sequence stands."""
     out, zeros, at = bytearray(), 0, 0

@@ -113,7 +113,7 @@ def test_parsers_give_rows_for_any_bytes(spark):
     good = box(b"ftyp", b"isom") + box(b"moov", box(b"trak", box(b"mdia", b"")))
     for data in [*(good[:k] for k in range(len(good))), *(good[:k] + bytes([good[k] ^ x]) + good[k + 1 :] for k in range(len(good)) for x in (1, 0x80, 0xFF))]:
         list(mp4.box_rows(data))
-        for split in (bitstreams.superframe, bitstreams.start_code_units, lambda d: bitstreams.prefixed_units(d, 4)):
+        for split in (bitstreams.superframe, bitstreams.start_code_units, bitstreams.configuration_sets, lambda d: bitstreams.prefixed_units(d, 4)):
             list(split(data))
     files = table(spark, [("a", bytearray(good)), ("b", bytearray(good[:-3])), ("c", None)], "path string, content binary")
     got = mp4.boxes(files).orderBy("path", "offset").collect()
@@ -187,6 +187,13 @@ def test_reference_lists_equal_plain_python(spark):
         assert (got[k].p, got[k].b.list0, got[k].b.list1, got[k].active) == (want, one, two, active)
 
 
+def test_configuration_sets_are_whole_or_an_error():
+    good = bytes.fromhex("01640028ffe1000267420100016800")
+    assert list(bitstreams.configuration_sets(good)) == [(8, b"\x67\x42", None), (13, b"\x68", None)]
+    for data in (b"", good[:12], good[:6], good[:5] + b"\xe0" + good[6:], good[:8] + b"\x68" + good[9:], good[:10] + b"\0", b"\2" + good[1:]):
+        assert [error is not None for _, _, error in bitstreams.configuration_sets(data)] == [True]
+
+
 def test_companded_samples_are_those_of_the_standard(spark):
     codes = {0x00: -32124, 0x80: 32124, 0xFF: 0, 0x7F: 0}
     rows = table(spark, [(c,) for c in codes], "c int").select("c", audio.mu_law(F.col("c")).alias("x")).collect()
