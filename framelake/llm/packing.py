@@ -55,8 +55,8 @@ def piece_bounds(tokens: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, min(first, tokens)), *((start, capacity) for start in range(first, tokens, capacity))]
 
 
-def tokenize(docs: DataFrame, vocabulary: Vocabulary, capacity: int = 1024, end_id: int = 2, keep_ids: bool = False) -> DataFrame:
-    """Per piece of a document: doc_id, piece, start, length, ids_crc32 and, if asked for, ids array<int>.
+def tokenize(docs: DataFrame, vocabulary: Vocabulary, capacity: int = 1024, end_id: int = 2, keep_ids: bool = False, along: tuple[str, ...] = ()) -> DataFrame:
+    """Per piece of a document: doc_id, piece, start, length, ids_crc32, if asked for ids array<int>, and the document's columns ``along``.
 
     A document is the ids of its text, special strings taken as ordinary text,
     and ``end_id``; a null text is empty. Only documents of over ``capacity``
@@ -69,7 +69,8 @@ def tokenize(docs: DataFrame, vocabulary: Vocabulary, capacity: int = 1024, end_
         for batch in row_chunks(batches):
             out: list[tuple] = []
             kept: list[np.ndarray] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows: list[int] = []
+            for row, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 ids = encode(text or "")
                 ids.append(end_id)
                 data = np.array(ids, "<u4")
@@ -77,14 +78,20 @@ def tokenize(docs: DataFrame, vocabulary: Vocabulary, capacity: int = 1024, end_
                     part = data[start : start + length]
                     out.append((doc_id, k, start, length, zlib.crc32(part)))
                     kept.append(part)
+                    rows.append(row)
             columns = [pa.array(values, kind) for values, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             if keep_ids:
                 columns.append(pa.array([x.astype(np.int32) for x in kept], pa.list_(pa.int32())))
                 names.append("ids")
+            for name in along:
+                columns.append(batch.column(name).take(pa.array(rows, pa.int64())))
+                names.append(name)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pieces, PIECE_SCHEMA + ", ids array<int>" * keep_ids)
+    read = docs.select(F.col("doc_id").cast("long"), "text", *along)
+    more = "".join(f", `{name}` {read.schema[name].dataType.simpleString()}" for name in along)
+    return read.mapInArrow(pieces, PIECE_SCHEMA + ", ids array<int>" * keep_ids + more)
 
 
 @dataclass
@@ -210,3 +217,49 @@ def pack_documents(docs: DataFrame, vocabulary: Vocabulary, capacity: int = 1024
     pieces; an empty table gives no rows; other columns are ignored.
     """
     return pack_pieces(stored(tokenize(docs, vocabulary, capacity, end_id), "pieces"), capacity)
+
+
+#: Windows are numbered in runs of so many, so that no task sums over all of them.
+WINDOW_RUN = 1_000
+
+
+def pack_in_order(pieces: DataFrame, window: str, within: list[str], capacity: int = 1024) -> DataFrame:
+    """``pieces`` with sequence_id and offset, packed best-two-fit within each value of ``window``, a long from 0 on.
+
+    sequence_id rises with the window; in a window the sequences go by the
+    first of their pieces in the order of ``within``, longs. A task holds the
+    pieces of one window at a time.
+    """
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    order = [*within, "doc_id", "piece", "ids_crc32"]
+
+    def pack(group: pa.Table) -> pa.Table:
+        group = group.sort_by([(name, "ascending") for name in order])
+        lengths = group.column("length").to_numpy()
+        waiting: dict[int, list[int]] = {}
+        for row, length in enumerate(lengths.tolist()):
+            waiting.setdefault(length, []).append(row)
+        taken = dict.fromkeys(waiting, 0)
+        sequences = []
+        for b in pack_histogram({length: len(rows) for length, rows in waiting.items()}, capacity):
+            for _ in range(b.repeats):
+                rows, at = [], 0
+                for length in b.lengths:
+                    rows.append((waiting[length][taken[length]], at))
+                    taken[length] += 1
+                    at += length
+                sequences.append((min(rows)[0], rows))
+        local, offset = np.empty((2, len(lengths)), np.int64)
+        for k, (_, rows) in enumerate(sorted(sequences)):
+            for row, at in rows:
+                local[row], offset[row] = k, at
+        return pa.table([*(group.column(name) for name in columns), group.column(window), pa.array(local), pa.array(offset)], names=[*columns, "_window", "_local", "offset"])
+
+    packed = stored(pieces.select(*columns, window, *within).groupBy(window).applyInArrow(pack, PIECE_SCHEMA + ", _window long, _local long, offset long"), "packed")
+    run = F.expr(f"_window div {WINDOW_RUN}")
+    counts = packed.groupBy("_window").agg((F.max("_local") + 1).alias("_n")).withColumn("_run", run)
+    inside = Window.partitionBy("_run").orderBy("_window").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = counts.groupBy("_run").agg(F.sum("_n").alias("_n")).select("_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    bases = counts.withColumn("_base", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(runs, "_run").select("_window", (F.col("_base") + F.col("_first")).alias("_base"))
+    return packed.join(bases, "_window").select(*columns, (F.col("_base") + F.col("_local")).alias("sequence_id"), "offset")

@@ -227,5 +227,32 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in packed.collect()} == ids(docs)
 
 
+def test_sequences_follow_the_mix(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text").cache()
+    weights = pfair_mix.source_weights(docs, queries.MIX_ALPHA)
+    placed = pfair_mix.mix_sources(docs, weights).drop("text").collect()
+    slot = {r.doc_id: r.mix_slot for r in placed}
+    rows = corpus_pipeline.pack(spark, docs, sf).collect()
+    in_order = [slot[r.doc_id] for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset))]
+    assert in_order == sorted(in_order) and {r.doc_id for r in rows} == set(slot)
+    assert {r.sequence_id for r in rows} == set(range(1 + max(r.sequence_id for r in rows)))
+    by_sequence: dict[int, list] = {}
+    for r in rows:
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sum(n for _, n in x) <= 1024 and all(a + n == b for (a, n), (b, _) in zip(sorted(x), sorted(x)[1:], strict=False)) for x in by_sequence.values())
+    # The blocks of each source in any first stretch are within one of its weight, until a source is spent.
+    period = max(pfair_mix.PERIOD, 2 * len(weights))
+    shares = pfair_mix.whole_shares(weights, period)
+    source_of = {r.mix_slot: r.source or "" for r in placed}
+    last: dict[str, int] = {}
+    for r in placed:
+        last[r.source or ""] = max(last.get(r.source or "", 0), r.mix_slot)
+    assert len(set(in_order)) > 10
+    for end in sorted(x for x in set(in_order) if x <= min(last.values())):
+        for s, share in shares.items():
+            assert abs(sum(source_of[x] == s for x in set(in_order) if x <= end) - Fraction(share * (end + 1), period)) < 1
+
+
 def test_pipeline_runs_whole(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
