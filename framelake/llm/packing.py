@@ -14,7 +14,7 @@ import base64
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,21 +32,25 @@ RANK_GROUPS = 64
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """A byte-level BPE as ranks with its splitting pattern; equal in ids to the JSON form of the same name."""
+    """A byte-level BPE as ranks with its splitting pattern; equal in ids to the JSON form of the same name.
+
+    ``special`` are strings with ids of their own; a string that isn't there is ordinary text.
+    """
 
     ranks: bytes
     pattern: str
+    special: tuple[tuple[str, int], ...] = ()
 
     @staticmethod
-    def read(path: str, pattern: str) -> Vocabulary:
+    def read(path: str, pattern: str, special: tuple[tuple[str, int], ...] = ()) -> Vocabulary:
         with open(path, "rb") as file:
-            return Vocabulary(file.read(), pattern)
+            return Vocabulary(file.read(), pattern, special)
 
 
 @lru_cache(maxsize=2)
 def _encoding(vocabulary: Vocabulary) -> tiktoken.Encoding:
     ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, vocabulary.ranks.splitlines())}
-    return tiktoken.Encoding("framelake", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("framelake", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens=dict(vocabulary.special))
 
 
 def piece_bounds(tokens: int, capacity: int) -> list[tuple[int, int]]:
@@ -58,14 +62,15 @@ def piece_bounds(tokens: int, capacity: int) -> list[tuple[int, int]]:
 def tokenize(docs: DataFrame, vocabulary: Vocabulary, capacity: int = 1024, end_id: int = 2, keep_ids: bool = False, along: tuple[str, ...] = ()) -> DataFrame:
     """Per piece of a document: doc_id, piece, start, length, ids_crc32, if asked for ids array<int>, and the document's columns ``along``.
 
-    A document is the ids of its text, special strings taken as ordinary text,
-    and ``end_id``; a null text is empty. Only documents of over ``capacity``
+    A document is the ids of its text, with the special strings of the
+    vocabulary as their ids, and ``end_id``; a null text is empty. Only documents of over ``capacity``
     ids are cut. Other columns are ignored.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(shipped.value).encode_ordinary
+        encoding = _encoding(shipped.value)
+        encode = partial(encoding.encode, allowed_special="all") if shipped.value.special else encoding.encode_ordinary
         for batch in row_chunks(batches):
             out: list[tuple] = []
             kept: list[np.ndarray] = []

@@ -51,12 +51,22 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 BYTE_BPE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Fixed value: the added tokens of byte_bpe_50k.json.
+BYTE_BPE_SPECIAL = (("<|endoftext|>", 50256),)
+
+
 def packing_vocabulary() -> packing.Vocabulary:
+    """Without added tokens: their strings are ordinary text."""
     return packing.Vocabulary.read(_tokenizer_file("byte_bpe_50k.tiktoken"), BYTE_BPE_PATTERN)
 
 
+def document_vocabulary() -> packing.Vocabulary:
+    """With the added tokens, so that ids are those of byte_bpe_50k.json under its default settings."""
+    return packing.Vocabulary.read(_tokenizer_file("byte_bpe_50k.tiktoken"), BYTE_BPE_PATTERN, BYTE_BPE_SPECIAL)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_documents(spark, sf_dir), packing_vocabulary())
+    return packing.pack_documents(_documents(spark, sf_dir), document_vocabulary())
 
 
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

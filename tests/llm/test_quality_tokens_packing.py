@@ -159,5 +159,20 @@ def test_tokenize_keeps_ids(spark):
     assert all(zlib.crc32(np.array(r.ids, "<u4")) == r.ids_crc32 and len(r.ids) == r.length for r in rows) and len(rows[-1].ids) == 8
 
 
+def test_ids_equal_the_default_tokenizer(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries._tokenizer_file("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, end * 3, f"  {end}  \n x", f"don't{end}'s 12{end}3", "<|endoftext|", "<|endoftext |>", f"Ü\U0001f600{end}\U0001f600", "\t\n  ", f"x{end}\n\n{end} \u3000y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: list(r.ids) for r in packing.tokenize(docs, queries.document_vocabulary(), keep_ids=True).collect()}
+    assert found == {k: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for k, t in enumerate(texts)}
+    assert found[0] == [64, 220, 50256, 275, 2]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    crc = {r.doc_id: r.ids_crc32 for r in queries.op5_packing(spark, str(tmp_path)).collect()}
+    assert crc == {k: zlib.crc32(np.array(ids, "<u4")) for k, ids in found.items()}
+
+
 def test_vocabulary_stays_outside():
     assert os.path.exists(queries._tokenizer_file("byte_bpe_50k.json"))
