@@ -17,11 +17,15 @@ from pyspark.sql import functions as F
 #: Rounds of the Feistel network.
 ROUNDS = 8
 
+#: What may stand before a digit of a phone number: a parenthesis or one sign behind the country code,
+#: the end of the parenthesis, or one sign before a group of two digits or more that doesn't begin a date.
+PHONE_GAP = r"(?:(?<=\+\d{1,3})[ .-]?(?:\((?=\d{1,4}\)))?|(?<=\(\d{1,4})\)[ .-]?|[ .-](?=\d\d)(?!\d{4}-\d\d-\d\d(?!\d)|\d\d[./]\d\d[./]\d{4}(?!\d))|)"
+
 #: What each kind looks like. The first kind that fits at a place counts.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "secret": r"(?<=(?i:token|secret|password|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"'])[0-9A-Za-z_-]{16,512}(?=[\"'])",
-    "phone": r"(?<![\p{L}\p{N}])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?!\d)",
+    "secret": r"(?<=(?i:token|secret|password|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"'])[0-9A-Za-z_-]{16,}+(?=[\"'])",
+    "phone": rf"(?<![\p{{L}}\p{{N}}])\+(?:\d(?:{PHONE_GAP}\d){{6,14}}|\d{{1,3}}[ .-]?(?:\(\d{{2,4}}\)|\d{{2,4}})(?:[ .-]?\d{{2,4}}){{2,3}})(?!\d)",
     "ip": r"(?<![\p{L}\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)",
     "ssn": r"(?<![\p{L}\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "date": r"(?<![\p{L}\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d/-])",
@@ -29,12 +33,15 @@ PATTERNS = {
 }
 ANY = "|".join(PATTERNS.values())
 
-#: A text without any of these holds nothing to look for.
-HINT = r"[0-9@]"
+#: A text without any of these holds nothing to look for; of all kinds only a secret can be without the first two.
+HINT = r"[0-9@]|(?i:token|secret|password|api_key|apikey)\s{0,2}[=:]"
 
-#: Days from FIRST_DAY on, as DATE_LEFT * DATE_RIGHT.
+#: Days from FIRST_DAY on, as DATE_LEFT * DATE_RIGHT; they stay among themselves.
 FIRST_DAY, DATE_LEFT, DATE_RIGHT = "1900-01-01", 270, 271
 
+#: All other days of years of four digits, as FAR_LEFT * FAR_RIGHT.
+FAR_DAY, DAYS_BEFORE, FAR_LEFT, FAR_RIGHT = "0000-01-01", 693_961, 135, 26_513
+
 #: Valid areas (001-899 without 666), groups and serial numbers.
 SSN_AREAS, SSN_GROUPS, SSN_SERIALS = 898, 99, 9999
 
@@ -135,7 +142,13 @@ class Pseudonyms:
         day = f"datediff(cast(try_to_timestamp({m}, f) as date), date'{FIRST_DAY}')"
         moved = self.numbers("date", f"n div {DATE_RIGHT}", f"n % {DATE_RIGHT}", str(DATE_LEFT), str(DATE_RIGHT))
         new = _let(moved, "p", f"date_format(date_add(date'{FIRST_DAY}', cast(p.l * {DATE_RIGHT} + p.r as int)), f)")
-        inside = _let(day, "n", f"if(n between 0 and {DATE_LEFT * DATE_RIGHT - 1}, {new}, {m})")
+        days = DATE_LEFT * DATE_RIGHT
+        # Other days are counted without those of the range, and the range is put back.
+        index = f"(n + {DAYS_BEFORE} - if(n < 0, 0, {days}))"
+        far = self.numbers("far date", f"{index} div {FAR_RIGHT}", f"{index} % {FAR_RIGHT}", str(FAR_LEFT), str(FAR_RIGHT))
+        place = f"(p.l * {FAR_RIGHT} + p.r)"
+        other = _let(far, "p", f"date_format(date_add(date'{FAR_DAY}', cast({place} + if({place} < {DAYS_BEFORE}, 0, {days}) as int)), f)")
+        inside = _let(day, "n", f"if(n between 0 and {days - 1}, {new}, {other})")
         return _let(f"try_element_at({order}, 1)", "f", f"if(f is null, {m}, {inside})")
 
     def email(self, m: str) -> str:

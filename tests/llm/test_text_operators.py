@@ -90,6 +90,40 @@ def test_permutations_are_one_to_one(spark):
     assert pii.pseudonymize(areas, "k").select("text").distinct().count() == 700
 
 
+def test_secrets_of_letters_and_of_any_length(spark):
+    word, long = "abcdefghijklmnopqrst", "Ab0_" * 400
+    texts = [f'password = "{word}"', f'password = "{word}" 1', f'API_KEY: "{word}"', f"secret='{long}'", f"token = '{'x' * 513}'"]
+    out, counts = swap(spark, texts)
+    assert counts == [1] * len(texts) and all(word not in t for t in out) and out[0][:32] == out[1][:32]
+    assert re.fullmatch(r"secret='([A-Z][a-z]\d_){400}'", out[3]) and out[3] != texts[3] and out[4] != texts[4]
+
+
+def test_phones_of_several_countries(spark):
+    phones = ["+33 1 23 45 67 89", "+33 6 12 34 56 78", "+33 (0)1 23 45 67 89", "+49 (0)30 123456", "+49 (0) 30 1234567", "+49 176 12345678", "+44 20 7946 0958", "+32 2 123 45 67", "+14155552671", "+1 (415) 555-2671", "+45 12 34 56 78", "+91 98765 43210", "+353-1-234-5678", "+33123456789", "+290 2345", "+1234567890123456"]
+    out, counts = swap(spark, [f"a {p}, b" for p in phones])
+    for phone, text, n in zip(phones, out, counts, strict=True):
+        new = text[2:-3]
+        assert n == 1 and new != phone and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", phone), (phone, text)
+        # All of the number is taken, so its last group moves with the rest.
+        assert pii.pseudonymize(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first().pii_count == 1
+    assert out[0][5:-3].replace(" ", "") == out[13][5:-3]
+    (dated,), _ = swap(spark, ["+33 1 23 45 67 89 2020-02-29"])
+    assert dated[:17] == out[0][2:-3] and re.fullmatch(r"(19|20)\d\d-\d\d-\d\d", dated[18:])
+    clean = ["+1.5 2.5 3.5 4.5", "+1 2 3 4 5 6 7 8", "+123456", "+1 + 22 + 333 + 4444"]
+    assert swap(spark, clean) == (clean, [0] * len(clean))
+
+
+def test_days_of_all_years_move(spark):
+    days = spark.range(0, 3_652_425, 101).select(F.expr("date_format(date_add(date'0000-01-01', cast(id as int)), 'yyyy-MM-dd')").alias("text"), F.col("id").alias("doc_id"))
+    out = pii.pseudonymize(days, "k").cache()
+    assert out.select("text").distinct().count() == days.count() and out.where("pii_count = 0").count() <= 5
+    assert out.where("date_format(try_to_timestamp(text, 'yyyy-MM-dd'), 'yyyy-MM-dd') = text").count() == days.count()
+    near = lambda c: F.col(c).between("1900-01-01", "2100-05-01")
+    both = out.join(days.withColumnRenamed("text", "old"), "doc_id")
+    assert both.where(near("text") != near("old")).count() == 0
+    assert swap(spark, ["1899-12-31", "31.12.2345", "12/13/1850"])[1] == [1, 1, 1]
+
+
 def test_clean_and_odd_texts_stay(spark, odd):
     clean = ["version 2.0.1 of 2024", "300.1.1.1", "666-12-1234", "2020-02-30", "1234567", "a@b", "x 12-34 (5)"]
     assert swap(spark, clean) == (clean, [0] * len(clean))
