@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.functions import audio, scalars
@@ -454,10 +454,12 @@ def reorder_depth(spark, sf_dir):
 
 @query("g5_reference_lists")
 def reference_lists(spark, sf_dir):
-    """Lists of every user's last events as a reference buffer; held against plain Python in the tests."""
-    buffers = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.col("event_id").alias("id"), (F.col("event_id") % 16).alias("frame_num"), (F.col("event_id") * 7 % 64).alias("poc"), F.when(F.col("event_id") % 5 == 0, F.col("event_id") % 3).cast("int").alias("long_index")))), 1, 6).alias("held"))
-    both = buffers.select("user_id", pictures.p_list(F.col("held"), F.lit(8), 16).alias("p"), pictures.b_lists(F.col("held"), F.lit(30)).alias("b"))
-    return both.select("user_id", "p", "b.list0", "b.list1", pictures.active_list(F.col("p"), F.lit(4), F.slice("p", 3, 2)).alias("active"))
+    """Lists of each event with the up to six events of its user before it as a reference buffer; held against plain Python in the tests."""
+    entry = F.struct(F.col("event_id").alias("id"), (F.col("event_id") % 16).alias("frame_num"), (F.col("event_id") * 7 % 64).alias("poc"), F.when(F.col("event_id") % 5 == 0, F.col("event_id") % 3).cast("int").alias("long_index"))
+    before = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-6, -1)
+    buffers = _table(spark, sf_dir, "events").select("user_id", "event_id", F.collect_list(entry).over(before).alias("held"))
+    both = buffers.select("user_id", "event_id", pictures.p_list(F.col("held"), F.lit(8), 16).alias("p"), pictures.b_lists(F.col("held"), F.lit(30)).alias("b"))
+    return both.select("user_id", "event_id", "p", "b.list0", "b.list1", pictures.active_list(F.col("p"), F.lit(4), F.slice("p", 3, 2)).alias("active"))
 
 
 @query("i5_audio_frames", "SELECT o_orderkey AS i, CASE WHEN o_orderkey % 50 - 5 >= 0 THEN CAST((o_orderkey % 50 - 5) * 44100 // (1 + o_custkey % 1000) AS BIGINT) END AS frames FROM orders")

@@ -187,6 +187,26 @@ def test_reference_lists_equal_plain_python(spark):
         assert (got[k].p, got[k].b.list0, got[k].b.list1, got[k].active) == (want, one, two, active)
 
 
+def test_reference_lists_hold_the_events_before_each(spark):
+    from framelake.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    events = sorted((r.user_id, r.event_id) for r in spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_id").collect())
+    streams_of: dict[int, list[int]] = {}
+    want = {}
+    for user, event in events:
+        earlier = streams_of.setdefault(user, [])
+        want[user, event] = sorted(earlier[-6:])
+        earlier.append(event)
+    rows = queries.QUERIES["g5_reference_lists"](spark, sf).collect()
+    assert len(rows) == len(events) and max(map(len, want.values())) == 6
+    for r in rows:
+        held = want[r.user_id, r.event_id]
+        assert sorted(r.p) == sorted(r.list0) == sorted(r.list1) == held
+        short = sorted((x for x in held if x % 5), key=lambda x: (-(x % 16 - 16 if x % 16 > 8 else x % 16), x))
+        assert r.p == short + sorted((x for x in held if not x % 5), key=lambda x: (x % 3, x))
+
+
 def test_configuration_sets_are_whole_or_an_error():
     good = bytes.fromhex("01640028ffe1000267420100016800")
     assert list(bitstreams.configuration_sets(good)) == [(8, b"\x67\x42", None), (13, b"\x68", None)]
