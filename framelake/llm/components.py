@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.shared import stored
+from framelake.llm.shared import discard, stored
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -17,15 +17,17 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     both = links.select("a", "b").where("a <> b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct()
     edges = stored(both, "edges")
-    labels = stored(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
     while True:
         heard = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("label").alias("heard"))
         spread = labels.join(heard, labels.node == heard.a).select("node", F.least("label", "heard").alias("near"), F.col("label").alias("was"))
         of_label = labels.select(F.col("node").alias("_label"), F.col("label").alias("far"))
         # A label is a node, and every node has a row: the least node of a component points to itself.
         jumped = spread.join(of_label, spread.near == of_label._label).select("node", F.least("near", "far").alias("label"), "was")
-        after = stored(jumped, "labels")
-        changed = not after.where("label <> was").limit(1).isEmpty()
-        labels = after.select("node", "label")
-        if not changed:
-            return labels.withColumnRenamed("label", "component")
+        before, labels = labels, stored(jumped, "labels")
+        discard(before)
+        if labels.where("label <> was").limit(1).isEmpty():
+            break
+    components = stored(labels.select("node", F.col("label").alias("component")), "components")
+    discard(edges, labels)
+    return components

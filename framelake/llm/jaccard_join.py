@@ -13,24 +13,25 @@ nothing of the first.
 3. What that links forms clusters. Pairs that share a prefix token but lie in
    different clusters are then all tested, so no link between clusters is lost:
    as rows where few classes share the token, block against block inside tasks
-   where many do.
+   where many do. Tokens that the same classes share are one group.
 
-Before a pair's sets are fetched it must share a prefix token under every other
-order too.
+Before two sets are fetched or compared they must share a prefix token under
+every other order too; maps of bits then tell most pairs that still differ in
+too many tokens. Neither filter loses a link.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.llm.components import connected_components
-from framelake.llm.shared import row_chunks, stored
+from framelake.llm.shared import discard, row_chunks, stored
 from framelake.llm.wordhash import mix, sequence_hashes, text_bytes, word_hashes
 
 #: Counters of the sketch of word frequencies; its size does not depend on the data.
@@ -42,8 +43,8 @@ LEVEL_BITS = 6
 #: The level of a word whose counter is at the mean; two levels double it.
 MEAN_LEVEL = 24
 
-#: Seeds of the token orders; the first makes candidates, the others filter them.
-ORDERS = (0, 0x51ED270B, 0x2545F491)
+#: Seeds of the hash orders that filter the candidates of the first order.
+ORDERS = (0x51ED270B, 0x2545F491)
 
 #: From this level on, a token's texts are dealt over 2, 4, 8 tasks and so on, two levels each.
 HOT_LEVEL = 32
@@ -51,6 +52,9 @@ HOT_LEVEL = 32
 #: Tokens are compared by so many low bytes.
 TOKEN_BYTES = 6
 
+#: Least bits for each token in the maps that tell apart what shares its prefixes and is not alike.
+BITS = 4
+
 #: Classes that share a token are paired one by one up to this many, block by block beyond.
 PAIRED_CLASSES = 32
 
@@ -123,9 +127,9 @@ def tokens_of(hashes: np.ndarray, level: np.ndarray, k: int) -> np.ndarray:
 
 
 def first_in_order(tokens: np.ndarray, seed: int, first: int) -> np.ndarray:
-    """The first so many of sorted tokens: as they are, or in the order of a hash with the seed."""
-    if not seed or first >= len(tokens):
-        return tokens[:first]
+    """The first so many tokens in the order of a hash with the seed."""
+    if first >= len(tokens):
+        return tokens
     return tokens[np.argpartition(mix(tokens ^ np.uint64(seed)), first - 1)[:first]]
 
 
@@ -154,7 +158,7 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 
 def _classes(docs: DataFrame, shingles: Shingles, levels) -> DataFrame:
-    """doc_id, text_hash, n_shingles, class, prefix array<long> and spread array<tinyint> of every document.
+    """doc_id, text_hash, n_shingles, class and the first order's prefix array<long> of every document.
 
     A class that a task has met before has an empty prefix.
     """
@@ -163,33 +167,32 @@ def _classes(docs: DataFrame, shingles: Shingles, levels) -> DataFrame:
         seen: set[int] = set()
         for batch in row_chunks(batches):
             sets = shingles.sets(batch.column(2), levels.value)
-            classes, prefixes, spreads = [class_of(s) for s in sets], [], []
+            classes, prefixes = [class_of(s) for s in sets], []
             for tokens, own in zip(sets, classes, strict=True):
                 if own in seen or not len(tokens):
                     prefixes.append(np.zeros(0, np.int64))
-                    spreads.append(np.zeros(0, np.int8))
                     continue
                 if len(seen) >= SEEN_CLASSES:
                     seen.clear()
                 seen.add(own)
-                first = first_in_order(tokens, ORDERS[0], shingles.prefix_length(len(tokens)))
-                prefixes.append(first.astype(np.int64))
-                level = (first >> np.uint64(64 - LEVEL_BITS)).astype(np.int8)
-                spreads.append(np.maximum((level - HOT_LEVEL) // 2 + 1, 0).astype(np.int8))
-            columns = [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), _lists(prefixes, pa.int64()), _lists(spreads, pa.int8())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_shingles", "class", "prefix", "spread"])
+                prefixes.append(tokens[: shingles.prefix_length(len(tokens))].astype(np.int64))
+            columns = [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), _lists(prefixes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_shingles", "class", "prefix"])
 
     source = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    return stored(source.mapInArrow(read, "doc_id long, text_hash long, n_shingles long, class long, prefix array<long>, spread array<tinyint>"), "classes")
+    return stored(source.mapInArrow(read, "doc_id long, text_hash long, n_shingles long, class long, prefix array<long>"), "classes")
+
 
+def _described(docs: DataFrame, shingles: Shingles, levels, wanted: DataFrame, columns: dict[str, tuple[str, Callable]], name: str) -> DataFrame:
+    """class and, by name, what each of ``columns`` (type, function of cut and sorted sets) makes of its set.
 
-def _sets_of(docs: DataFrame, shingles: Shingles, levels, wanted: DataFrame) -> DataFrame:
-    """class, n, tokens binary and the prefixes under the other orders, of the ``wanted`` (class, doc_id)."""
+    ``wanted`` holds the doc_id of one document for each class; a class may stand twice.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in row_chunks(batches):
-            out: dict[str, list] = {"class": [], "n": [], "tokens": [], "others": []}
+            classes, sets = [], []
             for tokens in shingles.sets(batch.column(0), levels.value):
                 own = class_of(tokens)
                 if own in seen:
@@ -197,22 +200,51 @@ def _sets_of(docs: DataFrame, shingles: Shingles, levels, wanted: DataFrame) ->
                 if len(seen) >= SEEN_CLASSES:
                     seen.clear()
                 seen.add(own)
-                first = shingles.prefix_length(len(tokens))
-                cut = np.sort(tokens & np.uint64((1 << 8 * TOKEN_BYTES) - 1))
-                out["class"].append(own)
-                out["n"].append(len(tokens))
-                out["tokens"].append(cut.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES].tobytes())
-                out["others"].append([first_in_order(tokens, seed, first).astype(np.int64) for seed in ORDERS[1:]])
-            columns = [pa.array(out["class"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["tokens"], pa.binary()), *(_lists([x[k] for x in out["others"]], pa.int64()) for k in range(len(ORDERS) - 1))]
-            yield pa.RecordBatch.from_arrays(columns, names=["class", "n", "tokens", *(f"order{k}" for k in range(1, len(ORDERS)))])
-
-    ids = wanted.select(F.col("doc_id").alias("_wanted")).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+                classes.append(own)
+                sets.append(np.sort(tokens & np.uint64((1 << 8 * TOKEN_BYTES) - 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), *(make(sets, shingles) for _, make in columns.values())], names=["class", *columns])
+
+    ids = stored(wanted.select(F.col("doc_id").alias("_wanted")).distinct(), "wanted")
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     source = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
-    texts = source.join(ids, source._id.eqNullSafe(ids._wanted), "left_semi").select("text")
-    orders = "".join(f", order{k} array<long>" for k in range(1, len(ORDERS)))
-    return stored(texts.mapInArrow(read, f"class long, n long, tokens binary{orders}"), "sets")
+    texts = source.join(few, source._id.eqNullSafe(few._wanted), "left_semi").select("text")
+    found = stored(texts.mapInArrow(read, "class long" + "".join(f", {c} {kind}" for c, (kind, _) in columns.items())), name)
+    discard(ids)
+    return found
+
+
+def _prefixes(seed: int) -> Callable:
+    """32 bits of each token of a prefix: enough to pass few pairs too many, and none too few."""
+    return lambda sets, shingles: _lists([first_in_order(cut, seed, shingles.prefix_length(len(cut))).astype(np.uint32).view(np.int32) for cut in sets], pa.int32())
+
+
+def bits_of(tokens: np.ndarray) -> bytes:
+    """A map with the bit of each token set; its size is a power of two of at least BITS bits a token."""
+    size = max(64, 1 << (BITS * len(tokens) - 1).bit_length()) if len(tokens) else 64
+    bits = np.zeros(size, bool)
+    bits[(tokens & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_be_alike(a: bytes, n: int, b: bytes, m: int, percent: int) -> bool:
+    """Whether sets of n and m tokens with these maps can be alike: a bit that only one has is a token that only one has."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    # The larger map is folded to the size of the smaller.
+    if len(x) > len(y):
+        x = np.bitwise_or.reduce(x.reshape(-1, len(y)))
+    elif len(y) > len(x):
+        y = np.bitwise_or.reduce(y.reshape(-1, len(x)))
+    lost_n, lost_m = int(np.bitwise_count(x & ~y).sum()), int(np.bitwise_count(y & ~x).sum())
+    shared = min(n - lost_n, m - lost_m)
+    return 100 * shared >= percent * (n + m - shared)
+
+
+#: What the filters compare, and what the verification does.
+FILTERS = {f"order{k}": ("array<int>", _prefixes(seed)) for k, seed in enumerate(ORDERS, 1)} | {
+    "size": ("long", lambda sets, _: pa.array([len(cut) for cut in sets], pa.int64())),
+    "bits": ("binary", lambda sets, _: pa.array([bits_of(cut) for cut in sets], pa.binary())),
+}
+TOKENS = {"tokens": ("binary", lambda sets, _: pa.array([cut.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES].tobytes() for cut in sets], pa.binary()))}
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -222,24 +254,31 @@ def unpacked(data: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, shingles: Shingles) -> DataFrame:
-    """The pairs (a, b) of classes that are alike, with their sets read from ``sets``."""
-    others = [f"order{k}" for k in range(1, len(ORDERS))]
-    prefixes = sets.select("class", *others)
+def _filtered(pairs: DataFrame, filters: DataFrame, shingles: Shingles) -> DataFrame:
+    """The pairs (a, b) of classes that share a prefix token under every hash order, and whose maps of bits allow it."""
     for side in ("a", "b"):
-        named = prefixes.select(F.col("class").alias(side), *(F.col(o).alias(f"{side}_{o}") for o in others))
-        pairs = pairs.join(named, side)
-    for o in others:
-        pairs = pairs.where(F.arrays_overlap(f"a_{o}", f"b_{o}"))
-    filtered = stored(pairs.select("a", "b").distinct(), "filtered")
+        pairs = pairs.join(filters.select(F.col("class").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in FILTERS)), side)
+    for k in range(1, len(ORDERS) + 1):
+        pairs = pairs.where(F.arrays_overlap(f"a_order{k}", f"b_order{k}"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_chunks(batches):
+            maybe = [may_be_alike(*row, shingles.percent) for row in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(maybe, pa.bool_()))
+
+    kept = pairs.select("a", "b", "a_bits", "a_size", "b_bits", "b_size").mapInArrow(compare, "a long, b long")
+    return stored(kept.distinct(), "filtered")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, shingles: Shingles) -> DataFrame:
+    """The pairs (a, b) of classes that are alike."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_chunks(batches):
             alike = [shingles.alike(unpacked(x), unpacked(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    tokens = sets.select("class", "tokens")
-    both = filtered.join(tokens.withColumnsRenamed({"class": "a", "tokens": "a_tokens"}), "a").join(tokens.withColumnsRenamed({"class": "b", "tokens": "b_tokens"}), "b")
+    both = pairs.join(sets.withColumnsRenamed({"class": "a", "tokens": "a_tokens"}), "a").join(sets.withColumnsRenamed({"class": "b", "tokens": "b_tokens"}), "b")
     return stored(both.select("a", "b", "a_tokens", "b_tokens").mapInArrow(compare, "a long, b long"), "links")
 
 
@@ -247,35 +286,58 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _dealt(token: str, own: str) -> Column:
+    """The token, with the part that a frequent one's class falls in set in its bits; applied again it takes it out."""
+    level = F.shiftrightunsigned(token, 64 - LEVEL_BITS)
+    parts = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({token}, {64 - LEVEL_BITS}) - {HOT_LEVEL} as int) div 2 + 1)")
+    return F.col(token).bitwiseXOR(F.when(level >= HOT_LEVEL, F.shiftleft(F.pmod(F.xxhash64(own), parts), 20)).otherwise(F.lit(0)))
+
+
 def _postings(classes: DataFrame) -> DataFrame:
-    """(token, class, n, pivot, pivot_n) of the prefix tokens that more than one class may hold.
+    """(token, shared_by, class, n, pivot, pivot_n) of the prefix tokens that more than one class may hold.
 
     The pivot of a token is its class of the least hash with that token; a
     frequent token has one for each of the tasks that it is dealt over.
+    ``shared_by`` is the token of a frequent one, and else stands for the
+    classes that hold it, so tokens of the same classes have it in common.
     """
-    rows = classes.select(F.col("class"), F.col("n_shingles").alias("n"), F.explode(F.arrays_zip("prefix", "spread")).alias("t"))
-    rows = rows.select(F.col("t.prefix").alias("token"), "class", "n", F.col("t.spread").alias("spread"))
-    rows = rows.withColumn("part", F.when(F.col("spread") > 0, F.pmod(F.xxhash64("class"), F.expr("shiftleft(1, cast(spread as int))"))).otherwise(F.lit(0)).cast("int"))
-    group = Window.partitionBy("token", "part").orderBy(F.xxhash64("class", "token"), "class")
-    ranked = rows.select("*", F.first("class").over(group).alias("pivot"), F.first("n").over(group).alias("pivot_n"), F.lead("class").over(group).alias("after"))
-    return stored(ranked.where("class <> pivot or after <> class or spread > 0").select("token", "class", "n", "pivot", "pivot_n"), "postings")
-
-
-def _unsettled(members: DataFrame) -> DataFrame:
-    """The members (token, class, n, component) of tokens that several components share, with how many they are."""
-    several = members.groupBy("token").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("held_by")).where("_low < _high").select("token", "held_by")
-    return members.join(several, "token")
+    rows = classes.select("class", F.col("n_shingles").cast("int").alias("n"), F.explode("prefix").alias("token")).select(_dealt("token", "class").alias("token"), "class", "n")
+    # Dealt out first: the hashes that the windows go by need not be sent.
+    rows = rows.repartition("token")
+    by_hash = Window.partitionBy("token").orderBy(F.xxhash64("class", "token"), "class")
+    whole = by_hash.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = rows.select(
+        "*",
+        F.first("class").over(whole).alias("pivot"),
+        F.first("n").over(whole).alias("pivot_n"),
+        F.last("class").over(whole).alias("_last"),
+        F.bit_xor(F.xxhash64("class")).over(whole).alias("_classes"),
+        F.lag("class").over(by_hash).alias("_before"),
+    )
+    hot = F.shiftrightunsigned("token", 64 - LEVEL_BITS) >= HOT_LEVEL
+    # Copies that several tasks have met stand next to each other.
+    shared = ranked.where(hot | (F.col("pivot") != F.col("_last"))).where("_before is null or _before <> class")
+    shared = shared.select(_dealt("token", "class").alias("token"), "_classes", "class", "n", "pivot", "pivot_n")
+    return stored(shared.select("token", F.when(hot, F.col("token")).otherwise(F.col("_classes")).alias("shared_by"), "class", "n", "pivot", "pivot_n"), "postings")
+
+
+def _unsettled(postings: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(shared_by, class, n, component, held_by) of what several components share; held_by: by how many classes.
+
+    Of several that the same classes share one is kept.
+    """
+    members = postings.groupBy("shared_by", "class").agg(F.min("n").alias("n")).join(clusters, F.col("class") == F.col("node"), "left").select("shared_by", "class", "n", F.coalesce("component", "class").alias("component"))
+    several = members.groupBy("shared_by").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("held_by"), F.bit_xor(F.xxhash64("class")).alias("_classes")).where("_low < _high")
+    several = several.groupBy("held_by", "_classes", "_low", "_high").agg(F.min("shared_by").alias("shared_by")).select("shared_by", "held_by")
+    return stored(members.join(several, "shared_by"), "unsettled")
 
 
 def _across(members: DataFrame, shingles: Shingles) -> DataFrame:
-    """Pairs of classes (a, b) that share a token but lie in different components."""
-    groups = members.select("token", "component").distinct()
-    left, right = (groups.select("token", F.col("component").alias(x)) for x in ("_left", "_right"))
-    pairs = left.join(right, "token").where("_left < _right")
-    for side, name in (("_left", "x"), ("_right", "y")):
-        named = members.select("token", F.col("component").alias(side), F.col("class").alias(name), F.col("n").alias(f"{name}_n"))
-        pairs = pairs.join(named, ["token", side])
-    return pairs.where(shingles.sizes_fit("x_n", "y_n")).select(*_ordered("x", "y")).distinct()
+    """Pairs of classes (a, b) of different components in groups of at most PAIRED_CLASSES."""
+    groups = members.groupBy("shared_by").agg(F.collect_list(F.struct("class", "component", "n")).alias("m"))
+    fit = f"x.class < y.class and x.component <> y.component and 100L * least(x.n, y.n) >= {int(shingles.percent)} * greatest(x.n, y.n)"
+    pairs = groups.select(F.explode(F.expr(f"flatten(transform(m, x -> transform(filter(m, y -> {fit}), y -> struct(x.class as a, y.class as b))))")).alias("p"))
+    return pairs.select("p.a", "p.b").distinct()
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -295,27 +357,48 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
+def alike_between(left: list[np.ndarray], right: list[np.ndarray], maybe: np.ndarray, shingles: Shingles) -> np.ndarray:
+    """Which sets on the left are alike to which on the right, among the pairs that ``maybe`` holds.
+
+    Pairs must share a prefix token under each hash order before whole sets are compared.
+    """
+    a, b = (np.array([len(x) for x in side]) for side in (left, right))
+    maybe = maybe & (100 * np.minimum(a[:, None], b) >= shingles.percent * np.maximum(a[:, None], b))
+    out = np.zeros_like(maybe)
+    rows, columns = np.arange(len(left)), np.arange(len(right))
+    for seed in ORDERS:
+        rows, columns = rows[maybe[np.ix_(rows, columns)].any(axis=1)], columns[maybe[np.ix_(rows, columns)].any(axis=0)]
+        if not len(rows):
+            return out
+        prefixes = [[first_in_order(side[i], seed, shingles.prefix_length(len(side[i]))) for i in some] for side, some in ((left, rows), (right, columns))]
+        maybe[np.ix_(rows, columns)] &= shared_counts(*prefixes) > 0
+    rows, columns = rows[maybe[np.ix_(rows, columns)].any(axis=1)], columns[maybe[np.ix_(rows, columns)].any(axis=0)]
+    if len(rows):
+        shared = shared_counts([left[i] for i in rows], [right[i] for i in columns])
+        cell = np.ix_(rows, columns)
+        out[cell] = maybe[cell] & (shared > 0) & (100 * shared >= shingles.percent * (a[rows][:, None] + b[columns] - shared))
+    return out
+
+
 def _blockwise(members: DataFrame, sets: DataFrame, shingles: Shingles) -> DataFrame:
     """Links between components among classes that share a token, found block against block inside tasks.
 
     Of the links of two blocks only as many are returned as join components.
     """
     blocks = members.withColumn("_blocks", F.ceil(F.col("held_by") / F.lit(BLOCK_CLASSES)).cast("int")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("_blocks")).cast("int"))
-    dealt = blocks.select("token", "class", "component", "block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
-    dealt = dealt.select("token", "class", "component", "block", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"))
+    dealt = blocks.select("shared_by", "class", "component", "block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
+    dealt = dealt.select("shared_by", "class", "component", "block", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"))
 
     def compare(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         block = table.column("block").to_numpy()
         classes, component = table.column("class").to_numpy(), table.column("component").to_numpy()
-        tokens = [unpacked(x) for x in table.column("tokens").to_pylist()]
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         found = []
         if len(left) and len(right):
-            shared = shared_counts([tokens[k] for k in left], [tokens[k] for k in right])
-            size = np.array([len(x) for x in tokens])
-            alike = 100 * shared >= shingles.percent * (size[left][:, None] + size[right][None] - shared)
-            alike &= (component[left][:, None] != component[right][None]) & (shared > 0)
+            tokens = [unpacked(x) for x in table.column("tokens").to_pylist()]
+            apart = component[left][:, None] != component[right][None]
+            alike = alike_between([tokens[k] for k in left], [tokens[k] for k in right], apart, shingles)
             root = {c: c for c in component.tolist()}
 
             def find(c: int) -> int:
@@ -331,38 +414,54 @@ def _blockwise(members: DataFrame, sets: DataFrame, shingles: Shingles) -> DataF
                     found.append(sorted((int(classes[left[x]]), int(classes[right[y]]))))
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    known = sets.select(F.col("class").alias("_class"), "tokens")
-    rows = dealt.join(known, F.col("class") == F.col("_class")).select("token", "i", "j", "block", "class", "component", "tokens")
-    return stored(rows.groupBy("token", "i", "j").applyInArrow(compare, "a long, b long"), "links")
+    known = sets.select(F.col("class").alias("_class"), "tokens").dropDuplicates(["_class"])
+    rows = dealt.join(known, F.col("class") == F.col("_class")).select("shared_by", "i", "j", "block", "class", "component", "tokens")
+    return stored(rows.groupBy("shared_by", "i", "j").applyInArrow(compare, "a long, b long"), "links")
 
 
-def jaccard_links(docs: DataFrame, shingles: Shingles = Shingles()) -> tuple[DataFrame, DataFrame]:
-    """Documents by class, and enough verified links between classes for the exact components.
+def jaccard_clusters(docs: DataFrame, shingles: Shingles = Shingles()) -> tuple[DataFrame, DataFrame]:
+    """Documents by class, and the exact component of every class that is linked to another.
 
-    The first is doc_id, text_hash, n_shingles, class; the second a, b.
+    The first is doc_id, text_hash, n_shingles, class; the second node, component.
     """
     levels = docs.sparkSession.sparkContext.broadcast(word_levels(docs))
     classes = _classes(docs, shingles, levels)
     postings = _postings(classes)
     ids = classes.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
 
+    def described(wanted: DataFrame, columns: dict, name: str) -> DataFrame:
+        return _described(docs, shingles, levels, ids.join(wanted.distinct(), "class", "left_semi"), columns, name)
+
     def tested(pairs: DataFrame) -> DataFrame:
-        paired = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-        return _verified(pairs, _sets_of(docs, shingles, levels, ids.join(paired, "class", "left_semi")), shingles)
+        both = lambda some: some.select(F.col("a").alias("class")).union(some.select("b"))
+        filters = described(both(pairs), FILTERS, "filters")
+        filtered = _filtered(pairs, filters, shingles)
+        discard(filters)
+        sets = described(both(filtered), TOKENS, "sets")
+        links = _verified(filtered, sets, shingles)
+        discard(filtered, sets)
+        return links
 
     near = stored(postings.where("class <> pivot").where(shingles.sizes_fit("n", "pivot_n")).select(*_ordered("class", "pivot")).distinct(), "pairs")
     links = tested(near)
     clusters = connected_components(links)
-    members = postings.select("token", "class", "n").distinct().join(clusters, F.col("class") == F.col("node"), "left").select("token", "class", "n", F.coalesce("component", "class").alias("component"))
-    members = stored(_unsettled(members), "unsettled")
+    members = _unsettled(postings, clusters)
+    discard(postings)
     few, many = members.where(F.col("held_by") <= PAIRED_CLASSES), members.where(F.col("held_by") > PAIRED_CLASSES)
     rest = stored(_across(few, shingles).join(near, ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        links = links.union(tested(rest))
+    discard(near)
+    found = [tested(rest)] if not rest.isEmpty() else []
     if not many.isEmpty():
-        wanted = ids.join(many.select("class").distinct(), "class", "left_semi")
-        links = links.union(_blockwise(many, _sets_of(docs, shingles, levels, wanted), shingles))
-    return classes.select("doc_id", "text_hash", "n_shingles", "class"), links
+        sets = described(many.select("class"), TOKENS, "sets")
+        found.append(_blockwise(many, sets, shingles))
+        discard(sets)
+    if found:
+        for more in found:
+            links = links.union(more)
+        discard(clusters)
+        clusters = connected_components(links)
+    discard(members, rest)
+    return classes.select("doc_id", "text_hash", "n_shingles", "class"), clusters
 
 
 def jaccard_components(docs: DataFrame, shingles: Shingles = Shingles()) -> DataFrame:
@@ -375,8 +474,7 @@ def jaccard_components(docs: DataFrame, shingles: Shingles = Shingles()) -> Data
     without being paired. An empty table gives no rows; other columns are
     ignored.
     """
-    rows, links = jaccard_links(docs, shingles)
-    clusters = connected_components(links)
+    rows, clusters = jaccard_clusters(docs, shingles)
     least = rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     grouped = least.join(clusters, F.col("class") == F.col("node"), "left").select("class", F.coalesce("component", "class").alias("component"), "least")
     by_component = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -392,8 +490,7 @@ def keep_one_of_each(docs: DataFrame, shingles: Shingles = Shingles()) -> DataFr
     shingles are linked with nothing and all stay. The columns are those of
     ``docs``; an empty table stays empty.
     """
-    rows, links = jaccard_links(docs, shingles)
-    clusters = connected_components(links)
+    rows, clusters = jaccard_clusters(docs, shingles)
     held = rows.where("n_shingles > 0").groupBy("doc_id", "text_hash", "class").agg(F.count(F.lit(1)).alias("n_rows"))
     labelled = held.join(clusters, F.col("class") == F.col("node"), "left").select("doc_id", "text_hash", "n_rows", F.coalesce("component", "class").alias("component"))
     chosen = labelled.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n_rows")).alias("one"))

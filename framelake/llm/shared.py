@@ -45,7 +45,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._fl_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``stored`` wrote, as soon as no later job reads it."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._fl_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_table(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:

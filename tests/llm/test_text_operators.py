@@ -347,6 +347,19 @@ def test_repeated_rows_and_ids_keep_one(spark):
     assert sorted(map(tuple, got), key=str) == sorted([rows[0], rows[3], rows[5]], key=str)
 
 
+def test_many_texts_that_share_rare_tokens_and_are_not_alike(spark, monkeypatch):
+    """A rare passage in many texts: all hold its tokens in their prefixes, and few are alike."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_CLASSES", 256)
+    rng = random.Random(5)
+    passage = " ".join(f"rare{k}" for k in range(6))
+    common = [f"w{k}" for k in range(12)]
+    rows = [(n, f"{passage} " + " ".join(rng.choice(common) for _ in range(40))) for n in range(2_000)]
+    rows += [(2_000 + n, rows[n][1] + " more") for n in range(0, 2_000, 400)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = {n: n for n, _ in rows} | {2_000 + n: n for n in range(0, 2_000, 400)}
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_shared_counts():
     rng = np.random.default_rng(1)
     left, right = ([np.unique(rng.integers(0, 40, 20)).astype(np.uint64) for _ in range(n)] for n in (7, 5))
