@@ -15,10 +15,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm.shared import shuffle_partitions
@@ -147,6 +146,19 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
+#: Ranges differ in rows by a few times one in so many of all rows.
+QUANTILE_ACCURACY = 10_000
+
+
+def _range_of(cuts: list[int]) -> Column:
+    """How many of the sorted cuts are at least doc_id, found by halving; null ids come last."""
+    steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
+    table = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
+    halves = F.split(F.lit(",".join(map(str, steps))), ",").cast("array<int>")
+    below = F.aggregate(halves, F.lit(0), lambda found, step: F.when(F.get(table, found + step - 1) < F.col("doc_id"), found + step).otherwise(found))
+    return F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.lit(len(cuts)) - below)
+
+
 def _with_next(docs: DataFrame, ranges: int) -> DataFrame:
     """Rows (_range, _own, doc_id, text, _tie): each range's own texts and one text more, the one after its last.
 
@@ -155,15 +167,9 @@ def _with_next(docs: DataFrame, ranges: int) -> DataFrame:
     their text's hash. The driver sees one row per range.
     """
     keyed = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("_tie", F.xxhash64("text"))
-    found = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [k / ranges for k in range(1, ranges)], 100 * ranges)).first()[0] if ranges > 1 else None
-    cuts = np.unique(np.array(found or [], np.int64))
-
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        below = np.searchsorted(cuts, ids.fillna(0).to_numpy(np.int64), side="left")
-        return pd.Series(len(cuts) - np.where(ids.isna(), 0, below))
-
-    keyed = keyed.withColumn("_range", range_of("doc_id"))
+    found = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [k / ranges for k in range(1, ranges)], QUANTILE_ACCURACY)).first()[0] if ranges > 1 else None
+    cuts = sorted(set(found or []))
+    keyed = keyed.withColumn("_range", _range_of(cuts) if cuts else F.lit(0))
     downwards = F.struct(F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1)).alias("d"), F.col("_tie").alias("t"))
     firsts = keyed.select("_range", "doc_id", "_tie", downwards.alias("_at")).groupBy("_range").agg(F.min_by(F.struct("doc_id", "_tie"), "_at").alias("f")).orderBy("_range").collect()
     if not firsts:
@@ -184,12 +190,11 @@ def fingerprint_edits(docs: DataFrame, method: OrderMinHash = OrderMinHash(), ra
     n_chars (code points), edited_sha256, fingerprint, edited_fingerprint,
     near_edited and near_next. A null text is empty; a table of one row is its
     own next; an empty table gives no rows; repeated rows repeat; other columns
-    are ignored. Texts are sorted once in ranges of doc_id, four to a
-    partition, and streamed.
+    are ignored. Texts are sorted once, a range of doc_id in each partition,
+    and streamed.
     """
-    partitions = shuffle_partitions(docs.sparkSession)
-    source = docs.select("doc_id", "text")
-    sorted_ = _with_next(source, ranges or 4 * partitions).repartition(partitions, "_range").sortWithinPartitions("_range", F.desc("_own"), F.desc_nulls_last("doc_id"), "_tie")
+    ranges = ranges or shuffle_partitions(docs.sparkSession)
+    sorted_ = _with_next(docs.select("doc_id", "text"), ranges).repartitionById(ranges, F.col("_range")).sortWithinPartitions("_range", F.desc("_own"), F.desc_nulls_last("doc_id"), "_tie")
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
