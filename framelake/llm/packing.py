@@ -11,6 +11,7 @@ take the places that the plan gives their rank.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,6 +20,7 @@ from functools import lru_cache, partial
 import numpy as np
 import pyarrow as pa
 import tiktoken
+import tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,25 +28,29 @@ from framelake.llm.shared import row_chunks, stored
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-#: Ranks of a length are dealt out in so many groups, so that a frequent length is ranked by many tasks.
-RANK_GROUPS = 64
+#: Pieces of one length are ranked in groups of about so many, so that many tasks rank a frequent length.
+RANK_ROWS = 100_000
+
+#: The faster encoder recurses over white space; runs of so many characters go to the other, which gives the same ids.
+LONG_RUN = re.compile(r"\s{100000}")
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """A byte-level BPE as ranks with its splitting pattern; equal in ids to the JSON form of the same name.
+    """A byte-level BPE in two forms of equal ids: ranks with their splitting pattern, and the JSON form.
 
-    ``special`` are strings with ids of their own; a string that isn't there is ordinary text.
+    ``special`` are the added tokens of the JSON form: strings with ids of their own.
     """
 
     ranks: bytes
     pattern: str
+    json: str
     special: tuple[tuple[str, int], ...] = ()
 
     @staticmethod
-    def read(path: str, pattern: str, special: tuple[tuple[str, int], ...] = ()) -> Vocabulary:
-        with open(path, "rb") as file:
-            return Vocabulary(file.read(), pattern, special)
+    def read(ranks_path: str, pattern: str, json_path: str, special: tuple[tuple[str, int], ...] = ()) -> Vocabulary:
+        with open(ranks_path, "rb") as ranks, open(json_path, encoding="utf-8") as json:
+            return Vocabulary(ranks.read(), pattern, json.read(), special)
 
 
 @lru_cache(maxsize=2)
@@ -53,6 +59,18 @@ def _encoding(vocabulary: Vocabulary) -> tiktoken.Encoding:
     return tiktoken.Encoding("framelake", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens=dict(vocabulary.special))
 
 
+@lru_cache(maxsize=2)
+def _tokenizer(vocabulary: Vocabulary) -> tokenizers.Tokenizer:
+    return tokenizers.Tokenizer.from_str(vocabulary.json)
+
+
+def encoded(vocabulary: Vocabulary, text: str) -> list[int]:
+    """The ids of a text, as the JSON form gives them without special tokens around it."""
+    if len(text) >= 100_000 and LONG_RUN.search(text):
+        return _tokenizer(vocabulary).encode(text, add_special_tokens=False).ids
+    return _encoding(vocabulary).encode(text, allowed_special="all")
+
+
 def piece_bounds(tokens: int, capacity: int) -> list[tuple[int, int]]:
     """Starts and lengths of a document's pieces: whole ones of ``capacity``, the first takes what is over."""
     first = tokens % capacity or capacity
@@ -62,15 +80,14 @@ def piece_bounds(tokens: int, capacity: int) -> list[tuple[int, int]]:
 def tokenize(docs: DataFrame, vocabulary: Vocabulary, capacity: int = 1024, end_id: int = 2, keep_ids: bool = False, along: tuple[str, ...] = ()) -> DataFrame:
     """Per piece of a document: doc_id, piece, start, length, ids_crc32, if asked for ids array<int>, and the document's columns ``along``.
 
-    A document is the ids of its text, with the special strings of the
-    vocabulary as their ids, and ``end_id``; a null text is empty. Only documents of over ``capacity``
-    ids are cut. Other columns are ignored.
+    A document is the ids of its text, in which the strings of added tokens
+    are their ids, and ``end_id``; a null text is empty. Only documents of over
+    ``capacity`` ids are cut. Other columns are ignored.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _encoding(shipped.value)
-        encode = partial(encoding.encode, allowed_special="all") if shipped.value.special else encoding.encode_ordinary
+        encode = partial(encoded, shipped.value)
         for batch in row_chunks(batches):
             out: list[tuple] = []
             kept: list[np.ndarray] = []
@@ -177,7 +194,7 @@ def places_of(bins: list[Bin]) -> Places:
     return Places(*np.array(sorted(rows), np.int64).reshape(-1, 4).T)
 
 
-def rank_within_length(pieces: DataFrame, groups: int = RANK_GROUPS) -> DataFrame:
+def rank_within_length(pieces: DataFrame, groups: int) -> DataFrame:
     """``pieces`` with _rank, gapless from 0 within each length.
 
     Pieces of a length are dealt over ``groups`` groups by hash, numbered there
@@ -211,7 +228,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
             columns += [pa.array(p.sequence[at] + rank - p.first[at]), pa.array(p.offset[at])]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return rank_within_length(pieces).mapInArrow(place, PIECE_SCHEMA + ", sequence_id long, offset long")
+    groups = 1 + max(counts.values(), default=0) // RANK_ROWS
+    return rank_within_length(pieces, groups).mapInArrow(place, PIECE_SCHEMA + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, vocabulary: Vocabulary, capacity: int = 1024, end_id: int = 2) -> DataFrame:

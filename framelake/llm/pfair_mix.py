@@ -1,14 +1,15 @@
-"""Pfair mixing: interleave sources so that each is always within a block of its target share.
+"""Pfair mixing: interleave sources so that each is always within a block of its target weight.
 
 A source's rows, in an order given by their hash, are cut into blocks of equal
 bytes. Block i of a source with weight w may start at slot floor(i / w) and is
-due by slot ceil((i + 1) / w); one slot at a time the released block that is due
-first is taken. With weights of a common denominator the schedule repeats, so
-one period of it is planned and the rows are joined to it.
+due by slot ceil((i + 1) / w), both exact for any w; one slot at a time the
+released block that is due first is taken. The driver schedules blocks, of
+which there is a bounded number, and the rows are joined to their places.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from fractions import Fraction
 
@@ -17,54 +18,59 @@ from pyspark.sql import functions as F
 
 from framelake.llm.shared import shuffle_partitions, small_table
 
-#: Slots of a period, unless there are too many sources for it.
-PERIOD = 1_000
-
-#: Bytes of a block.
+#: Bytes of a block, doubled until all rows fit in MOST_BLOCKS blocks.
 BLOCK_BYTES = 1 << 16
+MOST_BLOCKS = 1 << 17
+
+#: Bytes of a group of a source's rows that one task sums up in order.
+GROUP_BYTES = 1 << 26
 
-#: Digits of the order hash by which a source's rows are grouped for running sums; 16^n groups.
+#: Least digits of the order hash by which a source's rows are grouped; 16^n groups.
 GROUP_DIGITS = 3
 
 #: What rows without a source are counted as.
 NO_SOURCE = ""
 
+#: What a placed row is given.
+MIX_COLUMNS = ["mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_offset"]
+
 
-def whole_shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Slots of a period per source: at least one each, the rest by largest remainder; ties to the lesser name."""
-    if not weights:
-        return {}
-    if period < len(weights):
-        raise ValueError("a period needs a slot for each source")
-    if min(weights.values()) <= 0:
+def whole_ratio(weights: dict[str, float | Fraction]) -> dict[str, int]:
+    """Whole numbers in exactly the ratio of the weights, which are positive."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    if any(w <= 0 for w in exact.values()):
         raise ValueError("weights are positive")
-    total = sum(weights.values())
-    free = period - len(weights)
-    exact = {s: free * w / total for s, w in weights.items()}
-    shares = {s: 1 + math.floor(x) for s, x in exact.items()}
-    rest = period - sum(shares.values())
-    for s in sorted(weights, key=lambda s: (math.floor(exact[s]) - exact[s], s))[:rest]:
-        shares[s] += 1
-    return shares
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * scale) for s, w in exact.items()}
 
 
-def pfair_period(shares: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """(source, block, release, deadline, slot) of one period, by earliest deadline first among the released.
+def pfair_schedule(weights: dict[str, float | Fraction], blocks: dict[str, int]) -> dict[str, list[tuple[int, int, int]]]:
+    """(release, deadline, slot) of each of a source's ``blocks``: earliest deadline first among the released.
 
-    Equal deadlines go to the block with the longer way to the next one's
-    deadline, then to the lesser name.
+    Of equal deadlines the lesser name goes first. A slot in which no block is
+    released stays empty: a source that is spent leaves its slots, and the
+    others keep theirs.
     """
-    period = sum(shares.values())
-    weight = {s: Fraction(n, period) for s, n in shares.items()}
-    done = dict.fromkeys(shares, 0)
-    plan = []
-    for slot in range(period):
-        ready = [s for s in shares if done[s] < shares[s] and math.floor(done[s] / weight[s]) <= slot]
-        pick = min(ready, key=lambda s: (math.ceil((done[s] + 1) / weight[s]), -math.ceil((done[s] + 2) / weight[s]), s))
-        i = done[pick]
-        plan.append((pick, i, math.floor(i / weight[pick]), math.ceil((i + 1) / weight[pick]), slot))
-        done[pick] += 1
-    return plan
+    ratio = whole_ratio({s: weights[s] for s in blocks})
+    total = sum(ratio.values())
+    window = lambda s, i: (i * total // ratio[s], -(-(i + 1) * total // ratio[s]))
+    out: dict[str, list] = {s: [] for s in blocks}
+    waiting = [(0, s) for s, n in blocks.items() if n > 0]
+    heapq.heapify(waiting)
+    due: list[tuple[int, str]] = []
+    slot = 0
+    while waiting or due:
+        if not due:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            s = heapq.heappop(waiting)[1]
+            heapq.heappush(due, (window(s, len(out[s]))[1], s))
+        deadline, s = heapq.heappop(due)
+        out[s].append((window(s, len(out[s]))[0], deadline, slot))
+        if len(out[s]) < blocks[s]:
+            heapq.heappush(waiting, (window(s, len(out[s]))[0], s))
+        slot += 1
+    return out
 
 
 def _order_key() -> Column:
@@ -72,71 +78,91 @@ def _order_key() -> Column:
     return F.md5(F.concat_ws("\x01", F.col("doc_id").cast("string"), F.col("text")).cast("binary"))
 
 
-def source_weights(docs: DataFrame, alpha: float) -> dict[str, float]:
-    """Weights in proportion to the bytes of each source to the power ``alpha``."""
-    size = F.octet_length(F.coalesce("text", F.lit(""))) + F.lit(1)
-    rows = docs.groupBy(F.coalesce("source", F.lit(NO_SOURCE)).alias("source")).agg(F.sum(size.cast("long")).alias("bytes")).collect()
-    return {r["source"]: float(r["bytes"]) ** alpha for r in rows}
+def _size() -> Column:
+    return (F.octet_length(F.coalesce("text", F.lit(""))) + F.lit(1)).cast("long")
 
 
-#: What a placed row is given.
-MIX_COLUMNS = ["mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_offset"]
+def source_sizes(docs: DataFrame) -> dict[str, int]:
+    """Bytes of each source, a text taking its UTF-8 bytes and one more; a registry that the driver holds."""
+    rows = docs.groupBy(F.coalesce("source", F.lit(NO_SOURCE)).alias("source")).agg(F.sum(_size()).alias("bytes")).collect()
+    return {r["source"]: r["bytes"] for r in rows}
+
+
+def root_weights(sizes: dict[str, int]) -> dict[str, int]:
+    """The whole part of the square root of each source's bytes as its weight."""
+    return {s: math.isqrt(n) for s, n in sizes.items()}
+
+
+def block_size(total: int, least: int = BLOCK_BYTES) -> int:
+    """``least`` bytes, doubled until ``total`` bytes are at most MOST_BLOCKS blocks."""
+    while total > least * MOST_BLOCKS:
+        least *= 2
+    return least
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float], block_bytes: int = BLOCK_BYTES, period: int = PERIOD) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float | Fraction], sizes: dict[str, int] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` (doc_id, text, source and others) with mix_block, mix_release, mix_deadline, mix_slot and mix_offset.
 
     A row lies in the block of its source in which its first byte lies; a text
-    takes its UTF-8 bytes and one more. mix_slot is when the block is due to
-    be read: reading in order of mix_slot and mix_offset mixes the sources.
-    Every row is placed once. Where a source is spent its later slots stay
-    empty, and the others keep their proportions. A null source is the empty
-    one, a null text is empty; repeated rows follow each other; a source
-    missing from ``weights`` is an error. An empty table gives no rows. Columns
-    of ``docs`` that are named like the new ones are replaced.
+    takes its UTF-8 bytes and one more. mix_slot is when the block is to be
+    read: reading in order of mix_slot and mix_offset mixes the sources. Blocks
+    hold ``block_bytes``, more where block_size says so. ``sizes`` are those of
+    source_sizes, if they are known. Every row is placed once. Where a source
+    is spent its later slots stay empty, and the others keep their proportions.
+    A null source is the empty one, a null text is empty; repeated rows follow
+    each other; a source missing from ``weights`` is an error. An empty table
+    gives no rows. Columns of ``docs`` that are named like the new ones are
+    replaced.
     """
-    placed = _placed(docs, weights, block_bytes, period)
+    placed, _ = _placed(docs, weights, sizes, block_bytes)
     kept = [c for c in docs.columns if c.lower() not in MIX_COLUMNS]
     return placed.select(*(F.col(f"`{c}`") for c in kept), *(F.col(f"_fl_{c}").alias(c) for c in MIX_COLUMNS))
 
 
-def _placed(docs: DataFrame, weights: dict[str, float], block_bytes: int, period: int) -> DataFrame:
-    """``docs`` with the new columns under names of their own."""
-    period = max(period, 2 * len(weights))
-    shares = whole_shares(weights, period)
-    spark = docs.sparkSession
-    rows = [{"_fl_s": s, "_fl_i": i, "_fl_release": r, "_fl_deadline": d, "_fl_slot": t} for s, i, r, d, t in pfair_period(shares)]
-    plan = small_table(spark, rows, "_fl_s string, _fl_i long, _fl_release long, _fl_deadline long, _fl_slot long")
-    sizes = small_table(spark, [{"_fl_s2": s, "_fl_n": n} for s, n in shares.items()], "_fl_s2 string, _fl_n long")
-    size = (F.octet_length(F.coalesce("text", F.lit(""))) + F.lit(1)).cast("long")
-    keyed = docs.withColumns({"_fl_source": F.coalesce("source", F.lit(NO_SOURCE)), "_fl_key": _order_key(), "_fl_bytes": size}).withColumn("_fl_group", F.substring("_fl_key", 1, GROUP_DIGITS))
+def _placed(docs: DataFrame, weights: dict[str, float | Fraction], sizes: dict[str, int] | None, block_bytes: int) -> tuple[DataFrame, int]:
+    """``docs`` with the new columns under names of their own and _fl_turn, the place of its block among all, and the number of blocks."""
+    sizes = source_sizes(docs) if sizes is None else sizes
+    for s in sizes:
+        if s not in weights:
+            raise ValueError(f"no weight for source {s}")
+    block = block_size(sum(sizes.values()), block_bytes)
+    plan = pfair_schedule(weights, {s: -(-n // block) for s, n in sizes.items()})
+    turns = {slot: k for k, slot in enumerate(sorted(p[2] for places in plan.values() for p in places))}
+    rows = [{"_fl_s": s, "_fl_release": [p[0] for p in places], "_fl_deadline": [p[1] for p in places], "_fl_slot": [p[2] for p in places], "_fl_turns": [turns[p[2]] for p in places]} for s, places in plan.items()]
+    places = small_table(docs.sparkSession, rows, "_fl_s string, _fl_release array<long>, _fl_deadline array<long>, _fl_slot array<long>, _fl_turns array<long>")
+    digits = GROUP_DIGITS
+    while max(sizes.values(), default=0) > GROUP_BYTES << 4 * digits:
+        digits += 1
+    source, group = F.coalesce("source", F.lit(NO_SOURCE)), F.substring(_order_key(), 1, digits)
+    keyed = docs.withColumns({"_fl_source": source, "_fl_key": _order_key(), "_fl_bytes": _size(), "_fl_group": group})
     # Bytes before a row: those of its source's groups before, and those before it in its group.
     groups_before = Window.partitionBy("_fl_source").orderBy("_fl_group").rowsBetween(Window.unboundedPreceding, -1)
-    light = docs.select(F.coalesce("source", F.lit(NO_SOURCE)).alias("_fl_source"), F.substring(_order_key(), 1, GROUP_DIGITS).alias("_fl_group"), size.alias("_fl_bytes"))
+    light = docs.select(source.alias("_fl_source"), group.alias("_fl_group"), _size().alias("_fl_bytes"))
     bases = light.groupBy("_fl_source", "_fl_group").agg(F.sum("_fl_bytes").alias("_fl_sum")).select("_fl_source", "_fl_group", F.coalesce(F.sum("_fl_sum").over(groups_before), F.lit(0)).alias("_fl_base"))
     inside = Window.partitionBy("_fl_source", "_fl_group").orderBy("_fl_key").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("_fl_before", F.coalesce(F.sum("_fl_bytes").over(inside), F.lit(0))).join(bases, ["_fl_source", "_fl_group"]).withColumn("_fl_at", F.col("_fl_base") + F.col("_fl_before"))
-    placed = placed.withColumn("_fl_mix_block", F.expr(f"_fl_at div {int(block_bytes)}"))
-    placed = placed.join(F.broadcast(sizes), F.col("_fl_source") == F.col("_fl_s2"), "left").withColumn("_fl_n", F.coalesce("_fl_n", F.raise_error(F.concat(F.lit("no weight for source "), F.col("_fl_source"))).cast("long")))
-    placed = placed.withColumns({"_fl_turn": F.expr("_fl_mix_block div _fl_n"), "_fl_in": F.expr("_fl_mix_block % _fl_n")})
-    placed = placed.join(F.broadcast(plan), (F.col("_fl_source") == F.col("_fl_s")) & (F.col("_fl_in") == F.col("_fl_i")))
-    shift = F.col("_fl_turn") * F.lit(period)
-    return placed.select(
+    placed = placed.withColumn("_fl_mix_block", F.expr(f"_fl_at div {block}")).join(F.broadcast(places), F.col("_fl_source") == F.col("_fl_s"))
+    of_block = lambda name: F.get(name, F.col("_fl_mix_block").cast("int"))
+    placed = placed.select(
         *(F.col(f"`{c}`") for c in docs.columns),
         "_fl_mix_block",
-        (F.col("_fl_release") + shift).alias("_fl_mix_release"),
-        (F.col("_fl_deadline") + shift).alias("_fl_mix_deadline"),
-        (F.col("_fl_slot") + shift).alias("_fl_mix_slot"),
-        (F.col("_fl_at") - F.col("_fl_mix_block") * F.lit(block_bytes)).alias("_fl_mix_offset"),
+        of_block("_fl_release").alias("_fl_mix_release"),
+        of_block("_fl_deadline").alias("_fl_mix_deadline"),
+        of_block("_fl_slot").alias("_fl_mix_slot"),
+        (F.col("_fl_at") - F.col("_fl_mix_block") * F.lit(block)).alias("_fl_mix_offset"),
+        of_block("_fl_turns").alias("_fl_turn"),
     )
+    return placed, len(turns)
 
 
-def in_mixed_order(docs: DataFrame, weights: dict[str, float], block_bytes: int = BLOCK_BYTES, period: int = PERIOD) -> DataFrame:
-    """The rows of ``docs`` with its columns, range-partitioned and sorted in the order of the mix.
+def in_mixed_order(docs: DataFrame, weights: dict[str, float | Fraction], sizes: dict[str, int] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` with its columns, a run of blocks in each partition, sorted in the order of the mix.
 
     Writing the result keeps the order: its files follow each other, and each
     is sorted. Rows of a block follow their offset in it.
     """
+    mixed, blocks = _placed(docs, weights, sizes, block_bytes)
+    partitions = shuffle_partitions(docs.sparkSession)
+    share = F.expr(f"cast(_fl_turn * {partitions}L div {max(blocks, 1)}L as int)")
     order = ["_fl_mix_slot", "_fl_mix_offset", "doc_id"]
-    mixed = _placed(docs, weights, block_bytes, period)
-    return mixed.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return mixed.repartitionById(partitions, share).sortWithinPartitions(*order).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +17,9 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tokenizer_file(name: str) -> str:
-    """Path of a public vocabulary file; FRAMELAKE_TOKENIZERS names another folder."""
-    return os.path.join(os.environ.get("FRAMELAKE_TOKENIZERS", "/opt/tokenizers"), name)
+    """Path of a public vocabulary file; FRAMELAKE_TOKENIZERS names a folder of one's own."""
+    folder = os.environ.get("FRAMELAKE_TOKENIZERS")
+    return os.path.join(folder, name) if folder else public_tokenizers.path(name)
 
 
 #: Key of the pseudonyms; FRAMELAKE_PII_KEY holds the one of a production run.
@@ -55,14 +57,8 @@ BYTE_BPE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]
 BYTE_BPE_SPECIAL = (("<|endoftext|>", 50256),)
 
 
-def packing_vocabulary() -> packing.Vocabulary:
-    """Without added tokens: their strings are ordinary text."""
-    return packing.Vocabulary.read(_tokenizer_file("byte_bpe_50k.tiktoken"), BYTE_BPE_PATTERN)
-
-
 def document_vocabulary() -> packing.Vocabulary:
-    """With the added tokens, so that ids are those of byte_bpe_50k.json under its default settings."""
-    return packing.Vocabulary.read(_tokenizer_file("byte_bpe_50k.tiktoken"), BYTE_BPE_PATTERN, BYTE_BPE_SPECIAL)
+    return packing.Vocabulary.read(_tokenizer_file("byte_bpe_50k.tiktoken"), BYTE_BPE_PATTERN, _tokenizer_file("byte_bpe_50k.json"), BYTE_BPE_SPECIAL)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,13 +77,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_documents(spark, sf_dir))
 
 
-#: Sources are mixed by the root of their bytes.
-MIX_ALPHA = 0.5
-
-
 def op9_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "source", "text")
-    return pfair_mix.mix_sources(docs, pfair_mix.source_weights(docs, MIX_ALPHA)).drop("text")
+    sizes = pfair_mix.source_sizes(docs)
+    return pfair_mix.mix_sources(docs, pfair_mix.root_weights(sizes), sizes).drop("text")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,31 +107,27 @@ WITH RECURSIVE rows_ AS (
   SELECT doc_id, source, coalesce(source, '') AS s, md5(concat_ws(chr(1), CAST(doc_id AS VARCHAR), text)) AS k,
          CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS b
   FROM documents),
-weights AS (SELECT s, sqrt(CAST(sum(b) AS DOUBLE)) AS w FROM rows_ GROUP BY s),
-size AS (SELECT count(*) AS c, greatest(1000, 2 * count(*)) AS p, sum(w) AS t FROM weights),
-exact AS (SELECT s, (p - c) * w / t AS x, p FROM weights, size),
-rest AS (SELECT max(p) - count(*) - sum(floor(x)) AS n FROM exact),
-shares AS (
-  SELECT s, CAST(1 + floor(x) + CASE WHEN row_number() OVER (ORDER BY floor(x) - x, s) <= (SELECT n FROM rest) THEN 1 ELSE 0 END AS BIGINT) AS q
-  FROM exact),
-lists AS (SELECT list(q ORDER BY s) AS q, list(s ORDER BY s) AS s, CAST(sum(q) AS BIGINT) AS p, count(*) AS c FROM shares),
+sizes AS (SELECT s, CAST(sum(b) AS BIGINT) AS b FROM rows_ GROUP BY s),
+block AS (SELECT CAST(65536 * pow(2, greatest(0, ceil(log2(sum(b) / 8589934592.0)))) AS BIGINT) AS block FROM sizes),
+sources AS (SELECT s, CAST(floor(sqrt(CAST(b AS DOUBLE))) AS BIGINT) AS w, (b + block - 1) // block AS n FROM sizes, block),
+lists AS (SELECT list(w ORDER BY s) AS w, list(n ORDER BY s) AS n, list(s ORDER BY s) AS s, CAST(sum(w) AS BIGINT) AS t, count(*) AS c FROM sources),
 plan AS (
-  SELECT CAST(-1 AS BIGINT) AS slot, list_transform(q, lambda x: CAST(0 AS BIGINT)) AS done, CAST(NULL AS BIGINT) AS pick, CAST(NULL AS BIGINT) AS i FROM lists
+  SELECT CAST(-1 AS BIGINT) AS slot, list_transform(w, lambda x: CAST(0 AS BIGINT)) AS done, CAST(NULL AS BIGINT) AS pick, CAST(NULL AS BIGINT) AS i FROM lists
   UNION ALL
   SELECT slot, list_transform(done, lambda v, j: CASE WHEN j = pick THEN v + 1 ELSE v END), pick, done[pick]
   FROM (
-    SELECT plan.slot + 1 AS slot, done, list_sort(list_transform(
-      list_filter(range(1, c + 1), lambda j: done[j] < q[j] AND (done[j] * p) // q[j] <= plan.slot + 1),
-      lambda j: struct_pack(d := ((done[j] + 1) * p + q[j] - 1) // q[j], e := -(((done[j] + 2) * p + q[j] - 1) // q[j]), j := j)))[1].j AS pick
-    FROM plan, lists WHERE plan.slot + 1 < p)),
-slots AS (SELECT lists.s[pick] AS s, i, slot, (i * p) // lists.q[pick] AS release, ((i + 1) * p + lists.q[pick] - 1) // lists.q[pick] AS deadline FROM plan, lists WHERE pick IS NOT NULL),
+    SELECT slot, done, list_sort(list_transform(
+      list_filter(open_, lambda j: (done[j] * t) // w[j] <= slot),
+      lambda j: struct_pack(d := ((done[j] + 1) * t + w[j] - 1) // w[j], j := j)))[1].j AS pick
+    FROM (
+      SELECT greatest(slot + 1, list_min(list_transform(open_, lambda j: (done[j] * t) // w[j]))) AS slot, done, open_, w, t
+      FROM (SELECT slot, done, w, t, list_filter(range(1, c + 1), lambda j: done[j] < n[j]) AS open_ FROM plan, lists)
+      WHERE len(open_) > 0))),
+slots AS (SELECT lists.s[pick] AS s, i, slot, (i * t) // w[pick] AS release, ((i + 1) * t + w[pick] - 1) // w[pick] AS deadline FROM plan, lists WHERE pick IS NOT NULL),
 placed AS (
   SELECT doc_id, source, s, coalesce(sum(b) OVER (PARTITION BY s ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_ FROM rows_)
-SELECT doc_id, source, CAST(at_ // 65536 AS BIGINT) AS mix_block,
-       CAST(release + p * ((at_ // 65536) // q) AS BIGINT) AS mix_release,
-       CAST(deadline + p * ((at_ // 65536) // q) AS BIGINT) AS mix_deadline,
-       CAST(slot + p * ((at_ // 65536) // q) AS BIGINT) AS mix_slot,
-       CAST(at_ % 65536 AS BIGINT) AS mix_offset
-FROM placed JOIN shares USING (s) JOIN (SELECT p FROM lists) ON true JOIN slots ON slots.s = placed.s AND slots.i = (at_ // 65536) % q
+SELECT doc_id, source, CAST(at_ // block AS BIGINT) AS mix_block, CAST(release AS BIGINT) AS mix_release, CAST(deadline AS BIGINT) AS mix_deadline,
+       CAST(slot AS BIGINT) AS mix_slot, CAST(at_ % block AS BIGINT) AS mix_offset
+FROM placed JOIN block ON true JOIN slots ON slots.s = placed.s AND slots.i = at_ // block
 """,
 }

@@ -147,23 +147,45 @@ def test_parts_are_balanced():
 # Mixing
 
 
-def test_period_is_pfair():
+def check_pfair(weights, blocks):
+    """Windows are kept, and each source is within a block of its weight until it is spent."""
+    total = sum(Fraction(w) for w in weights.values())
+    share = {s: Fraction(w) / total for s, w in weights.items()}
+    plan = pfair_mix.pfair_schedule(weights, blocks)
+    assert {s: len(p) for s, p in plan.items()} == blocks
+    assert len({p[2] for places in plan.values() for p in places}) == sum(blocks.values())
+    for s, places in plan.items():
+        for i, (release, deadline, slot) in enumerate(places):
+            assert (release, deadline) == (math.floor(i / share[s]), math.ceil((i + 1) / share[s])) and release <= slot < deadline
+            # After slot, i + 1 blocks are done; just before it, i.
+            assert abs(i + 1 - share[s] * (slot + 1)) < 1 and abs(i - share[s] * slot) < 1
+
+
+def test_schedule_is_pfair():
     for seed in range(20):
         rng = random.Random(seed)
-        shares = pfair_mix.whole_shares({f"s{k}": rng.random() + 0.01 for k in range(rng.randint(1, 30))}, 200)
-        plan = pfair_mix.pfair_period(shares)
-        assert len(plan) == 200 == sum(shares.values())
-        done = dict.fromkeys(shares, 0)
-        for source, block, release, deadline, slot in plan:
-            assert block == done[source] and release <= slot < deadline
-            done[source] += 1
-            assert all(abs(done[s] - Fraction(shares[s] * (slot + 1), 200)) < 1 for s in shares)
+        weights = {f"s{k}": rng.random() + 0.01 for k in range(rng.randint(1, 30))}
+        check_pfair(weights, {s: rng.randint(1, 300) for s in weights})
+    check_pfair({"a": 0.99999, "b": 1e-5}, {"a": 20_000, "b": 3})
+    check_pfair({"a": 1, "b": Fraction(1, 10**9), "c": 3e-7}, {"a": 3_000, "b": 2, "c": 4})
+    assert pfair_mix.pfair_schedule({}, {}) == {}
+    with pytest.raises(ValueError, match="positive"):
+        pfair_mix.pfair_schedule({"a": 0.0}, {"a": 1})
+
+
+def test_small_weights_are_not_rounded_up():
+    plan = pfair_mix.pfair_schedule({"a": 0.99995, "b": 0.00005}, {"a": 99_995, "b": 100})
+    assert sum(p[2] < 100_000 for p in plan["b"]) in (4, 5, 6)
+
+
+def test_blocks_grow_with_the_bytes():
+    assert pfair_mix.block_size(10) == pfair_mix.BLOCK_BYTES == pfair_mix.block_size(pfair_mix.BLOCK_BYTES * pfair_mix.MOST_BLOCKS)
+    assert pfair_mix.block_size(10**14) * pfair_mix.MOST_BLOCKS >= 10**14
 
 
 def test_mix_places_every_row_once(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "text")
-    weights = pfair_mix.source_weights(docs, 0.5)
-    rows = pfair_mix.mix_sources(docs, weights, 2000).collect()
+    rows = pfair_mix.mix_sources(docs, pfair_mix.root_weights(pfair_mix.source_sizes(docs)), block_bytes=2000).collect()
     assert len(rows) == docs.count()
     by_source: dict[str, list] = {}
     slot_source: dict[int, str] = {}
@@ -179,9 +201,10 @@ def test_mix_places_every_row_once(spark):
 
 
 def test_mix_edge_cases(spark, odd):
-    rows = pfair_mix.mix_sources(odd, pfair_mix.source_weights(odd, 0.5), 64).collect()
-    assert len(rows) == len(ODD)
-    assert pfair_mix.in_mixed_order(odd, pfair_mix.source_weights(odd, 0.5), 64).columns == odd.columns
+    weights = pfair_mix.root_weights(pfair_mix.source_sizes(odd))
+    rows = pfair_mix.mix_sources(odd, weights, block_bytes=64).collect()
+    assert len(rows) == len(ODD) and all(isinstance(r.mix_slot, int) for r in rows)
+    assert pfair_mix.in_mixed_order(odd, weights, block_bytes=64).columns == odd.columns
     assert pfair_mix.mix_sources(empty(spark), {}).count() == 0
     with pytest.raises(Exception, match="no weight for source"):
         pfair_mix.mix_sources(odd, {"a": 1.0}).collect()
@@ -189,9 +212,9 @@ def test_mix_edge_cases(spark, odd):
 
 def test_mixed_order_is_written(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    weights = pfair_mix.source_weights(docs, 0.5)
-    slots = {r.doc_id: (r.mix_slot, r.mix_offset) for r in pfair_mix.mix_sources(docs, weights, 1000).collect()}
-    ordered = [slots[r.doc_id] for r in pfair_mix.in_mixed_order(docs, weights, 1000).collect()]
+    weights = pfair_mix.root_weights(pfair_mix.source_sizes(docs))
+    slots = {r.doc_id: (r.mix_slot, r.mix_offset) for r in pfair_mix.mix_sources(docs, weights, block_bytes=1000).collect()}
+    ordered = [slots[r.doc_id] for r in pfair_mix.in_mixed_order(docs, weights, block_bytes=1000).collect()]
     assert ordered == sorted(ordered) and len(ordered) == len(slots)
 
 
@@ -230,7 +253,7 @@ def test_pipeline_stages(spark):
 def test_sequences_follow_the_mix(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text").cache()
-    weights = pfair_mix.source_weights(docs, queries.MIX_ALPHA)
+    weights = pfair_mix.root_weights(pfair_mix.source_sizes(docs))
     placed = pfair_mix.mix_sources(docs, weights).drop("text").collect()
     slot = {r.doc_id: r.mix_slot for r in placed}
     rows = corpus_pipeline.pack(spark, docs, sf).collect()
@@ -242,16 +265,15 @@ def test_sequences_follow_the_mix(spark):
         by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
     assert all(sum(n for _, n in x) <= 1024 and all(a + n == b for (a, n), (b, _) in zip(sorted(x), sorted(x)[1:], strict=False)) for x in by_sequence.values())
     # The blocks of each source in any first stretch are within one of its weight, until a source is spent.
-    period = max(pfair_mix.PERIOD, 2 * len(weights))
-    shares = pfair_mix.whole_shares(weights, period)
+    total = sum(weights.values())
     source_of = {r.mix_slot: r.source or "" for r in placed}
     last: dict[str, int] = {}
     for r in placed:
         last[r.source or ""] = max(last.get(r.source or "", 0), r.mix_slot)
     assert len(set(in_order)) > 10
     for end in sorted(x for x in set(in_order) if x <= min(last.values())):
-        for s, share in shares.items():
-            assert abs(sum(source_of[x] == s for x in set(in_order) if x <= end) - Fraction(share * (end + 1), period)) < 1
+        for s, weight in weights.items():
+            assert abs(sum(source_of[x] == s for x in set(in_order) if x <= end) - Fraction(weight * (end + 1), total)) < 1
 
 
 def test_pipeline_runs_whole(spark):

@@ -125,7 +125,6 @@ def check_packing(rows, texts, capacity):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(queries._tokenizer_file("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     want = []
     for doc_id, text in texts:
         ids = np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
@@ -149,13 +148,13 @@ def check_packing(rows, texts, capacity):
 def test_packing_round_trip(spark, odd):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     check_packing(queries.op5_packing(spark, SF).collect(), [(r.doc_id, r.text) for r in docs.collect()], 1024)
-    check_packing(packing.pack_documents(odd, queries.packing_vocabulary(), 64).collect(), [r[:2] for r in ODD], 64)
-    assert packing.pack_documents(empty(spark), queries.packing_vocabulary()).count() == 0
+    check_packing(packing.pack_documents(odd, queries.document_vocabulary(), 64).collect(), [r[:2] for r in ODD], 64)
+    assert packing.pack_documents(empty(spark), queries.document_vocabulary()).count() == 0
 
 
 def test_tokenize_keeps_ids(spark):
     docs = spark.createDataFrame([(1, "one two three " * 10)], "doc_id long, text string")
-    rows = packing.tokenize(docs, queries.packing_vocabulary(), 8, keep_ids=True).orderBy("piece").collect()
+    rows = packing.tokenize(docs, queries.document_vocabulary(), 8, keep_ids=True).orderBy("piece").collect()
     assert all(zlib.crc32(np.array(r.ids, "<u4")) == r.ids_crc32 and len(r.ids) == r.length for r in rows) and len(rows[-1].ids) == 8
 
 
@@ -169,6 +168,8 @@ def test_ids_equal_the_default_tokenizer(spark, tmp_path):
     found = {r.doc_id: list(r.ids) for r in packing.tokenize(docs, queries.document_vocabulary(), keep_ids=True).collect()}
     assert found == {k: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for k, t in enumerate(texts)}
     assert found[0] == [64, 220, 50256, 275, 2]
+    runs = ["a" + " " * 1_200_000 + "b\n" + "\n" * 150_000, "x" * 300_000, "é" * 50_000 + " " * 99_999]
+    assert [packing.encoded(queries.document_vocabulary(), t) for t in runs] == [tokenizer.encode(t, add_special_tokens=False).ids for t in runs]
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     crc = {r.doc_id: r.ids_crc32 for r in queries.op5_packing(spark, str(tmp_path)).collect()}
     assert crc == {k: zlib.crc32(np.array(ids, "<u4")) for k, ids in found.items()}
