@@ -165,6 +165,27 @@ def test_lattice_equals_plain_recursion():
     assert lattice.log_probability([b"z"], scores)[0] == -np.inf
 
 
+def test_long_words_take_runs_of_positions(monkeypatch):
+    """A long word is scored and used as in a table, and a very long one of random bytes in seconds."""
+    import time
+
+    from framelake.llm import lattice as module
+
+    rng = random.Random(4)
+    pieces = tuple({bytes(rng.choices(b"abc", k=rng.randint(1, 6))) for _ in range(60)} | {b"a", b"b", b"c", b" ", b" a", b" ab", b"abcabcabcabcabc"})
+    lattice, words = Lattice(pieces), [bytes(rng.choices(b"abc", k=n)) for n in (9, 40, 90, 300)] + [b"abc" * 60, b"ax"]
+    scores, weights = np.log(np.random.default_rng(2).dirichlet(np.ones(len(lattice)), 2).T), np.random.default_rng(3).random((len(words), 2))
+    want, uses = lattice.log_probability(words, scores), lattice.expected_counts(words, weights, scores[:, 0])
+    monkeypatch.setattr(module, "LONG_BYTES", 20)
+    monkeypatch.setattr(module, "RUN_BYTES", 16)
+    assert np.allclose(lattice.log_probability(words, scores), want) and np.allclose(lattice.expected_counts(words, weights, scores[:, 0]), uses, rtol=1e-4)
+    monkeypatch.undo()
+    whole = Lattice(tuple({bytes([k]) for k in range(256)} | {bytes(rng.choices(b"abcdefgh", k=rng.randint(2, 5))) for _ in range(5_000)}))
+    began = time.time()
+    assert np.isfinite(whole.log_probability([bytes(rng.choices(b"abcdefghijklmnop", k=200_000))], np.full(len(whole), -8.0))).all()
+    assert time.time() - began < 20
+
+
 def test_base_scores_and_counts_equal_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     end = object()
