@@ -54,7 +54,7 @@ def nal_kind(unit_type: Column) -> Column:
 
 
 def track_kind(handler: Column) -> Column:
-    return F.when(handler == "vide", "Video").when(handler == "soun", "Audio").when(handler.isin("sbtl", "subt", "text"), "Subtitle").when(handler == "meta", "Metadata").otherwise("Unknown")
+    return F.when(handler == "vide", "Video").when(handler == "soun", "Audio").when(handler.isin("sbtl", "subt", "text", "clcp"), "Subtitle").when(handler == "meta", "Metadata").otherwise("Unknown")
 
 
 def is_mp4(path: Column, content: Column) -> Column:
@@ -70,6 +70,39 @@ def chroma_qp(luma_qp: Column, offset: int) -> Column:
     return F.when(index < 30, index).otherwise(F.element_at(F.array(*map(F.lit, table)), F.greatest(index - 29, F.lit(1)).cast("int")))
 
 
+#: Planes of a pixel format, and how often its chroma is halved across and down; null without chroma planes.
+PIXEL_FORMATS = {"nv12": (2, 1, 1), "p010": (2, 1, 1), "bgra8": (1, None, None), "rgba8": (1, None, None), "i420": (3, 1, 1), "i422": (3, 1, 0), "i440": (3, 0, 1), "i444": (3, 0, 0)}
+
+
+def pixel_layout(name: Column, across: Column, down: Column) -> Column:
+    """struct(planes, across, down, is_420) of a pixel format; ``across`` and ``down`` are those of planar 16-bit ones. Null for unknown names."""
+    of = lambda k: F.coalesce(*(F.when(name == n, F.lit(v[k])) for n, v in PIXEL_FORMATS.items()))
+    wide = name == "planar_yuv16"
+    planes = F.when(wide, F.lit(3)).otherwise(of(0))
+    halved = [F.when(wide, own.cast("int")).otherwise(of(k).cast("int")) for k, own in ((1, across), (2, down))]
+    is_420 = F.coalesce((halved[0] == 1) & (halved[1] == 1), F.lit(False))
+    return F.when(planes.isNotNull(), F.struct(planes.alias("planes"), halved[0].alias("across"), halved[1].alias("down"), is_420.alias("is_420")))
+
+
+#: Matrix, primaries and transfer of each colour space of VP9, by its number; a number in brackets is passed on as it is.
+VP9_COLOURS = [
+    ("bt601", "unspecified", "unspecified"),
+    ("bt709", "bt709", "bt709"),
+    ("smpte170m", "bt601_525", "smpte170m"),
+    ("other(7)", "other(7)", "other(7)"),
+    ("bt2020_ncl", "bt2020", "bt2020_10"),
+    ("unspecified", "unspecified", "unspecified"),
+    ("other(0)", "other(11)", "unspecified"),
+    ("identity", "bt709", "srgb"),
+]
+
+
+def vp9_colour(number: Column) -> Column:
+    """struct(matrix, primaries, transfer) of a VP9 colour space: 0 BT.601, 1 BT.709, 2 SMPTE-170, 3 SMPTE-240, 4 BT.2020, 5 reserved, 6 SMPTE-431, 7 sRGB; null beyond."""
+    table = F.array(*(F.struct(F.lit(m).alias("matrix"), F.lit(p).alias("primaries"), F.lit(t).alias("transfer")) for m, p, t in VP9_COLOURS))
+    return F.when(number.between(0, 7), F.get(table, number.cast("int")))
+
+
 def implicit_weight(current: Column, first: Column, second: Column) -> Column:
     """Weight of the second reference (of 64 in all) from picture order counts; 32 where the rule does not apply."""
     clip = lambda x: F.least(F.greatest(x, F.lit(-128)), F.lit(127)).cast("long")

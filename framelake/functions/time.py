@@ -31,9 +31,13 @@ def rescale(value: Column, from_scale: Column, to_scale: Column) -> Column:
 
 
 def parse_seconds(text: Column) -> Column:
-    """Decimal seconds as an exact media time: whole digits, then at most nine after the point. ``1.`` fits, ``.5`` does not."""
-    pattern = r"^(\d{1,9})(?:\.(\d{0,9}))?$"
+    """Decimal seconds as an exact media time: whole digits, then at most nine after the point. ``1.`` fits, ``.5`` does not.
+
+    Null where the value in its own timescale is over 64 bits.
+    """
+    pattern = r"^(\d+)(?:\.(\d{0,9}))?$"
     fraction = F.regexp_extract(text, pattern, 2)
     scale = F.rpad(F.lit("1"), F.length(fraction) + 1, F.lit("0")).cast("long")
-    digits = F.concat(F.regexp_extract(text, pattern, 1), fraction).cast("long")
-    return F.when(text.rlike(pattern), media_time(digits, scale))
+    digits = F.regexp_replace(F.concat(F.regexp_extract(text, pattern, 1), fraction), r"^0+(?=\d)", "")
+    value = F.when(F.length(digits) <= 19, digits.try_cast("decimal(19,0)"))
+    return F.when(text.rlike(pattern) & (value <= (1 << 63) - 1), media_time(value, scale))

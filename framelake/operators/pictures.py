@@ -8,12 +8,49 @@ from pyspark.sql import functions as F
 from framelake.operators.asof import as_of
 
 
-def whole_frame_numbers(rows: DataFrame, stream: list[str], order: list[str], frame_num: str, modulus: int) -> DataFrame:
-    """``rows`` with abs_frame_num: frame_num plus a turn for each time it has fallen; streams begin anew with an epoch."""
-    w = Window.partitionBy(*stream).orderBy(*order)
+def _epochs(rows: DataFrame, stream: list[str], order: list[str], begins: Column | None) -> DataFrame:
+    """``rows`` with _epoch: how many rows that begin one have come, each of them included."""
+    w = Window.partitionBy(*stream).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_epoch", F.lit(0) if begins is None else F.count_if(F.coalesce(begins, F.lit(False))).over(w))
+
+
+def whole_frame_numbers(rows: DataFrame, stream: list[str], order: list[str], frame_num: str, modulus: int, is_idr: str | None = None) -> DataFrame:
+    """``rows`` with abs_frame_num: frame_num plus a turn for each time it has fallen; each row with ``is_idr`` begins anew."""
+    rows = _epochs(rows, stream, order, F.col(is_idr) if is_idr else None)
+    w = Window.partitionBy(*stream, "_epoch").orderBy(*order)
     turned = rows.withColumn("_turn", F.coalesce((F.lag(frame_num).over(w) > F.col(frame_num)).cast("long"), F.lit(0)))
     turns = F.sum("_turn").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return turned.withColumn("abs_frame_num", (turns * modulus + F.col(frame_num)).cast("long")).drop("_turn")
+    return turned.withColumn("abs_frame_num", (turns * modulus + F.col(frame_num)).cast("long")).drop("_turn", "_epoch")
+
+
+def order_counts_by_lsb(rows: DataFrame, stream: list[str], order: list[str], lsb: str, modulus: int, is_reference: str, is_idr: str, resets: str, delta_bottom: str, is_field: str, is_bottom: str) -> DataFrame:
+    """``rows`` with top and bottom picture order counts from their low bits (type 0).
+
+    A row is compared with the reference before it: falling by at least half
+    of ``modulus`` is a turn upwards, rising by more than half one downwards.
+    An IDR picture is compared with 0, and so is the first row of a stream. A
+    reference that ``resets`` (memory operation 5) stands at its own counts
+    less the lesser of them, and what follows is compared with its top; a
+    bottom field stands at 0. A field has one of the two counts, the other is
+    null.
+    """
+    w = Window.partitionBy(*stream).orderBy(*order)
+    reset = F.col(resets) & F.col(is_reference)
+    after = F.coalesce(F.lag(reset).over(w), F.lit(False))
+    start = F.when(after & ~F.col(is_idr), F.greatest(F.lit(0), F.when(F.lag(is_field).over(w), F.lit(0)).otherwise(-F.lag(delta_bottom).over(w)))).otherwise(F.lit(0))
+    rows = rows.withColumns({"_begins": after | F.col(is_idr), "_start": start})
+    rows = _epochs(rows, stream, order, F.col("_begins"))
+    inside = Window.partitionBy(*stream, "_epoch").orderBy(*order)
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.last(F.when(F.col(is_reference), F.col(lsb)), ignorenulls=True).over(earlier), F.first("_start").over(inside))
+    half = modulus // 2
+    rows = rows.withColumn("_before", before)
+    rows = rows.withColumn("_turn", F.when(F.col("_before") - F.col(lsb) >= half, 1).when(F.col(lsb) - F.col("_before") > half, -1).otherwise(0))
+    turns = F.coalesce(F.sum(F.when(F.col(is_reference), F.col("_turn"))).over(earlier), F.lit(0)) + F.col("_turn")
+    value = (turns * modulus + F.col(lsb)).cast("long")
+    top = F.when(~(F.col(is_field) & F.col(is_bottom)), value)
+    bottom = F.when(~F.col(is_field), value + F.col(delta_bottom)).when(F.col(is_bottom), value).cast("long")
+    return rows.withColumns({"top": top, "bottom": bottom}).drop("_begins", "_start", "_epoch", "_before", "_turn")
 
 
 def order_count_by_cycle(abs_frame_num: Column, is_reference: Column, is_idr: Column, offsets: list[int], non_reference_offset: int, delta: Column) -> Column:
@@ -37,15 +74,22 @@ def order_count_by_frame(abs_frame_num: Column, is_reference: Column, is_idr: Co
     return F.when(is_idr, F.lit(0)).otherwise(2 * abs_frame_num - F.when(is_reference, F.lit(0)).otherwise(F.lit(1))).cast("long")
 
 
-def retained_references(rows: DataFrame, stream: list[str], order: list[str], index: str, is_reference: str, most: int) -> DataFrame:
-    """``rows`` with references: the ``most`` latest earlier reference rows of the stream, latest first."""
+def retained_references(rows: DataFrame, stream: list[str], order: list[str], index: str, is_reference: str, most: int, is_idr: str | None = None) -> DataFrame:
+    """``rows`` with references: the ``most`` latest earlier reference rows of the stream, latest first.
+
+    A row with ``is_idr`` clears them. Frame numbers rise from reference to
+    reference and turn over, so the least by wrapped number is the oldest; the
+    rule holds as long as no reference is kept over a whole turn.
+    """
+    rows = _epochs(rows, stream, order, F.col(is_idr) if is_idr else None)
+    stream = [*stream, "_epoch"]
     w = Window.partitionBy(*stream).orderBy(*order)
     numbered = rows.withColumn("_n", F.sum(F.col(is_reference).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     # Among the references alone the frame has a fixed number of rows.
     refs = numbered.where(is_reference).withColumn("_held", F.reverse(F.collect_list(index).over(w.rowsBetween(-(most - 1), 0)))).select(*stream, F.col("_n").alias("_last"), "_held")
     before = numbered.withColumn("_last", F.col("_n") - F.col(is_reference).cast("long"))
     joined = before.join(refs, [*stream, "_last"], "left")
-    return joined.withColumn("references", F.coalesce("_held", F.array().cast("array<bigint>"))).drop("_n", "_last", "_held")
+    return joined.withColumn("references", F.coalesce("_held", F.array().cast("array<bigint>"))).drop("_n", "_last", "_held", "_epoch")
 
 
 #: Entries of a reference buffer as the list functions take them.

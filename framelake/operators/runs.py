@@ -90,6 +90,50 @@ def fuse_sample_tables(durations: DataFrame, compositions: DataFrame, chunks: Da
     return rows.select(*track, "sample_index", "offset", "size", "dts", (F.col("dts") + F.coalesce("shift", F.lit(0))).cast("long").alias("pts"), "duration", "description", sync.alias("sync"))
 
 
+def sample_table_errors(durations: DataFrame, compositions: DataFrame, chunks: DataFrame, chunk_runs: DataFrame, sizes: DataFrame, syncs: DataFrame, track: list[str]) -> DataFrame:
+    """(track, error) of what forbids to fuse the tables of a track; a sound track has no row.
+
+    The tables are those of fuse_sample_tables. The number of samples is that
+    of ``sizes``; a track without compositions or sync samples has none to
+    check. Rows with a null count say nothing.
+    """
+    counted = lambda rows, kind, n: rows.select(*track, F.lit(kind).alias("_kind"), n.cast("long").alias("_n"))
+    covered = chunks.select(*track).distinct()
+    parts = [
+        counted(durations, "stts", F.col("count")),
+        counted(compositions, "ctts", F.col("count")),
+        counted(chunk_samples(chunks, chunk_runs, track), "stsc", F.col("samples_per_chunk")),
+        counted(chunk_runs.groupBy(*track).agg(F.min("first_chunk").alias("_first")), "first", F.col("_first")),
+        counted(sizes, "stsz", F.lit(1)),
+        counted(syncs, "stss", F.col("sample_number")),
+        counted(covered, "chunks", F.lit(1)),
+    ]
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    of = lambda kind: F.when(F.col("_kind") == kind, F.col("_n"))
+    per = rows.groupBy(*track).agg(
+        *(F.sum(of(k)).alias(k) for k in ("stts", "ctts", "stsc", "stsz")),
+        F.count_if((F.col("_kind") == "stts") & (F.col("_n") == 0)).alias("_empty"),
+        F.min(of("stss")).alias("_low"),
+        F.max(of("stss")).alias("_high"),
+        F.count(of("stss")).alias("_marks"),
+        F.count_distinct(of("stss")).alias("_distinct"),
+        F.min(of("first")).alias("_first"),
+    )
+    n = F.coalesce("stsz", F.lit(0))
+    errors = F.array(
+        F.when(F.col("_empty") > 0, "stts entry has zero samples"),
+        F.when(F.coalesce("stts", F.lit(0)) != n, "stts sample count does not match stsz"),
+        F.when(F.col("ctts") != n, "ctts sample count does not match stsz"),
+        F.when(F.coalesce("stsc", F.lit(0)) != n, "stsc sample count does not match stsz"),
+        F.when(F.col("_first") != 1, "stsc does not begin with chunk 1"),
+        F.when((F.col("_low") < 1) | (F.col("_high") > n), "stss sample number is out of range"),
+        F.when(F.col("_marks") > F.col("_distinct"), "stss sample number is repeated"),
+    )
+    return per.select(*track, F.explode(F.array_compact(errors)).alias("error"))
+
+
 def timeline_offset(edits: DataFrame, track: list[str]) -> DataFrame:
     """Per track the shift of its timeline: leading empty edits in media time less the start of its one media edit.
 

@@ -161,6 +161,12 @@ def reorder_bounded(rows: DataFrame, stream: list[str], order: list[str], value:
     return ranked.join(places, [*stream, "_at"]).drop("_at")
 
 
+def drained_order(rows: DataFrame, stream: list[str], order: list[str], value: str) -> DataFrame:
+    """``rows`` with output_index: the place in which a buffer as deep as the stream releases them, by ``value``, then decode order."""
+    w = Window.partitionBy(*stream).orderBy(value, *order)
+    return rows.withColumn("output_index", (F.row_number().over(w) - 1).cast("long"))
+
+
 def retain_spaced(rows: DataFrame, stream: list[str], order: list[str], index: str, spacing: int) -> DataFrame:
     """``rows`` with retained: whether ``index`` lies ``spacing`` or more from the last retained one. The first is retained."""
     keyed = rows.repartition(*stream).sortWithinPartitions(*stream, *order)

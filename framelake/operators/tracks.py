@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.scalars import big_endian, track_kind
@@ -37,9 +37,47 @@ def raw_table(files: DataFrame, kind: str) -> DataFrame:
     width, columns = TABLES[kind]
     rows = full_box_entries(box_payloads(files, [kind]), width)
     values = [big_endian(F.col("data"), at, size).alias(name) for name, at, size in columns]
+    if kind == "ctts":
+        # From version 1 on the shifts are signed.
+        values[1] = F.when(F.col("version") > 0, _signed(big_endian(F.col("data"), 4, 4))).otherwise(big_endian(F.col("data"), 4, 4)).alias("shift")
     return _of_track(rows, track_numbers(files)).select("path", "track", (F.col("entry") + 1).alias("run"), (F.col("entry") + 1).alias("chunk"), *values)
 
 
+def _signed(number: Column) -> Column:
+    """An unsigned number of 32 bits read as a signed one."""
+    return F.when(number >= 1 << 31, number - (1 << 32)).otherwise(number)
+
+
+def edit_lists(files: DataFrame) -> DataFrame:
+    """(path, track, ordinal, segment_duration, media_time, rate_int, rate_fraction, error) of the edit lists.
+
+    A media time of -1 is an empty edit. A list with flags, of an unknown
+    version, of another length than its count says or with a time under -1
+    gives one row with its error and nulls.
+    """
+    found = _of_track(box_payloads(files, ["elst"]).select("path", "parent", "payload"), track_numbers(files))
+    at = lambda first, size: big_endian(F.col("payload"), first, size)
+    wide = lambda first: F.conv(F.hex(F.expr(f"substring(payload, cast({first} + 1 as int), 8)")), 16, -10).cast("long")
+    narrow = lambda first, size: F.conv(F.hex(F.expr(f"substring(payload, cast({first} + 1 as int), {size})")), 16, 10).cast("long")
+    sized = found.withColumns({"_version": at(0, 1), "_flags": at(1, 3), "_n": at(4, 4)}).withColumn("_width", F.when(F.col("_version") == 0, 12).otherwise(20))
+    shape = F.when((F.col("_version") > 1) | (F.col("_flags") != 0), "unsupported version or flags").when(F.length("payload") != 8 + F.col("_n") * F.col("_width"), "length differs from count")
+    shaped = sized.withColumn("_shape", shape)
+    each = shaped.withColumn("ordinal", F.explode_outer(F.when(F.col("_shape").isNull() & (F.col("_n") > 0), F.expr("sequence(0L, _n - 1)")))).where("_n > 0 or _shape is not null")
+    first, old = "8 + ordinal * _width", F.col("_version") == 0
+    half = lambda x: F.when(x >= 1 << 15, x - (1 << 16)).otherwise(x)
+    rows = each.select(
+        "path",
+        "track",
+        "ordinal",
+        F.when(old, narrow(first, 4)).otherwise(wide(first)).alias("segment_duration"),
+        F.when(old, _signed(narrow(f"{first} + 4", 4))).otherwise(wide(f"{first} + 8")).alias("media_time"),
+        half(narrow(f"{first} + _width - 4", 2)).alias("rate_int"),
+        half(narrow(f"{first} + _width - 2", 2)).alias("rate_fraction"),
+        F.col("_shape").alias("error"),
+    )
+    return rows.withColumn("error", F.coalesce("error", F.when(F.col("media_time") < -1, "media time under -1")))
+
+
 def sample_sizes(files: DataFrame) -> DataFrame:
     """(path, track, sample_index, size): one size for all samples, or a list of them."""
     found = box_payloads(files, ["stsz"])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions import audio, scalars
 from framelake.functions import time as media
-from framelake.operators import asof, packets, pictures, runs, seek, streams, summaries, tracks
+from framelake.operators import asof, fragments, packets, pictures, runs, seek, streams, summaries, tracks
 from framelake.sources import bitstreams, mp4
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +89,123 @@ def sample_table_fusion(spark, sf_dir):
     )
 
 
+_TABLE_RUNS = "SELECT l_partkey % 20 AS track, l_suppkey AS run, count(*) AS n FROM lineitem GROUP BY ALL"
+
+
+@query(
+    "b1_table_errors",
+    f"""WITH g AS ({_TABLE_RUNS}), first AS (SELECT track, min(run) AS low FROM g GROUP BY track), n AS (SELECT track, CAST(sum(n) AS BIGINT) AS n FROM g GROUP BY track),
+    stts AS (SELECT track, sum(CASE WHEN track % 2 = 1 AND run % 7 = 0 THEN 0 ELSE n END) AS s, count(*) FILTER (WHERE track % 2 = 1 AND run % 7 = 0) AS empty_ FROM g GROUP BY track),
+    ctts AS (SELECT track, sum(n + 1) AS s FROM g WHERE track % 4 = 0 GROUP BY track),
+    stsc AS (SELECT track, sum(n + CASE WHEN track % 5 = 0 THEN 1 ELSE 0 END) AS s FROM g GROUP BY track),
+    stss AS (SELECT o_orderkey % 20 AS track, min(o_orderkey // 20) AS low, max(o_orderkey // 20) AS high FROM orders WHERE o_orderkey % 20 % 3 = 0 GROUP BY ALL),
+    e AS (
+      SELECT track, 'stts entry has zero samples' AS error FROM stts WHERE empty_ > 0 UNION ALL
+      SELECT track, 'stts sample count does not match stsz' FROM stts JOIN n USING (track) WHERE s <> n UNION ALL
+      SELECT track, 'ctts sample count does not match stsz' FROM ctts JOIN n USING (track) WHERE s <> n UNION ALL
+      SELECT track, 'stsc sample count does not match stsz' FROM stsc JOIN n USING (track) WHERE s <> n UNION ALL
+      SELECT track, 'stsc does not begin with chunk 1' FROM first WHERE low <> 1 UNION ALL
+      SELECT track, 'stss sample number is out of range' FROM stss JOIN n USING (track) WHERE low < 1 OR high > n)
+    SELECT * FROM e""",
+)
+def table_errors(spark, sf_dir):
+    """Runs of time, chunks and sizes from order lines by supplier, some of them spoilt."""
+    lines = _table(spark, sf_dir, "lineitem").selectExpr("l_partkey % 20 as track", "l_suppkey as run")
+    groups = lines.groupBy("track", "run").agg(F.count(F.lit(1)).alias("n"))
+    marks = _table(spark, sf_dir, "orders").where("o_orderkey % 20 % 3 = 0").selectExpr("o_orderkey % 20 as track", "o_orderkey div 20 as sample_number")
+    return runs.sample_table_errors(
+        groups.selectExpr("track", "run", "case when track % 2 = 1 and run % 7 = 0 then 0 else n end as count"),
+        groups.where("track % 4 = 0").selectExpr("track", "run", "n + 1 as count"),
+        groups.selectExpr("track", "run as chunk", "run * 1000 as chunk_offset"),
+        groups.selectExpr("track", "run as first_chunk", "n + case when track % 5 = 0 then 1 else 0 end as samples_per_chunk", "1 as description"),
+        lines,
+        marks,
+        ["track"],
+    )
+
+
+_FRAGMENTS = "SELECT o_orderkey AS fragment, CASE WHEN o_orderkey % 5 < 2 THEN o_orderkey * 7 END AS explicit, o_orderkey % 3 <> 0 AS base_is_moof, o_orderkey * 1000 AS moof FROM orders"
+
+
+@query(
+    "b13_data_bases",
+    f"""SELECT fragment, CASE WHEN explicit IS NOT NULL AND NOT base_is_moof THEN explicit WHEN explicit IS NULL AND base_is_moof THEN moof END AS base,
+    CASE WHEN explicit IS NOT NULL AND base_is_moof THEN 'invalid: two data bases' WHEN explicit IS NULL AND NOT base_is_moof THEN 'unsupported: no data base' END AS error FROM ({_FRAGMENTS})""",
+)
+def data_bases(spark, sf_dir):
+    rows = _table(spark, sf_dir, "orders").selectExpr("o_orderkey as fragment", "case when o_orderkey % 5 < 2 then o_orderkey * 7 end as explicit", "o_orderkey % 3 <> 0 as base_is_moof", "o_orderkey * 1000 as moof")
+    return rows.withColumn("_d", fragments.data_base(F.col("explicit"), F.col("base_is_moof"), F.col("moof"))).select("fragment", "_d.base", "_d.error")
+
+
+_DEFAULTS = "SELECT s_suppkey AS track, s_suppkey % 4 AS description, CASE WHEN s_suppkey % 6 > 0 THEN s_suppkey % 6 END AS duration, s_suppkey % 9 AS size, CASE WHEN s_suppkey % 7 > 0 THEN (s_suppkey % 2) * 65536 END AS flags FROM supplier UNION ALL SELECT s_suppkey, 1, 1, 1, 0 FROM supplier WHERE s_suppkey % 10 = 0"
+
+
+def _defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suppliers = _table(spark, sf_dir, "supplier")
+    twice = suppliers.where("s_suppkey % 10 = 0").selectExpr("s_suppkey as track", "1L as description", "1L as duration", "1L as size", "0L as flags")
+    once = suppliers.selectExpr("s_suppkey as track", "s_suppkey % 4 as description", "nullif(s_suppkey % 6, 0) as duration", "s_suppkey % 9 as size", "case when s_suppkey % 7 > 0 then s_suppkey % 2 * 65536 end as flags")
+    return fragments.track_defaults(once.unionByName(twice), ["track"])
+
+
+@query(
+    "b15_track_defaults",
+    f"""SELECT track, min(description) AS description, min(duration) AS duration, min(size) AS size, min(flags) AS flags,
+    CASE WHEN count(*) > 1 THEN 'invalid: duplicate track' WHEN min(description) = 0 THEN 'invalid: no description' END AS error FROM ({_DEFAULTS}) GROUP BY track""",
+)
+def track_defaults(spark, sf_dir):
+    return _defaults(spark, sf_dir)
+
+
+@query(
+    "b14_fragment_samples",
+    f"""WITH d AS (SELECT track, min(duration) AS duration, min(size) AS size, min(flags) AS flags FROM ({_DEFAULTS}) GROUP BY track),
+    s AS (SELECT l_orderkey AS fragment, l_orderkey % 50 + 1 AS track, l_linenumber AS run, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k,
+                 CASE WHEN l_partkey % 3 > 0 THEN l_partkey % 40 END AS duration, CASE WHEN l_suppkey % 3 > 0 THEN l_suppkey % 90 END AS size, CASE WHEN l_partkey % 5 > 0 THEN (l_partkey % 4) * 65536 // 2 END AS flags FROM lineitem),
+    f AS (SELECT fragment, s.track, run, k, coalesce(s.duration, d.duration) AS duration, coalesce(s.size, d.size) AS size, coalesce(s.flags, d.flags) AS flags,
+                 CASE WHEN (fragment + run) % 3 > 0 AND run <> 2 THEN fragment * 100 + run * 10 END AS start_ FROM s LEFT JOIN d ON d.track = s.track),
+    b AS (SELECT *, coalesce(duration <= 0, true) OR coalesce(size <= 0, true) AS bad, k = 1 AND start_ IS NOT NULL AS starts FROM f),
+    i AS (SELECT *, count(*) FILTER (WHERE starts) OVER w AS island, count(*) FILTER (WHERE bad) OVER w > 0 AS lost FROM b WINDOW w AS (PARTITION BY fragment ORDER BY run, k))
+    SELECT fragment, track, run, k, CAST(CASE WHEN NOT lost THEN max(CASE WHEN starts THEN start_ END) OVER (PARTITION BY fragment, island)
+             + coalesce(sum(CASE WHEN NOT bad THEN size END) OVER (PARTITION BY fragment, island ORDER BY run, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS BIGINT) AS "offset", size, duration,
+           (flags & 65536) = 0 AS sync,
+           CASE WHEN island = 0 THEN 'unsupported: first run has no data offset' WHEN coalesce(duration <= 0, true) THEN 'invalid: sample has no duration'
+                WHEN coalesce(size <= 0, true) THEN 'invalid: sample has no size' WHEN flags IS NULL THEN 'invalid: sample has no flags' END AS error FROM i""",
+)
+def fragment_samples(spark, sf_dir):
+    """Order lines as samples of the fragment that is their order, a run for each line number."""
+    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    lines = _table(spark, sf_dir, "lineitem").withColumn("k", F.row_number().over(w))
+    samples = lines.selectExpr(
+        "l_orderkey as fragment", "l_orderkey % 50 + 1 as track", "l_linenumber as run", "k", "case when l_partkey % 3 > 0 then l_partkey % 40 end as duration",
+        "case when l_suppkey % 3 > 0 then l_suppkey % 90 end as size", "case when l_partkey % 5 > 0 then l_partkey % 4 * 65536 div 2 end as flags",
+    )
+    starts = samples.select("fragment", "run").distinct().selectExpr("fragment", "run", "fragment * 100 as base", "case when (fragment + run) % 3 > 0 and run <> 2 then run * 10 end as data_offset")
+    return fragments.fragment_samples(samples, starts, _defaults(spark, sf_dir), ["fragment"], ["track"])
+
+
+@query(
+    "i20_pixel_layouts",
+    """SELECT p_partkey AS id, name, CASE WHEN name IN ('nv12', 'p010') THEN 2 WHEN name IN ('bgra8', 'rgba8') THEN 1 WHEN name <> 'other' THEN 3 END AS planes,
+    CASE WHEN name IN ('nv12', 'p010', 'i420', 'i422') THEN 1 WHEN name IN ('i440', 'i444') THEN 0 WHEN name = 'planar_yuv16' THEN p_size % 2 END AS across,
+    CASE WHEN name IN ('nv12', 'p010', 'i420', 'i440') THEN 1 WHEN name IN ('i422', 'i444') THEN 0 WHEN name = 'planar_yuv16' THEN p_size // 2 % 2 END AS down,
+    CASE WHEN name <> 'other' THEN name IN ('nv12', 'p010', 'i420') OR (name = 'planar_yuv16' AND p_size % 4 = 3) END AS is_420
+    FROM (SELECT *, ['nv12', 'p010', 'bgra8', 'rgba8', 'i420', 'i422', 'i440', 'i444', 'planar_yuv16', 'other'][p_partkey % 10 + 1] AS name FROM part)""",
+)
+def pixel_layouts(spark, sf_dir):
+    names = "array('nv12', 'p010', 'bgra8', 'rgba8', 'i420', 'i422', 'i440', 'i444', 'planar_yuv16', 'other')"
+    rows = _table(spark, sf_dir, "part").selectExpr("p_partkey as id", f"get({names}, cast(p_partkey % 10 as int)) as name", "p_size % 2 as a", "p_size div 2 % 2 as d")
+    return rows.withColumn("_l", scalars.pixel_layout(F.col("name"), F.col("a"), F.col("d"))).select("id", "name", "_l.planes", "_l.across", "_l.down", "_l.is_420")
+
+
+@query(
+    "i22_vp9_colours",
+    """SELECT event_id AS id, matrix, primaries, transfer FROM events LEFT JOIN (VALUES (0, 'bt601', 'unspecified', 'unspecified'), (1, 'bt709', 'bt709', 'bt709'), (2, 'smpte170m', 'bt601_525', 'smpte170m'),
+    (3, 'other(7)', 'other(7)', 'other(7)'), (4, 'bt2020_ncl', 'bt2020', 'bt2020_10'), (5, 'unspecified', 'unspecified', 'unspecified'), (6, 'other(0)', 'other(11)', 'unspecified'), (7, 'identity', 'bt709', 'srgb')) c(n, matrix, primaries, transfer) ON n = event_id % 9""",
+)
+def vp9_colours(spark, sf_dir):
+    return _events(spark, sf_dir).withColumn("_c", scalars.vp9_colour(F.col("i") % 9)).select(F.col("i").alias("id"), "_c.matrix", "_c.primaries", "_c.transfer")
+
+
 @query(
     "d6_chunk_run_lookup",
     "SELECT track, chunk, first, size FROM (SELECT k.track, k.chunk, r.first, r.size, r.nxt FROM (SELECT o_orderkey % 8 AS track, o_orderkey AS chunk FROM orders) k JOIN (SELECT p_partkey % 8 AS track, 5 * p_partkey AS first, p_size AS size, lead(5 * p_partkey) OVER (PARTITION BY p_partkey % 8 ORDER BY p_partkey) AS nxt FROM part) r "
@@ -257,8 +374,41 @@ def access_units(spark, sf_dir):
     return streams.access_units(_events(spark, sf_dir, *_SLICE), ["stream"], ["i"]).select("stream", "i", "new_picture", "picture_id")
 
 
-@query("f5_unwrapped_order_counts", "WITH e AS (SELECT user_id AS stream, event_id AS i, event_id % 16 AS lsb FROM events), s AS (SELECT *, lsb - lag(lsb) OVER (PARTITION BY stream ORDER BY i) AS d FROM e) SELECT stream, i, lsb, CAST(lsb + 16 * sum(CASE WHEN -d >= 8 THEN 1 WHEN d > 8 THEN -1 ELSE 0 END) OVER (PARTITION BY stream ORDER BY i) AS BIGINT) AS unwrapped FROM s")
-def unwrapped_order_counts(spark, sf_dir):
+_PICTURES = """SELECT user_id AS stream, event_id AS i, event_id // 20 % 16 AS fn, event_id % 16 AS lsb, event_type <> 'view' AS ref, event_id % 37 = 0 AS idr,
+    event_id % 11 = 0 AND event_type <> 'view' AND event_id % 37 <> 0 AS reset, event_id % 5 - 2 AS delta, event_id % 13 < 3 AS field, event_id % 2 = 0 AS bottom_field FROM events"""
+
+
+def _pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures with references, IDR pictures, resets, and fields among frames."""
+    return _events(
+        spark, sf_dir, "event_id div 20 % 16 as fn", "event_id % 16 as lsb", "event_type <> 'view' as ref", "event_id % 37 = 0 as idr",
+        "event_id % 11 = 0 and event_type <> 'view' and event_id % 37 <> 0 as reset", "event_id % 5 - 2 as delta", "event_id % 13 < 3 as field", "event_id % 2 = 0 as bottom_field",
+    )
+
+
+@query(
+    "f5_order_counts_by_lsb",
+    f"""WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY i) AS n FROM ({_PICTURES})),
+    r AS (
+      SELECT stream, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS i, CAST(NULL AS BIGINT) AS v, CAST(NULL AS BIGINT) AS delta, false AS field, false AS bottom_field,
+             CAST(0 AS BIGINT) AS msb, CAST(0 AS BIGINT) AS prev FROM p GROUP BY stream
+      UNION ALL
+      SELECT stream, n, i, m + lsb, delta, field, bottom_field,
+             CASE WHEN NOT ref THEN msb WHEN reset THEN 0 ELSE m END,
+             CASE WHEN NOT ref THEN prev WHEN reset THEN CASE WHEN field THEN 0 ELSE greatest(0, -delta) END ELSE lsb END
+      FROM (
+        SELECT *, CASE WHEN prev - lsb >= 8 THEN msb + 16 WHEN lsb - prev > 8 THEN msb - 16 ELSE msb END AS m
+        FROM (SELECT p.*, CASE WHEN p.idr THEN 0 ELSE r.msb END AS msb, CASE WHEN p.idr THEN 0 ELSE r.prev END AS prev FROM r JOIN p ON p.stream = r.stream AND p.n = r.n + 1)))
+    SELECT stream, i, CAST(CASE WHEN NOT (field AND bottom_field) THEN v END AS BIGINT) AS top,
+           CAST(CASE WHEN NOT field THEN v + delta WHEN bottom_field THEN v END AS BIGINT) AS bottom FROM r WHERE n > 0""",
+)
+def order_counts_by_lsb(spark, sf_dir):
+    rows = pictures.order_counts_by_lsb(_pictures(spark, sf_dir), ["stream"], ["i"], "lsb", 16, "ref", "idr", "reset", "delta", "field", "bottom_field")
+    return rows.select("stream", "i", "top", "bottom")
+
+
+@query("f5_unwrapped_counters", "WITH e AS (SELECT user_id AS stream, event_id AS i, event_id % 16 AS lsb FROM events), s AS (SELECT *, lsb - lag(lsb) OVER (PARTITION BY stream ORDER BY i) AS d FROM e) SELECT stream, i, lsb, CAST(lsb + 16 * sum(CASE WHEN -d >= 8 THEN 1 WHEN d > 8 THEN -1 ELSE 0 END) OVER (PARTITION BY stream ORDER BY i) AS BIGINT) AS unwrapped FROM s")
+def unwrapped_counters(spark, sf_dir):
     return streams.unwrap(_events(spark, sf_dir, "event_id % 16 as lsb"), ["stream"], ["i"], "lsb", 16)
 
 
@@ -301,7 +451,7 @@ def bounded_reorder(spark, sf_dir):
 def drained_order(spark, sf_dir):
     """A buffer that is as deep as the stream is long gives a full sort."""
     rows = _events(spark, sf_dir, "cast(floor(value * 1000) as bigint) as poc")
-    return streams.reorder_bounded(rows, ["stream"], ["i"], "poc", 1 << 30).drop("poc")
+    return streams.drained_order(rows, ["stream"], ["i"], "poc").drop("poc")
 
 
 @query("g8_frame_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
@@ -351,9 +501,17 @@ def compare_times(spark, sf_dir):
     return _table(spark, sf_dir, "orders").select(key.alias("i"), media.compare_times(media.media_time(key, 1 + other % 7), media.media_time(other, 1 + key % 5)).alias("side"))
 
 
-@query("i3_parse_seconds", "SELECT * FROM (VALUES ('1.5', 15, 10), ('1.', 1, 1), ('12', 12, 1), ('0.000000001', 1, 1000000000), ('.5', NULL, NULL), ('-1', NULL, NULL), ('x', NULL, NULL)) t(text, value, timescale)")
+_SECONDS = ["1.5", "1.", "12", "0.000000001", ".5", "-1", "x", "9223372036854775807", "9223372036854775808", "9223372036.854775807", "9223372036.854775808", "00000000000000000000000001.50", "1.0000000000"]
+
+
+@query(
+    "i3_parse_seconds",
+    """SELECT * FROM (VALUES ('1.5', 15, 10), ('1.', 1, 1), ('12', 12, 1), ('0.000000001', 1, 1000000000), ('.5', NULL, NULL), ('-1', NULL, NULL), ('x', NULL, NULL),
+    ('9223372036854775807', 9223372036854775807, 1), ('9223372036854775808', NULL, NULL), ('9223372036.854775807', 9223372036854775807, 1000000000), ('9223372036.854775808', NULL, NULL),
+    ('00000000000000000000000001.50', 150, 100), ('1.0000000000', NULL, NULL)) t(text, value, timescale)""",
+)
 def parse_seconds(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in ("1.5", "1.", "12", "0.000000001", ".5", "-1", "x")], "text string").withColumn("t", media.parse_seconds(F.col("text")))
+    rows = spark.createDataFrame([(x,) for x in _SECONDS], "text string").withColumn("t", media.parse_seconds(F.col("text")))
     return rows.select("text", "t.value", "t.timescale")
 
 
@@ -410,27 +568,40 @@ def boxes(spark, sf_dir):
     return mp4.boxes(spark.createDataFrame([("a.mp4", file), ("cut.mp4", file[:-4])], "path string, content binary"))
 
 
-@query("f6_order_counts_by_cycle", "WITH e AS (SELECT user_id AS stream, event_id AS i, event_id // 20 % 16 AS fn, event_type <> 'view' AS ref FROM events), o AS (SELECT *, CASE WHEN lag(fn) OVER (PARTITION BY stream ORDER BY i) > fn THEN 1 ELSE 0 END AS turn FROM e), a AS (SELECT *, CAST(sum(turn) OVER (PARTITION BY stream ORDER BY i) * 16 + fn AS BIGINT) AS abs_frame_num FROM o), w AS (SELECT *, CASE WHEN NOT ref AND abs_frame_num > 0 THEN abs_frame_num - 1 ELSE abs_frame_num END AS n FROM a) "
-       "SELECT stream, i, abs_frame_num, CAST(CASE WHEN n > 0 THEN (n - 1) // 3 * 9 + [2, 5, 9][(n - 1) % 3 + 1] ELSE 0 END + CASE WHEN ref THEN 0 ELSE -1 END AS BIGINT) AS poc FROM w")
+_WHOLE = f"""WITH e AS ({_PICTURES}), g AS (SELECT *, sum(CASE WHEN idr THEN 1 ELSE 0 END) OVER (PARTITION BY stream ORDER BY i) AS epoch FROM e),
+    o AS (SELECT *, CASE WHEN lag(fn) OVER (PARTITION BY stream, epoch ORDER BY i) > fn THEN 1 ELSE 0 END AS turn FROM g),
+    a AS (SELECT *, CAST(sum(turn) OVER (PARTITION BY stream, epoch ORDER BY i) * 16 + fn AS BIGINT) AS abs_frame_num FROM o)"""
+
+
+def _whole_frame_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pictures.whole_frame_numbers(_pictures(spark, sf_dir), ["stream"], ["i"], "fn", 16, "idr")
+
+
+@query(
+    "f6_order_counts_by_cycle",
+    f"""{_WHOLE}, w AS (SELECT *, CASE WHEN idr THEN 0 WHEN NOT ref AND abs_frame_num > 0 THEN abs_frame_num - 1 ELSE abs_frame_num END AS n FROM a)
+    SELECT stream, i, abs_frame_num, CAST(CASE WHEN n > 0 THEN (n - 1) // 3 * 9 + [2, 5, 9][(n - 1) % 3 + 1] ELSE 0 END + CASE WHEN ref THEN 0 ELSE -1 END AS BIGINT) AS poc FROM w""",
+)
 def order_counts_by_cycle(spark, sf_dir):
-    rows = pictures.whole_frame_numbers(_events(spark, sf_dir, "event_id div 20 % 16 as fn", "event_type <> 'view' as ref"), ["stream"], ["i"], "fn", 16)
-    return rows.select("stream", "i", "abs_frame_num", pictures.order_count_by_cycle(F.col("abs_frame_num"), F.col("ref"), F.lit(False), [2, 3, 4], -1, F.lit(0)).alias("poc"))
+    poc = pictures.order_count_by_cycle(F.col("abs_frame_num"), F.col("ref"), F.col("idr"), [2, 3, 4], -1, F.lit(0))
+    return _whole_frame_numbers(spark, sf_dir).select("stream", "i", "abs_frame_num", poc.alias("poc"))
 
 
-@query("f7_order_counts_by_frame", "WITH e AS (SELECT user_id AS stream, event_id AS i, event_id // 20 % 16 AS fn, event_type <> 'view' AS ref FROM events), o AS (SELECT *, CASE WHEN lag(fn) OVER (PARTITION BY stream ORDER BY i) > fn THEN 1 ELSE 0 END AS turn FROM e) SELECT stream, i, CAST(2 * (sum(turn) OVER (PARTITION BY stream ORDER BY i) * 16 + fn) - CASE WHEN ref THEN 0 ELSE 1 END AS BIGINT) AS poc FROM o")
+@query("f7_order_counts_by_frame", f"{_WHOLE} SELECT stream, i, CAST(CASE WHEN idr THEN 0 ELSE 2 * abs_frame_num - CASE WHEN ref THEN 0 ELSE 1 END END AS BIGINT) AS poc FROM a")
 def order_counts_by_frame(spark, sf_dir):
-    rows = pictures.whole_frame_numbers(_events(spark, sf_dir, "event_id div 20 % 16 as fn", "event_type <> 'view' as ref"), ["stream"], ["i"], "fn", 16)
-    return rows.select("stream", "i", pictures.order_count_by_frame(F.col("abs_frame_num"), F.col("ref"), F.lit(False)).alias("poc"))
+    return _whole_frame_numbers(spark, sf_dir).select("stream", "i", pictures.order_count_by_frame(F.col("abs_frame_num"), F.col("ref"), F.col("idr")).alias("poc"))
 
 
 @query(
     "f11_retained_references",
-    "WITH e AS (SELECT user_id AS stream, event_id AS i, event_type IN ('purchase', 'signup') AS ref FROM events), h AS (SELECT stream, i, list(i) FILTER (WHERE ref) OVER (PARTITION BY stream ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS refs FROM e) "
-    "SELECT stream, i, coalesce(array_to_string(list_reverse(refs[-4:]), ','), '') AS held FROM h",
+    """WITH e AS (SELECT user_id AS stream, event_id AS i, event_type IN ('purchase', 'signup') OR event_id % 37 = 0 AS ref, event_id % 37 = 0 AS idr FROM events),
+    g AS (SELECT *, sum(CASE WHEN idr THEN 1 ELSE 0 END) OVER (PARTITION BY stream ORDER BY i) AS epoch FROM e),
+    h AS (SELECT stream, i, list(i) FILTER (WHERE ref) OVER (PARTITION BY stream, epoch ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS refs FROM g)
+    SELECT stream, i, coalesce(array_to_string(list_reverse(refs[-4:]), ','), '') AS held FROM h""",
 )
 def retained_references(spark, sf_dir):
-    rows = _events(spark, sf_dir, "event_type in ('purchase', 'signup') as ref")
-    held = pictures.retained_references(rows, ["stream"], ["i"], "i", "ref", 4)
+    rows = _events(spark, sf_dir, "event_type in ('purchase', 'signup') or event_id % 37 = 0 as ref", "event_id % 37 = 0 as idr")
+    held = pictures.retained_references(rows, ["stream"], ["i"], "i", "ref", 4, "idr")
     return held.select("stream", "i", F.array_join(F.col("references").cast("array<string>"), ",").alias("held"))
 
 
@@ -495,9 +666,9 @@ def timed_packets(spark, sf_dir):
     return packets.packets(samples, timelines, ["stream"])
 
 
-@query("c2_track_kinds", "SELECT c_custkey AS track, CASE handler WHEN 'vide' THEN 'Video' WHEN 'soun' THEN 'Audio' WHEN 'text' THEN 'Subtitle' WHEN 'meta' THEN 'Metadata' ELSE 'Unknown' END AS kind FROM (SELECT c_custkey, ['vide', 'soun', 'text', 'meta', 'hint'][c_custkey % 5 + 1] AS handler FROM customer)")
+@query("c2_track_kinds", "SELECT c_custkey AS track, CASE handler WHEN 'vide' THEN 'Video' WHEN 'soun' THEN 'Audio' WHEN 'text' THEN 'Subtitle' WHEN 'clcp' THEN 'Subtitle' WHEN 'sbtl' THEN 'Subtitle' WHEN 'subt' THEN 'Subtitle' WHEN 'meta' THEN 'Metadata' ELSE 'Unknown' END AS kind FROM (SELECT c_custkey, ['vide', 'soun', 'text', 'meta', 'hint', 'clcp', 'sbtl', 'subt'][c_custkey % 8 + 1] AS handler FROM customer)")
 def track_kinds(spark, sf_dir):
-    rows = _table(spark, sf_dir, "customer").selectExpr("c_custkey as track", "element_at(array('vide', 'soun', 'text', 'meta', 'hint'), cast(c_custkey % 5 + 1 as int)) as handler")
+    rows = _table(spark, sf_dir, "customer").selectExpr("c_custkey as track", "element_at(array('vide', 'soun', 'text', 'meta', 'hint', 'clcp', 'sbtl', 'subt'), cast(c_custkey % 8 + 1 as int)) as handler")
     return rows.select("track", scalars.track_kind(F.col("handler")).alias("kind"))
 
 
@@ -568,23 +739,36 @@ def companded_samples(spark, sf_dir):
     return codes.select("code", audio.mu_law(F.col("code")).alias("mu"), audio.a_law(F.col("code")).alias("a"))
 
 
-def sample_file() -> bytes:
-    """A small MP4 with one track of video: five samples in two chunks."""
+def sample_file(version: int = 0) -> bytes:
+    """A small MP4 with one track of video: five samples in two chunks, an edit list, and shifts of the given version."""
     box = lambda kind, body: (8 + len(body)).to_bytes(4, "big") + kind + body
     numbers = lambda *values: b"".join(v.to_bytes(4, "big") for v in values)
     listed = lambda kind, n, *values: box(kind, bytes(4) + numbers(n, *values))
-    tables = listed(b"stts", 2, 3, 100, 2, 50) + listed(b"ctts", 2, 2, 10, 3, 20) + listed(b"stsc", 2, 1, 2, 1, 2, 3, 1) + box(b"stsz", bytes(4) + numbers(0, 5, 10, 11, 12, 13, 14)) + listed(b"stco", 2, 1000, 2000) + listed(b"stss", 2, 1, 4)
+    shifts = box(b"ctts", bytes([version, 0, 0, 0]) + numbers(2, 2, 10, 3, (-2 if version else 20) % (1 << 32)))
+    tables = listed(b"stts", 2, 3, 100, 2, 50) + shifts + listed(b"stsc", 2, 1, 2, 1, 2, 3, 1) + box(b"stsz", bytes(4) + numbers(0, 5, 10, 11, 12, 13, 14)) + listed(b"stco", 2, 1000, 2000) + listed(b"stss", 2, 1, 4)
     media_box = box(b"mdhd", bytes(12) + numbers(15360, 350) + bytes(4)) + box(b"hdlr", bytes(8) + b"vide" + bytes(13)) + box(b"minf", box(b"stbl", tables))
-    return box(b"ftyp", b"isom") + box(b"moov", box(b"trak", box(b"mdia", media_box)))
+    edit = lambda size, duration, start: duration.to_bytes(size, "big") + start.to_bytes(size, "big", signed=True) + numbers(1 << 16)
+    edits = box(b"edts", box(b"elst", bytes([version, 0, 0, 0]) + numbers(2) + edit(8 if version else 4, 500, -1) + edit(8 if version else 4, 1000, 1024)))
+    return box(b"ftyp", b"isom") + box(b"moov", box(b"trak", edits + box(b"mdia", media_box)))
 
 
 @query(
     "a6_samples_of_files",
-    """SELECT 'a.mp4' AS path, 0 AS track, * FROM (VALUES (0, 1000, 10, 0, 10, 100, 1, true), (1, 1010, 11, 100, 110, 100, 1, false), (2, 2000, 12, 200, 220, 100, 1, false),
-    (3, 2012, 13, 300, 320, 50, 1, true), (4, 2025, 14, 350, 370, 50, 1, false)) AS t(sample_index, "offset", size, dts, pts, duration, description, sync)""",
+    """SELECT path, 0 AS track, sample_index, "offset", size, dts, CAST(CASE WHEN path = 'b.mp4' AND sample_index >= 2 THEN dts - 2 ELSE pts END AS BIGINT) AS pts, duration, description, sync
+    FROM (VALUES (0, 1000, 10, 0, 10, 100, 1, true), (1, 1010, 11, 100, 110, 100, 1, false), (2, 2000, 12, 200, 220, 100, 1, false),
+    (3, 2012, 13, 300, 320, 50, 1, true), (4, 2025, 14, 350, 370, 50, 1, false)) AS t(sample_index, "offset", size, dts, pts, duration, description, sync), (VALUES ('a.mp4'), ('b.mp4')) f(path)""",
 )
 def samples_of_files(spark, sf_dir):
-    return tracks.samples_of_files(spark.createDataFrame([("a.mp4", sample_file())], "path string, content binary"))
+    return tracks.samples_of_files(spark.createDataFrame([("a.mp4", sample_file()), ("b.mp4", sample_file(1))], "path string, content binary"))
+
+
+@query(
+    "b16_edit_lists",
+    """SELECT path, 0 AS track, ordinal, segment_duration, media_time, 1 AS rate_int, 0 AS rate_fraction, CAST(NULL AS VARCHAR) AS error
+    FROM (VALUES ('a.mp4'), ('b.mp4')) f(path), (VALUES (0, 500, -1), (1, 1000, 1024)) e(ordinal, segment_duration, media_time)""",
+)
+def edit_lists(spark, sf_dir):
+    return tracks.edit_lists(spark.createDataFrame([("a.mp4", sample_file()), ("b.mp4", sample_file(1))], "path string, content binary"))
 
 
 @query("c3_first_video_track", "SELECT 'a.mp4' AS path, 0 AS track")

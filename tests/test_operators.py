@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from framelake.functions import audio, scalars
 from framelake.functions import time as media
-from framelake.operators import asof, packets, pictures, runs, seek, streams, summaries
+from framelake.operators import asof, fragments, packets, pictures, runs, seek, streams, summaries, tracks
+from framelake.plans import queries as media_queries
 from framelake.sources import bitstreams, mp4
 
 
@@ -223,6 +224,82 @@ def test_companded_samples_are_those_of_the_standard(spark):
     assert {r.c: r.x * 32768 for r in rows} == codes
 
 
+LSB_DDL = "s long, i long, lsb long, ref boolean, idr boolean, reset boolean, delta long, field boolean, bot boolean"
+
+
+def order_counts(spark, rows):
+    got = pictures.order_counts_by_lsb(table(spark, rows, LSB_DDL), ["s"], ["i"], "lsb", 16, "ref", "idr", "reset", "delta", "field", "bot").orderBy("s", "i").collect()
+    return [(r.top, r.bottom) for r in got]
+
+
+def test_order_counts_compare_with_references(spark):
+    row = lambda i, lsb, ref=True, idr=False, reset=False, delta=0, field=False, bot=False: (1, i, lsb, ref, idr, reset, delta, field, bot)
+    # The row of 2 is no reference, so 12 is compared with 14 and does not turn back.
+    assert order_counts(spark, [row(0, 0, idr=True), row(1, 7), row(2, 14), row(3, 2, ref=False), row(4, 12), row(5, 3)]) == [(0, 0), (7, 7), (14, 14), (18, 18), (12, 12), (19, 19)]
+    # An IDR picture begins anew; after a reset the next row is compared with the top less the lesser count.
+    assert order_counts(spark, [row(0, 14), row(1, 2, idr=True), row(2, 9, reset=True, delta=-9), row(3, 1), row(4, 0, field=True, bot=True)]) == [(-2, -2), (2, 2), (9, 0), (17, 17), (None, 16)]
+    assert order_counts(spark, []) == []
+
+
+def test_whole_frame_numbers_begin_anew(spark):
+    rows = table(spark, [(1, i, n, d) for i, (n, d) in enumerate([(14, False), (15, False), (0, False), (1, False), (0, True), (1, False)])], "s long, i long, n long, idr boolean")
+    assert [r.abs_frame_num for r in pictures.whole_frame_numbers(rows, ["s"], ["i"], "n", 16, "idr").orderBy("i").collect()] == [14, 15, 16, 17, 0, 1]
+
+
+def test_drained_order_equals_a_deep_buffer(spark):
+    rng = random.Random(2)
+    rows = table(spark, [(rng.randint(0, 2), i, rng.randint(0, 9)) for i in range(60)], "s long, i long, v long")
+    key = lambda f: sorted(map(tuple, f.select("s", "i", "output_index").collect()))
+    assert key(streams.drained_order(rows, ["s"], ["i"], "v")) == key(streams.reorder_bounded(rows, ["s"], ["i"], "v", 1 << 30))
+
+
+def test_edit_lists_keep_their_errors(spark):
+    good = media_queries.sample_file(1)
+    at = good.index(b"elst") + 4
+    spoilt = {"version": (at, b"\2"), "flags": (at + 3, b"\1"), "count": (at + 7, b"\3"), "time": (at + 8 + 8, (-2).to_bytes(8, "big", signed=True))}
+    files = [("good", good)] + [(name, good[:k] + new + good[k + len(new) :]) for name, (k, new) in spoilt.items()]
+    got: dict = {}
+    for r in tracks.edit_lists(table(spark, files, "path string, content binary")).orderBy("path", "ordinal").collect():
+        got.setdefault(r.path, []).append((r.media_time, r.error))
+    assert got == {
+        "good": [(-1, None), (1024, None)],
+        "version": [(None, "unsupported version or flags")],
+        "flags": [(None, "unsupported version or flags")],
+        "count": [(None, "length differs from count")],
+        "time": [(-2, "media time under -1"), (1024, None)],
+    }
+
+
+def test_fragment_samples_by_hand(spark):
+    samples = table(spark, [(1, 1, 1, 0, 10, 3, 0), (1, 1, 1, 1, None, 4, 0x10000), (1, 1, 2, 0, 10, 5, None), (2, 1, 1, 0, 10, 3, 0), (3, 2, 1, 0, 10, None, 0), (3, 2, 1, 1, 10, 9, 0)], "f long, t long, run long, k long, duration long, size long, flags long")
+    starts = table(spark, [(1, 1, 100, 8), (1, 2, 100, None), (2, 1, 100, None), (3, 1, 0, 0)], "f long, run long, base long, data_offset long")
+    defaults = fragments.track_defaults(table(spark, [(1, 1, 7, None, 0)], "t long, description long, duration long, size long, flags long"), ["t"])
+    got = [(r.f, r.run, r.k, r.offset, r.duration, r.sync, r.error) for r in fragments.fragment_samples(samples, starts, defaults, ["f"], ["t"]).orderBy("f", "run", "k").collect()]
+    assert got == [
+        (1, 1, 0, 108, 10, True, None),
+        (1, 1, 1, 111, 7, False, None),
+        (1, 2, 0, 115, 10, True, None),
+        (2, 1, 0, None, 10, True, "unsupported: first run has no data offset"),
+        (3, 1, 0, None, 10, True, "invalid: sample has no size"),
+        (3, 1, 1, None, 10, True, None),
+    ]
+
+
+def test_table_errors_of_a_sound_and_an_empty_track(spark):
+    make = lambda rows, ddl: table(spark, rows, ddl)
+    tables = lambda keep: [
+        make([(1, 1, 3), (1, 2, 2)] * keep, "track int, run int, count int"),
+        make([(1, 1, 5)] * keep, "track int, run int, count int"),
+        make([(1, 1, 1000), (1, 2, 2000)] * keep, "track int, chunk int, chunk_offset long"),
+        make([(1, 1, 2, 1), (1, 2, 3, 1)] * keep, "track int, first_chunk int, samples_per_chunk int, description int"),
+        make([(1, k, 10 + k) for k in range(5)] * keep, "track int, sample_index long, size int"),
+    ]
+    marks = lambda *n: make([(1, k) for k in n], "track int, sample_number long")
+    assert runs.sample_table_errors(*tables(1), marks(1, 4), ["track"]).count() == 0
+    assert runs.sample_table_errors(*tables(0), marks(), ["track"]).count() == 0
+    assert sorted(r.error for r in runs.sample_table_errors(*tables(1), marks(0, 4, 4), ["track"]).collect()) == ["stss sample number is out of range", "stss sample number is repeated"]
+
+
 def test_empty_tables(spark):
     rows = table(spark, [], "track int, run int, count int, delta int")
     assert runs.decode_times(rows, ["track"], ["run"], "count", "delta").count() == 0
