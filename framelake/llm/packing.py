@@ -28,8 +28,9 @@ from framelake.llm.shared import row_chunks, stored
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-#: Pieces of one length are ranked in groups of about so many, so that many tasks rank a frequent length.
+#: Pieces of one length are ranked in groups of about so many, and in so many groups at least, so that many tasks rank a frequent length.
 RANK_ROWS = 100_000
+RANK_GROUPS = 64
 
 #: The faster encoder recurses over white space; runs of so many characters go to the other, which gives the same ids.
 LONG_RUN = re.compile(r"\s{100000}")
@@ -228,7 +229,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
             columns += [pa.array(p.sequence[at] + rank - p.first[at]), pa.array(p.offset[at])]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    groups = 1 + max(counts.values(), default=0) // RANK_ROWS
+    groups = max(RANK_GROUPS, max(counts.values(), default=0) // RANK_ROWS)
     return rank_within_length(pieces, groups).mapInArrow(place, PIECE_SCHEMA + ", sequence_id long, offset long")
 
 
