@@ -15,6 +15,10 @@ nothing of the first.
    as rows where few classes share the token, block against block inside tasks
    where many do. Tokens that the same classes share are one group.
 
+4. Links lie inside components only. To list or count them, the pairs of each
+   component of three or more classes go through the filters and the exact test,
+   in blocks of bounded size.
+
 Before two sets are fetched or compared they must share a prefix token under
 every other order too; maps of bits then tell most pairs that still differ in
 too many tokens. Neither filter loses a link.
@@ -62,6 +66,9 @@ PAIRED_CLASSES = 32
 BLOCK_CLASSES = 512
 TABLE_COLUMNS = 4096
 
+#: Tokens of a block of a component, unless one set has more.
+BLOCK_TOKENS = 4_000_000
+
 #: Classes that a worker remembers to have seen.
 SEEN_CLASSES = 1_000_000
 
@@ -419,10 +426,88 @@ def _blockwise(members: DataFrame, sets: DataFrame, shingles: Shingles) -> DataF
     return stored(rows.groupBy("shared_by", "i", "j").applyInArrow(compare, "a long, b long"), "links")
 
 
-def jaccard_clusters(docs: DataFrame, shingles: Shingles = Shingles()) -> tuple[DataFrame, DataFrame]:
+def _component_blocks(linked: DataFrame) -> DataFrame:
+    """slot, i, j, block, component, class, n_rows: the pairs of blocks in which each component's pairs are tested.
+
+    ``linked`` is class, n, n_rows, component. A component takes as many blocks
+    as its classes and tokens ask for. Those of one block are put together,
+    by hash, in slots of about a block each.
+    """
+    need = F.greatest(F.count(F.lit(1)) / F.lit(BLOCK_CLASSES), F.sum("n") / F.lit(BLOCK_TOKENS))
+    sized = linked.groupBy("component").agg(F.count(F.lit(1)).alias("_classes"), need.alias("_need")).where("_classes > 2")
+    sized = stored(sized.select(F.col("component").alias("_component"), F.ceil("_need").cast("int").alias("_blocks"), "_need"), "component_sizes")
+    slots = int(sized.where("_blocks = 1").agg(F.sum("_need")).first()[0] or 0) + 1
+    members = linked.join(sized, F.col("component") == F.col("_component"))
+    slot = F.when(F.col("_blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(slots))).otherwise(F.col("component"))
+    members = members.select((F.col("_blocks") > 1).alias("large"), slot.alias("slot"), "component", "class", "n_rows", F.pmod(F.xxhash64("class"), F.col("_blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
+    return members.select("large", "slot", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", "component", "class", "n_rows")
+
+
+def _within(blocks: DataFrame, sets: DataFrame, shingles: Shingles, pairs: bool) -> DataFrame:
+    """All links inside components of three or more classes, as pairs (a, b), or as class, n_links: rows behind them.
+
+    A class has a count for each of the block pairs that it is in.
+    """
+
+    def compare(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        table = table.sort_by("component")
+        component, block, classes, n_rows = (table.column(c).to_numpy() for c in ("component", "block", "class", "n_rows"))
+        packed = table.column("tokens")
+        ends = [*np.flatnonzero(component[1:] != component[:-1]) + 1, len(component)]
+        one, other = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for start, end in zip([0, *ends], ends, strict=False):
+            tokens = [unpacked(x) for x in packed.slice(start, end - start).to_pylist()]
+            left, right = np.flatnonzero(block[start:end] == i), np.flatnonzero(block[start:end] == j)
+            maybe = np.triu(np.ones((len(left), len(right)), bool), 1) if i == j else np.ones((len(left), len(right)), bool)
+            if not maybe.any():
+                continue
+            alike = alike_between([tokens[k] for k in left], [tokens[k] for k in right], maybe, shingles)
+            own, near = classes[start:end], n_rows[start:end]
+            if pairs:
+                x, y = np.nonzero(alike)
+                a, b = own[left[x]], own[right[y]]
+                one.append(np.minimum(a, b))
+                other.append(np.maximum(a, b))
+            else:
+                one += [own[left], own[right]]
+                other += [alike @ near[right], near[left] @ alike]
+        return pa.table({names[0]: pa.array(np.concatenate(one), pa.int64()), names[1]: pa.array(np.concatenate(other), pa.int64())})
+
+    names = ("a", "b") if pairs else ("class", "n_links")
+    known = sets.select(F.col("class").alias("_class"), "tokens").dropDuplicates(["_class"])
+    rows = blocks.join(known, F.col("class") == F.col("_class")).select("large", "slot", "i", "j", "block", "component", "class", "n_rows", "tokens")
+    return stored(rows.groupBy("large", "slot", "i", "j").applyInArrow(compare, f"{names[0]} long, {names[1]} long"), "within")
+
+
+def _linked(rows: DataFrame, clusters: DataFrame) -> DataFrame:
+    """class, n, least, n_rows, component of every class that is linked to another."""
+    counted = rows.where("n_shingles > 0").groupBy("class").agg(F.min("n_shingles").alias("n"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_rows"))
+    return stored(counted.join(clusters, F.col("class") == F.col("node")).select("class", "n", "least", "n_rows", "component"), "linked")
+
+
+def _all_links(linked: DataFrame, described: Callable, shingles: Shingles, pairs: bool) -> DataFrame:
+    """Every link between different classes, as pairs (a, b) or as class, n_links."""
+    both = linked.groupBy("component").agg(F.count(F.lit(1)).alias("_classes"), F.min("class").alias("_a"), F.max("class").alias("_b"), F.sum("n_rows").alias("_rows")).where("_classes = 2")
+    if pairs:
+        found = both.select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    else:
+        found = linked.join(both, "component").select("class", (F.col("_rows") - F.col("n_rows")).alias("n_links"))
+    blocks = _component_blocks(linked)
+    if blocks.isEmpty():
+        return found
+    sets = described(blocks.select("class"), TOKENS, "sets")
+    more = _within(blocks, sets, shingles, pairs)
+    discard(sets)
+    found = found.union(more)
+    return found if pairs else found.groupBy("class").agg(F.sum("n_links").alias("n_links"))
+
+
+def jaccard_clusters(docs: DataFrame, shingles: Shingles = Shingles()) -> tuple[DataFrame, DataFrame, Callable]:
     """Documents by class, and the exact component of every class that is linked to another.
 
-    The first is doc_id, text_hash, n_shingles, class; the second node, component.
+    The first is doc_id, text_hash, n_shingles, class; the second node,
+    component; the third fetches the sets of classes.
     """
     levels = docs.sparkSession.sparkContext.broadcast(word_levels(docs))
     classes = _classes(docs, shingles, levels)
@@ -461,26 +546,57 @@ def jaccard_clusters(docs: DataFrame, shingles: Shingles = Shingles()) -> tuple[
         discard(clusters)
         clusters = connected_components(links)
     discard(members, rest)
-    return classes.select("doc_id", "text_hash", "n_shingles", "class"), clusters
+    return classes.select("doc_id", "text_hash", "n_shingles", "class"), clusters, described
 
 
 def jaccard_components(docs: DataFrame, shingles: Shingles = Shingles()) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs``.
-
-    component_id is the least doc_id that links reach. Texts are compared by
-    their sets, so rows with one id and different texts are told apart, and
-    rows without an id link others but are nobody's least id. A null or empty
-    text has no shingles and its own id as component; equal sets are linked
-    without being paired. An empty table gives no rows; other columns are
-    ignored.
+    """doc_id, n_shingles, component_id, class_id and n_links of every row of ``docs``.
+
+    component_id is the least doc_id that links reach, class_id the least with
+    an equal set, and n_links the number of other rows that the row itself is
+    linked with: those of equal sets and of sets that are alike. Texts are
+    compared by their sets, so rows with one id and different texts are told
+    apart, and rows without an id link others but are nobody's least id. A null
+    or empty text has no shingles, its own id as component and class, and no
+    links; equal sets are linked without being paired. An empty table gives no
+    rows; other columns are ignored.
     """
-    rows, clusters = jaccard_clusters(docs, shingles)
-    least = rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-    grouped = least.join(clusters, F.col("class") == F.col("node"), "left").select("class", F.coalesce("component", "class").alias("component"), "least")
-    by_component = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_class = grouped.join(by_component, "component").select(F.col("class").alias("_class"), "component_id")
+    rows, clusters, described = jaccard_clusters(docs, shingles)
+    linked = _linked(rows, clusters)
+    links = _all_links(linked, described, shingles, pairs=False)
+    by_component = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    reached = linked.join(by_component, "component").join(links, "class").select(F.col("class").alias("_linked"), "component_id", "n_links")
+    counted = rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_rows"))
+    by_class = counted.join(reached, F.col("class") == F.col("_linked"), "left").select(
+        F.col("class").alias("_class"),
+        "class_id",
+        F.when(F.col("_linked").isNull(), F.col("class_id")).otherwise(F.col("component_id")).alias("component_id"),
+        (F.col("n_rows") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"),
+    )
     joined = rows.join(by_class, (F.col("class") == F.col("_class")) & (F.col("n_shingles") > 0), "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    own = F.col("n_shingles") > 0
+    return joined.select(
+        "doc_id",
+        "n_shingles",
+        F.when(own, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(own, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+    )
+
+
+def jaccard_links(docs: DataFrame, shingles: Shingles = Shingles()) -> DataFrame:
+    """Every link between different sets as one row (a, b), by the least doc_ids of the two.
+
+    With class_id of ``jaccard_components`` these are all links: rows of one
+    class are linked with each other and with all rows of a linked class.
+    Classes without any id have null; null and empty texts have no links.
+    """
+    rows, clusters, described = jaccard_clusters(docs, shingles)
+    linked = _linked(rows, clusters)
+    links = _all_links(linked, described, shingles, pairs=True)
+    for side in ("a", "b"):
+        links = links.join(linked.select(F.col("class").alias(side), F.col("least").alias(f"_{side}")), side)
+    return links.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
 
 
 def keep_one_of_each(docs: DataFrame, shingles: Shingles = Shingles()) -> DataFrame:
@@ -490,7 +606,7 @@ def keep_one_of_each(docs: DataFrame, shingles: Shingles = Shingles()) -> DataFr
     shingles are linked with nothing and all stay. The columns are those of
     ``docs``; an empty table stays empty.
     """
-    rows, clusters = jaccard_clusters(docs, shingles)
+    rows, clusters, _ = jaccard_clusters(docs, shingles)
     held = rows.where("n_shingles > 0").groupBy("doc_id", "text_hash", "class").agg(F.count(F.lit(1)).alias("n_rows"))
     labelled = held.join(clusters, F.col("class") == F.col("node"), "left").select("doc_id", "text_hash", "n_rows", F.coalesce("component", "class").alias("component"))
     chosen = labelled.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n_rows")).alias("one"))

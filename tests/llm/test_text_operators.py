@@ -323,6 +323,23 @@ def brute_components(rows, words, percent):
     return sorted(((d, len(s), least.get(find(i)) if s else d) for i, (d, s) in enumerate(sets)), key=str)
 
 
+def brute_links(rows, words, percent):
+    """(doc_id, class_id, n_links) of every row, and the pairs of classes that are linked, by least id."""
+    sets = []
+    for _, text in rows:
+        w = (text or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[k : k + words]) for k in range(len(w) - words + 1)) if len(w) >= words else frozenset([tuple(w)] if w else []))
+    least: dict = {}
+    for (doc_id, _), own in zip(rows, sets, strict=True):
+        if doc_id is not None:
+            least[own] = min(least.get(own, doc_id), doc_id)
+    alike = lambda a, b: bool(a and b) and 100 * len(a & b) >= percent * len(a | b)
+    counts = [sum(alike(a, b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+    distinct = sorted(set(sets), key=lambda x: least.get(x, -1))
+    pairs = [(least.get(a), least.get(b)) for i, a in enumerate(distinct) for b in distinct[i + 1 :] if alike(a, b)]
+    return sorted(((d, least.get(s) if s else d, n) for (d, _), s, n in zip(rows, sets, counts, strict=True)), key=str), sorted(pairs)
+
+
 def near_copies(seed, groups, copies, length, most):
     rng, rows = random.Random(seed), []
     for _ in range(groups):
@@ -341,21 +358,29 @@ def test_components_equal_brute_force(spark, monkeypatch, paired):
     monkeypatch.setattr(jaccard_join, "BLOCK_CLASSES", 16)
     monkeypatch.setattr(jaccard_join, "TABLE_COLUMNS", 50)
     rows = near_copies(1, 4, 40, 90, 6) + [(None, None), (900, ""), (901, " "), (902, "Two Words"), (903, "two words"), (904, "two words")]
-    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    rows += [(1_000 + n, text) for n, text in near_copies(2, 2, 40, 200, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.jaccard_components(docs).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows, 4, 85)
+    counts, pairs = brute_links(rows, 4, 85)
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=str) == counts
+    assert len(pairs) > 100 and sorted((r.a, r.b) for r in jaccard_join.jaccard_links(docs).collect()) == pairs
 
 
 def test_components_on_the_supplied_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = queries.op8_jaccard_join(spark, SF).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows, 4, 85)
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=str) == brute_links(rows, 4, 85)[0]
 
 
 def test_jaccard_edge_cases(spark, odd):
     rows = jaccard_join.jaccard_components(odd).collect()
     want = brute_components([r[:2] for r in ODD], 4, 85)
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in rows), key=str) == want
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in rows), key=str) == brute_links([r[:2] for r in ODD], 4, 85)[0]
     assert jaccard_join.jaccard_components(empty(spark)).count() == 0
+    assert jaccard_join.jaccard_links(empty(spark)).count() == 0
     kept = jaccard_join.keep_one_of_each(odd)
     assert kept.columns == odd.columns
     assert sorted((str(r.doc_id) for r in kept.collect())) == ["1", "2", "3", "4", "6", "7", "8", "None"]
