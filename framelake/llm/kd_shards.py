@@ -52,10 +52,18 @@ class Node:
     above: int | None = None
 
 
-def _leading_number(name: str) -> Column:
-    """The first seven bytes of a text as a number, in the order of the texts."""
-    padded = F.rpad(F.hex(F.substring(F.coalesce(F.col(name), F.lit("")).cast("binary"), 1, 7)), 14, "0")
-    return F.conv(padded, 16, 10).cast("long")
+def _dense_ranks(rows: DataFrame, name: str) -> DataFrame:
+    """``name`` and its place, from 0, among the distinct values of the column.
+
+    Values are sorted in ranges and each range is numbered by itself, on top of
+    the counts of the ranges before it; there are as many ranges as partitions.
+    """
+    ranged = rows.select(name).distinct().repartitionByRange(name).select(name, F.spark_partition_id().alias("_range"))
+    ranged = stored(ranged, f"{name}_ranges")
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_range").orderBy(name)
+    return stored(ranged.withColumn("_at", F.row_number().over(inside) - 1).join(bases, "_range").select(name, (F.col("_base") + F.col("_at")).alias(f"_{name}")), f"{name}_ranks")
 
 
 def _units(rows: DataFrame, shard_bytes: float) -> tuple[DataFrame, DataFrame]:
@@ -157,7 +165,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, target_bytes: int | None
 
     The law is ``bytes``: shards are of nearly equal bytes, a text counting its
     UTF-8 bytes and one more. ``target_bytes`` sets the number of shards from
-    the total. Dimensions are the length of the text, ``lang`` and ``source``;
+    the total. Dimensions are the length of the text and the places of ``lang``
+    and ``source`` among their distinct values;
     rows of equal texts take the least values among them and share a shard as
     long as they make up at most UNIT_SHARE of one. Slots are gapless from 0
     in each shard. grown_shard is null, as the law does not foresee it. Null
@@ -167,12 +176,14 @@ def shard_documents(docs: DataFrame, shards: int = 16, target_bytes: int | None
     text = F.coalesce("text", F.lit(""))
     size = (F.octet_length(text) + F.lit(1)).cast("long")
     hashed = docs.select(
-        F.col("doc_id").cast("long"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_text"), F.char_length(text).cast("long").alias("_length"), "lang", "source"
+        F.col("doc_id").cast("long"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_text"), F.char_length(text).cast("long").alias("_length"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")
     )
-    rows = stored(hashed.select("*", _leading_number("lang").alias("_lang"), _leading_number("source").alias("_source")), "shard_rows")
+    rows = stored(hashed, "shard_rows")
     total = float(rows.agg(F.sum("size")).first()[0] or 0)
     if target_bytes:
         shards = max(1, math.ceil(total / target_bytes))
+    for name in ("lang", "source"):
+        rows = rows.join(_dense_ranks(rows, name), name)
     cut, units = _units(rows, max(total, 1.0) / shards)
     units = stored(_ordinals(units), "shard_units")
     nodes = build_tree(units, shards, total)
