@@ -30,8 +30,8 @@ MOST_PARTS = 256
 #: Neighbours of a vector in the graph.
 GRAPH_NEIGHBOURS = 10
 
-#: A query visits as many parts as it takes to reach this probability, and between these numbers of them.
-PROBABILITY, LEAST_PROBES, MOST_PROBES = 0.995, 3, 24
+#: A query visits as many parts as it takes to reach this probability and hold enough vectors, and so many at least.
+PROBABILITY, LEAST_PROBES = 0.995, 3
 
 #: A task compares about so many vectors of a part with about so many queries.
 SPLIT_VECTORS, BLOCK_QUERIES = 1_024, 4_096
@@ -208,37 +208,50 @@ def build_index(rows: DataFrame, k: int = 10, sample: int = SAMPLE) -> Index:
     return Index(stored(filed, "index"), router, parts)
 
 
-def _shares(rows: DataFrame, parts: int, most: int) -> Column:
-    """Into how many shares of about ``most`` rows each part's ``rows`` are dealt; the driver holds a count per part."""
-    counts = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    table = F.array(*(F.lit(max(1, -(-counts.get(p, 0) // most))) for p in range(parts)))
+def part_counts(rows: DataFrame, parts: int) -> np.ndarray:
+    """The number of ``rows`` of each part; the driver holds at most MOST_PARTS numbers."""
+    counts = np.zeros(parts, np.int64)
+    for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[r["part"]] = r["n"]
+    return counts
+
+
+def _shares(counts: np.ndarray, most: int) -> Column:
+    """Into how many shares of about ``most`` rows each part's rows are dealt."""
+    table = F.array(*(F.lit(max(1, -(-n // most))) for n in counts.tolist()))
     return F.element_at(table, F.col("part") + 1)
 
 
+def parts_to_visit(probabilities: np.ndarray, counts: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and parts: for each row its likeliest parts until they reach PROBABILITY and hold ``wanted`` vectors."""
+    order = np.argsort(-probabilities, axis=1, kind="stable")
+    likely, held = np.take_along_axis(probabilities, order, axis=1), counts[order]
+    reached, covered = np.cumsum(likely, axis=1) - likely, np.cumsum(held, axis=1) - held
+    row, column = np.nonzero((reached < PROBABILITY) | (covered < wanted) | (np.arange(order.shape[1]) < LEAST_PROBES))
+    return row, order[row, column]
+
+
 def search(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest other vectors found for each of ``queries`` (vec_id, embedding).
 
     Nearest by Euclidean distance, ties to the lesser id. Equal queries are
-    answered once. The vectors of a part and the queries sent to it are both
+    answered once. Parts are visited until the router is sure and they hold
+    k + 1 distinct vectors, so k are found wherever there are k others. The vectors of a part and the queries sent to it are both
     dealt into shares by hash, and each pair of shares is compared by itself,
     so a task stays small however many of either a part has.
     """
-    router = index.router
+    router, counts = index.router, part_counts(index.filed, index.parts)
     asked = queries.groupBy("embedding").agg(F.xxhash64("embedding").alias("query"))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            p = router.probabilities(_vectors(batch.column(1)))
-            order = np.argsort(-p, axis=1, kind="stable")[:, :MOST_PROBES]
-            before = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1) - np.take_along_axis(p, order, axis=1)
-            visits = (before < PROBABILITY) | (np.arange(order.shape[1]) < LEAST_PROBES)
-            row, column = np.nonzero(visits)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(order[row, column].astype(np.int32))], names=["query", "embedding", "part"])
+            row, part = parts_to_visit(router.probabilities(_vectors(batch.column(1))), counts, k + 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(part.astype(np.int32))], names=["query", "embedding", "part"])
 
     routed = stored(asked.select("query", "embedding").mapInArrow(route, "query long, embedding array<double>, part int"), "routed")
-    splits, blocks = _shares(index.filed, index.parts, SPLIT_VECTORS), _shares(routed, index.parts, BLOCK_QUERIES)
+    splits, blocks = _shares(counts, SPLIT_VECTORS), _shares(part_counts(routed, index.parts), BLOCK_QUERIES)
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     sent = routed.select("part", every(splits).alias("split"), F.pmod("query", blocks).cast("int").alias("block"), "query", "embedding")
     filed = index.filed.select("part", F.pmod(F.xxhash64("embedding"), splits).cast("int").alias("split"), every(blocks).alias("block"), "embedding", "ids")

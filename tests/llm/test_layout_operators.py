@@ -80,6 +80,21 @@ def test_shards_edge_cases(spark, odd):
     assert kd_shards.shard_documents(empty(spark), 4).count() == 0
 
 
+def test_ranks_of_values(spark):
+    names = [f"https://common.beginning/{k}" for k in range(300)] + ["", "zz", "a"]
+    rows = spark.createDataFrame([(n,) for n in names * 3], "source string")
+    assert {r.source: r._source for r in kd_shards._dense_ranks(rows, "source").collect()} == {n: k for k, n in enumerate(sorted(names))}
+
+
+def test_sources_of_a_common_beginning_split_the_tree(spark):
+    docs = [(k, f"text {k:05d}", "en", f"https://common.beginning/{k % 8}" if k % 8 else None) for k in range(1600)]
+    rows = kd_shards.shard_documents(spark.createDataFrame(docs, DDL), 8).collect()
+    by_shard: dict[int, set] = {}
+    for r in rows:
+        by_shard.setdefault(r.shard, set()).add(r.doc_id % 8)
+    assert sorted(map(sorted, by_shard.values())) == [[k] for k in range(8)]
+
+
 # Nearest neighbours
 
 
@@ -117,6 +132,26 @@ def test_neighbours_recall(spark):
         assert all([s for _, s in near] == sorted(s for _, s in near) for near in got.values())
 
 
+def test_recall_with_the_most_parts(spark, monkeypatch):
+    monkeypatch.setattr(ann_partitions, "PART_VECTORS", 32)
+    rng = np.random.default_rng(3)
+    points = rng.standard_normal((80, 16))[rng.integers(0, 80, 9_000)] + 0.4 * rng.standard_normal((9_000, 16))
+    rows = [(k, v.tolist()) for k, v in enumerate(points)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8)
+    assert ann_partitions.build_index(ann_partitions.sound_vectors(table, "vec_id", "embedding")).parts == ann_partitions.MOST_PARTS
+    want, got = brute_neighbours(rows, 30, 10), found_by_query(ann_partitions.nearest_neighbours(table, 30))
+    assert all(len(got[q]) == 10 for q in want)
+    assert sum(len({v for v, _ in want[q]} & {v for v, _ in got[q]}) for q in want) >= 0.9 * 10 * len(want)
+
+
+def test_visits_go_on_until_enough_vectors_are_held():
+    p = np.array([[0.997, 0.001, 0.001, 0.001, 0.0], [0.3, 0.3, 0.2, 0.1, 0.1]])
+    visited = lambda counts: [sorted(part.tolist()) for row, part in [ann_partitions.parts_to_visit(p, np.array(counts), 11)] for part in (part[row == 0], part[row == 1])]
+    assert visited([20] * 5) == [[0, 1, 2], [0, 1, 2, 3, 4]]
+    assert visited([2, 2, 2, 2, 9]) == [[0, 1, 2, 3, 4], [0, 1, 2, 3, 4]]
+    assert visited([2, 2, 2, 9, 9])[0] == [0, 1, 2, 3]
+
+
 def test_neighbours_edge_cases(spark):
     rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (200, [float("inf"), 1.0]), (7, [2.0, 2.0])] + [(k, [1.0, 0.0]) for k in range(20, 60)]
     ddl = "vec_id long, embedding array<float>"
