@@ -14,6 +14,11 @@ def frames_of_duration(value: Column, timescale: Column, rate: int) -> Column:
     return F.when(value >= 0, F.call_function("div", value.cast("decimal(19,0)") * F.lit(rate), timescale.cast("decimal(10,0)")).cast("long"))
 
 
+def duration_of_frames(frames: Column, rate: Column) -> Column:
+    """struct(value, timescale): the exact time that sample frames take; null without frames or a positive rate."""
+    return F.when(frames.isNotNull() & (rate > 0), F.struct(frames.cast("long").alias("value"), rate.cast("long").alias("timescale")))
+
+
 def duration_fits(frames: Column, value: Column, timescale: Column, rate: int) -> Column:
     """Whether a duration agrees with its frames to within one of them."""
     difference = F.abs(value.cast("decimal(19,0)") * F.lit(rate) - frames.cast("decimal(19,0)") * timescale.cast("decimal(10,0)"))

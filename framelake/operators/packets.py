@@ -29,6 +29,17 @@ def with_description(samples: DataFrame, descriptions: DataFrame, track: list[st
     return joined.withColumn("error", F.when(F.col("_known").isNull(), "invalid: no such description")).drop("_known")
 
 
+def track_by_index(requests: DataFrame, tracks: DataFrame, file: list[str], index: str, values: list[str]) -> DataFrame:
+    """``requests`` with the ``values`` of the track at the index they ask for, and an error where there is none.
+
+    tracks: the ``file`` columns, track_index from 0 and ``values``. A null index
+    is out of range, as is any index of a file without tracks.
+    """
+    known = tracks.select(*file, F.col("track_index").alias(index), *values, F.lit(True).alias("_known"))
+    joined = requests.join(known, [*file, index], "left")
+    return joined.withColumn("error", F.when(F.col("_known").isNull(), "invalid: track index is out of range")).drop("_known")
+
+
 def fragments_of_tracks(fragments: DataFrame, tracks: DataFrame, defaults: DataFrame, values: list[str]) -> DataFrame:
     """``fragments`` (track_id) with their track's defaults as default_<value>, and an error where the track is unknown.
 

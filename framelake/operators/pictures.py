@@ -128,6 +128,29 @@ def b_lists(references: Column, poc: Column) -> Column:
     return F.struct(one.alias("list0"), F.when((one == two) & (F.size(two) > 1), swapped).otherwise(two).alias("list1"))
 
 
+def _first(entries: Column) -> Column:
+    return F.try_element_at(entries, F.lit(1))
+
+
+def short_term_by_number(references: Column, frame_num: Column, modulus: int, number: Column) -> Column:
+    """The entry that a modification names: the first short-term one of that picture number, else null.
+
+    A number over the current ``frame_num`` stands for one of the turn before.
+    """
+    turned = lambda x: F.when(x > frame_num, x - modulus).otherwise(x)
+    return _first(F.filter(references, lambda x: x["long_index"].isNull() & (turned(x["frame_num"]) == turned(number))))
+
+
+def long_term_by_index(references: Column, index: Column) -> Column:
+    """The first long-term entry of that index, else null."""
+    return _first(F.filter(references, lambda x: x["long_index"] == index))
+
+
+def entries_of_list(ids: Column, references: Column) -> Column:
+    """The buffer's entry for each id of an active list; null for a null id and for one that the buffer does not hold."""
+    return F.transform(ids, lambda i: _first(F.filter(references, lambda x: x["id"] == i)))
+
+
 def active_list(initial: Column, count: Column, moves: Column) -> Column:
     """The first ``count`` entries, padded with nulls, after each of ``moves`` (ids) is put at the next place and taken out behind it."""
     size = F.greatest(count, F.lit(1))

@@ -24,6 +24,14 @@ def choose_source(keyframe: Column, checkpoint: Column, forward: Column) -> Colu
     return F.when(forward >= best, "Forward").when(checkpoint > keyframe, "Checkpoint").otherwise("Keyframe")
 
 
+def seek_mode(required: Column, budget: Column) -> Column:
+    """What an interactive seek does: "Exact" up to the budget of samples, beyond it a "Preview" of the nearest keyframe.
+
+    Without a plan there is no mode; without a budget every plan is exact.
+    """
+    return F.when(required > budget, "Preview").when(required.isNotNull(), "Exact")
+
+
 def seek_plan(targets: DataFrame, samples: DataFrame, track: list[str]) -> DataFrame:
     """targets (track, target) with keyframe_index, selected_index and required.
 

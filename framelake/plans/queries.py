@@ -626,13 +626,67 @@ def reorder_depth(spark, sf_dir):
 @query("g5_reference_lists")
 def reference_lists(spark, sf_dir):
     """Lists of each event with the up to six events of its user before it as a reference buffer; held against plain Python in the tests."""
-    entry = F.struct(F.col("event_id").alias("id"), (F.col("event_id") % 16).alias("frame_num"), (F.col("event_id") * 7 % 64).alias("poc"), F.when(F.col("event_id") % 5 == 0, F.col("event_id") % 3).cast("int").alias("long_index"))
-    before = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-6, -1)
-    buffers = _table(spark, sf_dir, "events").select("user_id", "event_id", F.collect_list(entry).over(before).alias("held"))
+    buffers = _held(spark, sf_dir).withColumnsRenamed({"stream": "user_id", "i": "event_id"})
     both = buffers.select("user_id", "event_id", pictures.p_list(F.col("held"), F.lit(8), 16).alias("p"), pictures.b_lists(F.col("held"), F.lit(30)).alias("b"))
     return both.select("user_id", "event_id", "p", "b.list0", "b.list1", pictures.active_list(F.col("p"), F.lit(4), F.slice("p", 3, 2)).alias("active"))
 
 
+_HELD_SQL = """WITH e AS (SELECT user_id AS stream, event_id AS i, event_id % 16 AS f, list(struct_pack(id := event_id, fn := event_id % 16, poc := event_id * 7 % 64, lg := CASE WHEN event_id % 5 = 0 THEN event_id % 3 END))
+        OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS held FROM events)"""
+
+
+def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """stream, i, f (a frame number below 16) and held: the up to six events of the user before it as a reference buffer."""
+    entry = F.struct(F.col("event_id").alias("id"), (F.col("event_id") % 16).alias("frame_num"), (F.col("event_id") * 7 % 64).alias("poc"), F.when(F.col("event_id") % 5 == 0, F.col("event_id") % 3).cast("int").alias("long_index"))
+    before = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-6, -1)
+    return _table(spark, sf_dir, "events").select(F.col("user_id").alias("stream"), F.col("event_id").alias("i"), (F.col("event_id") % 16).alias("f"), F.collect_list(entry).over(before).alias("held"))
+
+
+@query(
+    "d13_references_by_number",
+    _HELD_SQL
+    + """, n AS (SELECT *, CASE WHEN i * 5 % 16 > f THEN i * 5 % 16 - 16 ELSE i * 5 % 16 END AS number FROM e)
+    SELECT stream, i, [x.id for x in coalesce(held, []) if x.lg IS NULL AND CASE WHEN x.fn > f THEN x.fn - 16 ELSE x.fn END = number][1] AS short_term,
+           [x.id for x in coalesce(held, []) if x.lg = i % 3][1] AS long_term FROM n""",
+)
+def references_by_number(spark, sf_dir):
+    rows = _held(spark, sf_dir)
+    short = pictures.short_term_by_number(F.col("held"), F.col("f"), 16, F.col("i") * 5 % 16)
+    return rows.select("stream", "i", short["id"].alias("short_term"), pictures.long_term_by_index(F.col("held"), F.col("i") % 3)["id"].alias("long_term"))
+
+
+@query(
+    "d14_entries_of_list",
+    _HELD_SQL + """ SELECT stream, i, array_to_string(list_append([CAST(x.poc AS VARCHAR) for x in list_reverse(coalesce(held, []))], '-'), ',') AS counts FROM e""",
+)
+def entries_of_list(spark, sf_dir):
+    ids = F.concat(F.transform(F.reverse("held"), lambda x: x["id"]), F.array(F.col("i")))
+    found = F.transform(pictures.entries_of_list(ids, F.col("held")), lambda x: x["poc"].cast("string"))
+    return _held(spark, sf_dir).select("stream", "i", F.array_join(found, ",", "-").alias("counts"))
+
+
+@query(
+    "d3_track_by_index",
+    """SELECT o_orderkey AS request, o_orderkey % 30 - 2 AS wanted, n_name AS name, CASE WHEN n_nationkey IS NULL THEN 'invalid: track index is out of range' END AS error
+    FROM orders LEFT JOIN nation ON n_regionkey = o_custkey % 5 AND n_nationkey = o_orderkey % 30 - 2""",
+)
+def track_by_index(spark, sf_dir):
+    requests = _table(spark, sf_dir, "orders").selectExpr("o_orderkey as request", "o_custkey % 5 as file", "o_orderkey % 30 - 2 as wanted")
+    tracks = _table(spark, sf_dir, "nation").selectExpr("cast(n_regionkey as bigint) as file", "cast(n_nationkey as bigint) as track_index", "n_name as name")
+    return packets.track_by_index(requests, tracks, ["file"], "wanted", ["name"]).drop("file")
+
+
+@query("i4_pcm_durations", "SELECT o_orderkey AS i, CASE WHEN o_custkey % 4 > 0 THEN o_orderkey END AS ticks, CASE WHEN o_custkey % 4 > 0 THEN o_custkey % 4 * 11025 END AS timescale FROM orders")
+def pcm_durations(spark, sf_dir):
+    time = audio.duration_of_frames(F.col("o_orderkey"), F.col("o_custkey") % 4 * 11025)
+    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"), time["value"].alias("ticks"), time["timescale"].alias("timescale"))
+
+
+@query("j12_seek_modes", f"SELECT *, CASE WHEN required > 4 + target % 8 THEN 'Preview' ELSE 'Exact' END AS mode FROM ({ORACLE_SQL['g9_seek_plan']})")
+def seek_modes(spark, sf_dir):
+    return seek_plan(spark, sf_dir).withColumn("mode", seek.seek_mode(F.col("required"), 4 + F.col("target") % 8))
+
+
 @query("i5_audio_frames", "SELECT o_orderkey AS i, CASE WHEN o_orderkey % 50 - 5 >= 0 THEN CAST((o_orderkey % 50 - 5) * 44100 // (1 + o_custkey % 1000) AS BIGINT) END AS frames FROM orders")
 def audio_frames(spark, sf_dir):
     return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"), audio.frames_of_duration(F.col("o_orderkey") % 50 - 5, 1 + F.col("o_custkey") % 1000, 44100).alias("frames"))

@@ -300,6 +300,27 @@ def test_table_errors_of_a_sound_and_an_empty_track(spark):
     assert sorted(r.error for r in runs.sample_table_errors(*tables(1), marks(0, 4, 4), ["track"]).collect()) == ["stss sample number is out of range", "stss sample number is repeated"]
 
 
+def test_references_by_number_and_of_a_list(spark):
+    rows = table(spark, [(1, [(10, 14, 3, None), (11, 2, 5, None), (12, 2, 7, 0), (13, 2, 9, None)]), (2, [])], f"k int, held {pictures.REFERENCE}")
+    # The current frame number is 4: 14 is of the turn before, -2; of two equal numbers the first counts.
+    at = lambda n: pictures.short_term_by_number(F.col("held"), F.lit(4), 16, F.lit(n))["id"]
+    got = rows.orderBy("k").select(at(14), at(-2), at(2), at(3), pictures.long_term_by_index(F.col("held"), F.lit(0))["id"], pictures.long_term_by_index(F.col("held"), F.lit(1))["id"]).collect()
+    assert [tuple(r) for r in got] == [(10, 10, 11, None, 12, None), (None,) * 6]
+    listed = rows.orderBy("k").select(F.transform(pictures.entries_of_list(F.array(F.lit(13), F.lit(None).cast("long"), F.lit(99)), F.col("held")), lambda x: x["poc"])).collect()
+    assert [r[0] for r in listed] == [[9, None, None], [None, None, None]]
+
+
+def test_tracks_by_index_durations_and_modes(spark):
+    tracks = table(spark, [("a", 0, "vide"), ("a", 1, "soun")], "file string, track_index long, kind string")
+    asked = table(spark, [("a", 1), ("a", 2), ("a", -1), ("a", None), ("b", 0)], "file string, wanted long")
+    got = sorted(((r.file, r.wanted, r.kind, r.error is None) for r in packets.track_by_index(asked, tracks, ["file"], "wanted", ["kind"]).collect()), key=str)
+    assert got == sorted([("a", 1, "soun", True), ("a", 2, None, False), ("a", -1, None, False), ("a", None, None, False), ("b", 0, None, False)], key=str)
+    times = table(spark, [(1024, 48000), (1, 0), (None, 8000)], "n long, rate long").select(audio.duration_of_frames(F.col("n"), F.col("rate")).alias("t")).collect()
+    assert [r.t and tuple(r.t) for r in times] == [(1024, 48000), None, None]
+    modes = table(spark, [(5, 5), (6, 5), (6, None), (None, 5)], "n long, most long").select(seek.seek_mode(F.col("n"), F.col("most"))).collect()
+    assert [r[0] for r in modes] == ["Exact", "Preview", "Exact", None]
+
+
 def test_empty_tables(spark):
     rows = table(spark, [], "track int, run int, count int, delta int")
     assert runs.decode_times(rows, ["track"], ["run"], "count", "delta").count() == 0
