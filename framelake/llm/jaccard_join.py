@@ -69,6 +69,9 @@ TABLE_COLUMNS = 4096
 #: Tokens of a block of a component, unless one set has more.
 BLOCK_TOKENS = 4_000_000
 
+#: A class of over this part of all rows is dealt in pieces of that size when its rows are joined; so few are broadcast.
+DEALT_CLASSES = 10_000
+
 #: Classes that a worker remembers to have seen.
 SEEN_CLASSES = 1_000_000
 
@@ -549,6 +552,21 @@ def jaccard_clusters(docs: DataFrame, shingles: Shingles = Shingles()) -> tuple[
     return classes.select("doc_id", "text_hash", "n_shingles", "class"), clusters, described
 
 
+def _with_class(rows: DataFrame, by_class: DataFrame, counted: DataFrame) -> DataFrame:
+    """``rows`` with what ``by_class`` says of their class (_class), which null and empty texts do not have.
+
+    The rows of one text can be a third of all, so those of frequent classes
+    are dealt in pieces. ``counted`` is class, n_rows.
+    """
+    piece = max(1, rows.count() // DEALT_CLASSES)
+    frequent = stored(counted.where(F.col("n_rows") > piece).select(F.col("class").alias("_frequent"), F.ceil(F.col("n_rows") / F.lit(piece)).cast("long").alias("_pieces")), "frequent")
+    parts = F.broadcast(frequent)
+    dealt = rows.join(parts, F.col("class") == F.col("_frequent"), "left").withColumn("_piece", F.coalesce(F.pmod(F.xxhash64("doc_id", "text_hash"), F.col("_pieces")), F.lit(0))).drop("_frequent", "_pieces")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_pieces", F.lit(1)) - 1)).alias("_of")
+    copied = by_class.join(parts, F.col("_class") == F.col("_frequent"), "left").select(*by_class.columns, every)
+    return dealt.join(copied, (F.col("class") == F.col("_class")) & (F.col("_piece") == F.col("_of")) & (F.col("n_shingles") > 0), "left")
+
+
 def jaccard_components(docs: DataFrame, shingles: Shingles = Shingles()) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id and n_links of every row of ``docs``.
 
@@ -573,7 +591,7 @@ def jaccard_components(docs: DataFrame, shingles: Shingles = Shingles()) -> Data
         F.when(F.col("_linked").isNull(), F.col("class_id")).otherwise(F.col("component_id")).alias("component_id"),
         (F.col("n_rows") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"),
     )
-    joined = rows.join(by_class, (F.col("class") == F.col("_class")) & (F.col("n_shingles") > 0), "left")
+    joined = _with_class(rows, by_class, counted)
     own = F.col("n_shingles") > 0
     return joined.select(
         "doc_id",
@@ -608,8 +626,10 @@ def keep_one_of_each(docs: DataFrame, shingles: Shingles = Shingles()) -> DataFr
     """
     rows, clusters, _ = jaccard_clusters(docs, shingles)
     held = rows.where("n_shingles > 0").groupBy("doc_id", "text_hash", "class").agg(F.count(F.lit(1)).alias("n_rows"))
-    labelled = held.join(clusters, F.col("class") == F.col("node"), "left").select("doc_id", "text_hash", "n_rows", F.coalesce("component", "class").alias("component"))
-    chosen = labelled.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n_rows")).alias("one"))
+    # First the row of each class, as one class may have a third of all rows.
+    by_class = held.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n_rows")).alias("first"))
+    labelled = by_class.join(clusters, F.col("class") == F.col("node"), "left").select("first", F.coalesce("component", "class").alias("component"))
+    chosen = labelled.groupBy("component").agg(F.min("first").alias("one"))
     bare = rows.where("n_shingles = 0").select(F.col("doc_id").alias("_fl_id"), F.col("text_hash").alias("_fl_hash"), F.lit(1).cast("long").alias("_fl_rows")).distinct()
     kept = stored(chosen.select(F.col("one.doc_id").alias("_fl_id"), F.col("one.text_hash").alias("_fl_hash"), F.col("one.n_rows").alias("_fl_rows")).union(bare), "kept")
     hashed = docs.withColumn("_fl_text_hash", F.xxhash64("text"))
