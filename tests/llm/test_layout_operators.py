@@ -95,6 +95,50 @@ def test_sources_of_a_common_beginning_split_the_tree(spark):
     assert sorted(map(sorted, by_shard.values())) == [[k] for k in range(8)]
 
 
+def plain_tree(units: list[dict], first: int, shards: int, out: dict) -> None:
+    """Cuts ``units`` at the weighted median of their widest dimension until each leaf is one shard."""
+    if shards == 1 or not units:
+        out.update((u["text"], first) for u in units)
+        return
+    spread = {d: [f(u[d] for u in units) for f in (min, max)] for d in kd_shards.DIMENSIONS}
+    widths = {d: (high[0] - low[0], (high[0] << 38) + high[1] - (low[0] << 38) - low[1]) for d, (low, high) in spread.items()}
+    widest = max(kd_shards.DIMENSIONS, key=lambda d: widths[d])
+    units = sorted(units, key=lambda u: u[widest])
+    half = shards // 2
+    wanted, before, at = sum(u["bytes"] for u in units) * half / shards, 0, 0
+    while before + units[at]["bytes"] < wanted:
+        before += units[at]["bytes"]
+        at += 1
+    if wanted - before >= before + units[at]["bytes"] - wanted:
+        at += 1
+    plain_tree(units[:at], first, half, out)
+    plain_tree(units[at:], first + half, shards - half, out)
+
+
+def test_shards_equal_a_plain_tree(spark):
+    rng = random.Random(9)
+    docs = [(k, "".join(rng.choices("abcdé ", k=rng.randint(0, 400))), rng.choice(["en", "de", "fr", None]), "s" + str(int(rng.random() ** 2 * 30))) for k in range(400)]
+    docs += [(1000 + k, docs[k][1], "zz", "a") for k in range(0, 400, 40)]
+    frame = spark.createDataFrame(docs, DDL)
+    tie = F.shiftrightunsigned(F.xxhash64(F.xxhash64("text"), F.lit(0).cast("long")), 26)
+    ties = {r.text: r.tie for r in frame.select("text", tie.alias("tie")).collect()}
+    ranks = [{v: k for k, v in enumerate(sorted({d[c] or "" for d in docs}))} for c in (2, 3)]
+    units: dict[str, dict] = {}
+    for _, text, lang, source in docs:
+        u = units.setdefault(text, {"text": text, "bytes": 0, "length": len(text), "lang": math.inf, "source": math.inf})
+        u["bytes"] += len(text.encode()) + 1
+        u["lang"], u["source"] = min(u["lang"], ranks[0][lang or ""]), min(u["source"], ranks[1][source or ""])
+    for d in kd_shards.DIMENSIONS:
+        low, high = min(u[d] for u in units.values()), max(u[d] for u in units.values())
+        for u in units.values():
+            u[d] = (math.floor((u[d] - low) / max(high - low, 1) * (2**24 - 1)), ties[u["text"]])
+    want: dict[str, int] = {}
+    plain_tree(list(units.values()), 0, 6, want)
+    rows = kd_shards.shard_documents(frame, 6).collect()
+    texts = {d[0]: d[1] for d in docs}
+    assert {texts[r.doc_id]: r.shard for r in rows} == want
+
+
 # Nearest neighbours
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import os
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -62,6 +65,128 @@ def test_quality_edge_cases(spark, odd):
     assert weak_quality.reject_low_quality(odd).columns == odd.columns
 
 
+# The classifier again, plainly: text by text, in loops and dictionaries.
+
+
+def plain_profile(text: str) -> dict:
+    words = re.findall(rb"[^ \t-\r]+", text.encode())
+    n = max(len(words), 1)
+    letters = sum(c.isascii() and c.isalpha() or c >= "À" for c in text)
+    lines = [x for x in text.split("\n") if x]
+    counts = Counter(words)
+    return {
+        "words": len(words),
+        "symbols": (sum(c in "#$%&*|<>{}[]\\^~=_@" for c in text) + text.count("!!")) / n,
+        "upper": sum("A" <= c <= "Z" or "À" <= c <= "Þ" for c in text) / max(letters, 1),
+        "distinct": len(counts) / n**0.8,
+        "top": max(counts.values(), default=0) / n,
+        "function": sum(w in weak_quality.FUNCTION_WORDS for w in words) / n,
+        "lines": 1 - len(set(lines)) / len(lines) if lines else 0.0,
+        "sentence": n / max(sum(c in ".!?" for c in text), 1),
+        "word_length": sum(len(w) for w in words) / n,
+        "echoes": max(sum(words[i] == words[i + k] for i in range(len(words) - k)) for k in (1, 2)) / n,
+    }
+
+
+def plain_votes(p: dict) -> list[int]:
+    """0 abstains, 1 is bad, 2 is good."""
+    short, tiny = p["words"] < 12, p["words"] < 20
+    return [
+        1 if p["words"] < 2 else 2 if p["words"] >= 40 else 0,
+        1 if p["symbols"] > 0.4 else 2 if p["symbols"] < 0.08 else 0,
+        1 if p["upper"] > 0.4 else 2 if p["upper"] < 0.15 else 0,
+        0 if tiny else 1 if p["distinct"] < 0.3 else 2 if p["distinct"] >= 0.9 else 0,
+        0 if short else 1 if p["top"] > 0.25 else 2 if p["top"] < 0.08 else 0,
+        0 if short else 1 if p["echoes"] > 0.3 else 2 if p["echoes"] < 0.1 else 0,
+        0 if short else 1 if p["function"] < 0.06 else 2 if p["function"] >= 0.15 else 0,
+        1 if p["lines"] > 0.5 else 2 if p["lines"] < 0.1 else 0,
+        0 if short else 2 if 4 <= p["sentence"] <= 40 else 1,
+    ]
+
+
+def plain_posteriors(votes: list[tuple], rounds: int = 100) -> tuple[dict, float]:
+    """Chance of being good, per tuple of votes, by expectation-maximisation over the texts."""
+    n = Counter(votes)
+    good = {v: (v.count(2) + 1) / (v.count(2) + 3 * v.count(1) + 2) for v in n}
+    for _ in range(rounds):
+        prior = (sum(n[v] * good[v] for v in n) + 1) / (len(votes) + 2)
+        chance = {}
+        for k in range(len(votes[0])):
+            for c in (0, 1):
+                cast = [0.5 + sum(n[v] * (good[v] if c else 1 - good[v]) for v in n if v[k] == vote) for vote in (1, 2)]
+                for vote in (1, 2):
+                    chance[k, c, vote] = cast[vote - 1] / sum(cast)
+        for v in n:
+            odds = math.log(prior / (1 - prior)) + sum(math.log(chance[k, 1, x] / chance[k, 0, x]) for k, x in enumerate(v) if x)
+            good[v] = 1 / (1 + math.exp(-odds))
+    return good, prior
+
+
+def plain_features(text: str, p: dict) -> dict[int, float]:
+    out: dict[int, float] = {}
+    words = re.findall(rb"[^ \t-\r]+", text.encode())
+    for word in words:
+        if len(word) > 4:
+            ends = re.sub(rb"[a-z\x80-\xff]", b"a", word[:2] + word[-3:])
+            word = re.sub(rb"[0-9]", b"9", re.sub(rb"[A-Z]", b"A", ends))
+        at = zlib.crc32(word) % 65536
+        out[at] = out.get(at, 0.0) + 1 / len(words)
+    steps = {"words": (2 * math.log2(p["words"] + 1), 48), "symbols": (10 * p["symbols"], 12), "upper": (10 * p["upper"], 11), "distinct": (5 * p["distinct"], 16), "top": (10 * p["top"], 11)}
+    steps |= {"function": (12 * p["function"], 13), "lines": (8 * p["lines"], 9), "sentence": (2 * math.log2(p["sentence"] + 1), 32), "word_length": (p["word_length"], 24), "echoes": (10 * p["echoes"], 11)}
+    for name, (step, size) in steps.items():
+        at = zlib.crc32(f"{name}={min(int(step), size - 1)}".encode()) % 65536
+        out[at] = out.get(at, 0.0) + 0.5
+    return out
+
+
+def plain_scorer(rows: list[dict], targets: list[float]) -> tuple[dict, float]:
+    """Logistic regression by AdaGrad, feature by feature."""
+    weight: dict[int, float] = {}
+    square: dict[int, float] = {}
+    bias, bias_square = 0.0, 1e-6
+    for epoch in range(15):
+        order = np.random.default_rng(epoch).permutation(len(rows))
+        for batch in np.array_split(order, max(1, len(rows) // 256)):
+            gradient: dict[int, float] = {}
+            errors = []
+            for r in batch:
+                z = bias + sum(weight.get(f, 0.0) * v for f, v in rows[r].items())
+                errors.append(1 / (1 + math.exp(-z)) - targets[r])
+                for f, v in rows[r].items():
+                    gradient[f] = gradient.get(f, 0.0) + errors[-1] * v / len(batch)
+            for f, g in gradient.items():
+                g += 1e-4 * weight.get(f, 0.0)
+                square[f] = square.get(f, 1e-6) + g * g
+                weight[f] = weight.get(f, 0.0) - 0.5 * g / math.sqrt(square[f])
+            g = sum(errors) / len(errors)
+            bias_square += g * g
+            bias -= 0.5 * g / math.sqrt(bias_square)
+    return weight, bias
+
+
+def test_quality_equals_a_plain_rewrite(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [r.text or "" for r in docs.orderBy(F.xxhash64("doc_id", "text"), "text").select("text").collect()]
+    profiles = [plain_profile(t) for t in texts]
+    votes = [tuple(plain_votes(p)) for p in profiles]
+    good, _ = plain_posteriors(votes)
+    features = [plain_features(t, p) for t, p in zip(texts, profiles, strict=True)]
+    weight, bias = plain_scorer(features, [good[v] for v in votes])
+    want = {}
+    for t, v, row in zip(texts, votes, features, strict=True):
+        z = bias + sum(weight.get(f, 0.0) * x for f, x in row.items())
+        want[t] = (sum(x * 3 ** (8 - k) for k, x in enumerate(v)), good[v], 1 / (1 + math.exp(-z)))
+    found = queries.op10_quality(spark, "/root/testdata/sf0.01")
+    rows = found.join(docs.select("doc_id", "text"), "doc_id").collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        pattern, label, score = want[r.text or ""]
+        assert (r.quality_pattern, r.quality_keep) == (pattern, r.quality_score >= 0.5)
+        assert abs(r.quality_label - label) < 1e-9 and abs(r.quality_score - score) < 1e-3
+
+
 def longest_match(word: bytes, pieces: set[bytes], longest: int) -> int:
     n = at = 0
     while at < len(word):
