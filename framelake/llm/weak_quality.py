@@ -28,6 +28,9 @@ ABSTAIN, BAD, GOOD = 0, 1, 2
 #: Documents the linear scorer is fitted on at most.
 TRAIN_DOCUMENTS = 8_000
 
+#: Tasks that read these texts.
+TRAIN_TASKS = 64
+
 #: Size of the hashed feature space.
 FEATURES = 1 << 16
 
@@ -254,6 +257,7 @@ def _vote_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (text, drawn) to vote pattern, hashed features and drawn."""
     maker = Featurizer()
     for batch in row_chunks(batches):
         out: dict[str, list] = {"pattern": [], "index": [], "value": []}
@@ -264,7 +268,7 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             out["pattern"].append(pattern)
             out["index"].append(once.astype(np.int32))
             out["value"].append(np.bincount(at, value).astype(np.float32))
-        yield pa.RecordBatch.from_arrays([pa.array(out["pattern"], pa.int64()), pa.array(out["index"], pa.list_(pa.int32())), pa.array(out["value"], pa.list_(pa.float32()))], names=["pattern", "index_", "value"])
+        yield pa.RecordBatch.from_arrays([pa.array(out["pattern"], pa.int64()), pa.array(out["index"], pa.list_(pa.int32())), pa.array(out["value"], pa.list_(pa.float32())), batch.column(1)], names=["pattern", "index_", "value", "drawn"])
 
 
 @dataclass
@@ -285,7 +289,9 @@ class QualityModel:
         patterns = {r.pattern: r.n for r in counted.collect()}
         labels = fit_label_model(patterns)
         total = sum(patterns.values())
-        rows = _training_texts(docs, train_documents, total).mapInArrow(_feature_batches, "pattern long, index_ array<int>, value array<float>").collect()
+        rows = _training_texts(docs, train_documents, total).mapInArrow(_feature_batches, "pattern long, index_ array<int>, value array<float>, drawn long").collect()
+        # The texts come from several tasks; the scorer depends on their order. Equal hashes are equal rows.
+        rows.sort(key=lambda r: r.drawn)
         targets = np.array([labels.posterior[r.pattern] for r in rows])
         weights, bias = fit_scorer([(np.array(r.index_, dtype=np.int64), np.array(r.value)) for r in rows], targets)
         return QualityModel(labels, weights.astype(np.float32), bias)
@@ -325,10 +331,10 @@ KEEP_FROM = 0.5
 
 
 def _training_texts(docs: DataFrame, bound: int, total: int) -> DataFrame:
-    """At most ``bound`` texts, those of the least hash; the hash first thins out what is sorted."""
+    """At most ``bound`` texts (text, drawn), those of the least hash, dealt over tasks; the hash first thins out what is sorted."""
     drawn = F.xxhash64("doc_id", "text")
     share = min(1.0, 2.0 * bound / max(total, 1) + 0.001)
-    return docs.select("text", drawn.alias("_drawn")).where(F.pmod("_drawn", F.lit(1_000_000)) < int(share * 1_000_000)).orderBy("_drawn", "text").limit(bound).select("text")
+    return docs.select("text", drawn.alias("drawn")).where(F.pmod("drawn", F.lit(1_000_000)) < int(share * 1_000_000)).orderBy("drawn", "text").limit(bound).repartition(TRAIN_TASKS, "drawn")
 
 
 def classify_quality(docs: DataFrame, train_documents: int = TRAIN_DOCUMENTS, keep_from: float = KEEP_FROM) -> DataFrame:
