@@ -111,3 +111,40 @@ def implicit_weight(current: Column, first: Column, second: Column) -> Column:
     scale = toward_zero(F.lit(16384) + toward_zero(F.abs(distance), F.lit(2)), F.when(distance != 0, distance))
     weight = F.shiftright(part * scale + 32, 8)
     return F.when((second == first) | weight.isNull() | (weight < -64) | (weight > 128), F.lit(32)).otherwise(weight).cast("int")
+
+
+def tile_bounds(index: Column, blocks: Column, tiles_log2: Column) -> Column:
+    """struct(first, end) of a tile, in blocks of eight samples of ``blocks`` in all; tiles begin at whole superblocks of eight blocks."""
+    superblocks = F.ceil(blocks / 8).cast("long")
+    start = lambda k: F.least(F.call_function("shiftright", k * superblocks, tiles_log2.cast("int")) * 8, blocks.cast("long"))
+    return F.struct(start(index).alias("first"), start(index + 1).alias("end"))
+
+
+def tile_ranges(frame: str, start: str, tiles: str) -> Column:
+    """struct(ranges, error) of the byte ranges (first, end) of a frame's tiles behind its headers, from the names of columns.
+
+    Each tile but the last follows its size in four bytes; the last takes the
+    rest. The ranges up to an error are kept. A null gives null.
+    """
+    head = f"if(k = {tiles}, 0, 4)"
+    size = f"if(k = {tiles}, length({frame}) - s.at, cast(conv(hex(substring({frame}, cast(s.at + 1 as int), 4)), 16, 10) as bigint))"
+    error = f"case when s.at + {head} > length({frame}) then 'truncated: tile size' when {size} = 0 then 'invalid: empty tile' when s.at + {head} + {size} > length({frame}) then 'truncated: tile payload' end"
+    step = f"""if(s.error is not null, s, if({error} is not null, named_struct('at', s.at, 'ranges', s.ranges, 'error', {error}),
+        named_struct('at', s.at + {head} + {size}, 'ranges', concat(s.ranges, array(named_struct('first', s.at + {head}, 'end', s.at + {head} + {size}))), 'error', cast(null as string))))"""
+    begin = f"named_struct('at', cast({start} as bigint), 'ranges', cast(array() as array<struct<first: bigint, end: bigint>>), 'error', if({start} > length({frame}), 'truncated: tile payload', cast(null as string)))"
+    return F.expr(f"if({frame} is null, null, aggregate(sequence(1, {tiles}), {begin}, (s, k) -> {step}, s -> named_struct('ranges', s.ranges, 'error', s.error)))")
+
+
+def video_format_error(pixels: Column, bit_depth: Column, across: Column, down: Column, coded: tuple[Column, Column], visible: tuple[Column, Column, Column, Column], display: tuple[Column, Column]) -> Column:
+    """What forbids a video format, or null: layout of planar 16-bit pixels, then empty sizes, then the visible (x, y, width, height) beyond the coded size."""
+    x, y, width, height = (v.cast("long") for v in visible)
+    layout = (pixels == "planar_yuv16") & (~bit_depth.between(9, 16) | (across > 1) | (down > 1))
+    empty = lambda size: (size[0] == 0) | (size[1] == 0)
+    return (
+        F.when(layout, "invalid: depth or subsampling")
+        .when(empty(coded), "invalid: coded size is empty")
+        .when(empty((width, height)), "invalid: visible rectangle is empty")
+        .when(empty(display), "invalid: display size is empty")
+        .when(F.greatest(x + width, y + height) >= 1 << 32, "invalid: overflow")
+        .when((x + width > coded[0]) | (y + height > coded[1]), "invalid: visible rectangle exceeds the coded size")
+    )

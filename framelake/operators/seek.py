@@ -60,3 +60,35 @@ def seek_plan(targets: DataFrame, samples: DataFrame, track: list[str]) -> DataF
     needed = chosen.join(within, [*track, "keyframe_index"]).where(F.col("pts") <= F.col("_selected_pts"))
     last = needed.groupBy(*track, "target", "keyframe_index", "selected_index").agg(F.max("sample_index").alias("_last"))
     return last.select(*track, "target", "keyframe_index", "selected_index", (F.col("_last") - F.col("keyframe_index") + 1).alias("required"))
+
+
+def retarget_forward(outputs: DataFrame, requests: DataFrame, stream: list[str]) -> DataFrame:
+    """requests (stream, current, target, draining), one a stream, with error, starts_at, clears and reannounces.
+
+    Only a later target of a seek that is active and not drained is taken. If
+    no waiting frame of ``outputs`` (stream, kind "Frame" or "Format", pts) is at
+    or after it or without a time, all outputs go (clears), and if a format was
+    among them it must be announced again. The same target changes nothing; a
+    stream without outputs clears nothing that there is.
+    """
+    error = (
+        F.when(F.col("current").isNull(), "invalid: no exact seek is active")
+        .when(F.col("target").isNull(), "invalid: no target")
+        .when(F.col("target") < F.col("current"), "invalid: target lies before the current one")
+        .when(F.col("draining"), "invalid: stream is drained")
+    )
+    asked = requests.withColumn("error", error)
+    later = F.col("error").isNull() & (F.col("target") > F.col("current"))
+    waiting = outputs.select(*stream, "kind", "pts").join(asked.where(later).select(*stream, "target"), stream)
+    shown = (F.col("kind") == "Frame") & shown_from(F.col("pts"), F.col("target"))
+    facts = waiting.groupBy(*stream).agg(F.coalesce(F.bool_or(shown), F.lit(False)).alias("_shown"), F.bool_or(F.col("kind") == "Format").alias("_format"))
+    clears = later & ~F.coalesce("_shown", F.lit(False))
+    planned = asked.join(facts, stream, "left").withColumns({"starts_at": F.when(F.col("error").isNull(), F.col("target")).otherwise(F.col("current")), "clears": clears})
+    return planned.withColumn("reannounces", F.col("clears") & F.coalesce("_format", F.lit(False))).drop("_shown", "_format")
+
+
+def kept_outputs(outputs: DataFrame, plan: DataFrame, stream: list[str]) -> DataFrame:
+    """The outputs that stay under the plan of ``retarget_forward``: those of other streams and of refused requests, and what no later target passes by."""
+    of = plan.select(*stream, F.col("clears").alias("_clears"), F.when(F.col("error").isNull() & (F.col("target") > F.col("current")), F.col("target")).alias("_target"))
+    passed = (F.col("kind") == "Frame") & ~shown_from(F.col("pts"), F.col("_target"))
+    return outputs.join(of, stream, "left").where(~F.coalesce("_clears", F.lit(False)) & ~F.coalesce(passed, F.lit(False))).drop("_clears", "_target")

@@ -78,6 +78,49 @@ def edit_lists(files: DataFrame) -> DataFrame:
     return rows.withColumn("error", F.coalesce("error", F.when(F.col("media_time") < -1, "media time under -1")))
 
 
+#: Sample entries of video, with the box that holds their configuration, and the bytes before their boxes.
+VIDEO_ENTRIES = {"avc1": "avcC", "avc3": "avcC", "vp09": "vpcC"}
+VIDEO_ENTRY_BYTES = 78
+
+
+def sample_descriptions(files: DataFrame) -> DataFrame:
+    """(path, track, ordinal, format, width, height, configuration, profile, level, bit_depth, error) of the sample descriptions.
+
+    Formats other than those of VIDEO_ENTRIES keep their name and nulls. The
+    last three values are those of a VP9 configuration. A list whose version or
+    count is wrong gives the error in each of its rows, an empty one that should
+    not be gives one row; what cannot be read of an entry is its error and nulls.
+    """
+    payload, config = F.col("payload"), F.col("configuration")
+    found = box_payloads(files, ["stsd"]).select("path", "parent", "offset", "payload")
+    lists = _of_track(found, track_numbers(files)).select("path", "track", F.col("offset").alias("_list"), big_endian(payload, 0, 1).alias("_version"), big_endian(payload, 4, 4).alias("_n"))
+    entries = boxes(files).select("path", F.col("parent").alias("_list"), F.col("offset").alias("_entry"), F.col("kind").alias("format"), F.col("error").alias("_broken"))
+    heads = box_payloads(files, [*VIDEO_ENTRIES]).select("path", F.col("offset").alias("_entry"), payload.alias("_head"))
+    held = box_payloads(files, ["avcC", "vpcC"]).groupBy("path", F.col("parent").alias("_entry"), F.col("kind").alias("_box"))
+    configurations = held.agg(F.count(F.lit(1)).alias("_configurations"), F.min("payload").alias("configuration"))
+    box = F.coalesce(*(F.when(F.col("format") == k, v) for k, v in VIDEO_ENTRIES.items()))
+    rows = lists.join(entries, ["path", "_list"], "left").withColumn("_box", box).join(heads, ["path", "_entry"], "left").join(configurations, ["path", "_entry", "_box"], "left")
+    whole = Window.partitionBy("path", "track", "_list")
+    is_vp9 = F.col("format") == "vp09"
+    error = (
+        F.when(F.coalesce(F.col("_version") != 0, F.lit(True)), "unsupported: version")
+        .when(F.coalesce(F.count("_entry").over(whole) != F.col("_n"), F.lit(True)), "invalid: count of entries differs")
+        .when(F.col("_broken").isNotNull(), F.col("_broken"))
+        .when(F.col("_box").isNotNull() & (F.length("_head") < VIDEO_ENTRY_BYTES), "invalid: truncated entry")
+        .when(F.col("_box").isNotNull() & config.isNull(), "invalid: no configuration")
+        .when(F.col("_configurations") > 1, "invalid: more than one configuration")
+        .when(is_vp9 & (F.length(config) < 12), "invalid: truncated configuration")
+        .when(is_vp9 & (big_endian(config, 0, 1) != 1), "unsupported: version of the configuration")
+        .when(is_vp9 & (big_endian(config, 1, 3) != 0), "invalid: flags of the configuration")
+        .when(is_vp9 & (F.length(config) != 12 + big_endian(config, 10, 2)), "invalid: length of the configuration")
+    )
+    listed = rows.withColumns({"ordinal": (F.row_number().over(whole.orderBy("_entry")) - 1).cast("long"), "error": error}).where("_entry is not null or error is not null")
+    sound = lambda x: F.when(F.col("error").isNull() & F.col("_box").isNotNull(), x)
+    values = {"width": big_endian(F.col("_head"), 24, 2), "height": big_endian(F.col("_head"), 26, 2), "configuration": F.hex(config)}
+    of_vp9 = {"profile": big_endian(config, 4, 1), "level": big_endian(config, 5, 1), "bit_depth": F.shiftright(big_endian(config, 6, 1), 4)}
+    return listed.select("path", "track", "ordinal", "format", *(sound(v).alias(k) for k, v in values.items()), *(sound(F.when(is_vp9, v)).alias(k) for k, v in of_vp9.items()), "error")
+
+
 def sample_sizes(files: DataFrame) -> DataFrame:
     """(path, track, sample_index, size): one size for all samples, or a list of them."""
     found = box_payloads(files, ["stsz"])

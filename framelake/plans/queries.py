@@ -835,3 +835,95 @@ def first_video_track(spark, sf_dir):
 def compact_sizes(spark, sf_dir):
     rows = spark.createDataFrame([(1, bytearray(b"\xab\xc0"), 4, 3), (2, bytearray(b"\1\xff"), 8, 2), (3, bytearray(b"\1\2"), 16, 1)], "id int, data binary, bits int, n long")
     return tracks.compact_sizes(rows, "data", "bits", "n").select("id", "sample_index", "size")
+
+
+@query(
+    "i16_tile_bounds",
+    """SELECT o_orderkey AS i, CAST(least((t * b8 >> lg) << 3, b) AS BIGINT) AS first_block, CAST(least(((t + 1) * b8 >> lg) << 3, b) AS BIGINT) AS end_block
+    FROM (SELECT o_orderkey, o_custkey % 500 + 1 AS b, (o_custkey % 500 + 8) // 8 AS b8, o_orderkey % 4 AS lg, o_custkey % (1 << (o_orderkey % 4)) AS t FROM orders)""",
+)
+def tile_bounds(spark, sf_dir):
+    rows = _table(spark, sf_dir, "orders").selectExpr("o_orderkey as i", "o_custkey % 500 + 1 as b", "o_orderkey % 4 as lg", "o_custkey % shiftleft(1, cast(o_orderkey % 4 as int)) as t")
+    bounds = scalars.tile_bounds(F.col("t"), F.col("b"), F.col("lg"))
+    return rows.select("i", bounds["first"].alias("first_block"), bounds["end"].alias("end_block"))
+
+
+@query(
+    "i16_tile_ranges",
+    """SELECT i, CASE WHEN wrong THEN 'truncated: tile payload' WHEN a * b * c = 0 THEN 'invalid: empty tile' END AS error,
+           concat_ws(',', CASE WHEN NOT wrong AND a > 0 THEN concat(7, '-', 7 + a) END, CASE WHEN NOT wrong AND a > 0 AND b > 0 THEN concat(11 + a, '-', 11 + a + b) END,
+                     CASE WHEN NOT wrong AND a * b * c > 0 THEN concat(11 + a + b, '-', 11 + a + b + c) END) AS ranges
+    FROM (SELECT p_partkey AS i, p_size % 7 AS a, p_partkey % 5 AS b, p_partkey % 3 AS c, p_partkey % 11 = 0 AS wrong FROM part)""",
+)
+def tile_ranges(spark, sf_dir):
+    part = _table(spark, sf_dir, "part").selectExpr("p_partkey as i", "cast(p_size % 7 as int) as a", "cast(p_partkey % 5 as int) as b", "cast(p_partkey % 3 as int) as c", "p_partkey % 11 = 0 as wrong")
+    sized = "unhex(lpad(hex({0}), 8, '0'))"
+    frame = f"concat(cast('abc' as binary), {sized.format('a + if(wrong, 100, 0)')}, cast(repeat('x', a) as binary), {sized.format('b')}, cast(repeat('y', b) as binary), cast(repeat('z', c) as binary)) as frame"
+    found = part.selectExpr("i", frame, "3 as start", "3 as tiles").withColumn("found", scalars.tile_ranges("frame", "start", "tiles"))
+    return found.selectExpr("i", "found.error as error", "array_join(transform(found.ranges, r -> concat(r.first, '-', r.end)), ',') as ranges")
+
+
+@query(
+    "i21_video_formats",
+    """SELECT i, CASE WHEN planar AND (depth < 9 OR depth > 16 OR sx > 1) THEN 'invalid: depth or subsampling' WHEN cw = 0 THEN 'invalid: coded size is empty' WHEN vw = 0 THEN 'invalid: visible rectangle is empty'
+           WHEN dw = 0 THEN 'invalid: display size is empty' WHEN x + vw >= 4294967296 THEN 'invalid: overflow' WHEN x + vw > cw THEN 'invalid: visible rectangle exceeds the coded size' END AS error
+    FROM (SELECT l_orderkey * 8 + l_linenumber AS i, l_linenumber % 2 = 0 AS planar, l_partkey % 20 AS depth, l_suppkey % 3 AS sx, l_partkey % 40 AS cw, l_suppkey % 7 AS vw, l_orderkey % 5 AS dw,
+                 CASE WHEN l_orderkey % 13 = 0 THEN 4294967295 ELSE l_orderkey % 30 END AS x FROM lineitem)""",
+)
+def video_formats(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 8 + l_linenumber as i", "if(l_linenumber % 2 = 0, 'planar_yuv16', 'nv12') as pixels", "l_partkey % 20 as depth", "l_suppkey % 3 as sx", "l_partkey % 40 as cw", "l_suppkey % 7 as vw", "l_orderkey % 5 as dw", "if(l_orderkey % 13 = 0, 4294967295, l_orderkey % 30) as x")
+    c, one, zero = F.col, F.lit(1), F.lit(0)
+    return rows.select("i", scalars.video_format_error(c("pixels"), c("depth"), c("sx"), zero, (c("cw"), one), (c("x"), zero, c("vw"), one), (c("dw"), one)).alias("error"))
+
+
+_RETARGET_SQL = """WITH o AS (SELECT user_id AS stream, event_id AS i, event_type = 'signup' AS format, CASE WHEN user_id % 3 > 0 OR event_id % 5 > 0 THEN event_id % 997 END AS pts FROM events),
+    r AS (SELECT DISTINCT user_id AS stream, CASE WHEN user_id % 7 > 0 THEN user_id % 300 END AS current, CASE WHEN user_id % 10 = 0 THEN user_id % 300 ELSE user_id * 37 % 1400 END AS target, user_id % 11 = 0 AS draining FROM events),
+    e AS (SELECT *, CASE WHEN current IS NULL THEN 'invalid: no exact seek is active' WHEN target < current THEN 'invalid: target lies before the current one' WHEN draining THEN 'invalid: stream is drained' END AS error FROM r),
+    p AS (SELECT *, error IS NULL AND target > current AND NOT EXISTS (SELECT 1 FROM o WHERE o.stream = e.stream AND NOT o.format AND (o.pts IS NULL OR o.pts >= e.target)) AS clears FROM e)"""
+
+
+def _retarget(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    outputs = _events(spark, sf_dir, "if(event_type = 'signup', 'Format', 'Frame') as kind", "if(user_id % 3 > 0 or event_id % 5 > 0, event_id % 997, null) as pts")
+    users = _table(spark, sf_dir, "events").select("user_id").distinct()
+    requests = users.selectExpr("user_id as stream", "if(user_id % 7 > 0, user_id % 300, null) as current", "if(user_id % 10 = 0, user_id % 300, user_id * 37 % 1400) as target", "user_id % 11 = 0 as draining")
+    return outputs, seek.retarget_forward(outputs, requests, ["stream"])
+
+
+@query("j8_forward_retarget", _RETARGET_SQL + " SELECT stream, error, CASE WHEN error IS NULL THEN target ELSE current END AS starts_at, clears, clears AND EXISTS (SELECT 1 FROM o WHERE o.stream = p.stream AND o.format) AS reannounces FROM p")
+def forward_retarget(spark, sf_dir):
+    return _retarget(spark, sf_dir)[1].select("stream", "error", "starts_at", "clears", "reannounces")
+
+
+@query("c7_kept_outputs", _RETARGET_SQL + " SELECT stream, i FROM o JOIN p USING (stream) WHERE NOT clears AND (error IS NOT NULL OR target = current OR o.format OR pts IS NULL OR pts >= target)")
+def kept_outputs(spark, sf_dir):
+    outputs, plan = _retarget(spark, sf_dir)
+    return seek.kept_outputs(outputs, plan, ["stream"]).select("stream", "i")
+
+
+def described_file(count: int, *entries: bytes) -> bytes:
+    """An MP4 of one track with the given sample entries and count."""
+    box = lambda kind, body: (8 + len(body)).to_bytes(4, "big") + kind + body
+    for kind, body in ((b"stsd", bytes(4) + count.to_bytes(4, "big") + b"".join(entries)), (b"stbl", b""), (b"minf", b""), (b"mdia", b""), (b"trak", b""), (b"moov", b"")):
+        made = box(kind, body or made)
+    return made
+
+
+def video_entry(kind: bytes, width: int, height: int, *configurations: bytes) -> bytes:
+    """A sample entry of video with its boxes of configuration."""
+    body = bytes(24) + width.to_bytes(2, "big") + height.to_bytes(2, "big") + bytes(50)
+    for c in configurations:
+        body += (8 + len(c)).to_bytes(4, "big") + (b"vpcC" if kind == b"vp09" else b"avcC") + c
+    return (8 + len(body)).to_bytes(4, "big") + kind + body
+
+
+@query(
+    "b19_sample_descriptions",
+    """SELECT *, CAST(NULL AS VARCHAR) AS error FROM (VALUES ('a.mp4', 0, 0, 'avc1', 640, 360, '0142', NULL, NULL, NULL), ('a.mp4', 0, 1, 'hvc1', NULL, NULL, NULL, NULL, NULL, NULL),
+    ('a.mp4', 0, 2, 'vp09', 1920, 1080, '01000000020AA20101010000', 2, 10, 10)) t(path, track, ordinal, format, width, height, configuration, profile, level, bit_depth)
+    UNION ALL SELECT 'b.mp4', 0, 0, 'avc3', NULL, NULL, NULL, NULL, NULL, NULL, 'invalid: no configuration' UNION ALL SELECT 'c.mp4', 0, 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'invalid: count of entries differs'""",
+)
+def sample_descriptions(spark, sf_dir):
+    vp9 = bytes([1, 0, 0, 0, 2, 10, 0xA2, 1, 1, 1, 0, 0])
+    first = described_file(3, video_entry(b"avc1", 640, 360, b"\1\x42"), (8).to_bytes(4, "big") + b"hvc1", video_entry(b"vp09", 1920, 1080, vp9))
+    files = [("a.mp4", first), ("b.mp4", described_file(1, video_entry(b"avc3", 1, 1))), ("c.mp4", described_file(1))]
+    return tracks.sample_descriptions(spark.createDataFrame(files, "path string, content binary"))

@@ -321,6 +321,61 @@ def test_tracks_by_index_durations_and_modes(spark):
     assert [r[0] for r in modes] == ["Exact", "Preview", "Exact", None]
 
 
+def test_sample_descriptions_say_what_is_wrong(spark):
+    vp9 = lambda version=1, flags=0, more=b"", size=0: bytes([version, 0, 0, flags, 0, 10, 0x82, 1, 1, 1, 0, size]) + more
+    entry, file = media_queries.video_entry, media_queries.described_file
+    cases = {
+        "sound": (file(1, entry(b"vp09", 8, 4, vp9(more=b"ab", size=2))), None),
+        "two": (file(1, entry(b"avc1", 8, 4, b"a", b"b")), "invalid: more than one configuration"),
+        "version": (file(1, entry(b"vp09", 8, 4, vp9(version=2))), "unsupported: version of the configuration"),
+        "flags": (file(1, entry(b"vp09", 8, 4, vp9(flags=1))), "invalid: flags of the configuration"),
+        "length": (file(1, entry(b"vp09", 8, 4, vp9(size=1))), "invalid: length of the configuration"),
+        "short": (file(1, entry(b"vp09", 8, 4, b"\1\0\0\0")), "invalid: truncated configuration"),
+        "entry": (file(1, (20).to_bytes(4, "big") + b"avc1" + bytes(12)), "invalid: truncated entry"),
+        "more": (file(1, entry(b"avc1", 8, 4, b"a"), entry(b"avc1", 8, 4, b"a")), "invalid: count of entries differs"),
+    }
+    files = [(k, v[0]) for k, v in cases.items()] + [("null", None), ("none", file(0)), ("junk", bytes(40))]
+    rows = tracks.sample_descriptions(table(spark, files, "path string, content binary")).collect()
+    assert {r.path: r.error for r in rows} == {k: v[1] for k, v in cases.items()}
+    assert [(r.width, r.height, r.bit_depth, r.configuration[-4:]) for r in rows if r.path == "sound"] == [(8, 4, 8, "6162")]
+    assert all(r.width is None and r.configuration is None for r in rows if r.error)
+
+
+def test_descriptions_of_damaged_files_are_rows(spark):
+    whole = media_queries.described_file(2, media_queries.video_entry(b"avc1", 640, 360, b"\1\x42"), media_queries.video_entry(b"vp09", 64, 36, bytes([1, *bytes(11)])))
+    rng = random.Random(4)
+    files = [(f"cut{k}", whole[:k]) for k in range(0, len(whole), 3)]
+    for k in range(100):
+        bent = bytearray(whole)
+        bent[rng.randrange(len(bent))] = rng.randrange(256)
+        files.append((f"bent{k}", bytes(bent)))
+    rows = tracks.sample_descriptions(table(spark, files, "path string, content binary")).collect()
+    assert all(r.error is None or r.width is None for r in rows)
+    assert not [r for r in rows if r.path.startswith("cut")]
+
+
+def test_tiles_cover_the_frame_or_say_why_not(spark):
+    rows = [(1, b"h" + bytes([0, 0, 0, 2]) + b"xxyy", 1, 2), (2, b"hyy", 1, 1), (3, b"h\0\0", 1, 2), (4, b"h", 2, 1), (5, b"h", 1, 1), (6, None, 1, 1), (7, b"h\0\0\0\x09xx", 1, 2)]
+    found = {r.i: r.t for r in table(spark, rows, "i int, frame binary, start int, tiles int").select("i", scalars.tile_ranges("frame", "start", "tiles").alias("t")).collect()}
+    assert [tuple(x) for x in found[1].ranges] == [(5, 7), (7, 9)] and [tuple(x) for x in found[2].ranges] == [(1, 3)]
+    assert {k: t.error for k, t in found.items() if t and t.error} == {3: "truncated: tile size", 4: "truncated: tile payload", 5: "invalid: empty tile", 7: "truncated: tile payload"}
+    assert found[6] is None
+    for blocks, log2 in ((9, 1), (64, 3), (1000, 2)):
+        bounds = [tuple(r.t) for r in spark.range(1 << log2).select(scalars.tile_bounds(F.col("id"), F.lit(blocks), F.lit(log2)).alias("t")).collect()]
+        assert bounds[0][0] == 0 and bounds[-1][1] == blocks and all(a[1] == b[0] for a, b in zip(bounds, bounds[1:], strict=False))
+
+
+def test_retargets_go_forward_only(spark):
+    outputs = [("a", "Format", None), ("a", "Frame", 5), ("a", "Frame", 9), ("b", "Frame", 5), ("b", "Format", None), ("c", "Frame", 1), ("c", "Frame", None), ("d", "Frame", 1), ("e", "Frame", 1), ("f", "Frame", 1), ("none", "Frame", 0)]
+    requests = [("a", 3, 7, False), ("b", 3, 7, False), ("c", 0, 7, None), ("d", None, 7, False), ("e", 9, 7, False), ("f", 3, 7, True), ("g", 3, 7, False), ("h", 3, None, False), ("i", 3, 3, False)]
+    waiting = table(spark, outputs, "stream string, kind string, pts long")
+    plan = seek.retarget_forward(waiting, table(spark, requests, "stream string, current long, target long, draining boolean"), ["stream"])
+    got = {r.stream: (r.error is None, r.starts_at, r.clears, r.reannounces) for r in plan.collect()}
+    assert got == {"a": (True, 7, False, False), "b": (True, 7, True, True), "c": (True, 7, False, False), "d": (False, None, False, False), "e": (False, 9, False, False), "f": (False, 3, False, False), "g": (True, 7, True, False), "h": (False, 3, False, False), "i": (True, 3, False, False)}
+    kept = seek.kept_outputs(waiting, plan, ["stream"]).collect()
+    assert sorted((r.stream, r.kind, str(r.pts)) for r in kept) == sorted([("a", "Format", "None"), ("a", "Frame", "9"), ("c", "Frame", "None"), ("d", "Frame", "1"), ("e", "Frame", "1"), ("f", "Frame", "1"), ("none", "Frame", "0")])
+
+
 def test_empty_tables(spark):
     rows = table(spark, [], "track int, run int, count int, delta int")
     assert runs.decode_times(rows, ["track"], ["run"], "count", "delta").count() == 0
