@@ -129,7 +129,8 @@ def phrase_matches(found: DataFrame, pairs: DataFrame, around: int) -> DataFrame
     """
     shapes = pairs.select("pair", "a", "length").distinct()
     before = F.least(F.col("at"), F.lit(around))
-    cut = F.array_join(F.slice("near", before - F.col("a") + 1, F.col("length")), " ")
+    # Spark may work out the cut ahead of the filter, so its start stays valid for those that are filtered.
+    cut = F.array_join(F.slice("near", F.greatest(before - F.col("a") + 1, F.lit(1)), F.col("length")), " ")
     tried = found.where("off = 0").join(shapes, "pair").where(F.col("a") <= before)
     return tried.select("row", "pair", (F.col("at") - F.col("a")).alias("start"), "length", cut.alias("window")).join(pairs.select("pair", "window", "length"), ["pair", "window", "length"]).select("row", "start", "length", "window")
 
