@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.operators.asof import as_of
+from framelake.operators.asof import as_of, prefix_max
 
 
 def shown_from(pts: Column, target: Column) -> Column:
@@ -32,34 +32,36 @@ def seek_mode(required: Column, budget: Column) -> Column:
     return F.when(required > budget, "Preview").when(required.isNotNull(), "Exact")
 
 
-def seek_plan(targets: DataFrame, samples: DataFrame, track: list[str]) -> DataFrame:
+def seek_plan(targets: DataFrame, samples: DataFrame, track: list[str], bucket: int | None = None) -> DataFrame:
     """targets (track, target) with keyframe_index, selected_index and required.
 
     samples: track, sample_index (decode order), pts, sync. Decoding starts at
     the last sync sample at or before the target, ties to the least index. The
     selected sample is the first by (pts, index) at or after the target before
     or at the next sync sample; required counts the samples from the keyframe to
-    the last that is shown no later than the selected one.
+    the last that is shown no later than the selected one. Equal targets count
+    once; targets without a keyframe or a selected sample are left out, as are
+    null ones, and samples of a null pts are selected for none.
+
+    Each sample knows its span (the keyframe before it) and the greatest index
+    of its span that is shown no later; the selected sample is an as-of lookup
+    within the span. So the rows are those of the targets and of the samples,
+    however long spans are. ``bucket`` splits tracks and spans of very many
+    samples by pts and index.
     """
     asked = targets.distinct()
-    syncs = samples.where("sync").select(*track, F.col("pts").alias("_sync_pts"), F.col("sample_index").alias("_sync_index"))
-    placed = as_of(asked, syncs, track, "target", "_sync_pts", "_sync_index", prefix="keyframe").drop("keyframe_time")
-    placed = placed.where("keyframe_index is not null")
-    # The span of a keyframe ends with the next sync sample in decode order.
-    w_syncs = syncs.select(*track, F.col("_sync_index").alias("keyframe_index"))
-    ends = as_of(w_syncs, syncs, track, "keyframe_index", "_sync_index", "_sync_index", forward=True, strict=True, prefix="_end").drop("_end_index").withColumnRenamed("_end_time", "next_sync")
-    placed = placed.join(ends, [*track, "keyframe_index"])
-    span = as_of(samples.select(*track, "sample_index", "pts"), syncs, track, "sample_index", "_sync_index", "_sync_index", prefix="_of").drop("_of_index")
+    timed = samples.select(*track, "sample_index", "pts", "sync")
+    syncs = timed.where("sync").select(*track, F.col("pts").alias("_sync_pts"), F.col("sample_index").alias("_sync_index"))
+    placed = as_of(asked, syncs, track, "target", "_sync_pts", "_sync_index", bucket=bucket, prefix="keyframe").drop("keyframe_time").where("keyframe_index is not null")
+    own = as_of(timed, syncs, track, "sample_index", "_sync_index", "_sync_index", bucket=bucket, prefix="_of").drop("_of_time").withColumnRenamed("_of_index", "keyframe_index")
     # A sync sample closes the span before it as well as opening its own.
-    own = span.select(*track, F.col("_of_time").alias("keyframe_index"), "sample_index", "pts")
-    closing = ends.where("next_sync is not null").select(*track, "keyframe_index", F.col("next_sync").alias("sample_index")).join(samples.select(*track, "sample_index", "pts"), [*track, "sample_index"])
-    within = own.unionByName(closing.select(*own.columns))
-    reached = placed.join(within, [*track, "keyframe_index"])
-    first = reached.where("pts >= target").groupBy(*track, "target", "keyframe_index").agg(F.min(F.struct("pts", "sample_index")).alias("s"))
-    chosen = first.select(*track, "target", "keyframe_index", F.col("s.pts").alias("_selected_pts"), F.col("s.sample_index").alias("selected_index"))
-    needed = chosen.join(within, [*track, "keyframe_index"]).where(F.col("pts") <= F.col("_selected_pts"))
-    last = needed.groupBy(*track, "target", "keyframe_index", "selected_index").agg(F.max("sample_index").alias("_last"))
-    return last.select(*track, "target", "keyframe_index", "selected_index", (F.col("_last") - F.col("keyframe_index") + 1).alias("required"))
+    closing = as_of(timed.where("sync"), syncs, track, "sample_index", "_sync_index", "_sync_index", strict=True, bucket=bucket, prefix="_of").drop("_of_time").withColumnRenamed("_of_index", "keyframe_index")
+    within = own.unionByName(closing).where("keyframe_index is not null").select(*track, "keyframe_index", "sample_index", "pts")
+    span = [*track, "keyframe_index"]
+    needed = prefix_max(within, span, "pts", "sample_index", "_last", bucket=bucket)
+    chosen = as_of(placed, within, span, "target", "pts", "sample_index", forward=True, bucket=bucket, prefix="selected").drop("selected_time").where("selected_index is not null")
+    last = needed.select(*span, F.col("sample_index").alias("selected_index"), "_last")
+    return chosen.join(last, [*span, "selected_index"]).select(*track, "target", "keyframe_index", "selected_index", (F.col("_last") - F.col("keyframe_index") + 1).alias("required"))
 
 
 def retarget_forward(outputs: DataFrame, requests: DataFrame, stream: list[str]) -> DataFrame:

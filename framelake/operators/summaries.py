@@ -5,18 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framelake.operators.selection import with_percentiles
+
 
 def service_summary(rows: DataFrame, by: list[str], duration: str) -> DataFrame:
-    """Per group: count, mean (whole, truncated), p50, p95, p99 by nearest rank, and max. Null durations do not count."""
-    rank = lambda p: F.expr(f"percentile_disc({p}) within group (order by {duration})").cast("long")
-    return rows.groupBy(*by).agg(
+    """Per group: count, mean (whole, truncated), p50, p95, p99 by nearest rank, and max.
+
+    Null durations do not count; a group of nothing else has a count of 0 and
+    nulls. Durations are whole numbers. One pass adds up each group on every
+    task; the ranks are found by counting ranges, so no group is gathered.
+    """
+    totals = rows.groupBy(*by).agg(
         F.count(duration).alias("n"),
         F.call_function("div", F.sum(duration), F.count(duration)).cast("long").alias("mean"),
-        rank(0.5).alias("p50"),
-        rank(0.95).alias("p95"),
-        rank(0.99).alias("p99"),
         F.max(duration).alias("longest"),
     )
+    ranked = with_percentiles(totals, rows, by, duration, "n", {"p50": 50, "p95": 95, "p99": 99})
+    return ranked.select(*by, "n", "mean", "p50", "p95", "p99", "longest")
 
 
 def merge_symbol_counts(parts: DataFrame, by: list[str], symbol: str, count: str) -> DataFrame:

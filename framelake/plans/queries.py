@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions import audio, scalars
 from framelake.functions import time as media
-from framelake.operators import asof, fragments, packets, pictures, runs, seek, streams, summaries, tracks
+from framelake.operators import asof, fragments, packets, pictures, runs, seek, selection, streams, summaries, tracks
 from framelake.sources import bitstreams, mp4
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -348,7 +348,7 @@ def symbol_counts(spark, sf_dir):
 
 @query("e10_benchmark_median", "SELECT event_type, median(CAST(event_id AS DOUBLE)) AS median FROM events GROUP BY event_type")
 def benchmark_median(spark, sf_dir):
-    return _table(spark, sf_dir, "events").groupBy("event_type").agg(F.percentile(F.col("event_id").cast("double"), 0.5).alias("median"))
+    return selection.medians(_table(spark, sf_dir, "events"), ["event_type"], "event_id")
 
 
 @query("f2_format_changes", "SELECT user_id AS stream, event_id AS i, CASE WHEN event_id % 5 > 0 THEN event_type END AS format, NOT (CASE WHEN event_id % 5 > 0 THEN event_type END IS NOT DISTINCT FROM lag(CASE WHEN event_id % 5 > 0 THEN event_type END) OVER w) OR row_number() OVER w = 1 AS changed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
@@ -437,9 +437,13 @@ def monotonic(spark, sf_dir):
     return streams.is_monotonic(_events(spark, sf_dir, "event_id div 100 as t", "event_id % 9000 as o"), ["stream"], ["o", "i"], "t")
 
 
-@query("f13_checkpoint_spacing")
+@query(
+    "f13_checkpoint_spacing",
+    "WITH RECURSIVE e AS (SELECT user_id AS stream, event_id AS i FROM events), k AS (SELECT stream, min(i) AS i FROM e GROUP BY stream UNION ALL SELECT k.stream, (SELECT min(e.i) FROM e WHERE e.stream = k.stream AND e.i >= k.i + 500) FROM k WHERE k.i IS NOT NULL) "
+    "SELECT e.stream, e.i, k.i IS NOT NULL AS retained FROM e LEFT JOIN k ON k.stream = e.stream AND k.i = e.i",
+)
 def checkpoint_spacing(spark, sf_dir):
-    return streams.retain_spaced(_events(spark, sf_dir), ["stream"], ["i"], "i", 500)
+    return streams.retain_spaced(_events(spark, sf_dir), ["stream"], "i", 500, bucket=4096)
 
 
 @query("g2_bounded_reorder")
@@ -469,7 +473,7 @@ def frame_limit(spark, sf_dir):
 def seek_plan(spark, sf_dir):
     events = _table(spark, sf_dir, "events")
     samples = events.selectExpr("user_id as track", "event_id as sample_index", "event_id + (event_id * 7) % 5 as pts", "event_type = 'purchase' as sync")
-    return seek.seek_plan(events.selectExpr("user_id as track", "event_id as target"), samples, ["track"])
+    return seek.seek_plan(events.selectExpr("user_id as track", "event_id as target"), samples, ["track"], bucket=4096)
 
 
 @query("g10_seek_source", "SELECT event_id AS i, CASE WHEN CASE WHEN event_id % 4 > 0 THEN event_id % 29 END >= greatest(event_id % 17, coalesce(CASE WHEN event_id % 3 > 0 THEN event_id % 23 END, event_id % 17)) THEN 'Forward' WHEN CASE WHEN event_id % 3 > 0 THEN event_id % 23 END > event_id % 17 THEN 'Checkpoint' ELSE 'Keyframe' END AS source FROM events")
