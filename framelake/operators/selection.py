@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.storage import checkpointed
+from framelake.storage import written
 
 #: Ranges that a range is cut into in a round: 64-bit values need at most seven rounds.
 CUTS = 1024
@@ -35,14 +35,14 @@ def values_at_ranks(rows: DataFrame, by: list[str], value: str, ranks: DataFrame
     named = ranks.select(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), "name", F.col("rank").cast("long").alias("rank"))
     start = named.alias("r").join(ends.alias("e"), [F.col(f"r.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys], "left")
     inside = F.col("rank").between(1, F.col("_n"))
-    wanted = checkpointed(start.select(*(F.col(f"r.{k}") for k in keys), "name", "rank", F.when(inside, F.col("rank")).alias("_left"), F.when(inside, F.col("_low")).alias("_low"), F.when(inside, F.col("_high")).alias("_high")))
+    wanted = written(start.select(*(F.col(f"r.{k}") for k in keys), "name", "rank", F.when(inside, F.col("rank")).alias("_left"), F.when(inside, F.col("_low")).alias("_low"), F.when(inside, F.col("_high")).alias("_high")))
     while True:
         still = wanted.where("_low < _high").select(*keys, "_low", "_high").distinct()
         n = still.count()
         if n == 0:
             break
-        # One more than a CUTS-th, without the difference, which may pass 64 bits.
-        step = F.expr(f"_high div {CUTS} - _low div {CUTS} + 1")
+        # The difference may pass 64 bits, a CUTS-th of it does not; a range of two values is cut in steps of one.
+        step = F.call_function("div", _wide("_high") - _wide("_low"), F.lit(CUTS)) + 1
         ranges = still.select(*(F.col(k).alias(f"r{k}") for k in keys), F.col("_low").alias("_from"), F.col("_high").alias("_to"), step.alias("_step"))
         ranges = F.broadcast(ranges) if n <= BROADCAST_RANGES else ranges
         here = [own[k].eqNullSafe(F.col(f"r{k}")) for k in keys] + [F.col("_v").between(F.col("_from"), F.col("_to"))]
@@ -55,7 +55,7 @@ def values_at_ranks(rows: DataFrame, by: list[str], value: str, ranks: DataFrame
         low = (_wide("_low") + F.col("_cut") * F.col("_step").cast("decimal(20,0)")).cast("long")
         last = (_wide("_low") + (F.col("_cut") + 1) * F.col("_step").cast("decimal(20,0)") - 1).cast("decimal(38,0)")
         narrowed = wanted.where("_low < _high").join(renamed, holds).select(*keys, "name", "rank", (F.col("_left") - F.col("_upto") + F.col("_count")).alias("_left"), low.alias("_low"), F.least(F.col("_high").cast("decimal(38,0)"), last).cast("long").alias("_high"))
-        wanted = checkpointed(narrowed.unionByName(wanted.where("_low IS NULL OR _low = _high")))
+        wanted = written(narrowed.unionByName(wanted.where("_low IS NULL OR _low = _high")))
     return wanted.select(*(F.col(k).alias(c) for c, k in zip(by, keys, strict=True)), "name", "rank", F.col("_low").alias("found"))
 
 

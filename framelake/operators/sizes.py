@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.operators.asof import as_of
-from framelake.storage import checkpointed
+from framelake.storage import written
 
 #: Fixed value: reference slots of a decoder.
 SLOTS = 8
@@ -28,11 +28,11 @@ def readable_frames(frames: DataFrame, stream: list[str], index: str) -> DataFra
     least one more slot of a stream is opened for good, so there are at most
     eight, and a stream whose first frame writes all slots needs one.
     """
-    opened = checkpointed(_opened(frames.where("_source IS NULL"), stream, index))
+    opened = written(_opened(frames.where("_source IS NULL"), stream, index))
     while True:
         since = opened.withColumnRenamed("_slot", "_source")
         judged = frames.join(since, [*stream, "_source"], "left").withColumn("_ok", F.col("_source").isNull() | F.coalesce(F.col("_since") < F.col(index), F.lit(False))).drop("_since")
-        again = checkpointed(_opened(judged.where("_ok"), stream, index))
+        again = written(_opened(judged.where("_ok"), stream, index))
         if again.exceptAll(opened).isEmpty():
             return judged
         opened = again
@@ -55,8 +55,8 @@ def inherited_sizes(frames: DataFrame, stream: list[str], index: str, refresh: s
     ``bucket`` splits the lookup of one stream by spans of ``index``.
     """
     source = F.coalesce(*(F.when(F.coalesce(F.col(f), F.lit(False)), F.col(s)) for s, f in zip(slots, flags, strict=True))).cast("int")
-    known = checkpointed(frames.select(*stream, index, F.col(refresh).cast("int").alias("_refresh"), source.alias("_source"), F.col(width).alias("_w"), F.col(height).alias("_h")))
-    judged = checkpointed(readable_frames(known, stream, index))
+    known = written(frames.select(*stream, index, F.col(refresh).cast("int").alias("_refresh"), source.alias("_source"), F.col(width).alias("_w"), F.col(height).alias("_h")))
+    judged = written(readable_frames(known, stream, index))
     readable = judged.where("_ok")
     bits = F.filter(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda k: F.getbit("_refresh", k) == 1)
     writers = readable.select(*stream, F.explode(bits).alias("_source"), F.col(index).alias("_written"))
@@ -64,13 +64,13 @@ def inherited_sizes(frames: DataFrame, stream: list[str], index: str, refresh: s
     first = as_of(takers, writers, [*stream, "_source"], index, "_written", "_written", strict=True, bucket=bucket, prefix="_at").select(*stream, index, F.col("_at_index").alias("_to"))
     own = readable.where("_source IS NULL").select(*stream, F.col(index).alias("_to"), "_w", "_h")
 
-    at_end = checkpointed(first.join(own.withColumn("_done", F.lit(True)), [*stream, "_to"], "left"))
+    at_end = written(first.join(own.withColumn("_done", F.lit(True)), [*stream, "_to"], "left"))
     done, going = at_end.where("_done").drop("_done"), at_end.where("_done IS NULL").drop("_done")
     while not going.isEmpty():
         # A source's pointer leads on; where it already is at the end, so are all that point to it.
         ends = done.select(*stream, F.col(index).alias("_to"), F.col("_to").alias("_next"), F.col("_w").alias("_nw"), F.col("_h").alias("_nh"), F.lit(True).alias("_done"))
         middle = going.select(*stream, F.col(index).alias("_to"), F.col("_to").alias("_next"), F.lit(None).cast(own.schema["_w"].dataType).alias("_nw"), F.lit(None).cast(own.schema["_h"].dataType).alias("_nh"), F.lit(False).alias("_done"))
-        moved = checkpointed(going.select(*stream, index, "_to").join(ends.unionByName(middle), [*stream, "_to"]).select(*stream, index, F.col("_next").alias("_to"), F.col("_nw").alias("_w"), F.col("_nh").alias("_h"), "_done"))
+        moved = written(going.select(*stream, index, "_to").join(ends.unionByName(middle), [*stream, "_to"]).select(*stream, index, F.col("_next").alias("_to"), F.col("_nw").alias("_w"), F.col("_nh").alias("_h"), "_done"))
         done = done.unionByName(moved.where("_done").drop("_done"))
         going = moved.where("NOT _done").drop("_done")
     chained = done.select(*stream, index, F.col("_to").alias("size_from"), F.col("_w").alias("frame_width"), F.col("_h").alias("frame_height"))

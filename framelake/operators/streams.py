@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.operators.asof import as_of
-from framelake.storage import checkpointed
+from framelake.storage import written
 
 
 def _ordered(stream: list[str], order: list[str]) -> Window:
@@ -170,7 +170,31 @@ def drained_order(rows: DataFrame, stream: list[str], order: list[str], value: s
     return rows.withColumn("output_index", (F.row_number().over(w) - 1).cast("long"))
 
 
-def retain_spaced(rows: DataFrame, stream: list[str], index: str, spacing: int, bucket: int | None = None) -> DataFrame:
+def retain_spaced(rows: DataFrame, stream: list[str], order: list[str], index: str, spacing: int) -> DataFrame:
+    """``rows`` with retained: whether ``index`` lies ``spacing`` or more from the last retained one. The first is retained.
+
+    For streams whose index may jump back, as a cursor's does; one task reads a
+    stream in order. Where it only rises, ``retain_rising`` needs no such task.
+    """
+    keyed = rows.repartition(*stream).sortWithinPartitions(*stream, *order)
+
+    def play(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last = None, None
+        for frame in frames:
+            kept = []
+            for *own, at in frame[[*stream, index]].itertuples(index=False):
+                if own != key:
+                    key, last = own, None
+                keep = last is None or abs(at - last) >= spacing
+                last = at if keep else last
+                kept.append(keep)
+            yield frame.assign(retained=kept)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return keyed.mapInPandas(play, f"{fields}, retained boolean")
+
+
+def retain_rising(rows: DataFrame, stream: list[str], index: str, spacing: int, bucket: int | None = None) -> DataFrame:
     """``rows`` with retained: whether ``index`` lies ``spacing`` or more behind the last retained one. The first is retained.
 
     ``index`` is the order of the rows, a whole number that a stream has once;
@@ -188,14 +212,14 @@ def retain_spaced(rows: DataFrame, stream: list[str], index: str, spacing: int,
     asked = known.withColumn("_want", F.col("_i") + spacing)
     others = known.select(*stream, F.col("_i").alias("_at"))
     step = as_of(asked, others, stream, "_want", "_at", "_at", forward=True, bucket=bucket, prefix="_next").where("_next_index IS NOT NULL")
-    jumps = [checkpointed(step.select(*stream, "_i", F.col("_next_index").alias("_to")))]
-    marked = checkpointed(known.groupBy(*stream).agg(F.min("_i").alias("_i")))
+    jumps = [written(step.select(*stream, "_i", F.col("_next_index").alias("_to")))]
+    marked = written(known.groupBy(*stream).agg(F.min("_i").alias("_i")))
     # A jump that no first row can make is too long for every row of its stream that counts.
     while not jumps[-1].join(marked, [*stream, "_i"], "left_semi").isEmpty():
         onward = jumps[-1].select(*stream, F.col("_i").alias("_to"), F.col("_to").alias("_further"))
-        jumps.append(checkpointed(jumps[-1].join(onward, [*stream, "_to"]).select(*stream, "_i", F.col("_further").alias("_to"))))
+        jumps.append(written(jumps[-1].join(onward, [*stream, "_to"]).select(*stream, "_i", F.col("_further").alias("_to"))))
     for jump in reversed(jumps[:-1]):
         reached = marked.join(jump, [*stream, "_i"]).select(*stream, F.col("_to").alias("_i"))
-        marked = checkpointed(marked.unionByName(reached))
+        marked = written(marked.unionByName(reached))
     kept = marked.select(*stream, F.col("_i").alias(index), F.lit(True).alias("_kept"))
     return rows.join(kept, [*stream, index], "left").withColumn("retained", F.coalesce("_kept", F.lit(False))).drop("_kept")

@@ -443,7 +443,7 @@ def monotonic(spark, sf_dir):
     "SELECT e.stream, e.i, k.i IS NOT NULL AS retained FROM e LEFT JOIN k ON k.stream = e.stream AND k.i = e.i",
 )
 def checkpoint_spacing(spark, sf_dir):
-    return streams.retain_spaced(_events(spark, sf_dir), ["stream"], "i", 500, bucket=4096)
+    return streams.retain_rising(_events(spark, sf_dir), ["stream"], "i", 500, bucket=4096)
 
 
 @query("g2_bounded_reorder")
