@@ -20,7 +20,7 @@ def four_cc(data: Column) -> Column:
 
 def content_range(header: Column) -> Column:
     """struct(first, last, total) of ``bytes first-last/total``; total is null for ``*``; null where it is malformed."""
-    pattern = r"^bytes (\d{1,18})-(\d{1,18})/(\d{1,18}|\*)$"
+    pattern = r"^bytes (\d{1,18})-(\d{1,18})/(\d{1,18}|\*)\z"
     first, last, total = (F.regexp_extract(header, pattern, k) for k in (1, 2, 3))
     number = lambda x: F.try_to_number(x, F.lit("9" * 18)).cast("long")
     parsed = F.struct(number(first).alias("first"), number(last).alias("last"), F.when(total != "*", number(total)).alias("total"))

@@ -35,7 +35,7 @@ def parse_seconds(text: Column) -> Column:
 
     Null where the value in its own timescale is over 64 bits.
     """
-    pattern = r"^(\d+)(?:\.(\d{0,9}))?$"
+    pattern = r"^(\d+)(?:\.(\d{0,9}))?\z"
     fraction = F.regexp_extract(text, pattern, 2)
     scale = F.rpad(F.lit("1"), F.length(fraction) + 1, F.lit("0")).cast("long")
     digits = F.regexp_replace(F.concat(F.regexp_extract(text, pattern, 1), fraction), r"^0+(?=\d)", "")

@@ -1,4 +1,7 @@
-"""Raw tables of MP4 tracks out of their boxes, ready for the operators on runs."""
+"""Raw tables of MP4 tracks out of their boxes, ready for the operators on runs.
+
+``files`` are (path, content), or what ``sources.mp4.parsed`` makes of them.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.scalars import big_endian, track_kind
-from framelake.sources.mp4 import box_payloads, boxes, full_box_entries
+from framelake.sources.mp4 import box_payloads, boxes, full_box_entries, parsed
+from framelake.storage import written
 
 #: Boxes of runs or lists, with the bytes of an entry and its columns as (name, offset, size).
 TABLES = {
@@ -25,7 +29,7 @@ def track_numbers(files: DataFrame) -> DataFrame:
     return found.select("path", (F.row_number().over(Window.partitionBy("path").orderBy("offset")) - 1).alias("track"), "offset", "size")
 
 
-def _of_track(rows: DataFrame, tracks: DataFrame) -> DataFrame:
+def of_track(rows: DataFrame, tracks: DataFrame) -> DataFrame:
     """Rows (path, parent, ...) with the track whose box holds them."""
     spans = tracks.select(F.col("path").alias("_p"), "track", F.col("offset").alias("_from"), (F.col("offset") + F.col("size")).alias("_to"))
     inside = (rows.path == spans._p) & (rows.parent >= spans._from) & (rows.parent < spans._to)
@@ -40,7 +44,7 @@ def raw_table(files: DataFrame, kind: str) -> DataFrame:
     if kind == "ctts":
         # From version 1 on the shifts are signed.
         values[1] = F.when(F.col("version") > 0, _signed(big_endian(F.col("data"), 4, 4))).otherwise(big_endian(F.col("data"), 4, 4)).alias("shift")
-    return _of_track(rows, track_numbers(files)).select("path", "track", (F.col("entry") + 1).alias("run"), (F.col("entry") + 1).alias("chunk"), *values)
+    return of_track(rows, track_numbers(files)).select("path", "track", (F.col("entry") + 1).alias("run"), (F.col("entry") + 1).alias("chunk"), *values)
 
 
 def _signed(number: Column) -> Column:
@@ -55,7 +59,7 @@ def edit_lists(files: DataFrame) -> DataFrame:
     version, of another length than its count says or with a time under -1
     gives one row with its error and nulls.
     """
-    found = _of_track(box_payloads(files, ["elst"]).select("path", "parent", "payload"), track_numbers(files))
+    found = of_track(box_payloads(files, ["elst"]).select("path", "parent", "payload"), track_numbers(files))
     at = lambda first, size: big_endian(F.col("payload"), first, size)
     wide = lambda first: F.conv(F.hex(F.expr(f"substring(payload, cast({first} + 1 as int), 8)")), 16, -10).cast("long")
     narrow = lambda first, size: F.conv(F.hex(F.expr(f"substring(payload, cast({first} + 1 as int), {size})")), 16, 10).cast("long")
@@ -93,7 +97,7 @@ def sample_descriptions(files: DataFrame) -> DataFrame:
     """
     payload, config = F.col("payload"), F.col("configuration")
     found = box_payloads(files, ["stsd"]).select("path", "parent", "offset", "payload")
-    lists = _of_track(found, track_numbers(files)).select("path", "track", F.col("offset").alias("_list"), big_endian(payload, 0, 1).alias("_version"), big_endian(payload, 4, 4).alias("_n"))
+    lists = of_track(found, track_numbers(files)).select("path", "track", F.col("offset").alias("_list"), big_endian(payload, 0, 1).alias("_version"), big_endian(payload, 4, 4).alias("_n"))
     entries = boxes(files).select("path", F.col("parent").alias("_list"), F.col("offset").alias("_entry"), F.col("kind").alias("format"), F.col("error").alias("_broken"))
     heads = box_payloads(files, [*VIDEO_ENTRIES]).select("path", F.col("offset").alias("_entry"), payload.alias("_head"))
     held = box_payloads(files, ["avcC", "vpcC"]).groupBy("path", F.col("parent").alias("_entry"), F.col("kind").alias("_box"))
@@ -125,7 +129,7 @@ def sample_sizes(files: DataFrame) -> DataFrame:
     """(path, track, sample_index, size): one size for all samples, or a list of them."""
     found = box_payloads(files, ["stsz"])
     payload = F.col("payload")
-    sized = _of_track(found.select("path", "parent", "payload"), track_numbers(files))
+    sized = of_track(found.select("path", "parent", "payload"), track_numbers(files))
     sized = sized.select("path", "track", "payload", big_endian(payload, 4, 4).alias("_one"), big_endian(payload, 8, 4).alias("_n")).where("_n > 0")
     each = sized.withColumn("sample_index", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
     own = F.conv(F.hex(F.expr("substring(payload, cast(13 + 4 * sample_index as int), 4)")), 16, 10).cast("long")
@@ -143,7 +147,7 @@ def compact_sizes(rows: DataFrame, data: str, bits: str, count: str) -> DataFram
 
 def track_headers(files: DataFrame) -> DataFrame:
     """(path, track, handler, kind, timescale) of each track."""
-    found = _of_track(box_payloads(files, ["hdlr", "mdhd"]).select("path", "parent", F.col("kind").alias("_box"), "payload"), track_numbers(files))
+    found = of_track(box_payloads(files, ["hdlr", "mdhd"]).select("path", "parent", F.col("kind").alias("_box"), "payload"), track_numbers(files))
     version = big_endian(F.col("payload"), 0, 1)
     scale = F.when(version == 1, big_endian(F.col("payload"), 20, 4)).otherwise(big_endian(F.col("payload"), 12, 4))
     handler = F.decode(F.substring("payload", 9, 4), "ISO-8859-1")
@@ -158,13 +162,14 @@ def first_video_track(headers: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def samples_of_files(files: DataFrame) -> DataFrame:
-    """The fused sample rows of every track of the files."""
+    """The fused sample rows of every track of the files, each of which is read once."""
     from framelake.operators.runs import fuse_sample_tables
 
+    files = written(parsed(files, [*TABLES, "stsz"])) if "content" in files.columns else files
     key = ["path", "track"]
     offsets = raw_table(files, "stco").select(*key, "chunk", "chunk_offset").unionByName(raw_table(files, "co64").select(*key, "chunk", "chunk_offset"))
     marks = raw_table(files, "stss").select(*key, "sample_number")
     fused = fuse_sample_tables(raw_table(files, "stts"), raw_table(files, "ctts"), offsets, raw_table(files, "stsc"), sample_sizes(files), marks, key)
-    listed = _of_track(boxes(files).where("error is null and kind = 'stss'").select("path", "parent"), track_numbers(files)).select(*key, F.lit(True).alias("_listed")).distinct()
+    listed = of_track(boxes(files).where("error is null and kind = 'stss'").select("path", "parent"), track_numbers(files)).select(*key, F.lit(True).alias("_listed")).distinct()
     # Without the list of sync samples every sample is one; an empty list means that none is.
     return fused.join(listed, key, "left").withColumn("sync", F.col("sync") | F.col("_listed").isNull()).drop("_listed")

@@ -71,24 +71,6 @@ def presentation_times(spark, sf_dir):
     return times.join(shifts, ["track", "sample_index"], "left").select("track", "sample_index", (F.col("dts") + F.coalesce("shift", F.lit(0))).alias("pts"))
 
 
-@query(
-    "b1_sample_table_fusion",
-    """SELECT * FROM (VALUES (1, 0, 1000, 10, 0, 10, 100, 1, true), (1, 1, 1010, 11, 100, 110, 100, 1, false), (1, 2, 2000, 12, 200, 220, 100, 1, false),
-    (1, 3, 2012, 13, 300, 320, 50, 1, true), (1, 4, 2025, 14, 350, 370, 50, 1, false)) AS t(track, sample_index, "offset", size, dts, pts, duration, description, sync)""",
-)
-def sample_table_fusion(spark, sf_dir):
-    make = lambda rows, names: spark.createDataFrame(rows, names)
-    return runs.fuse_sample_tables(
-        make([(1, 1, 3, 100), (1, 2, 2, 50)], "track int, run int, count int, delta int"),
-        make([(1, 1, 2, 10), (1, 2, 3, 20)], "track int, run int, count int, shift int"),
-        make([(1, 1, 1000), (1, 2, 2000)], "track int, chunk int, chunk_offset long"),
-        make([(1, 1, 2, 1), (1, 2, 3, 1)], "track int, first_chunk int, samples_per_chunk int, description int"),
-        make([(1, k, 10 + k) for k in range(5)], "track int, sample_index long, size int"),
-        make([(1, 1), (1, 4)], "track int, sample_number long"),
-        ["track"],
-    )
-
-
 _TABLE_RUNS = "SELECT l_partkey % 20 AS track, l_suppkey AS run, count(*) AS n FROM lineitem GROUP BY ALL"
 
 
@@ -505,73 +487,18 @@ def compare_times(spark, sf_dir):
     return _table(spark, sf_dir, "orders").select(key.alias("i"), media.compare_times(media.media_time(key, 1 + other % 7), media.media_time(other, 1 + key % 5)).alias("side"))
 
 
-_SECONDS = ["1.5", "1.", "12", "0.000000001", ".5", "-1", "x", "9223372036854775807", "9223372036854775808", "9223372036.854775807", "9223372036.854775808", "00000000000000000000000001.50", "1.0000000000"]
-
-
-@query(
-    "i3_parse_seconds",
-    """SELECT * FROM (VALUES ('1.5', 15, 10), ('1.', 1, 1), ('12', 12, 1), ('0.000000001', 1, 1000000000), ('.5', NULL, NULL), ('-1', NULL, NULL), ('x', NULL, NULL),
-    ('9223372036854775807', 9223372036854775807, 1), ('9223372036854775808', NULL, NULL), ('9223372036.854775807', 9223372036854775807, 1000000000), ('9223372036.854775808', NULL, NULL),
-    ('00000000000000000000000001.50', 150, 100), ('1.0000000000', NULL, NULL)) t(text, value, timescale)""",
-)
-def parse_seconds(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in _SECONDS], "text string").withColumn("t", media.parse_seconds(F.col("text")))
-    return rows.select("text", "t.value", "t.timescale")
-
-
 @query("i11_nal_headers", "SELECT o_orderkey AS i, CASE WHEN o_orderkey % 256 < 128 THEN (o_orderkey % 256) >> 5 & 3 END AS ref_idc, CASE WHEN o_orderkey % 256 < 128 THEN (o_orderkey % 256) & 31 END AS type FROM orders")
 def nal_headers(spark, sf_dir):
     rows = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"), scalars.nal_header(F.col("o_orderkey") % 256).alias("h"))
     return rows.select("i", "h.ref_idc", "h.type")
 
 
-@query("i19_content_ranges", "SELECT * FROM (VALUES ('bytes 0-0/10', 0, 0, 10), ('bytes 5-9/*', 5, 9, NULL), ('bytes 9-5/10', NULL, NULL, NULL), ('bytes 0-10/10', NULL, NULL, NULL), ('x', NULL, NULL, NULL)) t(header, first, last, total)")
-def content_ranges(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in ("bytes 0-0/10", "bytes 5-9/*", "bytes 9-5/10", "bytes 0-10/10", "x")], "header string").withColumn("r", scalars.content_range(F.col("header")))
-    return rows.select("header", "r.first", "r.last", "r.total")
-
-
 @query("k20_running_qp", "SELECT user_id AS stream, event_id AS i, CAST(((26 + sum(event_id % 53 - 26) OVER (PARTITION BY user_id ORDER BY event_id)) % 52 + 52) % 52 AS BIGINT) AS qp FROM events")
 def running_qp(spark, sf_dir):
     rows = _events(spark, sf_dir, "event_id % 53 - 26 as delta")
     return rows.selectExpr("stream", "i", "pmod(26 + sum(delta) over (partition by stream order by i), 52) as qp")
 
 
-@query("a10_superframes")
-def superframes(spark, sf_dir):
-    index = bytes([0xC9]) + (260).to_bytes(2, "little") + (3).to_bytes(2, "little") + bytes([0xC9])
-    packets = [(1, bytes(range(256)) + b"\1\2\3\4" + b"abc" + index), (2, b"\1\2\3"), (3, b"\1\2\xc0")]
-    return bitstreams.split_packets(spark.createDataFrame(packets, "id long, data binary"), bitstreams.superframe).selectExpr("id", "unit", "stream_offset", "length(data) as length", "error")
-
-
-@query("a7_byte_stream_units")
-def byte_stream_units(spark, sf_dir):
-    packets = [(1, b"\0\0\0\1\x67\1\2\0\0\1\x68\3\0\0"), (2, b""), (3, b"\1\0\0\1\x65"), (4, b"\0\0\1\0\0\1\x65")]
-    return bitstreams.split_packets(spark.createDataFrame(packets, "id long, data binary"), bitstreams.start_code_units).selectExpr("id", "unit", "stream_offset", "hex(data) as data", "error")
-
-
-@query("a9_configuration_sets", "SELECT * FROM (VALUES (1, 4, 0, 8, '6742', NULL), (1, 4, 1, 13, '68', NULL), (2, 1, 0, 6, '', 'invalid: bad parameter set'), (3, NULL, 0, 0, '', 'invalid: bad configuration header')) t(id, length_size, unit, stream_offset, data, error)")
-def configuration_sets(spark, sf_dir):
-    records = [(1, bytes.fromhex("01640028ffe1000267420100016800")), (2, bytes.fromhex("01640028fce100026742")[:6] + bytes.fromhex("00026842")), (3, b"\1\2")]
-    rows = spark.createDataFrame(records, "id long, data binary")
-    sets = bitstreams.split_packets(rows, bitstreams.configuration_sets).selectExpr("id", "unit", "stream_offset", "hex(data) as data", "error")
-    return sets.join(rows.select("id", scalars.unit_length_size(F.col("data")).alias("length_size")), "id")
-
-
-@query("b20_audio_configurations", "SELECT * FROM (VALUES ('1210', 44100, 2), ('1188', 48000, 1), ('1780562210', 44100, 2), ('0A10', NULL, NULL), ('1220', NULL, NULL), ('12', NULL, NULL), ('1690', NULL, NULL)) t(config, rate, channels)")
-def audio_configurations(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in ("1210", "1188", "1780562210", "0A10", "1220", "12", "1690")], "config string")
-    return rows.select("config", audio.audio_config(F.unhex("config")).alias("c")).select("config", "c.rate", "c.channels")
-
-
-@query("a5_boxes")
-def boxes(spark, sf_dir):
-    box = lambda kind, body: (8 + len(body)).to_bytes(4, "big") + kind + body
-    table = box(b"stts", bytes(4) + (2).to_bytes(4, "big") + b"".join(x.to_bytes(4, "big") for x in (3, 100, 2, 50)))
-    file = box(b"ftyp", b"isom") + box(b"moov", box(b"trak", box(b"mdia", box(b"minf", box(b"stbl", table)))))
-    return mp4.boxes(spark.createDataFrame([("a.mp4", file), ("cut.mp4", file[:-4])], "path string, content binary"))
-
-
 _WHOLE = f"""WITH e AS ({_PICTURES}), g AS (SELECT *, sum(CASE WHEN idr THEN 1 ELSE 0 END) OVER (PARTITION BY stream ORDER BY i) AS epoch FROM e),
     o AS (SELECT *, CASE WHEN lag(fn) OVER (PARTITION BY stream, epoch ORDER BY i) > fn THEN 1 ELSE 0 END AS turn FROM g),
     a AS (SELECT *, CAST(sum(turn) OVER (PARTITION BY stream, epoch ORDER BY i) * 16 + fn AS BIGINT) AS abs_frame_num FROM o)"""
@@ -791,12 +718,6 @@ def sync_index(spark, sf_dir):
     return packets.sync_index(rows, ["stream"], "t", "i", "sync").drop("sync")
 
 
-@query("m2_companded_samples")
-def companded_samples(spark, sf_dir):
-    codes = spark.range(256).select(F.col("id").cast("int").alias("code"))
-    return codes.select("code", audio.mu_law(F.col("code")).alias("mu"), audio.a_law(F.col("code")).alias("a"))
-
-
 def sample_file(version: int = 0) -> bytes:
     """A small MP4 with one track of video: five samples in two chunks, an edit list, and shifts of the given version."""
     box = lambda kind, body: (8 + len(body)).to_bytes(4, "big") + kind + body
@@ -810,37 +731,6 @@ def sample_file(version: int = 0) -> bytes:
     return box(b"ftyp", b"isom") + box(b"moov", box(b"trak", edits + box(b"mdia", media_box)))
 
 
-@query(
-    "a6_samples_of_files",
-    """SELECT path, 0 AS track, sample_index, "offset", size, dts, CAST(CASE WHEN path = 'b.mp4' AND sample_index >= 2 THEN dts - 2 ELSE pts END AS BIGINT) AS pts, duration, description, sync
-    FROM (VALUES (0, 1000, 10, 0, 10, 100, 1, true), (1, 1010, 11, 100, 110, 100, 1, false), (2, 2000, 12, 200, 220, 100, 1, false),
-    (3, 2012, 13, 300, 320, 50, 1, true), (4, 2025, 14, 350, 370, 50, 1, false)) AS t(sample_index, "offset", size, dts, pts, duration, description, sync), (VALUES ('a.mp4'), ('b.mp4')) f(path)""",
-)
-def samples_of_files(spark, sf_dir):
-    return tracks.samples_of_files(spark.createDataFrame([("a.mp4", sample_file()), ("b.mp4", sample_file(1))], "path string, content binary"))
-
-
-@query(
-    "b16_edit_lists",
-    """SELECT path, 0 AS track, ordinal, segment_duration, media_time, 1 AS rate_int, 0 AS rate_fraction, CAST(NULL AS VARCHAR) AS error
-    FROM (VALUES ('a.mp4'), ('b.mp4')) f(path), (VALUES (0, 500, -1), (1, 1000, 1024)) e(ordinal, segment_duration, media_time)""",
-)
-def edit_lists(spark, sf_dir):
-    return tracks.edit_lists(spark.createDataFrame([("a.mp4", sample_file()), ("b.mp4", sample_file(1))], "path string, content binary"))
-
-
-@query("c3_first_video_track", "SELECT 'a.mp4' AS path, 0 AS track")
-def first_video_track(spark, sf_dir):
-    files = spark.createDataFrame([("a.mp4", sample_file())], "path string, content binary")
-    return tracks.first_video_track(tracks.track_headers(files), tracks.sample_sizes(files))
-
-
-@query("b6_compact_sizes", "SELECT * FROM (VALUES (1, 0, 10), (1, 1, 11), (1, 2, 12), (2, 0, 1), (2, 1, 255), (3, 0, 258)) t(id, sample_index, size)")
-def compact_sizes(spark, sf_dir):
-    rows = spark.createDataFrame([(1, bytearray(b"\xab\xc0"), 4, 3), (2, bytearray(b"\1\xff"), 8, 2), (3, bytearray(b"\1\2"), 16, 1)], "id int, data binary, bits int, n long")
-    return tracks.compact_sizes(rows, "data", "bits", "n").select("id", "sample_index", "size")
-
-
 @query(
     "i16_tile_bounds",
     """SELECT o_orderkey AS i, CAST(least((t * b8 >> lg) << 3, b) AS BIGINT) AS first_block, CAST(least(((t + 1) * b8 >> lg) << 3, b) AS BIGINT) AS end_block
@@ -918,16 +808,3 @@ def video_entry(kind: bytes, width: int, height: int, *configurations: bytes) ->
     for c in configurations:
         body += (8 + len(c)).to_bytes(4, "big") + (b"vpcC" if kind == b"vp09" else b"avcC") + c
     return (8 + len(body)).to_bytes(4, "big") + kind + body
-
-
-@query(
-    "b19_sample_descriptions",
-    """SELECT *, CAST(NULL AS VARCHAR) AS error FROM (VALUES ('a.mp4', 0, 0, 'avc1', 640, 360, '0142', NULL, NULL, NULL), ('a.mp4', 0, 1, 'hvc1', NULL, NULL, NULL, NULL, NULL, NULL),
-    ('a.mp4', 0, 2, 'vp09', 1920, 1080, '01000000020AA20101010000', 2, 10, 10)) t(path, track, ordinal, format, width, height, configuration, profile, level, bit_depth)
-    UNION ALL SELECT 'b.mp4', 0, 0, 'avc3', NULL, NULL, NULL, NULL, NULL, NULL, 'invalid: no configuration' UNION ALL SELECT 'c.mp4', 0, 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'invalid: count of entries differs'""",
-)
-def sample_descriptions(spark, sf_dir):
-    vp9 = bytes([1, 0, 0, 0, 2, 10, 0xA2, 1, 1, 1, 0, 0])
-    first = described_file(3, video_entry(b"avc1", 640, 360, b"\1\x42"), (8).to_bytes(4, "big") + b"hvc1", video_entry(b"vp09", 1920, 1080, vp9))
-    files = [("a.mp4", first), ("b.mp4", described_file(1, video_entry(b"avc3", 1, 1))), ("c.mp4", described_file(1))]
-    return tracks.sample_descriptions(spark.createDataFrame(files, "path string, content binary"))

@@ -7,7 +7,7 @@ sums is left to the operators on the resulting tables.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,50 +18,96 @@ CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"edts
 
 BOX_SCHEMA = "path string, offset long, size long, kind string, header_size int, depth int, parent long, error string"
 
+#: Levels of boxes that are read; what lies deeper is one row with an error.
+MOST_DEPTH = 32
 
-def box_rows(data: bytes, start: int = 0, end: int | None = None, depth: int = 0, parent: int = -1) -> Iterator[tuple]:
-    """(offset, size, kind, header_size, depth, parent, error) of the boxes within bounds; the first bad one ends its level."""
-    at, end = start, len(data) if end is None else end
-    while at < end:
-        if end - at < 8:
+#: Gives so many bytes from an offset on, fewer at the end.
+Read = Callable[[int, int], bytes]
+
+
+def scan_boxes(read: Read, length: int) -> Iterator[tuple]:
+    """(offset, size, kind, header_size, depth, parent, error) of all boxes, a box before those that it holds.
+
+    Only headers are read. The first bad box of a level ends the level. Levels
+    that are still open stand on a stack, so depth costs no recursion.
+    """
+    levels = [(0, length, 0, -1)]
+    while levels:
+        at, end, depth, parent = levels.pop()
+        if at >= end:
+            continue
+        head = read(at, min(16, end - at))
+        if len(head) < 8:
             yield at, end - at, None, 0, depth, parent, "invalid: truncated header"
-            return
-        size, kind = struct.unpack_from(">I4s", data, at)
+            continue
+        size, kind = struct.unpack_from(">I4s", head)
         header = 8
         if size == 1:
-            if end - at < 16:
+            if len(head) < 16:
                 yield at, end - at, None, 0, depth, parent, "invalid: truncated header"
-                return
-            size, header = struct.unpack_from(">Q", data, at + 8)[0], 16
+                continue
+            size, header = struct.unpack_from(">Q", head, 8)[0], 16
         elif size == 0:
             size = end - at
         if kind == b"uuid":
             header += 16
         if size < header or size > end - at:
             yield at, end - at, kind.decode("latin-1"), header, depth, parent, "invalid: size out of bounds"
-            return
+            continue
         yield at, size, kind.decode("latin-1"), header, depth, parent, None
+        levels.append((at + size, end, depth, parent))
         if kind in CONTAINERS:
-            yield from box_rows(data, min(at + header + CONTAINERS[kind], at + size), at + size, depth + 1, at)
-        at += size
+            inside = min(at + header + CONTAINERS[kind], at + size)
+            if depth + 1 < MOST_DEPTH:
+                levels.append((inside, at + size, depth + 1, at))
+            elif inside < at + size:
+                yield inside, at + size - inside, None, 0, depth + 1, at, "invalid: nested too deep"
 
 
-def boxes(files: DataFrame) -> DataFrame:
-    """files (path, content) to one row per box."""
+def box_rows(data: bytes) -> Iterator[tuple]:
+    """``scan_boxes`` of bytes at hand."""
+    return scan_boxes(lambda at, n: data[at : at + n], len(data))
+
+
+#: Bytes of payloads after which a task hands on the rows it has.
+FLUSH_BYTES = 1 << 24
+
+
+def parsed(files: DataFrame, kinds: list[str]) -> DataFrame:
+    """files (path, content) to one row per box, with the payload of the sound ones of some kinds, in one pass over each file.
+
+    Null contents have no boxes. What is parsed can stand wherever operators on
+    tracks take files; write it where several of them follow.
+    """
+    wanted = set(kinds)
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["path", "offset", "size", "kind", "header_size", "depth", "parent", "error", "payload"]
         for frame in frames:
-            rows = [(path, *row) for path, data in zip(frame["path"], frame["content"], strict=True) for row in box_rows(bytes(data or b""))]
-            yield pd.DataFrame(rows, columns=["path", "offset", "size", "kind", "header_size", "depth", "parent", "error"])
+            rows, held = [], 0
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                data = bytes(content if content is not None else b"")
+                for row in box_rows(data):
+                    payload = data[row[0] + row[3] : row[0] + row[1]] if row[6] is None and row[2] in wanted else None
+                    rows.append((path, *row, payload))
+                    held += len(payload or b"")
+                    if held > FLUSH_BYTES:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, held = [], 0
+            yield pd.DataFrame(rows, columns=columns)
 
-    return files.select("path", "content").mapInPandas(read, BOX_SCHEMA)
+    return files.select("path", "content").mapInPandas(read, f"{BOX_SCHEMA}, payload binary")
+
+
+def boxes(files: DataFrame) -> DataFrame:
+    """One row per box of files (path, content) or of what is ``parsed`` of them."""
+    return (parsed(files, []) if "content" in files.columns else files).drop("payload")
 
 
 def box_payloads(files: DataFrame, kinds: list[str]) -> DataFrame:
-    """The sound boxes of some kinds with their payload."""
-    found = boxes(files).where(F.col("error").isNull() & F.col("kind").isin(kinds))
-    joined = found.join(files.select("path", "content"), "path")
-    return joined.withColumn("payload", F.expr("substring(content, cast(offset + header_size + 1 as int), cast(size - header_size as int))")).drop("content")
+    """The sound boxes of some kinds with their payload, of files (path, content) or of what is ``parsed`` of them with these kinds."""
+    found = parsed(files, kinds) if "content" in files.columns else files
+    return found.where(F.col("error").isNull() & F.col("kind").isin(kinds))
 
 
 def full_box_entries(payloads: DataFrame, width: int) -> DataFrame:
