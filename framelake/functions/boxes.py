@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that stands in the expression once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def number_hex(value: Column, size: int) -> Column:
     """Hex of the low ``size`` bytes (1 to 8) of a whole number, greatest first; negative ones in two's complement."""
     return F.substring(F.lpad(F.hex(value.cast("long")), 16, "0"), 17 - 2 * size, 2 * size)
@@ -18,7 +25,7 @@ def number(value: Column, size: int) -> Column:
 def box(kind: str, *parts: Column) -> Column:
     """A box of the given kind around the parts, with a size of four bytes."""
     body = F.concat(*parts) if parts else F.unhex(F.lit(""))
-    return F.concat(number(F.length(body) + 8, 4), F.lit(kind).cast("binary"), body)
+    return let(body, lambda b: F.concat(number(F.length(b) + 8, 4), F.lit(kind).cast("binary"), b))
 
 
 def full_box(kind: str, *parts: Column, version: int | Column = 0, flags: int = 0) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions import audio, boxes, scalars
 from framelake.functions import time as media
-from framelake.operators import headers, runs, tracks
+from framelake.operators import descriptors, headers, runs, tracks
 from framelake.plans.queries import _events, _table, query
 from framelake.sources import bitstreams, mp4
 from framelake.storage import written
@@ -320,3 +320,61 @@ def content_ranges(spark, sf_dir):
 def companded_samples(spark, sf_dir):
     codes = _events(spark, sf_dir, "cast(event_id * 31 % 256 as int) as code")
     return codes.select("i", "code", audio.mu_law(F.col("code")).alias("mu"), audio.a_law(F.col("code")).alias("a_law"))
+
+
+def _descriptor(tag: int, body, width, more=0):
+    """A descriptor whose length takes ``width`` bytes and says ``more`` than the body has."""
+
+    def made(b):
+        digit = lambda k: F.shiftright(F.length(b) + more, 7 * k).bitwiseAND(127)
+        parts = [F.when(width > k, boxes.number(digit(k) + (128 if k else 0), 1)).otherwise(_zeros(0)) for k in (3, 2, 1, 0)]
+        return F.concat(boxes.number(F.lit(tag), 1), *parts, b)
+
+    return boxes.let(body, made)
+
+
+def _stream_descriptors(o, c):
+    """A stream descriptor box made of two keys: lengths of one to four bytes, optional fields, a stranger before the decoder's part, and faults."""
+    width, fault = 1 + o % 4, o % 13
+    own = F.concat(boxes.number(F.lit(0x1190), 2), boxes.number(c, 2))
+    specific = F.when(fault == 1, _descriptor(6, own, width)).when(fault == 2, _descriptor(5, _zeros(0), width)).otherwise(_descriptor(5, own, width, F.when(fault == 3, 1).otherwise(0)))
+    decoder = F.concat(F.when(fault == 4, F.unhex(F.lit("41"))).otherwise(F.unhex(F.lit("40"))), F.when(fault == 5, F.unhex(F.lit("11"))).otherwise(F.unhex(F.lit("15"))), _zeros(11), specific)
+    inner = F.concat(F.when(o % 5 == 0, _descriptor(9, own, width)).otherwise(_zeros(0)), F.when(fault == 6, _zeros(0)).otherwise(_descriptor(4, decoder, width)))
+    fields = F.concat(F.when(o % 2 == 1, boxes.number(c, 2)).otherwise(_zeros(0)), F.when(o % 3 == 1, F.concat(boxes.number(c % 6, 1), _zeros(c % 6))).otherwise(_zeros(0)), F.when(o % 7 == 1, _zeros(2)).otherwise(_zeros(0)))
+    flags = F.when(o % 2 == 1, 0x80).otherwise(0) + F.when(o % 3 == 1, 0x40).otherwise(0) + F.when(o % 7 == 1, 0x20).otherwise(0)
+    body = F.concat(boxes.number(o, 2), boxes.number(flags, 1), fields, inner)
+    whole = F.when(fault == 7, F.concat(_descriptor(3, body, width), _zeros(1))).when(fault == 8, F.concat(F.unhex(F.lit("0380808080")), body)).when(fault == 9, F.unhex(F.lit("0381"))).otherwise(_descriptor(3, body, width, F.when(fault == 10, 3).otherwise(0)))
+    return F.concat(boxes.number(F.when(fault == 11, 1).otherwise(0), 4), whole)
+
+
+_DESCRIPTOR_ERRORS = """CASE o_orderkey % 13 WHEN 1 THEN 'invalid: no specific configuration' WHEN 2 THEN 'invalid: empty specific configuration' WHEN 3 THEN 'invalid: truncated body' WHEN 4 THEN 'unsupported: object type' WHEN 5 THEN 'invalid: no audio stream'
+      WHEN 6 THEN 'invalid: no decoder configuration' WHEN 7 THEN 'invalid: not one whole stream descriptor' WHEN 8 THEN 'invalid: length is over four bytes' WHEN 9 THEN 'invalid: truncated length' WHEN 10 THEN 'invalid: truncated body' WHEN 11 THEN 'invalid: version or flags' END"""
+
+
+@query("b21_descriptors", f"SELECT i, CASE WHEN error IS NULL THEN '1190' || printf('%04X', c % 65536) END AS config, error FROM (SELECT o_orderkey AS i, o_custkey AS c, {_DESCRIPTOR_ERRORS} AS error FROM orders)")
+def specific_configs(spark, sf_dir):
+    rows = _orders(spark, sf_dir).select(F.col("o").alias("i"), _stream_descriptors(F.col("o"), F.col("c")).alias("payload"))
+    return descriptors.with_specific_config(rows, "payload").select("i", F.hex("config").alias("config"), F.col("config_error").alias("error"))
+
+
+@query(
+    "b19_audio_entries",
+    f"""WITH k AS (SELECT o_orderkey AS o, o_custkey AS c, {_DESCRIPTOR_ERRORS} AS inner_ FROM orders),
+    e AS (SELECT *, CASE o % 17 WHEN 1 THEN 'unsupported: version of the entry' WHEN 2 THEN 'invalid: no channels' WHEN 3 THEN 'unsupported: rate is not whole' WHEN 4 THEN 'invalid: rate is zero' WHEN 5 THEN 'invalid: no esds box' WHEN 6 THEN 'invalid: more than one esds box'
+      ELSE coalesce(inner_, CASE o % 17 WHEN 7 THEN 'invalid: rates differ' WHEN 8 THEN 'invalid: channels differ' END) END AS error FROM k)
+    SELECT 'o' || o AS path, CAST(0 AS INTEGER) AS track, CAST(0 AS BIGINT) AS ordinal, CASE WHEN error IS NULL THEN CAST(2 AS BIGINT) END AS channels, CASE WHEN error IS NULL THEN CAST(16 AS BIGINT) END AS sample_bits, CASE WHEN error IS NULL THEN CAST(48000 AS BIGINT) END AS rate,
+           CASE WHEN error IS NULL THEN '1190' || printf('%04X', c % 65536) END AS configuration, error FROM e""",
+)
+def audio_entries(spark, sf_dir):
+    """Every order as a file with one audio entry, faulty in one way or another."""
+    o, c = F.col("o"), F.col("c")
+    case = o % 17
+    esds = boxes.box("esds", _stream_descriptors(o, c))
+    rate = F.when(case == 3, 48000 * 65536 + 1).when(case == 4, 0).when(case == 7, 44100 * 65536).otherwise(48000 * 65536)
+    head = F.concat(_zeros(8), boxes.number(F.when(case == 1, 1).otherwise(0), 2), _zeros(6), boxes.number(F.when(case == 2, 0).when(case == 8, 1).otherwise(2), 2), boxes.number(F.lit(16), 2), _zeros(4), boxes.number(rate, 4))
+    entry = boxes.box("mp4a", head, F.when(case == 5, _zeros(0)).when(case == 6, F.concat(esds, esds)).otherwise(esds))
+    content = boxes.full_box("stsd", boxes.number(F.lit(1), 4), entry)
+    for kind in ("stbl", "minf", "mdia", "trak", "moov"):
+        content = boxes.box(kind, content)
+    found = descriptors.audio_entries(_orders(spark, sf_dir).select(F.concat(F.lit("o"), o).alias("path"), content.alias("content")))
+    return found.withColumns({"track": F.col("track").cast("int"), **{k: F.col(k).cast("long") for k in ("channels", "sample_bits", "rate")}})

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Boxes that hold boxes, with the bytes before the first of them.
-CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"edts": 0, b"mvex": 0, b"moof": 0, b"traf": 0, b"stsd": 8, b"avc1": 78, b"avc3": 78, b"vp09": 78}
+CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"edts": 0, b"mvex": 0, b"moof": 0, b"traf": 0, b"stsd": 8, b"avc1": 78, b"avc3": 78, b"vp09": 78, b"mp4a": 28}
 
 BOX_SCHEMA = "path string, offset long, size long, kind string, header_size int, depth int, parent long, error string"
 
