@@ -9,7 +9,7 @@ from framelake.functions import audio, boxes, scalars
 from framelake.functions import time as media
 from framelake.operators import descriptors, headers, runs, tracks
 from framelake.plans.queries import _events, _table, query
-from framelake.sources import bitstreams, mp4
+from framelake.sources import bitstreams, mp4, raw_files
 from framelake.storage import written
 
 
@@ -378,3 +378,28 @@ def audio_entries(spark, sf_dir):
         content = boxes.box(kind, content)
     found = descriptors.audio_entries(_orders(spark, sf_dir).select(F.concat(F.lit("o"), o).alias("path"), content.alias("content")))
     return found.withColumns({"track": F.col("track").cast("int"), **{k: F.col(k).cast("long") for k in ("channels", "sample_bits", "rate")}})
+
+
+_FORMATS = ["nv12", "p010", "bgra8", "rgba8", "i420", "i422", "i440", "i444", "other"]
+_VISIBLE_SQL = f"""WITH e AS (SELECT event_id AS i, {_FORMATS}[event_id % 9 + 1] AS format, event_id // 9 % 3 AS plane, event_id % 3 AS x, event_id // 3 % 3 AS y, 2 + event_id // 5 % 4 AS w, 2 + event_id // 7 % 3 AS h, event_id AS seed FROM events),
+    b AS (SELECT *, CASE format WHEN 'p010' THEN 2 WHEN 'bgra8' THEN 4 WHEN 'rgba8' THEN 4 ELSE 1 END AS unit, CASE WHEN format IN ('i420', 'i422') THEN 1 ELSE 0 END AS across, CASE WHEN format IN ('i420', 'i440') THEN 1 ELSE 0 END AS down FROM e),
+    l AS (SELECT *, CASE WHEN format = 'other' THEN false WHEN plane = 0 THEN true WHEN format IN ('nv12', 'p010') THEN plane = 1 AND x % 2 + y % 2 + w % 2 + h % 2 = 0
+                         WHEN format IN ('bgra8', 'rgba8') THEN false ELSE (across = 0 OR x % 2 + w % 2 = 0) AND (down = 0 OR y % 2 + h % 2 = 0) END AS ok,
+                  plane > 0 AND format IN ('nv12', 'p010') AS pairs FROM b),
+    g AS (SELECT *, CASE WHEN plane > 0 AND (pairs OR down = 1) THEN y // 2 ELSE y END AS first_row, CASE WHEN plane > 0 AND (pairs OR down = 1) THEN h // 2 ELSE h END AS rows_,
+                  unit * CASE WHEN plane > 0 AND across = 1 THEN x // 2 ELSE x END AS byte_offset, unit * CASE WHEN plane > 0 AND across = 1 THEN w // 2 ELSE w END AS row_bytes FROM l)
+    SELECT i, format, plane, CASE WHEN ok THEN first_row END AS first_row, CASE WHEN ok THEN byte_offset END AS byte_offset, CASE WHEN ok THEN row_bytes END AS row_bytes, CASE WHEN ok THEN rows_ END AS rows,
+           CASE WHEN ok THEN upper(array_to_string(flatten(list_transform(range(first_row, first_row + rows_), lambda r: list_transform(range(byte_offset, byte_offset + row_bytes), lambda k: printf('%02x', (seed + 40 * r + k) % 256)))), '')) END AS visible FROM g"""
+
+
+@query("a11_visible_rows", _VISIBLE_SQL)
+def visible_rows(spark, sf_dir):
+    """Planes whose bytes count on from the number of an event, cut to their visible rectangle."""
+    i = F.col("event_id").cast("long")
+    div = lambda n: F.call_function("div", i, F.lit(n))
+    format_ = F.element_at(F.array(*map(F.lit, _FORMATS)), (i % 9 + 1).cast("int"))
+    rows = _table(spark, sf_dir, "events").select(i.alias("i"), format_.alias("format"), (div(9) % 3).alias("plane"), (i % 3).alias("x"), (div(3) % 3).alias("y"), (2 + div(5) % 4).alias("w"), (2 + div(7) % 3).alias("h"))
+    bytes_ = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(40 * 8 - 1)), lambda k: boxes.number_hex(F.col("i") + k, 1)), ""))
+    planes = rows.withColumns({"data": F.concat(_zeros(3), bytes_), "at": raw_files.plane_layout(*map(F.col, ("format", "plane", "x", "y", "w", "h")))})
+    shown = planes.withColumn("visible", raw_files.visible_rows("data", F.lit(3).cast("long"), F.lit(40).cast("long"), "at"))
+    return shown.select("i", "format", "plane", "at.*", F.hex("visible").alias("visible"))

@@ -35,8 +35,9 @@ class BoxSource(DataSource):
     nothing is read, so the size of media data costs nothing. A file without
     exactly one moov box, or whose moov has not exactly one mvhd box, has a row
     with that error and no kind at its end; other faults are rows as in
-    ``boxes``. A filter on ``kind`` by equality or a list narrows the payloads
-    that are read; Spark still applies it.
+    ``boxes``. With option pushdown, which needs the setting
+    spark.sql.python.filterPushdown.enabled, a filter on ``kind`` by equality or
+    a list narrows the payloads that are read; Spark still applies it.
     """
 
     @classmethod
@@ -47,7 +48,7 @@ class BoxSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: object) -> DataSourceReader:
-        return BoxReader(self.options)
+        return FilteringBoxReader(self.options) if self.options.get("pushdown", "false").lower() == "true" else BoxReader(self.options)
 
 
 class BoxReader(DataSourceReader):
@@ -55,14 +56,6 @@ class BoxReader(DataSourceReader):
         self.path = options["path"]
         self.kinds = {k.strip() for k in options.get("kinds", "").split(",") if k.strip()}
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("kind",):
-                self.kinds &= {f.value}
-            elif isinstance(f, In) and f.attribute == ("kind",):
-                self.kinds &= set(f.value)
-            yield f
-
     def partitions(self) -> list[FilePartition]:
         store, path = _opened(self.path)
         found = store.get_file_info(path)
@@ -102,5 +95,17 @@ class BoxReader(DataSourceReader):
                 yield partition.path, partition.size, 0, None, 0, 0, -1, fault, None, count
 
 
+class FilteringBoxReader(BoxReader):
+    """Narrows the payloads that are read to the kinds that filters leave."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("kind",):
+                self.kinds &= {f.value}
+            elif isinstance(f, In) and f.attribute == ("kind",):
+                self.kinds &= set(f.value)
+            yield f
+
+
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
