@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions import audio, boxes, scalars
 from framelake.functions import time as media
-from framelake.operators import descriptors, headers, runs, tracks
+from framelake.operators import descriptors, fragment_bytes, headers, runs, tracks
 from framelake.plans.queries import _events, _table, query
 from framelake.sources import bitstreams, mp4, raw_files
 from framelake.storage import written
@@ -403,3 +403,56 @@ def visible_rows(spark, sf_dir):
     planes = rows.withColumns({"data": F.concat(_zeros(3), bytes_), "at": raw_files.plane_layout(*map(F.col, ("format", "plane", "x", "y", "w", "h")))})
     shown = planes.withColumn("visible", raw_files.visible_rows("data", F.lit(3).cast("long"), F.lit(40).cast("long"), "at"))
     return shown.select("i", "format", "plane", "at.*", F.hex("visible").alias("visible"))
+
+
+_FRAGMENTS_SQL = """WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, CASE WHEN row_number() OVER w <= 2 THEN 0 ELSE 1 END AS part, row_number() OVER w AS rn FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
+    h AS (
+      SELECT *, 1 + o % 2 AS track_id, (rn - 1) - 2 * part AS k, CASE WHEN part = 0 THEN o % 2 = 0 ELSE true END AS has_d, CASE WHEN part = 0 THEN o % 3 > 0 ELSE true END AS has_s,
+        CASE WHEN o % 10 > 0 THEN 1 + o % 2 WHEN o % 2 = 0 THEN 3 END AS description,
+        CASE WHEN o % 7 > 0 THEN 5 + o % 4 WHEN o % 2 = 0 THEN 7 END AS dd, CASE WHEN o % 6 > 2 THEN 50 WHEN o % 2 = 0 THEN 9 END AS ds, CASE WHEN o % 9 > 0 THEN 65536 * (o % 2) WHEN o % 2 = 0 THEN 65536 END AS df FROM l),
+    f AS (
+      SELECT *, CASE WHEN has_d THEN p % 9 ELSE dd END AS duration, CASE WHEN has_s THEN 1 + s % 40 ELSE ds END AS size, CASE WHEN part = 0 AND o % 5 = 0 THEN 65536 * (n % 2) WHEN part = 0 AND o % 5 = 1 AND k = 0 THEN 0 ELSE df END AS flags,
+        CASE WHEN part = 0 AND o % 4 = 0 THEN p % 7 - CASE WHEN o % 8 = 4 THEN 3 ELSE 0 END ELSE 0 END AS shift,
+        CASE WHEN description IS NULL THEN 'invalid: no description' WHEN part = 0 AND o % 17 = 3 THEN 'invalid: length differs from count' END AS fault FROM h),
+    e AS (SELECT *, CASE WHEN coalesce(duration <= 0, true) THEN 'invalid: sample has no duration' WHEN coalesce(size <= 0, true) THEN 'invalid: sample has no size' WHEN flags IS NULL THEN 'invalid: sample has no flags' END AS error FROM f WHERE fault IS NULL),
+    t AS (
+      SELECT *, count(*) FILTER (WHERE coalesce(duration <= 0 OR size <= 0, true)) OVER fr > 0 AS off_lost, coalesce(sum(CASE WHEN coalesce(duration > 0 AND size > 0, false) THEN size END) OVER (PARTITION BY o, part ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+        count(*) FILTER (WHERE error IS NOT NULL) OVER fi > 0 AS time_lost, coalesce(sum(duration) OVER (PARTITION BY o ORDER BY part, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent, min(part) OVER (PARTITION BY o) AS first_part FROM e
+      WINDOW fr AS (PARTITION BY o, part ORDER BY k), fi AS (PARTITION BY o ORDER BY part, k))
+    SELECT 'o' || o AS path, track_id, CAST(part AS BIGINT) AS part, CAST(0 AS BIGINT) AS run, CAST(k AS BIGINT) AS k,
+      CAST(CASE WHEN NOT off_lost THEN before + CASE WHEN part = 1 THEN o * 2000 + 7 ELSE CASE WHEN o % 3 = 1 THEN 60 ELSE o * 1000 END + 100 - 3 * (o % 2) END END AS BIGINT) AS "offset", CAST(size AS BIGINT) AS size,
+      CAST(CASE WHEN NOT time_lost THEN spent + CASE WHEN first_part = 0 AND o % 11 > 0 THEN o * 10 ELSE 0 END END AS BIGINT) AS dts, CAST(CASE WHEN NOT time_lost THEN spent + shift + CASE WHEN first_part = 0 AND o % 11 > 0 THEN o * 10 ELSE 0 END END AS BIGINT) AS pts,
+      CAST(duration AS BIGINT) AS duration, CAST(description AS BIGINT) AS description, flags & 65536 = 0 AS sync, error FROM t
+    UNION ALL SELECT DISTINCT 'o' || o, track_id, part, CAST(NULL AS BIGINT), NULL, NULL, NULL, NULL, NULL, NULL, NULL, CAST(NULL AS BOOLEAN), fault FROM f WHERE fault IS NOT NULL"""
+
+
+@query("b14_fragments_of_files", _FRAGMENTS_SQL)
+def fragments_of_files(spark, sf_dir):
+    """Orders as files of one or two fragments whose flags leave out one field or another, their lines as samples (B11-B15 from bytes)."""
+    lines = _table(spark, sf_dir, "lineitem").selectExpr("cast(l_orderkey as bigint) o", "cast(l_linenumber as bigint) n", "cast(l_partkey as bigint) p", "cast(l_suppkey as bigint) s")
+    w = Window.partitionBy("o").orderBy("n", "p", "s")
+    o, n, p, s = map(F.col, "onps")
+    four = lambda value: boxes.number_hex(value, 4)
+    only = lambda condition, value: F.when(condition, value).otherwise(F.lit(""))
+    duration, size = four(p % 9), four(1 + s % 40)
+    signed = o % 8 == 4
+    early = F.concat(only(o % 2 == 0, duration), only(o % 3 > 0, size), only(o % 5 == 0, four(65536 * (n % 2))), only(o % 4 == 0, four(p % 7 - F.when(signed, 3).otherwise(0))))
+    placed = lines.withColumn("part", F.when(F.row_number().over(w) <= 2, 0).otherwise(1)).withColumn("entry", F.when(F.col("part") == 0, early).otherwise(F.concat(duration, size)))
+    runs_ = placed.groupBy("o", "part").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "p", "s", "entry"))), lambda x: x["entry"]).alias("e"))
+    files = runs_.groupBy("o").agg(F.max(F.when(F.col("part") == 0, F.col("e"))).alias("first"), F.max(F.when(F.col("part") == 1, F.col("e"))).alias("second"))
+    bit = lambda condition, value: F.when(condition, value).otherwise(0)
+    header_bits = bit(o % 10 > 0, 0x2) + bit(o % 7 > 0, 0x8) + bit(o % 6 > 2, 0x10) + bit(o % 9 > 0, 0x20)
+    fields = F.concat(only(o % 10 > 0, four(1 + o % 2)), only(o % 7 > 0, four(5 + o % 4)), only(o % 6 > 2, four(F.lit(50))), only(o % 9 > 0, four(65536 * (o % 2))))
+    header = lambda bits, base: boxes.box("tfhd", boxes.number(header_bits + bits, 4), boxes.number(1 + o % 2, 4), F.unhex(F.concat(base, fields)))
+    moof_based = o % 3 == 1
+    time = F.when(o % 11 == 0, _zeros(0)).when(o % 2 == 0, boxes.full_box("tfdt", boxes.number(o * 10, 4))).otherwise(boxes.full_box("tfdt", boxes.number(o * 10, 8), version=1))
+    run_bits = 1 + bit(o % 5 == 1, 4) + bit(o % 2 == 0, 0x100) + bit(o % 3 > 0, 0x200) + bit(o % 5 == 0, 0x400) + bit(o % 4 == 0, 0x800)
+    run = boxes.box("trun", boxes.number(F.when(signed, 1 << 24).otherwise(0) + run_bits, 4), boxes.number(F.size("first"), 4), boxes.number(100 - 3 * (o % 2), 4), F.unhex(F.concat(only(o % 5 == 1, four(F.lit(0))), F.array_join("first", ""))), _zeros(bit(o % 17 == 3, 1)))
+    later = boxes.box("trun", boxes.number(F.lit(0x301), 4), boxes.number(F.size("second"), 4), boxes.number(F.lit(7), 4), F.unhex(F.array_join("second", "")))
+    moof = boxes.box("moof", boxes.box("traf", header(F.when(moof_based, 0x20000).otherwise(1), only(~moof_based, boxes.number_hex(o * 1000, 8))), time, run))
+    more = F.when(F.col("second").isNull(), _zeros(0)).otherwise(boxes.box("moof", boxes.box("traf", header(F.lit(1), boxes.number_hex(o * 2000, 8)), later)))
+    extends = boxes.full_box("trex", *[boxes.number(F.lit(v), 4) for v in (1, 3, 7, 9, 65536)])
+    content = F.concat(boxes.box("ftyp", F.lit("isom").cast("binary")), boxes.box("moov", boxes.box("mvex", extends)), moof, more)
+    found = fragment_bytes.samples_of_fragments(files.select(F.concat(F.lit("o"), o).alias("path"), content.alias("content")))
+    numbered = found.withColumn("part", (F.dense_rank().over(Window.partitionBy("path").orderBy("fragment")) - 1).cast("long"))
+    return numbered.drop("fragment")
