@@ -9,7 +9,7 @@ from framelake.functions import audio, boxes, scalars
 from framelake.functions import time as media
 from framelake.operators import descriptors, fragment_bytes, headers, runs, tracks
 from framelake.plans.queries import _events, _table, query
-from framelake.sources import bitstreams, mp4, raw_files
+from framelake.sources import bits, bitstreams, mp4, raw_files
 from framelake.storage import written
 
 
@@ -456,3 +456,91 @@ def fragments_of_files(spark, sf_dir):
     found = fragment_bytes.samples_of_fragments(files.select(F.concat(F.lit("o"), o).alias("path"), content.alias("content")))
     numbered = found.withColumn("part", (F.dense_rank().over(Window.partitionBy("path").orderBy("fragment")) - 1).cast("long"))
     return numbered.drop("fragment")
+
+
+def _bit_text(value, n):
+    """The low ``n`` bits of a whole number as text of 0 and 1."""
+    return F.lpad(F.bin(value), n, "0")
+
+
+def _code_text(value):
+    """An exponential Golomb code as text."""
+    return boxes.let(F.bin(value + 1), lambda b: F.concat(F.repeat(F.lit("0"), F.length(b) - 1), b))
+
+
+def _signed_code_text(value):
+    return _code_text(F.when(value > 0, 2 * value - 1).otherwise(-2 * value))
+
+
+def _bit_bytes(text):
+    """Text of bits, behind which one and zeros are put up to a whole byte, as bytes."""
+
+    def packed(t):
+        eights = F.transform(F.sequence(F.lit(0), F.call_function("div", F.length(t) - 1, F.lit(8)).cast("int")), lambda k: F.lpad(F.conv(F.substring(t, 8 * k + 1, F.lit(8)), 2, 16), 2, "0"))
+        return F.unhex(F.array_join(eights, ""))
+
+    marked = boxes.let(F.concat(text, F.lit("1")), lambda t: F.rpad(t, (F.call_function("div", F.length(t) + 7, F.lit(8)) * 8).cast("int"), F.lit("0")))
+    return boxes.let(marked, packed)
+
+
+_BIT_FIELDS = [("five", "bits", 5), ("code", "unsigned"), ("offset", "signed"), ("gap", "skip", 3), ("wide", "bits", 31), ("to_byte", "align"), ("last", "unsigned"), ("tail", "trailing")]
+
+
+@query(
+    "i7_bit_fields",
+    """WITH k AS (SELECT o_orderkey AS o, o_custkey AS c, o_orderkey % 2001 - 1000 AS s FROM orders),
+    w AS (SELECT *, 2 * len(bin(c + 1)) - 1 AS w1, 2 * len(bin(CASE WHEN s > 0 THEN 2 * s ELSE -2 * s + 1 END)) - 1 AS w2, 2 * len(bin(o * 7 + 1)) - 1 AS w3 FROM k),
+    e AS (SELECT *, 5 AS e1, 5 + w1 AS e2, 5 + w1 + w2 AS e3, 5 + w1 + w2 + 3 AS e4, 5 + w1 + w2 + 34 AS e5, (5 + w1 + w2 + 34 + 7) // 8 * 8 AS e6 FROM w),
+    f AS (SELECT *, e6 + w3 AS e7, (e6 + w3 + 1 + 7) // 8 * 8 AS whole FROM e),
+    g AS (SELECT *, greatest(CASE WHEN o % 6 = 1 THEN whole - 8 * (1 + o % 9) ELSE whole END, 0) AS bits FROM f)
+    SELECT o AS i, CASE WHEN e1 <= bits THEN o % 32 END AS five, CASE WHEN e2 <= bits THEN c END AS code, CASE WHEN e3 <= bits THEN s END AS "offset", CASE WHEN e5 <= bits THEN o * 1000003 % 2147483648 END AS wide,
+           CASE WHEN e7 <= bits THEN o * 7 END AS last, CASE WHEN bits = whole AND o % 6 <> 2 THEN CAST(1 AS BIGINT) END AS tail,
+           CAST(CASE WHEN bits = whole AND o % 6 <> 2 THEN whole WHEN e7 <= bits THEN e7 WHEN e6 <= bits THEN e6 WHEN e5 <= bits THEN e5 WHEN e4 <= bits THEN e4 WHEN e3 <= bits THEN e3 WHEN e2 <= bits THEN e2 WHEN e1 <= bits THEN e1 ELSE 0 END AS BIGINT) AS "position",
+           bits = whole AND o % 6 <> 2 AS complete FROM g""",
+)
+def bit_fields(spark, sf_dir):
+    """Keys as bits and codes, read back in step; some payloads are cut short, some have a bit too many behind their end (I6-I8, I10)."""
+    o, c = F.col("o"), F.col("c")
+    head = F.concat(_bit_text(o % 32, 5), _code_text(c), _signed_code_text(o % 2001 - 1000), F.lit("101"), _bit_text(o * 1000003 % (1 << 31), 31))
+    aligned = boxes.let(head, lambda t: F.rpad(t, (F.call_function("div", F.length(t) + 7, F.lit(8)) * 8).cast("int"), F.lit("1")))
+    made = _orders(spark, sf_dir).select("o", F.concat(aligned, _code_text(o * 7)).alias("text")).withColumn("data", _bit_bytes(F.col("text")))
+    cut = F.substring(F.col("data"), F.lit(1), F.greatest(F.length("data") - 1 - o % 9, F.lit(0)).cast("int"))
+    # Behind the last bit that is set there is another: the tail is not one bit and zeros.
+    spoilt = F.concat(F.col("data"), F.unhex(F.lit("01")))
+    rows = made.select(o.alias("i"), F.when(o % 6 == 1, cut).when(o % 6 == 2, spoilt).otherwise(F.col("data")).alias("data"))
+    return rows.select("i", bits.bit_fields(F.col("data"), _BIT_FIELDS).alias("f")).select("i", "f.*")
+
+
+@query(
+    "i12_sequence_sets",
+    """WITH k AS (SELECT o_orderkey AS o, o_custkey AS c, [66, 77, 100, 88][o_orderkey % 4 + 1] AS profile, o_orderkey % 3 AS kind, 1 + o_custkey % 40 AS mw, 1 + o_orderkey % 30 AS mh, o_orderkey % 5 > 0 AS frames, o_orderkey % 2 = 0 AS crop, o_orderkey % 9 AS l, o_custkey % 4 AS r, o_custkey % 3 AS t, o_orderkey % 11 AS b FROM orders),
+    s AS (SELECT *, mw * 16 AS cw, mh * 16 * CASE WHEN frames THEN 1 ELSE 2 END AS ch, CASE WHEN frames THEN 2 ELSE 4 END AS unit FROM k),
+    v AS (SELECT *, cw - CASE WHEN crop THEN 2 * (l + r) ELSE 0 END AS w, ch - CASE WHEN crop THEN unit * (t + b) ELSE 0 END AS h FROM s),
+    e AS (SELECT *, CASE WHEN profile = 88 THEN 'unsupported: profile' WHEN o % 13 = 1 THEN 'invalid: reserved bits are set' WHEN o % 13 = 2 THEN 'invalid: id is out of range' WHEN o % 13 = 3 AND profile = 100 THEN 'unsupported: scaling lists'
+      WHEN o % 13 = 4 THEN 'invalid: number of references' WHEN o % 13 = 5 THEN 'unsupported: usability information' WHEN o % 13 = 6 THEN 'invalid: trailing bits' WHEN o % 13 = 7 THEN 'invalid: truncated set' WHEN w <= 0 OR h <= 0 THEN 'invalid: nothing is visible' END AS error FROM v)
+    SELECT o AS i, CASE WHEN error IS NULL THEN c % 32 END AS id, CASE WHEN error IS NULL THEN CAST(profile AS BIGINT) END AS profile, CASE WHEN error IS NULL THEN 4 + c % 13 END AS frame_num_bits, CASE WHEN error IS NULL THEN kind END AS order_type,
+           CASE WHEN error IS NULL AND kind = 0 THEN 4 + o % 13 END AS order_lsb_bits, CASE WHEN error IS NULL AND kind = 1 THEN c % 100 - 50 END AS offset_non_reference,
+           CASE WHEN error IS NULL AND kind = 1 THEN array_to_string(list_transform(range(c % 4), lambda j: o % 7 - 3 * j), ' ') END AS offsets, CASE WHEN error IS NULL THEN c % 17 END AS "references", CASE WHEN error IS NULL THEN frames END AS frames_only,
+           CASE WHEN error IS NULL THEN NOT frames AND o % 10 = 0 END AS adaptive, CASE WHEN error IS NULL THEN cw END AS coded_width, CASE WHEN error IS NULL THEN ch END AS coded_height, CASE WHEN error IS NULL THEN CASE WHEN crop THEN 2 * l ELSE 0 END END AS x,
+           CASE WHEN error IS NULL THEN CASE WHEN crop THEN unit * t ELSE 0 END END AS y, CASE WHEN error IS NULL THEN w END AS width, CASE WHEN error IS NULL THEN h END AS height, error FROM e""",
+)
+def sequence_sets(spark, sf_dir):
+    """Keys as sequence parameter sets of three profiles and all types of order counts, faulty in one way or another."""
+    o, c = F.col("o"), F.col("c")
+    profile = F.element_at(F.array(*map(F.lit, (66, 77, 100, 88))), (o % 4 + 1).cast("int"))
+    kind, fault = o % 3, o % 13
+    flag = lambda condition: F.when(condition, "1").otherwise("0")
+    high = F.when(profile == 100, F.concat(_code_text(F.lit(1)), F.lit("110"), flag(fault == 3))).otherwise("")
+    steps = F.array_join(F.transform(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda j: j < c % 4), lambda j: _signed_code_text(o % 7 - 3 * j)), "")
+    order = F.when(kind == 0, _code_text(o % 13)).when(kind == 1, F.concat(F.lit("0"), _signed_code_text(c % 100 - 50), _signed_code_text(F.lit(3)), _code_text(c % 4), steps)).otherwise("")
+    frames = o % 5 > 0
+    crop = F.when(o % 2 == 0, F.concat(F.lit("1"), *map(_code_text, (o % 9, c % 4, c % 3, o % 11)))).otherwise("0")
+    text = F.concat(
+        _bit_text(profile, 8), _bit_text(F.when(fault == 1, 1).otherwise(64), 8), _bit_text(F.lit(30), 8), _code_text(F.when(fault == 2, 32).otherwise(c % 32)), high, _code_text(c % 13), _code_text(kind), order,
+        _code_text(F.when(fault == 4, 17).otherwise(c % 17)), F.lit("0"), _code_text(c % 40), _code_text(o % 30), flag(frames), F.when(frames, "").otherwise(flag(o % 10 == 0)), F.lit("1"), crop, flag(fault == 5),
+    )
+    made = _orders(spark, sf_dir).select("o", text.alias("text")).withColumn("data", _bit_bytes(F.col("text")))
+    data = F.when(fault == 6, F.concat(F.col("data"), F.unhex(F.lit("80")))).when(fault == 7, F.substring(F.col("data"), F.lit(1), F.lit(4))).otherwise(F.col("data"))
+    found = made.select(o.alias("i"), bits.sequence_set(data).alias("s"))
+    names = ["id", "profile", "frame_num_bits", "order_type", "order_lsb_bits", "offset_non_reference", "references", "frames_only", "adaptive", "coded_width", "coded_height", "x", "y", "width", "height", "error"]
+    return found.select("i", *(F.col(f"s.{n}").alias(n) for n in names), F.array_join(F.col("s.offsets").cast("array<string>"), " ").alias("offsets"))
