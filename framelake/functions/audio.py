@@ -63,3 +63,21 @@ def a_law(code: Column) -> Column:
 def pcm(value: Column, bits: int) -> Column:
     """Signed whole number of ``bits`` bits to -1..1."""
     return value.cast("double") / F.lit(float(1 << (bits - 1)))
+
+
+#: Codecs whose data must be given.
+NEED_DATA = ("aac", "alac", "flac", "vorbis")
+
+
+def decoder_config_error(codec: Column, rate: Column, channels: Column, data: Column, bits: Column, coded_bits: Column, packet_frames: Column, block_frames: Column) -> Column:
+    """What forbids the configuration of an audio decoder, or null; data, widths and frame counts may be null where they are not given."""
+    return (
+        F.when(rate == 0, "invalid: rate is zero")
+        .when(channels == 0, "invalid: no channels")
+        .when(F.length(data) == 0, "invalid: codec data is empty")
+        .when(codec.isin(*NEED_DATA) & data.isNull(), "invalid: codec needs data")
+        .when(F.coalesce(bits == 0, F.lit(False)) | F.coalesce(coded_bits == 0, F.lit(False)), "invalid: sample width is zero")
+        .when(coded_bits > bits, "invalid: coded width exceeds the decoded one")
+        .when(F.coalesce(packet_frames == 0, F.lit(False)) | F.coalesce(block_frames == 0, F.lit(False)), "invalid: frame count is zero")
+        .when(codec.startswith("adpcm") & (packet_frames.isNull() | block_frames.isNull()), "invalid: codec needs frame counts")
+    )

@@ -134,6 +134,37 @@ def sample_table_errors(durations: DataFrame, compositions: DataFrame, chunks: D
     return per.select(*track, F.explode(F.array_compact(errors)).alias("error"))
 
 
+def table_order_errors(chunk_runs: DataFrame, syncs: DataFrame, descriptions: DataFrame, track: list[str]) -> DataFrame:
+    """(track, error) of runs of chunks or of sync samples that are out of order, and of descriptions that there are not.
+
+    chunk_runs (track, run, first_chunk, samples_per_chunk, description) and
+    syncs (track, run, sample_number) are in the order of ``run``: first chunks
+    and sample numbers must rise, chunks have samples, and descriptions lie from
+    1 to the track's number in ``descriptions`` (track, n; without a row none).
+    A null breaks its rule. A track has each error once.
+    """
+    order = Window.partitionBy(*track).orderBy("run")
+    rises = lambda c: F.coalesce(F.col(c) > F.lag(c).over(order), F.lag(F.lit(1)).over(order).isNull() & F.col(c).isNotNull())
+    sized = chunk_runs.join(descriptions.select(*track, F.col("n").alias("_n")), track, "left")
+    bad = lambda rule: ~F.coalesce(rule, F.lit(False))
+    of_chunks = sized.select(
+        *track,
+        F.array(
+            F.when(bad(rises("first_chunk")), "stsc first chunks do not rise"), F.when(bad(F.col("samples_per_chunk") > 0), "stsc chunk has no samples"), F.when(bad(F.col("description").between(1, F.coalesce("_n", F.lit(0)))), "stsc description is out of range")
+        ).alias("_errors"),
+    )
+    of_syncs = syncs.select(*track, F.array(F.when(bad(rises("sample_number")), "stss sample numbers do not rise")).alias("_errors"))
+    return of_chunks.unionByName(of_syncs).select(*track, F.explode(F.array_compact("_errors")).alias("error")).distinct()
+
+
+def samples_past_end(samples: DataFrame, files: DataFrame, file: list[str]) -> DataFrame:
+    """``samples`` (file, offset, size) with an error where they end behind their file's length or pass 63 bits; files (file, length)."""
+    joined = samples.join(files.select(*file, F.col("length").alias("_length")), file, "left")
+    end = F.col("offset").cast("decimal(20,0)") + F.col("size").cast("decimal(20,0)")
+    error = F.when(F.col("_length").isNull(), "invalid: no such file").when(F.col("offset") < 0, "invalid: offset is negative").when(end > F.col("_length"), "invalid: sample exceeds the input")
+    return joined.withColumn("error", error).drop("_length")
+
+
 def timeline_offset(edits: DataFrame, track: list[str]) -> DataFrame:
     """Per track the shift of its timeline: leading empty edits in media time less the start of its one media edit.
 

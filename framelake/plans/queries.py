@@ -428,11 +428,6 @@ def checkpoint_spacing(spark, sf_dir):
     return streams.retain_rising(_events(spark, sf_dir), ["stream"], "i", 500, bucket=4096)
 
 
-@query("g2_bounded_reorder")
-def bounded_reorder(spark, sf_dir):
-    return streams.reorder_bounded(_events(spark, sf_dir, "cast(floor(value * 1000) as bigint) as poc"), ["stream"], ["i"], "poc", 2)
-
-
 @query("g3_drained_order", "SELECT user_id AS stream, event_id AS i, CAST(row_number() OVER (PARTITION BY user_id ORDER BY floor(value * 1000), event_id) - 1 AS BIGINT) AS output_index FROM events")
 def drained_order(spark, sf_dir):
     """A buffer that is as deep as the stream is long gives a full sort."""

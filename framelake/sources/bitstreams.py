@@ -111,6 +111,12 @@ def unescaped(data: bytes) -> bytes | None:
     return bytes(out)
 
 
+def unescaped_payload(data: bytes) -> Iterator[tuple[int, bytes, str | None]]:
+    """The one payload of a unit without its emulation prevention bytes, or its error."""
+    payload = unescaped(data)
+    yield 0, payload or b"", "invalid: forbidden sequence" if payload is None else None
+
+
 class Bits:
     """Reads a payload bit by bit, the greatest first; reading past the end raises EOFError."""
 
