@@ -10,6 +10,7 @@ from framelake.functions import time as media
 from framelake.operators import descriptors, fragment_bytes, headers, runs, tracks
 from framelake.plans.queries import _events, _table, query
 from framelake.sources import bits, bitstreams, mp4, raw_files
+from framelake.sources import frame_heads as frame_heads_
 from framelake.storage import written
 
 
@@ -248,9 +249,10 @@ def configuration_sets(spark, sf_dir):
 @query(
     "a10_superframes",
     """WITH k AS (SELECT o_orderkey AS id, 1 + o_orderkey % 300 AS a, 1 + o_custkey % 50 AS b, CASE WHEN o_orderkey % 4 = 3 THEN 1 ELSE 0 END AS more FROM orders)
-    SELECT id, CAST(0 AS INTEGER) AS unit, CAST(0 AS BIGINT) AS stream_offset, CAST(a + b AS INTEGER) AS length, CAST(NULL AS VARCHAR) AS error FROM k WHERE id % 4 = 0
+    SELECT id, CAST(unit AS INTEGER) AS unit, stream_offset, CAST(length AS INTEGER) AS length, error FROM (
+    SELECT id, 0 AS unit, CAST(0 AS BIGINT) AS stream_offset, a + b AS length, CAST(NULL AS VARCHAR) AS error FROM k WHERE id % 4 = 0
     UNION ALL SELECT id, 0, 0, a, NULL FROM k WHERE id % 4 = 1 UNION ALL SELECT id, 1, a, b, NULL FROM k WHERE id % 4 = 1
-    UNION ALL SELECT id, 0, 0, 0, CASE id % 4 WHEN 2 THEN 'invalid: bad index' ELSE 'invalid: sizes do not cover the payload' END FROM k WHERE id % 4 > 1""",
+    UNION ALL SELECT id, 0, 0, 0, CASE id % 4 WHEN 2 THEN 'invalid: bad index' ELSE 'invalid: sizes do not cover the payload' END FROM k WHERE id % 4 > 1)""",
 )
 def superframes(spark, sf_dir):
     """Packets of two frames with an index of two-byte sizes; some have none, a spoilt one, or a byte too many."""
@@ -544,3 +546,50 @@ def sequence_sets(spark, sf_dir):
     found = made.select(o.alias("i"), bits.sequence_set(data).alias("s"))
     names = ["id", "profile", "frame_num_bits", "order_type", "order_lsb_bits", "offset_non_reference", "references", "frames_only", "adaptive", "coded_width", "coded_height", "x", "y", "width", "height", "error"]
     return found.select("i", *(F.col(f"s.{n}").alias(n) for n in names), F.array_join(F.col("s.offsets").cast("array<string>"), " ").alias("offsets"))
+
+
+_HEAD_PARTS = [
+    "event_id % 4 as profile", "event_id % 10 = 0 as existing", "event_id % 7 = 1 and event_id % 10 > 0 as key", "event_id % 3 > 0 or event_id % 10 = 0 as shown", "event_id % 4 = 1 and event_id % 10 > 0 as resilient", "event_id div 3 % 8 as space",
+    "event_id * 7 % 256 as mask", "event_id div 4 % 4 as taken", "event_id div 5 % 8 as r0", "event_id div 7 % 8 as r1", "event_id div 11 % 8 as r2", "1 + event_id * 3 % 65536 as w", "1 + event_id * 5 % 65536 as h", "event_id % 6 = 0 as other", "event_id div 2 % 4 as two",
+]
+_HEADS_SQL = f"""WITH e AS (SELECT event_id AS i, {", ".join(_HEAD_PARTS).replace(" div ", " // ")} FROM events),
+    f AS (SELECT *, NOT existing AND NOT key AS inter, key OR (NOT existing AND NOT shown AND i % 5 = 0) AS intra FROM e),
+    g AS (SELECT *, inter AND NOT intra AS predicted, key OR (intra AND profile > 0) AS told, space = 7 AS rgb FROM f),
+    x AS (SELECT *, CASE WHEN i % 29 = 3 THEN 'invalid: frame marker' WHEN i % 29 = 7 THEN 'invalid: truncated header' WHEN intra AND i % 29 = 5 THEN 'invalid: sync code' WHEN told AND rgb AND profile % 2 = 0 THEN 'invalid: colour space of the profile' END AS error,
+      CASE WHEN existing THEN i % 8 WHEN predicted AND taken < 3 THEN [r0, r1, r2][taken + 1] END AS slot_, intra OR (predicted AND taken = 3) AS own FROM g)
+    SELECT i, CASE WHEN error IS NULL THEN profile END AS profile, CASE WHEN error IS NULL AND existing THEN i % 8 END AS show_existing, CASE WHEN error IS NULL THEN key END AS key, CASE WHEN error IS NULL THEN shown END AS shown, CASE WHEN error IS NULL THEN resilient END AS resilient, CASE WHEN error IS NULL THEN intra END AS intra_only,
+      CASE WHEN error IS NULL THEN CASE WHEN inter AND NOT resilient THEN two ELSE 0 END END AS reset_context, CAST(CASE WHEN error IS NULL AND intra THEN CASE WHEN told AND profile >= 2 THEN CASE WHEN two > 1 THEN 12 ELSE 10 END ELSE 8 END END AS BIGINT) AS bit_depth, CASE WHEN error IS NULL AND intra THEN CASE WHEN told THEN space ELSE 1 END END AS color_space,
+      CASE WHEN error IS NULL AND intra THEN told AND (rgb OR two % 2 = 1) END AS full_range, CASE WHEN error IS NULL AND intra THEN NOT told OR (NOT rgb AND (profile % 2 = 0 OR r0 > 3)) END AS halved_across, CASE WHEN error IS NULL AND intra THEN NOT told OR (NOT rgb AND (profile % 2 = 0 OR r1 > 3)) END AS halved_down,
+      CASE WHEN error IS NULL THEN CASE WHEN key THEN 255 WHEN existing THEN 0 ELSE mask END END AS refresh, CASE WHEN error IS NULL AND predicted THEN r0 || ' ' || r1 || ' ' || r2 END AS "references", CASE WHEN error IS NULL THEN slot_ END AS size_slot, CASE WHEN error IS NULL AND own THEN w END AS width, CASE WHEN error IS NULL AND own THEN h END AS height,
+      CASE WHEN error IS NULL AND NOT existing AND (other OR own) THEN CASE WHEN other THEN h ELSE w END END AS render_width, CASE WHEN error IS NULL AND NOT existing AND (other OR own) THEN CASE WHEN other THEN w ELSE h END END AS render_height,
+      CASE WHEN error IS NULL AND predicted THEN CASE WHEN two % 2 = 0 THEN 4 ELSE i // 8 % 4 END END AS "filter", CASE WHEN error IS NULL THEN CASE WHEN existing OR intra OR resilient THEN 0 ELSE two END END AS context, error FROM x"""
+
+
+@query("i15_frame_heads", _HEADS_SQL)
+def frame_heads(spark, sf_dir):
+    """Events as frame headers of all profiles and kinds, some spoilt."""
+    e = _events(spark, sf_dir, *_HEAD_PARTS)
+    c, i = F.col, F.col("i")
+    inter = ~c("existing") & ~c("key")
+    intra = c("key") | (inter & ~c("shown") & (i % 5 == 0))
+    predicted, told, rgb = inter & ~intra, c("key") | (intra & (c("profile") > 0)), c("space") == 7
+    bit = lambda condition: F.when(condition, "1").otherwise("0")
+    only = lambda condition, text: F.when(condition, text).otherwise("")
+    sync = only(intra, F.when(i % 29 == 5, _bit_text(F.lit(0x498341), 24)).otherwise(_bit_text(F.lit(0x498342), 24)))
+    range_ = F.when(rgb, "0").otherwise(F.concat(bit(c("two") % 2 == 1), only(c("profile") % 2 == 1, F.concat(bit(c("r0") > 3), bit(c("r1") > 3), F.lit("0")))))
+    colours = only(told, F.concat(only(c("profile") >= 2, bit(c("two") > 1)), _bit_text(c("space"), 3), range_))
+    mask = only(inter, _bit_text(c("mask"), 8))
+    named = only(predicted, F.concat(*(F.concat(_bit_text(c(r), 3), bit(i % 2 == 0)) for r in ("r0", "r1", "r2")), F.repeat(F.lit("0"), c("taken").cast("int")), only(c("taken") < 3, F.lit("1"))))
+    sized = only(intra | (predicted & (c("taken") == 3)), F.concat(_bit_text(c("w") - 1, 16), _bit_text(c("h") - 1, 16)))
+    render = F.concat(bit(c("other")), only(c("other"), F.concat(_bit_text(c("h") - 1, 16), _bit_text(c("w") - 1, 16))))
+    motion = only(predicted, F.concat(bit(i % 3 == 0), bit(c("two") % 2 == 0), only(c("two") % 2 == 1, _bit_text(F.call_function("div", i, F.lit(8)) % 4, 2))))
+    tail = F.concat(only(~c("resilient"), F.lit("10")), _bit_text(c("two"), 2))
+    coded = F.concat(F.lit("0"), bit(~c("key")), bit(c("shown")), bit(c("resilient")), only(inter & ~c("shown"), bit(i % 5 == 0)), only(inter & ~c("resilient"), _bit_text(c("two"), 2)), sync, colours, mask, named, sized, render, motion, tail)
+    head = F.concat(F.when(i % 29 == 3, "11").otherwise("10"), bit(c("profile") % 2 == 1), bit(c("profile") > 1), only(c("profile") == 3, F.lit("0")))
+    text = F.concat(head, F.when(c("existing"), F.concat(F.lit("1"), _bit_text(i % 8, 3))).otherwise(coded))
+    made = e.select("i", text.alias("text")).withColumn("data", _bit_bytes(F.col("text")))
+    # Written, as a decoder's input is; Spark does not extract the function from a projection this deep.
+    packets = written(made.select("i", F.when(i % 29 == 7, F.unhex(F.lit(""))).otherwise(F.col("data")).alias("data")))
+    found = packets.select("i", frame_heads_.frame_head(F.col("data")).alias("f"))
+    names = ["profile", "show_existing", "key", "shown", "resilient", "intra_only", "reset_context", "bit_depth", "color_space", "full_range", "halved_across", "halved_down", "refresh", "size_slot", "width", "height", "render_width", "render_height", "filter", "context", "error"]
+    return found.select("i", *(F.col(f"f.{n}").alias(n) for n in names), F.array_join(F.col("f.references").cast("array<string>"), " ").alias("references"))

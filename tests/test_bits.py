@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from framelake.operators import fragment_bytes
 from framelake.sources.bits import BitBatch, bit_fields, read_sequence_sets
 from framelake.sources.bitstreams import Bits
+from framelake.sources.frame_heads import read_frame_heads
 
 
 class Plain(Bits):
@@ -93,6 +94,17 @@ def test_parameter_sets_survive_any_bytes():
     assert {"invalid: truncated set", "invalid: trailing bits", None} <= {r["error"] for r in got}
 
 
+def test_frame_heads_survive_any_bytes():
+    rng = random.Random(3)
+    rows = [None, b"", *(bytes([rng.choice([0x80, 0x82, 0x86, 0x90, 0xA0, 0xB0, 0x84])]) + rng.choice([b"", b"\x49\x83\x42"]) + bytes(rng.choice([0, 255, rng.randint(0, 255)]) for _ in range(rng.randint(0, 20))) for _ in range(2000))]
+    got = read_frame_heads(pa.array(rows, pa.binary())).to_pylist()
+    assert len(got) == len(rows) and all((r["profile"] is None) == (r["error"] is not None) for r in got)
+    shown = [r for r in got if r["show_existing"] is not None]
+    assert shown and all(r["size_slot"] == r["show_existing"] and r["width"] is None and r["refresh"] == 0 for r in shown)
+    # A frame has a size of its own or a slot to take it from.
+    assert all((r["width"] is None) != (r["size_slot"] is None) for r in got if r["error"] is None)
+
+
 def box(kind, *parts):
     body = b"".join(parts)
     return struct.pack(">I4s", 8 + len(body), kind) + body
