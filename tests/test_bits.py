@@ -96,7 +96,7 @@ def test_parameter_sets_survive_any_bytes():
 
 def test_frame_heads_survive_any_bytes():
     rng = random.Random(3)
-    rows = [None, b"", *(bytes([rng.choice([0x80, 0x82, 0x86, 0x90, 0xA0, 0xB0, 0x84])]) + rng.choice([b"", b"\x49\x83\x42"]) + bytes(rng.choice([0, 255, rng.randint(0, 255)]) for _ in range(rng.randint(0, 20))) for _ in range(2000))]
+    rows = [None, b"", *(bytes([rng.choice([0x80, 0x82, 0x86, 0x88, 0x8B, 0x90, 0xA0, 0xB0, 0x84])]) + rng.choice([b"", b"\x49\x83\x42"]) + bytes(rng.choice([0, 255, rng.randint(0, 255)]) for _ in range(rng.randint(0, 20))) for _ in range(2000))]
     got = read_frame_heads(pa.array(rows, pa.binary())).to_pylist()
     assert len(got) == len(rows) and all((r["profile"] is None) == (r["error"] is not None) for r in got)
     shown = [r for r in got if r["show_existing"] is not None]
