@@ -21,6 +21,9 @@ ROUNDS = 8
 #: the end of the parenthesis, or one sign before a group of two digits or more that doesn't begin a date.
 PHONE_GAP = r"(?:(?<=\+\d{1,3})[ .-]?(?:\((?=\d{1,4}\)))?|(?<=\(\d{1,4})\)[ .-]?|[ .-](?=\d\d)(?!\d{4}-\d\d-\d\d(?!\d)|\d\d[./]\d\d[./]\d{4}(?!\d))|)"
 
+#: Country codes of one and two digits; all others have three, and none begins with another.
+COUNTRY_CODE = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
 #: What each kind looks like. The first kind that fits at a place counts.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
@@ -113,12 +116,10 @@ class Pseudonyms:
         return _let(f"regexp_replace({m}, '[^0-9]', '')", "d", f"if({valid}, {_let(check, 'z', self.laid_out(m, 'z'))}, {m})")
 
     def phone(self, m: str) -> str:
-        """The country code stays."""
-        code = f"regexp_extract({m}, '^[+][0-9]{{1,3}}(?=[ .(-])', 0)"
-        start = f"if({code} = '', substring({m}, 1, 3), {code})"
-        rest = f"substring({m}, 1 + length(cc), length({m}))"
-        new = self.digits("phone", f"regexp_replace({rest}, '[^0-9]', '')")
-        return _let(start, "cc", _let(new, "z", f"concat(cc, {self.laid_out(rest, 'z')})"))
+        """The country code stays; it is read off the digits, so a number has one pseudonym however it is spaced."""
+        new = self.digits("phone", "substring(d, 1 + length(cc), length(d))")
+        whole = _let(f"regexp_extract(d, {_quoted(COUNTRY_CODE)}, 0)", "cc", _let(f"concat(cc, {new})", "z", self.laid_out(m, "z")))
+        return _let(f"regexp_replace({m}, '[^0-9]', '')", "d", whole)
 
     def ip(self, m: str) -> str:
         octet = lambda k: f"cast(o[{k}] as int)"

@@ -98,6 +98,24 @@ def test_secrets_of_letters_and_of_any_length(spark):
     assert re.fullmatch(r"secret='([A-Z][a-z]\d_){400}'", out[3]) and out[3] != texts[3] and out[4] != texts[4]
 
 
+def test_a_phone_has_one_pseudonym_in_all_spellings(spark):
+    spelt = [("+15551234567", "+1 555 123 4567", "+1 (555) 123-4567"), ("+35312345678", "+353 1 234 5678"), ("+4930123456", "+49 (30) 123456"), ("+79161234567", "+7 916 123 45 67"), ("+442079460958", "+44 20 7946 0958"), ("+2902345678", "+290 234 5678")]
+    out, _ = swap(spark, [f"a {p}, b" for group in spelt for p in group])
+    digits = iter(re.sub(r"\D", "", text) for text in out)
+    for group in spelt:
+        got = {next(digits) for _ in group}
+        assert len(got) == 1
+        code = {"1": 1, "3": 3, "4": 2, "7": 1, "2": 3}[group[0][1]]
+        new, old = got.pop(), group[0][1:]
+        assert new[:code] == old[:code] and new[code:] != old[code:]
+
+
+def test_phones_are_permuted_among_those_of_their_length(spark):
+    numbers = [f"+1{n:07d}" for n in range(0, 10_000_000, 20_011)]
+    out, _ = swap(spark, [f"a {p}, b" for p in numbers])
+    assert len(set(out)) == len(numbers) and all(re.fullmatch(r"a \+1\d{7}, b", t) for t in out)
+
+
 def test_phones_of_several_countries(spark):
     phones = ["+33 1 23 45 67 89", "+33 6 12 34 56 78", "+33 (0)1 23 45 67 89", "+49 (0)30 123456", "+49 (0) 30 1234567", "+49 176 12345678", "+44 20 7946 0958", "+32 2 123 45 67", "+14155552671", "+1 (415) 555-2671", "+45 12 34 56 78", "+91 98765 43210", "+353-1-234-5678", "+33123456789", "+290 2345", "+1234567890123456"]
     out, counts = swap(spark, [f"a {p}, b" for p in phones])
