@@ -593,3 +593,30 @@ def frame_heads(spark, sf_dir):
     found = packets.select("i", frame_heads_.frame_head(F.col("data")).alias("f"))
     names = ["profile", "show_existing", "key", "shown", "resilient", "intra_only", "reset_context", "bit_depth", "color_space", "full_range", "halved_across", "halved_down", "refresh", "size_slot", "width", "height", "render_width", "render_height", "filter", "context", "error"]
     return found.select("i", *(F.col(f"f.{n}").alias(n) for n in names), F.array_join(F.col("f.references").cast("array<string>"), " ").alias("references"))
+
+
+@query(
+    "i13_picture_sets",
+    """WITH k AS (SELECT o_orderkey AS o, o_custkey AS c, o_orderkey % 15 AS fault, o_orderkey % 3 > 0 AS more FROM orders),
+    e AS (SELECT *, CASE fault WHEN 1 THEN 'invalid: id is out of range' WHEN 2 THEN 'invalid: id of the sequence is out of range' WHEN 3 THEN 'unsupported: slice groups' WHEN 4 THEN 'invalid: number of active references' WHEN 5 THEN 'invalid: weights of pairs' WHEN 6 THEN 'invalid: quantizer'
+      WHEN 7 THEN CASE WHEN more THEN 'unsupported: scaling lists' END WHEN 8 THEN 'invalid: truncated set' WHEN 9 THEN 'invalid: offset of the chroma quantizer' WHEN 10 THEN 'invalid: number of slice groups' END AS error FROM k)
+    SELECT o AS i, CASE WHEN error IS NULL THEN o % 256 END AS id, CASE WHEN error IS NULL THEN c % 32 END AS sequence_id, CASE WHEN error IS NULL THEN o % 2 = 0 END AS arithmetic, CASE WHEN error IS NULL THEN 1 + c % 32 END AS active_0, CASE WHEN error IS NULL THEN 1 + o % 7 END AS active_1,
+           CASE WHEN error IS NULL THEN ['default', 'explicit', 'implicit'][c % 3 + 1] END AS pair_weights, CASE WHEN error IS NULL THEN o % 52 END AS qp, CASE WHEN error IS NULL THEN c % 52 END AS qs, CASE WHEN error IS NULL THEN o % 25 - 12 END AS chroma_offset,
+           CASE WHEN error IS NULL THEN more AND c % 2 = 0 END AS transform_8x8, CASE WHEN error IS NULL THEN CASE WHEN more THEN c % 25 - 12 ELSE o % 25 - 12 END END AS second_chroma_offset, error FROM e""",
+)
+def picture_sets(spark, sf_dir):
+    """Keys as picture parameter sets with and without the later fields, faulty in one way or another."""
+    o, c = F.col("o"), F.col("c")
+    fault, more = o % 15, o % 3 > 0
+    flag = lambda condition: F.when(condition, "1").otherwise("0")
+    later = F.when(more, F.concat(flag(c % 2 == 0), flag(fault == 7), _signed_code_text(c % 25 - 12))).otherwise("")
+    text = F.concat(
+        _code_text(F.when(fault == 1, 256).otherwise(o % 256)), _code_text(F.when(fault == 2, 32).otherwise(c % 32)), flag(o % 2 == 0), F.lit("0"), _code_text(F.when(fault == 3, 1).when(fault == 10, 8).otherwise(0)),
+        _code_text(F.when(fault == 4, 32).otherwise(c % 32)), _code_text(o % 7), F.lit("1"), _bit_text(F.when(fault == 5, 3).otherwise(c % 3), 2), _signed_code_text(F.when(fault == 6, 26).otherwise(o % 52 - 26)), _signed_code_text(c % 52 - 26),
+        _signed_code_text(F.when(fault == 9, -13).otherwise(o % 25 - 12)), F.lit("101"), later,
+    )
+    made = _orders(spark, sf_dir).select("o", text.alias("text")).withColumn("data", _bit_bytes(F.col("text")))
+    data = F.when(fault == 8, F.substring(F.col("data"), F.lit(1), F.lit(1))).otherwise(F.col("data"))
+    found = made.select(o.alias("i"), bits.picture_set(data).alias("s"))
+    names = ["id", "sequence_id", "arithmetic", "active_0", "active_1", "pair_weights", "qp", "qs", "chroma_offset", "transform_8x8", "second_chroma_offset", "error"]
+    return found.select("i", *(F.col(f"s.{n}").alias(n) for n in names))

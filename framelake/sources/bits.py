@@ -120,15 +120,18 @@ class BitBatch:
         self.ok = self.ok & ~where
         return broken
 
-    def trailing(self, where: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(1, which rows have read) of a tail of one bit set and then only zeros up to the end of the row."""
+    def at_tail(self) -> np.ndarray:
+        """Which rows have nothing left but one bit set and then zeros; a row at its end has no tail."""
         ones = np.concatenate([[0], np.cumsum(self.bytes != 0)])
         mark, _ = self.peek(1)
         after = np.minimum(self.at + 1, self.end)
         edge = np.minimum((after + 7) // 8 * 8, self.end)
         rest = self._bits(after, edge - after)
-        zero = (rest == 0) & (ones[self.end // 8] == ones[edge // 8])
-        read = self._take(self.remaining, (self.remaining > 0) & (mark == 1) & zero, where)
+        return (self.remaining > 0) & (mark == 1) & (rest == 0) & (ones[self.end // 8] == ones[edge // 8])
+
+    def trailing(self, where: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(1, which rows have read) of a tail of one bit set and then only zeros up to the end of the row."""
+        read = self._take(self.remaining, self.at_tail(), where)
         return read.astype(np.int64), read
 
 
@@ -244,3 +247,73 @@ def sequence_set(data: Column) -> Column:
     error and nulls. Scaling lists and usability information are not read.
     """
     return F.arrow_udf(read_sequence_sets, SEQUENCE_DDL)(data)
+
+
+#: The most active references by default, quantizers and their offsets, and what weights of predicted pairs are.
+MOST_ACTIVE, MIDDLE_QP, MOST_QP, MOST_QP_OFFSET, WEIGHTS = 32, 26, 51, 12, ("default", "explicit", "implicit")
+
+PICTURE_DDL = (
+    "id long, sequence_id long, arithmetic boolean, field_order boolean, active_0 long, active_1 long, weighted boolean, pair_weights string, qp long, qs long, chroma_offset long, deblocking boolean, constrained_intra boolean, redundant boolean, transform_8x8 boolean, "
+    "second_chroma_offset long, error string"
+)
+
+
+def read_picture_sets(column: pa.Array) -> pa.Array:
+    """Picture parameter sets without their emulation bytes, as structs of PICTURE_DDL; see ``picture_set``."""
+    batch = BitBatch(column)
+    error = np.full(len(batch.at), None, object)
+    one = lambda where=None: batch.read(1, where)[0].astype(bool)
+
+    def refuse(where: np.ndarray, why: str) -> None:
+        error[batch.fail(where)] = why
+
+    ident, _ = batch.unsigned()
+    refuse(ident > 255, "invalid: id is out of range")
+    sequence, _ = batch.unsigned()
+    refuse(sequence > 31, "invalid: id of the sequence is out of range")
+    arithmetic, field_order = one(), one()
+    groups, _ = batch.unsigned()
+    refuse(groups > 7, "invalid: number of slice groups")
+    refuse(groups > 0, "unsupported: slice groups")
+    active = []
+    for _ in range(2):
+        count, _ = batch.unsigned()
+        refuse(count >= MOST_ACTIVE, "invalid: number of active references")
+        active.append(count + 1)
+    weighted = one()
+    pairs, _ = batch.read(2)
+    refuse(pairs == 3, "invalid: weights of pairs")
+    quantizers = []
+    for _ in range(2):
+        step, _ = batch.signed()
+        refuse((step < -MIDDLE_QP) | (step > MOST_QP - MIDDLE_QP), "invalid: quantizer")
+        quantizers.append(MIDDLE_QP + step)
+    chroma, _ = batch.signed()
+    refuse(np.abs(chroma) > MOST_QP_OFFSET, "invalid: offset of the chroma quantizer")
+    deblocking, constrained, redundant = one(), one(), one()
+    # Sets of older profiles end here; what follows is there only if more than the tail is left.
+    more = batch.ok & ~batch.at_tail() & (batch.remaining > 0)
+    transform = one(more)
+    refuse(one(more), "unsupported: scaling lists")
+    second, told = batch.signed(more)
+    refuse(told & (np.abs(second) > MOST_QP_OFFSET), "invalid: offset of the chroma quantizer")
+    reading = batch.ok.copy()
+    batch.trailing()
+    error[reading & ~batch.ok] = "invalid: trailing bits"
+    error[~batch.ok & np.equal(error, None)] = "invalid: truncated set"
+    sound = lambda values: pa.array(values, mask=~batch.ok)
+    columns = [
+        sound(ident), sound(sequence), sound(arithmetic), sound(field_order), sound(active[0]), sound(active[1]), sound(weighted), sound(np.array(WEIGHTS, object)[np.minimum(pairs, 2)]), sound(quantizers[0]), sound(quantizers[1]), sound(chroma),
+        sound(deblocking), sound(constrained), sound(redundant), sound(transform), sound(np.where(more, second, chroma)), pa.array(error, pa.string()),
+    ]
+    return pa.StructArray.from_arrays(columns, [f.strip().split(" ")[0] for f in PICTURE_DDL.split(",")])
+
+
+def picture_set(data: Column) -> Column:
+    """struct of a picture parameter set, from its bytes behind the unit's first and without emulation bytes.
+
+    Which sequence it belongs to is left to a lookup by sequence_id. Slice
+    groups and scaling lists are not read; what cannot be read has an error and
+    nulls. Without fields of its own the second chroma offset is the first.
+    """
+    return F.arrow_udf(read_picture_sets, PICTURE_DDL)(data)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framelake.operators import fragment_bytes
-from framelake.sources.bits import BitBatch, bit_fields, read_sequence_sets
+from framelake.sources.bits import BitBatch, bit_fields, read_picture_sets, read_sequence_sets
 from framelake.sources.bitstreams import Bits
 from framelake.sources.frame_heads import read_frame_heads
 
@@ -92,6 +92,8 @@ def test_parameter_sets_survive_any_bytes():
     got = read_sequence_sets(pa.array(rows, pa.binary())).to_pylist()
     assert len(got) == len(rows) and all((r["width"] is None) == (r["error"] is not None) for r in got)
     assert {"invalid: truncated set", "invalid: trailing bits", None} <= {r["error"] for r in got}
+    pictures = read_picture_sets(pa.array([r and r[3:] for r in rows], pa.binary())).to_pylist()
+    assert all((r["qp"] is None) == (r["error"] is not None) for r in pictures) and None in {r["error"] for r in pictures}
 
 
 def test_frame_heads_survive_any_bytes():
