@@ -1,4 +1,9 @@
-"""As-of lookups: the row of the right side at, before, after or nearest to a time of the left side."""
+"""As-of lookups: the row of the right side at, before, after or nearest to a time of the left side.
+
+Null ``by`` columns are one key, but a key that is cut into spans (``bucket``,
+``seconds``) is not null. Every row of the left side comes back once,
+repeated ones each; an empty right side gives nulls, an empty left side no rows.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,10 @@
-"""Packets of tracks: their times, what they refer to in small tables, checks over a whole track."""
+"""Packets of tracks: their times, what they refer to in small tables, checks over a whole track.
+
+Tables that are looked up in have a key once; a row whose key is null, or not
+there, keeps its columns and gets nulls or the error that its rule names.
+Repeated rows are rows of their own. Grouped rules take null keys as one
+group; empty tables give empty tables.
+"""
 
 from __future__ import annotations
 

@@ -1,7 +1,9 @@
 """Sample tables: run-length rows become one row per sample by arithmetic on the runs.
 
 Sums run over the runs, which are few, and never over the samples: a run knows
-its first sample and first time, and the samples in it follow from these.
+its first sample and first time, and the samples in it follow from these. Runs
+are in the order of their columns, each place once; a null count is no sample
+where a rule does not say otherwise, and an empty table gives an empty one.
 """
 
 from __future__ import annotations

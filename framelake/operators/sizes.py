@@ -46,7 +46,8 @@ def inherited_sizes(frames: DataFrame, stream: list[str], index: str, refresh: s
     of ``refresh``); without a set flag it has its own ``width`` and ``height``.
     Null flags are not set. A slot that nothing was written to is an error, and
     such a frame writes nothing. ``index`` is the decode order, a whole number
-    that a stream has once.
+    that a stream has once, and a stream is not null; an empty table gives an empty
+    one.
 
     Chains of frames that took their size from one another are followed by
     pointer doubling: each frame is joined with the source of its source until

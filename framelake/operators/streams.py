@@ -1,4 +1,12 @@
-"""Order-dependent rules of coded streams as windows over one stream at a time."""
+"""Order-dependent rules of coded streams as windows over one stream at a time.
+
+Rows whose stream columns are null are one stream for the windows; the rules
+that read a stream in one task (``cache_hits``, ``reorder_bounded``,
+``retain_spaced``) and ``retain_rising`` take none. The order columns give
+every row of a stream its own place, nulls first; rows of equal places come in
+any order. Repeated rows are rows of their own, null values differ from all
+others unless a rule says otherwise, and an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 

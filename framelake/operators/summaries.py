@@ -1,4 +1,8 @@
-"""Summaries of streams: service times, counts, merges, caches."""
+"""Summaries of streams: service times, counts, merges, caches.
+
+Null group columns are one group, repeated rows count each time, and an empty
+table gives an empty one. Sums leave out nulls.
+"""
 
 from __future__ import annotations
 
