@@ -9,7 +9,7 @@ from framelake.functions import audio, boxes, scalars
 from framelake.functions import time as media
 from framelake.operators import descriptors, fragment_bytes, headers, runs, tracks
 from framelake.plans.queries import _events, _table, query
-from framelake.sources import bits, bitstreams, mp4, raw_files
+from framelake.sources import bits, bitstreams, mp4, raw_files, slices
 from framelake.sources import frame_heads as frame_heads_
 from framelake.storage import written
 
@@ -620,3 +620,49 @@ def picture_sets(spark, sf_dir):
     found = made.select(o.alias("i"), bits.picture_set(data).alias("s"))
     names = ["id", "sequence_id", "arithmetic", "active_0", "active_1", "pair_weights", "qp", "qs", "chroma_offset", "transform_8x8", "second_chroma_offset", "error"]
     return found.select("i", *(F.col(f"s.{n}").alias(n) for n in names))
+
+
+_SETS = [
+    "n_nationkey as pps_id", "4 + n_nationkey % 13 as frame_num_bits", "n_nationkey % 3 as order_type", "4 + n_regionkey as order_lsb_bits", "n_nationkey % 2 = 0 as deltas_zero", "n_nationkey % 5 > 1 as frames_only", "n_nationkey % 5 = 1 as adaptive",
+    "n_nationkey % 4 > 1 as field_order", "16 * (2 + n_nationkey) as coded_width", "64 as coded_height",
+]
+_SLICE_PARTS = [
+    "event_id % 29 as pps_id", "event_id % 11 = 0 as refresh", "case when event_id % 11 = 0 then case when event_id % 2 = 0 then 2 else 7 end else event_id div 3 % 10 end as code", "event_id div 7 % 12 as first_", "event_id % 3 = 0 as fielded", "event_id % 5 = 0 as bottom",
+    "event_id * 37 as num", "event_id % 70000 as idr", "event_id % 41 - 20 as d0", "event_id % 13 - 6 as d1",
+]
+
+
+@query(
+    "i14_slice_heads",
+    f"""WITH p AS (SELECT {", ".join(_SETS)}, true AS bound FROM nation), e AS (SELECT event_id AS i, {", ".join(_SLICE_PARTS).replace(" div ", " // ")} FROM events),
+    j AS (SELECT e.*, frame_num_bits, order_type, order_lsb_bits, deltas_zero, frames_only, adaptive, field_order, coded_width, coded_height, coalesce(bound, false) AS bound FROM e LEFT JOIN p USING (pps_id)),
+    f AS (SELECT *, ['P', 'B', 'I', 'SP', 'SI'][code % 5 + 1] AS kind, NOT frames_only AND fielded AS is_field, CASE WHEN refresh AND i % 17 <> 2 THEN 0 ELSE num % CAST(pow(2, frame_num_bits) AS BIGINT) END AS fn FROM j),
+    x AS (SELECT *, is_field AND bottom AS is_bottom, field_order AND NOT is_field AS both_,
+      CASE WHEN i % 23 = 1 THEN 'unsupported: unit type' WHEN refresh AND i % 19 = 3 THEN 'invalid: refresh is no reference' WHEN i % 31 = 4 THEN 'invalid: truncated header' WHEN NOT bound THEN 'invalid: missing parameter set' WHEN refresh AND fn <> 0 THEN 'invalid: frame number of a refresh'
+           WHEN first_ * CASE WHEN adaptive AND NOT is_field THEN 2 ELSE 1 END >= coded_width // 16 * (4 // CASE WHEN is_field THEN 2 ELSE 1 END) THEN 'invalid: first macroblock' WHEN refresh AND idr > 65535 THEN 'invalid: id of the refresh' END AS error FROM f)
+    SELECT i, CASE WHEN error IS NULL THEN first_ END AS first_macroblock, CASE WHEN error IS NULL THEN kind END AS kind, CASE WHEN error IS NULL THEN code >= 5 END AS one_kind, CASE WHEN error IS NULL THEN fn END AS frame_num, CASE WHEN error IS NULL THEN is_field END AS is_field, CASE WHEN error IS NULL THEN is_bottom END AS is_bottom,
+      CASE WHEN error IS NULL AND refresh THEN idr END AS idr_id, CASE WHEN error IS NULL AND order_type = 0 THEN num % CAST(pow(2, order_lsb_bits) AS BIGINT) END AS order_lsb, CASE WHEN error IS NULL AND order_type = 0 AND both_ THEN d0 END AS delta_bottom,
+      CASE WHEN error IS NULL AND order_type = 1 AND NOT deltas_zero THEN d0 END AS delta_0, CASE WHEN error IS NULL AND order_type = 1 AND NOT deltas_zero AND both_ THEN d1 END AS delta_1, error FROM x""",
+)
+def slice_heads(spark, sf_dir):
+    """Events as slices that name one of the nations' parameter sets, or one that there is not; some spoilt or cut."""
+    sets = _table(spark, sf_dir, "nation").selectExpr(*_SETS)
+    made = _events(spark, sf_dir, *_SLICE_PARTS).join(sets, "pps_id", "left")
+    c, i = F.col, F.col("i")
+    flag = lambda condition: F.when(condition, "1").otherwise("0")
+    only = lambda condition, text: F.when(condition, text).otherwise("")
+    low = lambda value, n: F.substring(F.lpad(F.bin(value), 40, "0"), (41 - n).cast("int"), n.cast("int"))
+    fielded = ~c("frames_only") & c("fielded")
+    both = c("field_order") & ~fielded
+    number = F.when(c("refresh") & (i % 17 != 2), 0).otherwise(c("num"))
+    order = F.when(c("order_type") == 0, F.concat(low(c("num"), c("order_lsb_bits")), only(both, _signed_code_text(c("d0"))))).when((c("order_type") == 1) & ~c("deltas_zero"), F.concat(_signed_code_text(c("d0")), only(both, _signed_code_text(c("d1"))))).otherwise("")
+    head = F.concat(_code_text(c("first_")), _code_text(c("code")), _code_text(c("pps_id")))
+    rest = F.concat(low(number, c("frame_num_bits")), only(~c("frames_only"), flag(c("fielded"))), only(fielded, flag(c("bottom"))), only(c("refresh"), _code_text(c("idr"))), order)
+    text = F.concat(head, F.coalesce(rest, F.lit("")), F.lit("10101010"))
+    packed = made.select("i", "refresh", text.alias("text")).withColumn("data", _bit_bytes(F.col("text")))
+    data = F.when(i % 31 == 4, _zeros(0)).otherwise(F.col("data"))
+    unit = F.when(i % 23 == 1, 2).when(c("refresh"), 5).otherwise(1)
+    slices_ = packed.select("i", data.alias("data"), unit.alias("unit_type"), F.when(c("refresh") & (i % 19 == 3), 0).otherwise(1).alias("ref_idc"))
+    found = slices.with_slice_head(written(slices_), sets, [])
+    names = ["first_macroblock", "kind", "one_kind", "frame_num", "is_field", "is_bottom", "idr_id", "order_lsb", "delta_bottom", "delta_0", "delta_1", "error"]
+    return found.select("i", *(F.col(f"head.{n}").alias(n) for n in names))

@@ -167,7 +167,7 @@ PROFILES, HIGH = (66, 77, 100), 100
 MOST_REFERENCES, MOST_CYCLE, MOST_MACROBLOCKS = 16, 255, 36_864
 
 SEQUENCE_DDL = (
-    "id long, profile long, constraints long, level long, frame_num_bits long, order_type long, order_lsb_bits long, offset_non_reference long, offset_bottom long, offsets array<long>, "
+    "id long, profile long, constraints long, level long, frame_num_bits long, order_type long, order_lsb_bits long, deltas_zero boolean, offset_non_reference long, offset_bottom long, offsets array<long>, "
     "references long, gaps boolean, frames_only boolean, adaptive boolean, direct_8x8 boolean, coded_width long, coded_height long, x long, y long, width long, height long, error string"
 )
 
@@ -203,7 +203,7 @@ def read_sequence_sets(column: pa.Array) -> pa.Array:
     by_lsb, by_cycle = order_type == 0, order_type == 1
     lsb, has_lsb = batch.unsigned(by_lsb)
     refuse(by_lsb & (lsb > 12), "invalid: bits of order counts")
-    one(by_cycle)
+    deltas_zero = one(by_cycle)
     non_reference, has_cycle = batch.signed(by_cycle)
     bottom, _ = batch.signed(by_cycle)
     cycle, _ = batch.unsigned(by_cycle)
@@ -233,7 +233,7 @@ def read_sequence_sets(column: pa.Array) -> pa.Array:
     sound = lambda values, also=True: pa.array(values, mask=~(fine & also))
     offsets = pa.array([[int(s[k]) for s in steps[: cycle[k]]] if fine[k] and by_cycle[k] else None for k in range(n)], pa.list_(pa.int64()))
     columns = [
-        sound(ident), sound(profile), sound(constraints), sound(level), sound(frame_num_bits + 4), sound(order_type), sound(lsb + 4, has_lsb), sound(non_reference, has_cycle), sound(bottom, has_cycle), offsets,
+        sound(ident), sound(profile), sound(constraints), sound(level), sound(frame_num_bits + 4), sound(order_type), sound(lsb + 4, has_lsb), sound(deltas_zero, has_cycle), sound(non_reference, has_cycle), sound(bottom, has_cycle), offsets,
         sound(references), sound(gaps), sound(frames_only), sound(adaptive), sound(direct), sound(coded_width), sound(coded_height), sound(2 * left), sound(2 * factor * top), sound(width), sound(height), pa.array(error, pa.string()),
     ]
     names = [f.strip().split(" ")[0] for f in SEQUENCE_DDL.split(",")]

@@ -14,6 +14,7 @@ from framelake.operators import fragment_bytes
 from framelake.sources.bits import BitBatch, bit_fields, read_picture_sets, read_sequence_sets
 from framelake.sources.bitstreams import Bits
 from framelake.sources.frame_heads import read_frame_heads
+from framelake.sources.slices import read_slice_heads
 
 
 class Plain(Bits):
@@ -96,6 +97,19 @@ def test_parameter_sets_survive_any_bytes():
     assert all((r["qp"] is None) == (r["error"] is not None) for r in pictures) and None in {r["error"] for r in pictures}
 
 
+def test_slice_heads_survive_any_bytes_and_missing_sets():
+    rng = random.Random(4)
+    n = 2000
+    rows = [None, b"", *(bytes([rng.choice([0xE0, 0x88, 0x62, 0xFF])]) + bytes(rng.choice([0, 255, rng.randint(0, 255)]) for _ in range(rng.randint(0, 20))) for _ in range(n - 2))]
+    column = lambda *values: pa.array([rng.choice(values) for _ in range(n)], pa.int64())
+    got = read_slice_heads(
+        pa.array(rows, pa.binary()), column(1, 5, 1, 7, None), column(0, 1), column(4, 16, None), column(0, 1, 2), column(4, 16), column(0, 1), column(0, 1), column(0, 1), column(0, 1), column(320), column(320)
+    ).to_pylist()
+    assert len(got) == n and all((r["kind"] is None) == (r["error"] is not None) for r in got)
+    assert {"invalid: missing parameter set", "unsupported: unit type", "invalid: truncated header", None} <= {r["error"] for r in got}
+    assert all(not r["is_bottom"] or r["is_field"] for r in got if r["error"] is None)
+
+
 def test_frame_heads_survive_any_bytes():
     rng = random.Random(3)
     rows = [None, b"", *(bytes([rng.choice([0x80, 0x82, 0x86, 0x88, 0x8B, 0x90, 0xA0, 0xB0, 0x84])]) + rng.choice([b"", b"\x49\x83\x42"]) + bytes(rng.choice([0, 255, rng.randint(0, 255)]) for _ in range(rng.randint(0, 20))) for _ in range(2000))]
