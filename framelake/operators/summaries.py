@@ -38,6 +38,18 @@ def cache_statistics(accesses: DataFrame, by: list[str], hit: str, size: str) ->
     return accesses.groupBy(*by).agg(F.count_if(hit).alias("hits"), F.count_if(~F.col(hit)).alias("misses"), F.coalesce(F.sum(F.when(~F.col(hit), F.col(size))), F.lit(0)).cast("long").alias("fetched"))
 
 
+def table_totals(durations: DataFrame, sizes: DataFrame, track: list[str]) -> DataFrame:
+    """Per track samples and total (of its runs of time), sized and bytes (of its sizes), and agrees: whether both count the same samples.
+
+    durations (track, count, delta) and sizes (track, size); a track that only
+    one of them has counts 0 in the other. Null counts and sizes are no samples.
+    """
+    times = durations.select(*track, F.col("count").cast("long").alias("samples"), (F.col("count") * F.col("delta")).cast("long").alias("total"), F.lit(0).cast("long").alias("sized"), F.lit(0).cast("long").alias("bytes"))
+    held = sizes.select(*track, F.lit(0).cast("long").alias("samples"), F.lit(0).cast("long").alias("total"), F.when(F.col("size").isNotNull(), 1).otherwise(0).cast("long").alias("sized"), F.col("size").cast("long").alias("bytes"))
+    sums = times.unionByName(held).groupBy(*track).agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("samples", "total", "sized", "bytes")))
+    return sums.withColumn("agrees", F.col("samples") == F.col("sized"))
+
+
 def completed_times(frames: DataFrame, stream: list[str], pts: str) -> DataFrame:
     """Latest time of the completed frames, and whether one has none."""
     return frames.groupBy(*stream).agg(F.max(pts).alias("last_pts"), F.bool_or(F.col(pts).isNull()).alias("some_missing"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions import audio, boxes, scalars
 from framelake.functions import time as media
-from framelake.operators import cursors, headers, runs, streams, tracks
+from framelake.operators import cursors, headers, runs, streams, summaries, tracks
 from framelake.plans.byte_queries import _RUNS, _orders, movie_files
 from framelake.plans.queries import _events, _table, query
 from framelake.sources import bitstreams, mp4
@@ -182,3 +182,16 @@ _G2 = """WITH RECURSIVE e AS (SELECT user_id AS stream, event_id AS i, CAST(floo
 @query("g2_bounded_reorder", _G2)
 def bounded_reorder(spark, sf_dir):
     return streams.reorder_bounded(_events(spark, sf_dir, "cast(floor(value * 1000) as bigint) as poc"), ["stream"], ["i"], "poc", 2)
+
+
+@query(
+    "e2_checked_totals",
+    """WITH t AS (SELECT p_brand AS track, sum(p_size) AS samples, sum(p_size * (1 + p_partkey % 7)) AS total FROM part WHERE p_partkey % 89 > 0 GROUP BY p_brand),
+    s AS (SELECT p_brand AS track, count(*) AS sized, sum(p_partkey % 50 + k) AS bytes FROM (SELECT *, unnest(range(1, p_size + 1)) AS k FROM part WHERE p_partkey % 97 > 0) GROUP BY p_brand)
+    SELECT track, CAST(coalesce(samples, 0) AS BIGINT) AS samples, CAST(coalesce(total, 0) AS BIGINT) AS total, CAST(coalesce(sized, 0) AS BIGINT) AS sized, CAST(coalesce(bytes, 0) AS BIGINT) AS bytes, coalesce(samples, 0) = coalesce(sized, 0) AS agrees FROM t FULL JOIN s USING (track)""",
+)
+def checked_totals(spark, sf_dir):
+    """Totals of the tables of each brand, some parts missing from one or the other."""
+    part = _table(spark, sf_dir, "part").selectExpr("p_brand as track", "cast(p_partkey as bigint) as p", "cast(p_size as bigint) as n")
+    sizes = part.where("p % 97 > 0").select("track", "p", F.explode(F.expr("sequence(1L, n)")).alias("k")).selectExpr("track", "p % 50 + k as size")
+    return summaries.table_totals(part.where("p % 89 > 0").selectExpr("track", "n as count", "1 + p % 7 as delta"), sizes, ["track"])

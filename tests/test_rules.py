@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from framelake.functions import audio
-from framelake.operators import cursors, runs
+from framelake.operators import cursors, runs, summaries
 
 
 def table(spark, rows, ddl):
@@ -54,3 +54,8 @@ def test_samples_that_pass_63_bits(spark):
 def test_audio_configuration_without_options(spark):
     row = spark.range(1).select(*(audio.decoder_config_error(F.lit(c), F.lit(1), F.lit(1), F.lit(None).cast("binary"), *[F.lit(None).cast("int")] * 4).alias(c) for c in ("mp3", "alac", "adpcm_ima_qt"))).first()
     assert tuple(row) == (None, "invalid: codec needs data", "invalid: codec needs frame counts")
+
+
+def test_totals_of_tables_that_miss_each_other(spark):
+    got = summaries.table_totals(table(spark, [(1, 2, 10), (1, 3, 1), (2, 1, 5), (3, None, 1)], "t int, count int, delta int"), table(spark, [(1, 4)] * 5 + [(4, 9), (4, None)], "t int, size int"), ["t"])
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 5, 23, 5, 20, True), (2, 1, 5, 0, 0, False), (3, 0, 0, 0, 0, True), (4, 0, 0, 1, 9, False)]
