@@ -4,6 +4,9 @@ Sums run over the runs, which are few, and never over the samples: a run knows
 its first sample and first time, and the samples in it follow from these. Runs
 are in the order of their columns, each place once; a null count is no sample
 where a rule does not say otherwise, and an empty table gives an empty one.
+
+Spark takes rows made of runs to be as small as the runs. Where they are
+joined, ``merged`` has both sides sorted, so that neither is sent to all tasks.
 """
 
 from __future__ import annotations
@@ -16,6 +19,11 @@ def _before(track: list[str], order: list[str]) -> Window:
     return Window.partitionBy(*track).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def merged(rows: DataFrame) -> DataFrame:
+    """``rows`` that a join by keys merges with its other side, whatever size they seem to have."""
+    return rows.hint("merge")
+
+
 def expand_runs(runs: DataFrame, track: list[str], order: list[str], count: str, carry: list[str]) -> DataFrame:
     """One row per sample of ``runs``: track columns, sample_index from 0 within the track, and ``carry``.
 
@@ -68,7 +76,7 @@ def sample_offsets(chunks: DataFrame, runs: DataFrame, sizes: DataFrame, track:
     known = chunk_samples(chunks, runs, track).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("samples_per_chunk").cast("int") - 1)))
     placed = known.select(*track, "chunk", "chunk_offset", "description", (F.col("first_sample") + F.col("_k")).alias("sample_index"))
     packed = Window.partitionBy(*track, "chunk").orderBy("sample_index").rowsBetween(Window.unboundedPreceding, -1)
-    joined = placed.join(sizes, [*track, "sample_index"])
+    joined = placed.join(merged(sizes), [*track, "sample_index"])
     return joined.select(*track, "sample_index", (F.col("chunk_offset") + F.coalesce(F.sum("size").over(packed), F.lit(0))).cast("long").alias("offset"), F.col("size").cast("long").alias("size"), "description")
 
 
@@ -82,12 +90,12 @@ def fuse_sample_tables(durations: DataFrame, compositions: DataFrame, chunks: Da
     timed = decode_times(durations, track, ["run"], "count", "delta")
     shifts = expand_runs(compositions, track, ["run"], "count", ["shift"])
     placed = sample_offsets(chunks, chunk_runs, sizes, track)
-    rows = placed.join(timed, [*track, "sample_index"]).join(shifts, [*track, "sample_index"], "left")
+    rows = placed.join(merged(timed), [*track, "sample_index"]).join(merged(shifts), [*track, "sample_index"], "left")
     if syncs is None:
         sync = F.lit(True)
     else:
         marks = syncs.select(*track, (F.col("sample_number") - 1).alias("sample_index"), F.lit(True).alias("_sync"))
-        rows = rows.join(marks, [*track, "sample_index"], "left")
+        rows = rows.join(merged(marks), [*track, "sample_index"], "left")
         sync = F.coalesce("_sync", F.lit(False))
     return rows.select(*track, "sample_index", "offset", "size", "dts", (F.col("dts") + F.coalesce("shift", F.lit(0))).cast("long").alias("pts"), "duration", "description", sync.alias("sync"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.scalars import big_endian, track_kind
+from framelake.operators.runs import fuse_sample_tables, merged
 from framelake.sources.mp4 import box_payloads, boxes, full_box_entries, parsed
 from framelake.storage import written
 
@@ -33,18 +34,18 @@ def of_track(rows: DataFrame, tracks: DataFrame) -> DataFrame:
     """Rows (path, parent, ...) with the track whose box holds them."""
     spans = tracks.select(F.col("path").alias("_p"), "track", F.col("offset").alias("_from"), (F.col("offset") + F.col("size")).alias("_to"))
     inside = (rows.path == spans._p) & (rows.parent >= spans._from) & (rows.parent < spans._to)
-    return rows.join(spans, inside).drop("_p", "_from", "_to")
+    return rows.join(merged(spans), inside).drop("_p", "_from", "_to")
 
 
 def raw_table(files: DataFrame, kind: str) -> DataFrame:
     """(path, track, run from 1, columns) of a table box; ``chunk`` and ``run`` both number the entries."""
     width, columns = TABLES[kind]
-    rows = full_box_entries(box_payloads(files, [kind]), width)
+    rows = full_box_entries(of_track(box_payloads(files, [kind]), track_numbers(files)), width, ["path", "track"])
     values = [big_endian(F.col("data"), at, size).alias(name) for name, at, size in columns]
     if kind == "ctts":
         # From version 1 on the shifts are signed.
         values[1] = F.when(F.col("version") > 0, _signed(big_endian(F.col("data"), 4, 4))).otherwise(big_endian(F.col("data"), 4, 4)).alias("shift")
-    return of_track(rows, track_numbers(files)).select("path", "track", (F.col("entry") + 1).alias("run"), (F.col("entry") + 1).alias("chunk"), *values)
+    return rows.select("path", "track", (F.col("entry") + 1).alias("run"), (F.col("entry") + 1).alias("chunk"), *values)
 
 
 def _signed(number: Column) -> Column:
@@ -131,9 +132,11 @@ def sample_sizes(files: DataFrame) -> DataFrame:
     payload = F.col("payload")
     sized = of_track(found.select("path", "parent", "payload"), track_numbers(files))
     sized = sized.select("path", "track", "payload", big_endian(payload, 4, 4).alias("_one"), big_endian(payload, 8, 4).alias("_n")).where("_n > 0")
-    each = sized.withColumn("sample_index", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-    own = F.conv(F.hex(F.expr("substring(payload, cast(13 + 4 * sample_index as int), 4)")), 16, 10).cast("long")
-    return each.select("path", "track", "sample_index", F.when(F.col("_one") > 0, F.col("_one")).otherwise(own).alias("size"))
+    # Cut into pieces before rows are made of it, so that no row copies the whole list.
+    own = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda k: F.substring(payload, (13 + 4 * k).cast("int"), F.lit(4)))
+    each = sized.select("path", "track", "_one", F.posexplode(own).alias("sample_index", "_own"))
+    size = F.when(F.col("_one") > 0, F.col("_one")).otherwise(F.conv(F.hex("_own"), 16, 10).cast("long"))
+    return each.select("path", "track", F.col("sample_index").cast("long").alias("sample_index"), size.alias("size"))
 
 
 def compact_sizes(rows: DataFrame, data: str, bits: str, count: str) -> DataFrame:
@@ -163,8 +166,6 @@ def first_video_track(headers: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def samples_of_files(files: DataFrame) -> DataFrame:
     """The fused sample rows of every track of the files, each of which is read once."""
-    from framelake.operators.runs import fuse_sample_tables
-
     files = written(parsed(files, [*TABLES, "stsz"])) if "content" in files.columns else files
     key = ["path", "track"]
     offsets = raw_table(files, "stco").select(*key, "chunk", "chunk_offset").unionByName(raw_table(files, "co64").select(*key, "chunk", "chunk_offset"))

@@ -110,13 +110,14 @@ def box_payloads(files: DataFrame, kinds: list[str]) -> DataFrame:
     return found.where(F.col("error").isNull() & F.col("kind").isin(kinds))
 
 
-def full_box_entries(payloads: DataFrame, width: int) -> DataFrame:
-    """Payloads of a version, flags, a count and entries of ``width`` bytes to (path, parent, version, entry, data); short boxes give none."""
+def full_box_entries(payloads: DataFrame, width: int, keep: list[str]) -> DataFrame:
+    """Payloads of a version, flags, a count and entries of ``width`` bytes to ``keep``, version, entry and data; short boxes give none."""
     count = F.conv(F.hex(F.substring("payload", 5, 4)), 16, 10).cast("long")
     fits = payloads.withColumn("_n", count).where((F.col("_n") > 0) & (F.length("payload") == 8 + F.col("_n") * width))
-    each = fits.withColumn("entry", F.explode(F.sequence(F.lit(0), F.col("_n").cast("int") - 1)))
     version = F.conv(F.hex(F.substring("payload", 1, 1)), 16, 10).cast("int").alias("version")
-    return each.select("path", "parent", version, "entry", F.expr(f"substring(payload, 9 + entry * {width}, {width})").alias("data"))
+    # Cut into pieces before rows are made of it, so that no row copies the whole list.
+    entries = F.transform(F.sequence(F.lit(0), F.col("_n").cast("int") - 1), lambda k: F.substring(F.col("payload"), 9 + k * width, F.lit(width)))
+    return fits.select(*keep, version, F.posexplode(entries).alias("entry", "data"))
 
 
 def read_files(spark, path: str) -> DataFrame:
