@@ -81,7 +81,7 @@ def visible_bytes(width: Column, height: Column) -> Column:
 
 def retained_bytes(held: DataFrame, by: list[str], size: str) -> DataFrame:
     """Bytes that each buffer holds; what is shared counts each time, and the sum stops at the greatest bigint."""
-    return held.groupBy(*by).agg(F.least(F.coalesce(F.sum(F.col(size).cast("decimal(20,0)")), F.lit(0)), F.lit(MOST)).cast("long").alias("retained"))
+    return held.groupBy(*by).agg(F.least(F.coalesce(F.sum(F.col(size).cast("decimal(38,0)")), F.lit(0)), F.lit(MOST)).cast("long").alias("retained"))
 
 
 def resolve_references(frames: DataFrame, stream: list[str], order: list[str], index: str, refresh: str, slots: list[str]) -> DataFrame:

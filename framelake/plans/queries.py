@@ -698,7 +698,7 @@ def visible_bytes(spark, sf_dir):
 
 @query("e5_retained_bytes", "SELECT p_brand AS buffer, CAST(least(sum(CAST(p_partkey AS HUGEINT) * 100000000000000), 9223372036854775807) AS BIGINT) AS retained FROM part GROUP BY p_brand")
 def retained_bytes(spark, sf_dir):
-    return packets.retained_bytes(_table(spark, sf_dir, "part").selectExpr("p_brand as buffer", "p_partkey * 100000000000000 as size"), ["buffer"], "size")
+    return packets.retained_bytes(_table(spark, sf_dir, "part").selectExpr("p_brand as buffer", "cast(p_partkey as decimal(19,0)) * 100000000000000 as size"), ["buffer"], "size")
 
 
 @query("e8_syntax_totals", "SELECT l_suppkey AS frame, count(*) AS blocks, CAST(sum(l_linenumber) AS BIGINT) AS coefficients, CAST(sum(abs(l_partkey % 9 - 4)) AS BIGINT) AS magnitude FROM lineitem GROUP BY l_suppkey")

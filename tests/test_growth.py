@@ -28,3 +28,10 @@ def made_of_runs(plan: str) -> bool:
 @pytest.mark.parametrize("name", ["a6_samples_of_files", "a15_inspected_tracks"])
 def test_rows_made_of_runs_are_not_sent_to_all_tasks(spark, name):
     assert not [p for p in sent_to_all(queries.QUERIES[name](spark, SMALL)) if made_of_runs(p)]
+
+
+def test_retained_bytes_pass_the_greatest_bigint_before_they_stop(spark, tmp_path):
+    parts = spark.createDataFrame([("a", 92233), ("b", 92234), ("b", 1), ("c", 1)], "p_brand string, p_partkey long")
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.buffer: r.retained for r in queries.QUERIES["e5_retained_bytes"](spark, str(tmp_path)).collect()}
+    assert got == {"a": 92233 * 10**14, "b": (1 << 63) - 1, "c": 10**14}
