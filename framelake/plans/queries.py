@@ -68,7 +68,7 @@ def presentation_times(spark, sf_dir):
     times = decode_times(spark, sf_dir)
     shorter = _runs(spark, sf_dir).withColumns({"count": F.col("count") - 1, "shift": F.col("run") % 5 - 2})
     shifts = runs.expand_runs(shorter, ["track"], ["run"], "count", ["shift"])
-    return times.join(shifts, ["track", "sample_index"], "left").select("track", "sample_index", (F.col("dts") + F.coalesce("shift", F.lit(0))).alias("pts"))
+    return times.join(runs.merged(shifts), ["track", "sample_index"], "left").select("track", "sample_index", (F.col("dts") + F.coalesce("shift", F.lit(0))).alias("pts"))
 
 
 _TABLE_RUNS = "SELECT l_partkey % 20 AS track, l_suppkey AS run, count(*) AS n FROM lineitem GROUP BY ALL"

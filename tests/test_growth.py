@@ -25,7 +25,7 @@ def made_of_runs(plan: str) -> bool:
     return any("explode(sequence" in line or "posexplode" in line for line in plan.splitlines() if "Generate" in line)
 
 
-@pytest.mark.parametrize("name", ["b1_sample_table_fusion", "b10_sample_offsets", "a6_samples_of_files", "a15_inspected_tracks"])
+@pytest.mark.parametrize("name", ["b1_sample_table_fusion", "b4_presentation_times", "b10_sample_offsets", "a6_samples_of_files", "a15_inspected_tracks"])
 def test_rows_made_of_runs_are_not_sent_to_all_tasks(spark, name):
     assert not [p for p in sent_to_all(queries.QUERIES[name](spark, SMALL)) if made_of_runs(p)]
 
