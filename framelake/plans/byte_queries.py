@@ -401,7 +401,8 @@ def visible_rows(spark, sf_dir):
     div = lambda n: F.call_function("div", i, F.lit(n))
     format_ = F.element_at(F.array(*map(F.lit, _FORMATS)), (i % 9 + 1).cast("int"))
     rows = _table(spark, sf_dir, "events").select(i.alias("i"), format_.alias("format"), (div(9) % 3).alias("plane"), (i % 3).alias("x"), (div(3) % 3).alias("y"), (2 + div(5) % 4).alias("w"), (2 + div(7) % 3).alias("h"))
-    bytes_ = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(40 * 8 - 1)), lambda k: boxes.number_hex(F.col("i") + k, 1)), ""))
+    counted = F.lit(bytearray(k % 256 for k in range(256 + 40 * 8)))
+    bytes_ = F.substring(counted, (F.pmod(F.col("i"), F.lit(256)) + 1).cast("int"), F.lit(40 * 8))
     planes = rows.withColumns({"data": F.concat(_zeros(3), bytes_), "at": raw_files.plane_layout(*map(F.col, ("format", "plane", "x", "y", "w", "h")))})
     shown = planes.withColumn("visible", raw_files.visible_rows("data", F.lit(3).cast("long"), F.lit(40).cast("long"), "at"))
     return shown.select("i", "format", "plane", "at.*", F.hex("visible").alias("visible"))

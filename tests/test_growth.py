@@ -35,3 +35,8 @@ def test_retained_bytes_pass_the_greatest_bigint_before_they_stop(spark, tmp_pat
     parts.write.parquet(f"{tmp_path}/part.parquet")
     got = {r.buffer: r.retained for r in queries.QUERIES["e5_retained_bytes"](spark, str(tmp_path)).collect()}
     assert got == {"a": 92233 * 10**14, "b": (1 << 63) - 1, "c": 10**14}
+
+
+def test_planes_are_made_without_a_loop_over_their_bytes(spark):
+    shown = queries.QUERIES["a11_visible_rows"](spark, SMALL)
+    assert "transform(" not in shown._jdf.queryExecution().optimizedPlan().toString()
