@@ -15,7 +15,10 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def number_hex(value: Column, size: int) -> Column:
     """Hex of the low ``size`` bytes (1 to 8) of a whole number, greatest first; negative ones in two's complement."""
-    return F.substring(F.lpad(F.hex(value.cast("long")), 16, "0"), 17 - 2 * size, 2 * size)
+    if size == 8:
+        return F.lpad(F.hex(value.cast("long")), 16, "0")
+    # A one before the digits keeps their zeros.
+    return F.substring(F.hex(value.cast("long").bitwiseAND((1 << 8 * size) - 1) + F.lit(1 << 8 * size)), 2, 2 * size)
 
 
 def number(value: Column, size: int) -> Column:
@@ -28,6 +31,12 @@ def box(kind: str, *parts: Column) -> Column:
     return let(body, lambda b: F.concat(number(F.length(b) + 8, 4), F.lit(kind).cast("binary"), b))
 
 
+def nested(body: Column, *kinds: str) -> Column:
+    """Boxes of the given kinds, the innermost first, that hold nothing but each other and the body."""
+    heads = lambda b: [part for k, kind in reversed(list(enumerate(kinds, 1))) for part in (number(F.length(b) + 8 * k, 4), F.lit(kind).cast("binary"))]
+    return let(body, lambda b: F.concat(*heads(b), b))
+
+
 def full_box(kind: str, *parts: Column, version: int | Column = 0, flags: int = 0) -> Column:
     version = version if isinstance(version, Column) else F.lit(version)
     return box(kind, number(version, 1), number(F.lit(flags), 3), *parts)

@@ -68,7 +68,7 @@ def find_descriptor(data: Column, at: Column, tag: int) -> Column:
         return F.when(over, s).otherwise(let(descriptor_at(data, s["at"]), seen))
 
     # Each descriptor has two bytes at least.
-    found = F.aggregate(F.sequence(F.lit(0), F.greatest(F.call_function("div", F.length(data), F.lit(2)).cast("int"), F.lit(0))), state, step)
+    found = F.aggregate(F.sequence(F.lit(0), F.greatest(F.call_function("div", F.length(data) - at, F.lit(2)).cast("int"), F.lit(0))), state, step)
     return let(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["error"].alias("error")))
 
 

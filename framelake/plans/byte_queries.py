@@ -376,8 +376,7 @@ def audio_entries(spark, sf_dir):
     head = F.concat(_zeros(8), boxes.number(F.when(case == 1, 1).otherwise(0), 2), _zeros(6), boxes.number(F.when(case == 2, 0).when(case == 8, 1).otherwise(2), 2), boxes.number(F.lit(16), 2), _zeros(4), boxes.number(rate, 4))
     entry = boxes.box("mp4a", head, F.when(case == 5, _zeros(0)).when(case == 6, F.concat(esds, esds)).otherwise(esds))
     content = boxes.full_box("stsd", boxes.number(F.lit(1), 4), entry)
-    for kind in ("stbl", "minf", "mdia", "trak", "moov"):
-        content = boxes.box(kind, content)
+    content = boxes.nested(content, "stbl", "minf", "mdia", "trak", "moov")
     found = descriptors.audio_entries(_orders(spark, sf_dir).select(F.concat(F.lit("o"), o).alias("path"), content.alias("content")))
     return found.withColumns({"track": F.col("track").cast("int"), **{k: F.col(k).cast("long") for k in ("channels", "sample_bits", "rate")}})
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +69,14 @@ def box_rows(data: bytes) -> Iterator[tuple]:
     return scan_boxes(lambda at, n: data[at : at + n], len(data))
 
 
+PARSED = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("size", pa.int64()), ("kind", pa.string()), ("header_size", pa.int32()), ("depth", pa.int32()), ("parent", pa.int64()), ("error", pa.string()), ("payload", pa.binary())])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PARSED, strict=True)], schema=PARSED)
+
+
 #: Bytes of payloads after which a task hands on the rows it has.
 FLUSH_BYTES = 1 << 24
 
@@ -81,22 +89,23 @@ def parsed(files: DataFrame, kinds: list[str]) -> DataFrame:
     """
     wanted = set(kinds)
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["path", "offset", "size", "kind", "header_size", "depth", "parent", "error", "payload"]
-        for frame in frames:
-            rows, held = [], 0
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                data = bytes(content if content is not None else b"")
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
+                data = content or b""
                 for row in box_rows(data):
                     payload = data[row[0] + row[3] : row[0] + row[1]] if row[6] is None and row[2] in wanted else None
                     rows.append((path, *row, payload))
                     held += len(payload or b"")
                     if held > FLUSH_BYTES:
-                        yield pd.DataFrame(rows, columns=columns)
+                        yield _batch(rows)
                         rows, held = [], 0
-            yield pd.DataFrame(rows, columns=columns)
+            if rows:
+                yield _batch(rows)
+                rows, held = [], 0
 
-    return files.select("path", "content").mapInPandas(read, f"{BOX_SCHEMA}, payload binary")
+    return files.select("path", "content").mapInArrow(read, f"{BOX_SCHEMA}, payload binary")
 
 
 def boxes(files: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
+from framelake.functions import boxes
 from framelake.plans import byte_queries, queries, rule_queries  # noqa: F401  they register their queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -40,3 +42,14 @@ def test_retained_bytes_pass_the_greatest_bigint_before_they_stop(spark, tmp_pat
 def test_planes_are_made_without_a_loop_over_their_bytes(spark):
     shown = queries.QUERIES["a11_visible_rows"](spark, SMALL)
     assert "transform(" not in shown._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nested_boxes_and_numbers_are_those_of_plain_python(spark):
+    values = [0, 1, 255, 256, 65535, (1 << 32) - 1, 1 << 40, (1 << 63) - 1, -1, -300]
+    rows = spark.createDataFrame([(v,) for v in values], "v long")
+    sizes = (1, 2, 3, 4, 7, 8)
+    one_by_one = boxes.box("moov", boxes.box("trak", boxes.box("stbl", boxes.number(F.col("v"), 4))))
+    got = rows.select("v", *(boxes.number(F.col("v"), n).alias(f"n{n}") for n in sizes), one_by_one.alias("a"), boxes.nested(boxes.number(F.col("v"), 4), "stbl", "trak", "moov").alias("b")).collect()
+    for r in got:
+        assert [bytes(r[f"n{n}"]) for n in sizes] == [(r.v % (1 << 8 * n)).to_bytes(n, "big") for n in sizes]
+        assert r.a == r.b
