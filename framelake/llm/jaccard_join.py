@@ -12,8 +12,9 @@ nothing of the first.
    and not with the square of a group.
 3. What that links forms clusters. Pairs that share a prefix token but lie in
    different clusters are then all tested, so no link between clusters is lost:
-   as rows where few classes share the token, block against block inside tasks
-   where many do. Tokens that the same classes share are one group.
+   as rows where few classes share the token; where many do, maps of bits are
+   tested block against block inside tasks, and whole sets only among classes
+   that these maps join. Tokens that the same classes share are one group.
 
 4. Links lie inside components only. To list or count them, the pairs of each
    component of three or more classes go through the filters and the exact test,
@@ -249,11 +250,37 @@ def may_be_alike(a: bytes, n: int, b: bytes, m: int, percent: int) -> bool:
     return 100 * shared >= percent * (n + m - shared)
 
 
+def may_link(left: list[np.ndarray], n: np.ndarray, right: list[np.ndarray], m: np.ndarray, maybe: np.ndarray, percent: int) -> np.ndarray:
+    """What ``may_be_alike`` says of each on the left with each on the right, among the pairs that ``maybe`` holds."""
+    maybe = maybe & (100 * np.minimum(n[:, None], m) >= percent * np.maximum(n[:, None], m))
+    out = np.zeros_like(maybe)
+    lengths = [np.array([len(x) for x in side], np.int64) for side in (left, right)]
+    for p in np.unique(lengths[0]):
+        for q in np.unique(lengths[1]):
+            rows, columns = np.flatnonzero(lengths[0] == p), np.flatnonzero(lengths[1] == q)
+            some = maybe[np.ix_(rows, columns)]
+            rows, columns = rows[some.any(axis=1)], columns[some.any(axis=0)]
+            if not len(rows):
+                continue
+            least = min(p, q)
+            x, y = (np.bitwise_or.reduce(np.stack([side[k] for k in some]).reshape(len(some), -1, least), axis=1) for side, some in ((left, rows), (right, columns)))
+            both = np.zeros((len(rows), len(columns)), np.float32)
+            for start in range(0, least, TABLE_COLUMNS // 8):
+                one, other = (np.unpackbits(z[:, start : start + TABLE_COLUMNS // 8], axis=1).astype(np.float32) for z in (x, y))
+                both += one @ other.T
+            held_x, held_y = (np.bitwise_count(z).sum(axis=1, dtype=np.int64) for z in (x, y))
+            shared = np.minimum(n[rows][:, None] - held_x[:, None], m[columns] - held_y) + both
+            cell = np.ix_(rows, columns)
+            out[cell] = maybe[cell] & (100 * shared >= percent * (n[rows][:, None] + m[columns] - shared))
+    return out
+
+
 #: What the filters compare, and what the verification does.
 FILTERS = {f"order{k}": ("array<int>", _prefixes(seed)) for k, seed in enumerate(ORDERS, 1)} | {
     "size": ("long", lambda sets, _: pa.array([len(cut) for cut in sets], pa.int64())),
     "bits": ("binary", lambda sets, _: pa.array([bits_of(cut) for cut in sets], pa.binary())),
 }
+MAPS = {c: FILTERS[c] for c in ("size", "bits")}
 TOKENS = {"tokens": ("binary", lambda sets, _: pa.array([cut.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES].tobytes() for cut in sets], pa.binary()))}
 
 
@@ -390,10 +417,30 @@ def alike_between(left: list[np.ndarray], right: list[np.ndarray], maybe: np.nda
     return out
 
 
-def _blockwise(members: DataFrame, sets: DataFrame, shingles: Shingles) -> DataFrame:
-    """Links between components among classes that share a token, found block against block inside tasks.
-
-    Of the links of two blocks only as many are returned as join components.
+def forest(joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of as few of the ``joined`` pairs as join the same rows and columns."""
+    rows_left, columns_left = (np.ones(n, bool) for n in joined.shape)
+    found = []
+    for start in np.flatnonzero(joined.any(axis=1)).tolist():
+        reached = [start] if rows_left[start] else []
+        rows_left[start] = False
+        while reached:
+            row = reached.pop()
+            columns = np.flatnonzero(joined[row] & columns_left)
+            columns_left[columns] = False
+            for column in columns.tolist():
+                more = np.flatnonzero(joined[:, column] & rows_left).tolist()
+                rows_left[more] = False
+                found += [(row, column), *((other, column) for other in more)]
+                reached += more
+    return tuple(np.array(found, np.int64).reshape(-1, 2).T)
+
+
+def _maybe_linked(members: DataFrame, maps: DataFrame, shingles: Shingles) -> DataFrame:
+    """Pairs (a, b) that join all classes of different components that share a token and whose maps of bits allow a link.
+
+    They are found block against block inside tasks, and of the pairs of two
+    blocks only as many are returned as join the same classes.
     """
     blocks = members.withColumn("_blocks", F.ceil(F.col("held_by") / F.lit(BLOCK_CLASSES)).cast("int")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("_blocks")).cast("int"))
     dealt = blocks.select("shared_by", "class", "component", "block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
@@ -401,43 +448,45 @@ def _blockwise(members: DataFrame, sets: DataFrame, shingles: Shingles) -> DataF
 
     def compare(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        block = table.column("block").to_numpy()
-        classes, component = table.column("class").to_numpy(), table.column("component").to_numpy()
+        block, classes, component, size = (table.column(c).to_numpy() for c in ("block", "class", "component", "size"))
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        found = []
-        if len(left) and len(right):
-            tokens = [unpacked(x) for x in table.column("tokens").to_pylist()]
-            apart = component[left][:, None] != component[right][None]
-            alike = alike_between([tokens[k] for k in left], [tokens[k] for k in right], apart, shingles)
-            root = {c: c for c in component.tolist()}
-
-            def find(c: int) -> int:
-                while root[c] != c:
-                    root[c] = root[root[c]]
-                    c = root[c]
-                return c
-
-            for x, y in np.argwhere(alike).tolist():
-                p, q = find(int(component[left[x]])), find(int(component[right[y]]))
-                if p != q:
-                    root[max(p, q)] = min(p, q)
-                    found.append(sorted((int(classes[left[x]]), int(classes[right[y]]))))
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+        apart = component[left][:, None] != component[right][None]
+        bits = [np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()]
+        x, y = forest(may_link([bits[k] for k in left], size[left], [bits[k] for k in right], size[right], apart, shingles.percent))
+        return pa.table({"a": pa.array(classes[left[x]], pa.int64()), "b": pa.array(classes[right[y]], pa.int64())})
 
-    known = sets.select(F.col("class").alias("_class"), "tokens").dropDuplicates(["_class"])
-    rows = dealt.join(known, F.col("class") == F.col("_class")).select("shared_by", "i", "j", "block", "class", "component", "tokens")
-    return stored(rows.groupBy("shared_by", "i", "j").applyInArrow(compare, "a long, b long"), "links")
+    known = maps.select(F.col("class").alias("_class"), "size", "bits").dropDuplicates(["_class"])
+    rows = dealt.join(known, F.col("class") == F.col("_class")).select("shared_by", "i", "j", "block", "class", "component", "size", "bits")
+    return stored(rows.groupBy("shared_by", "i", "j").applyInArrow(compare, "a long, b long"), "maybe")
+
+
+def _blockwise(members: DataFrame, described: Callable, shingles: Shingles) -> DataFrame:
+    """Links (a, b) that join all components that are linked among classes that share a token.
+
+    Sets are sent for the classes that maps of bits join, once for each block of
+    what they join, and not for each token that a class shares.
+    """
+    maps = described(members.select("class"), MAPS, "maps")
+    maybe = _maybe_linked(members, maps, shingles)
+    groups = connected_components(maybe)
+    sized = maps.select("class", F.col("size").alias("n"), F.lit(1).cast("long").alias("n_rows")).dropDuplicates(["class"])
+    blocks = _component_blocks(groups.select(F.col("node").alias("class"), "component").join(sized, "class"), least=2)
+    sets = described(blocks.select("class"), TOKENS, "sets")
+    links = _within(blocks, sets, shingles, pairs=True, fewest=True)
+    discard(maps, maybe, groups, sets)
+    return links
 
 
-def _component_blocks(linked: DataFrame) -> DataFrame:
+def _component_blocks(linked: DataFrame, least: int = 3) -> DataFrame:
     """slot, i, j, block, component, class, n_rows: the pairs of blocks in which each component's pairs are tested.
 
-    ``linked`` is class, n, n_rows, component. A component takes as many blocks
+    ``linked`` is class, n, n_rows, component; components of fewer than ``least``
+    classes are left out. A component takes as many blocks
     as its classes and tokens ask for. Those of one block are put together,
     by hash, in slots of about a block each.
     """
     need = F.greatest(F.count(F.lit(1)) / F.lit(BLOCK_CLASSES), F.sum("n") / F.lit(BLOCK_TOKENS))
-    sized = linked.groupBy("component").agg(F.count(F.lit(1)).alias("_classes"), need.alias("_need")).where("_classes > 2")
+    sized = linked.groupBy("component").agg(F.count(F.lit(1)).alias("_classes"), need.alias("_need")).where(F.col("_classes") >= least)
     sized = stored(sized.select(F.col("component").alias("_component"), F.ceil("_need").cast("int").alias("_blocks"), "_need"), "component_sizes")
     slots = int(sized.where("_blocks = 1").agg(F.sum("_need")).first()[0] or 0) + 1
     members = linked.join(sized, F.col("component") == F.col("_component"))
@@ -446,10 +495,11 @@ def _component_blocks(linked: DataFrame) -> DataFrame:
     return members.select("large", "slot", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", "component", "class", "n_rows")
 
 
-def _within(blocks: DataFrame, sets: DataFrame, shingles: Shingles, pairs: bool) -> DataFrame:
-    """All links inside components of three or more classes, as pairs (a, b), or as class, n_links: rows behind them.
+def _within(blocks: DataFrame, sets: DataFrame, shingles: Shingles, pairs: bool, fewest: bool = False) -> DataFrame:
+    """All links inside the components of ``blocks``, as pairs (a, b), or as class, n_links: rows behind them.
 
-    A class has a count for each of the block pairs that it is in.
+    A class has a count for each of the block pairs that it is in. Where
+    ``fewest`` pairs are asked for, only as many are listed as join the same classes.
     """
 
     def compare(table: pa.Table) -> pa.Table:
@@ -468,7 +518,7 @@ def _within(blocks: DataFrame, sets: DataFrame, shingles: Shingles, pairs: bool)
             alike = alike_between([tokens[k] for k in left], [tokens[k] for k in right], maybe, shingles)
             own, near = classes[start:end], n_rows[start:end]
             if pairs:
-                x, y = np.nonzero(alike)
+                x, y = forest(alike) if fewest else np.nonzero(alike)
                 a, b = own[left[x]], own[right[y]]
                 one.append(np.minimum(a, b))
                 other.append(np.maximum(a, b))
@@ -540,9 +590,7 @@ def jaccard_clusters(docs: DataFrame, shingles: Shingles = Shingles()) -> tuple[
     discard(near)
     found = [tested(rest)] if not rest.isEmpty() else []
     if not many.isEmpty():
-        sets = described(many.select("class"), TOKENS, "sets")
-        found.append(_blockwise(many, sets, shingles))
-        discard(sets)
+        found.append(_blockwise(many, described, shingles))
     if found:
         for more in found:
             links = links.union(more)

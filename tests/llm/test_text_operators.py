@@ -424,6 +424,47 @@ def test_many_texts_that_share_rare_tokens_and_are_not_alike(spark, monkeypatch)
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_sets_are_sent_only_where_maps_of_bits_allow_a_link(spark, monkeypatch):
+    """Many texts that share rare tokens and are not alike: their maps tell them apart, so no sets are sent for the tokens."""
+    sent, described = [], jaccard_join._described
+
+    def counted(*args):
+        found = described(*args)
+        sent.append(found.count() if "tokens" in args[4] else 0)
+        return found
+
+    monkeypatch.setattr(jaccard_join, "_described", counted)
+    rng = random.Random(6)
+    passage = " ".join(f"rare{k}" for k in range(6))
+    rows = [(n, f"{passage} " + " ".join(rng.choice("abcdefghijkl") for _ in range(40))) for n in range(300)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.doc_id == r.component_id and r.n_links == 0 for r in got)
+    assert sum(sent) < 30
+
+
+def test_maps_between_blocks_and_forest():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 40, n)).astype(np.uint64) for n in (0, 3, 10, 17, 60, 64, 70)]
+    sets += [np.unique(np.concatenate([s[2:], rng.integers(0, 1 << 40, 1).astype(np.uint64)])) for s in sets[1:]] + sets[1:]
+    bits, sizes = [jaccard_join.bits_of(s) for s in sets], np.array([len(s) for s in sets])
+    got = jaccard_join.may_link([np.frombuffer(b, np.uint8) for b in bits], sizes, [np.frombuffer(b, np.uint8) for b in bits[3:]], sizes[3:], np.ones((len(sets), len(sets) - 3), bool), 85)
+    fit = lambda a, b: 100 * min(a, b) >= 85 * max(a, b)
+    assert got.tolist() == [[fit(n, m) and jaccard_join.may_be_alike(a, int(n), b, int(m), 85) for b, m in zip(bits[3:], sizes[3:], strict=True)] for a, n in zip(bits, sizes, strict=True)]
+    joined = rng.random((30, 40)) < 0.03
+    reach = lambda pairs: {frozenset(c) for c in _joined([(x, 100 + y) for x, y in zip(*pairs, strict=True)])}
+    rows, columns = jaccard_join.forest(joined)
+    assert joined[rows, columns].all() and reach((rows, columns)) == reach(np.nonzero(joined))
+    assert len(rows) == sum(len(c) - 1 for c in reach((rows, columns)))
+
+
+def _joined(pairs):
+    groups: list[set] = []
+    for pair in pairs:
+        near = [g for g in groups if g & set(pair)]
+        groups = [g for g in groups if not g & set(pair)] + [set(pair).union(*near)]
+    return groups
+
+
 def test_shared_counts():
     rng = np.random.default_rng(1)
     left, right = ([np.unique(rng.integers(0, 40, 20)).astype(np.uint64) for _ in range(n)] for n in (7, 5))
