@@ -32,6 +32,14 @@ def test_rows_made_of_runs_are_not_sent_to_all_tasks(spark, name):
     assert not [p for p in sent_to_all(queries.QUERIES[name](spark, SMALL)) if made_of_runs(p)]
 
 
+@pytest.mark.parametrize("name", ["b10_sample_offsets"])
+def test_samples_are_not_sent_to_all_tasks_when_plans_change_as_they_run(spark, name):
+    found = queries.QUERIES[name](spark, SMALL)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and not sent_to_all(found)
+
+
 def test_retained_bytes_pass_the_greatest_bigint_before_they_stop(spark, tmp_path):
     parts = spark.createDataFrame([("a", 92233), ("b", 92234), ("b", 1), ("c", 1)], "p_brand string, p_partkey long")
     parts.write.parquet(f"{tmp_path}/part.parquet")
