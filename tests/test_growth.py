@@ -32,7 +32,7 @@ def test_rows_made_of_runs_are_not_sent_to_all_tasks(spark, name):
     assert not [p for p in sent_to_all(queries.QUERIES[name](spark, SMALL)) if made_of_runs(p)]
 
 
-@pytest.mark.parametrize("name", ["b10_sample_offsets"])
+@pytest.mark.parametrize("name", ["b10_sample_offsets", "b1_sample_table_fusion"])
 def test_samples_are_not_sent_to_all_tasks_when_plans_change_as_they_run(spark, name):
     found = queries.QUERIES[name](spark, SMALL)
     found.collect()
