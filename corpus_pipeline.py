@@ -45,15 +45,14 @@ WINDOW_SLOTS = 1
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents packed in sequences of 1024 tokens, which are numbered in the order of the mix.
 
-    Files keep no order for their readers, so the places of the mix, which
-    follow from the rows alone, are worked out again.
+    The order is that in which the mix was stored, and documents that were
+    not mixed are mixed and stored first.
     """
-    read = docs.select("doc_id", "source", "text")
-    sizes = pfair_mix.source_sizes(read)
-    placed = pfair_mix.mix_sources(read, pfair_mix.root_weights(sizes), sizes)
-    pieces = packing.tokenize(placed, queries.document_vocabulary(), along=("mix_slot", "mix_offset"))
+    mixed, block = pfair_mix.stored_mix(docs.select("doc_id", "source", "text"), "mixed")
+    read, slots = pfair_mix.stored_slots(mixed, block)
+    pieces = packing.tokenize(read, queries.document_vocabulary(), along=("mix_file", "mix_row")).join(slots, ["mix_file", "mix_row"])
     windowed = pieces.withColumn("mix_window", F.expr(f"mix_slot div {WINDOW_SLOTS}"))
-    return packing.pack_in_order(windowed, "mix_window", ["mix_slot", "mix_offset"])
+    return packing.pack_in_order(windowed, "mix_window", ["mix_file", "mix_row"])
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("pii", pseudonyms), ("mix", mix), ("pack", pack)]

@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import heapq
 import math
+import zlib
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.shared import shuffle_partitions, small_table
+from framelake.llm.shared import shuffle_partitions, small_table, stored
 
 #: Bytes of a block, doubled until all rows fit in MOST_BLOCKS blocks.
 BLOCK_BYTES = 1 << 16
@@ -28,6 +29,12 @@ GROUP_BYTES = 1 << 26
 #: Least digits of the order hash by which a source's rows are grouped; 16^n groups.
 GROUP_DIGITS = 3
 
+#: Rows of a stored file that one task sums up in order.
+SPAN_ROWS = 100_000
+
+#: Key of the metadata that says that rows are in the order of the mix.
+MARK = "mixed"
+
 #: What rows without a source are counted as.
 NO_SOURCE = ""
 
@@ -161,8 +168,55 @@ def in_mixed_order(docs: DataFrame, weights: dict[str, float | Fraction], sizes:
     Writing the result keeps the order: its files follow each other, and each
     is sorted. Rows of a block follow their offset in it.
     """
+    sizes = source_sizes(docs) if sizes is None else sizes
     mixed, blocks = _placed(docs, weights, sizes, block_bytes)
     partitions = shuffle_partitions(docs.sparkSession)
     share = F.expr(f"cast(_fl_turn * {partitions}L div {max(blocks, 1)}L as int)")
     order = ["_fl_mix_slot", "_fl_mix_offset", "doc_id"]
-    return mixed.repartitionById(partitions, share).sortWithinPartitions(*order).select(*(F.col(f"`{c}`") for c in docs.columns))
+    sorted_ = mixed.repartitionById(partitions, share).sortWithinPartitions(*order)
+    mark = {MARK: {"block": block_size(sum(sizes.values()), block_bytes), "from": _files(docs)}}
+    return sorted_.select(*(F.col(f"`{c}`").alias(c, metadata=mark) if c == "doc_id" else F.col(f"`{c}`") for c in docs.columns))
+
+
+def _files(docs: DataFrame) -> int:
+    """One number for the files that ``docs`` reads."""
+    return zlib.crc32("\n".join(sorted(docs.inputFiles())).encode())
+
+
+def stored_mix(docs: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``docs`` as files in the order of the mix, and the bytes of its blocks; what was not mixed and written before is now.
+
+    in_mixed_order marks its result in the metadata of doc_id, which Parquet
+    keeps, with the files that it was made of: who still reads these has not
+    read what was written.
+    """
+    mark = docs.schema["doc_id"].metadata.get(MARK)
+    if mark and mark["from"] != _files(docs):
+        return docs, mark["block"]
+    if not mark:
+        sizes = source_sizes(docs)
+        docs = in_mixed_order(docs, root_weights(sizes), sizes)
+    return stored(docs, name), docs.schema["doc_id"].metadata[MARK]["block"]
+
+
+def stored_slots(docs: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """``docs`` of stored_mix with mix_file and mix_row, their place in the stored order, and (mix_file, mix_row, mix_slot).
+
+    A block of a source holds ``block`` of its bytes in the stored order, and
+    blocks are numbered without gaps by their first rows.
+    """
+    named = docs.select("*", F.col("_metadata.file_name").alias("_fl_name"), F.col("_metadata.row_index").alias("mix_row"))
+    files = named.select("_fl_name").distinct().select("_fl_name", (F.row_number().over(Window.orderBy("_fl_name")) - 1).cast("long").alias("mix_file"))
+    read = named.join(F.broadcast(files), "_fl_name").drop("_fl_name")
+    light = read.select("mix_file", "mix_row", F.coalesce("source", F.lit(NO_SOURCE)).alias("_s"), _size().alias("_bytes"), F.expr(f"mix_row div {SPAN_ROWS}").alias("_span"))
+    spans_before = Window.partitionBy("_s").orderBy("mix_file", "_span").rowsBetween(Window.unboundedPreceding, -1)
+    bases = light.groupBy("_s", "mix_file", "_span").agg(F.sum("_bytes").alias("_sum")).select("_s", "mix_file", "_span", F.coalesce(F.sum("_sum").over(spans_before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_s", "mix_file", "_span").orderBy("mix_row").rowsBetween(Window.unboundedPreceding, -1)
+    at = light.withColumn("_before", F.coalesce(F.sum("_bytes").over(inside), F.lit(0))).join(bases, ["_s", "mix_file", "_span"])
+    placed = at.select("mix_file", "mix_row", "_s", F.expr(f"(_base + _before) div {block}").alias("_block"))
+    firsts = placed.groupBy("_s", "_block").agg(F.min(F.struct("mix_file", "mix_row")).alias("_first"))
+    in_file = firsts.withColumn("_k", F.row_number().over(Window.partitionBy("_first.mix_file").orderBy("_first.mix_row")) - 1)
+    before = Window.orderBy("mix_file").rowsBetween(Window.unboundedPreceding, -1)
+    counts = firsts.groupBy(F.col("_first.mix_file").alias("mix_file")).agg(F.count(F.lit(1)).alias("_n")).select(F.col("mix_file").alias("_file"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_slots"))
+    slots = in_file.join(counts, F.col("_first.mix_file") == F.col("_file")).select("_s", "_block", (F.col("_slots") + F.col("_k")).cast("long").alias("mix_slot"))
+    return read, placed.join(slots, ["_s", "_block"]).select("mix_file", "mix_row", "mix_slot")

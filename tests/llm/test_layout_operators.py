@@ -355,5 +355,16 @@ def test_sequences_follow_the_mix(spark):
             assert abs(sum(source_of[x] == s for x in set(in_order) if x <= end) - Fraction(weight * (end + 1), total)) < 1
 
 
+def test_pack_takes_the_order_that_the_mix_stored(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sizes = pfair_mix.source_sizes(docs)
+    packed = lambda mixed: sorted((r.sequence_id, r.offset, r.doc_id) for r in corpus_pipeline.pack(spark, mixed, SF).collect())
+    mixed = corpus_pipeline.mix(spark, docs, SF)
+    one = packed(stored(mixed, "test_mixed"))
+    assert one == packed(mixed) == packed(docs)
+    other = pfair_mix.in_mixed_order(docs, {s: 1 + k * k for k, s in enumerate(sorted(sizes))}, sizes, block_bytes=4000)
+    assert packed(stored(other, "test_mixed")) != one
+
+
 def test_pipeline_runs_whole(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
