@@ -8,26 +8,37 @@ from pyspark.sql import functions as F
 from framelake.llm.shared import discard, stored
 
 
+def _large_stars(edges: DataFrame) -> DataFrame:
+    """Every edge (a, b), a < b, moved from a to the least node around a."""
+    both = edges.select("a", "b").union(edges.select("b", "a"))
+    least = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("least"))
+    return edges.join(least, edges.a == least.node).select(F.col("least").alias("a"), "b").distinct()
+
+
+def _small_stars(edges: DataFrame) -> DataFrame:
+    """The lesser nodes around every b, and b itself, moved to the least of them."""
+    least = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("least"))
+    moved = edges.join(least, edges.b == least.node).where("a <> least").select(F.col("least").alias("a"), F.col("a").alias("b"))
+    return moved.union(least.select(F.col("least").alias("a"), F.col("node").alias("b"))).distinct()
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of ``links`` (a, b); component is the least node reachable.
 
-    Each round every node takes the least label among itself, its neighbours
-    and the label of its label, so labels travel twice as far each time. Rounds
-    end when no label changes. Labels are stored in the shared folder.
+    Each round moves edges to lesser nodes, first those to greater and then
+    those to lesser neighbours. Edges that meet become one, so their number
+    never grows and soon is that of the nodes, however many links a group has.
+    Rounds end when all edges lead to a node that leads nowhere, the least of its
+    component. Edges are stored in the shared folder.
     """
-    both = links.select("a", "b").where("a <> b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct()
-    edges = stored(both, "edges")
-    labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
+    edges = stored(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     while True:
-        heard = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("label").alias("heard"))
-        spread = labels.join(heard, labels.node == heard.a).select("node", F.least("label", "heard").alias("near"), F.col("label").alias("was"))
-        of_label = labels.select(F.col("node").alias("_label"), F.col("label").alias("far"))
-        # A label is a node, and every node has a row: the least node of a component points to itself.
-        jumped = spread.join(of_label, spread.near == of_label._label).select("node", F.least("near", "far").alias("label"), "was")
-        before, labels = labels, stored(jumped, "labels")
-        discard(before)
-        if labels.where("label <> was").limit(1).isEmpty():
+        # Of stars, each node is an end once or a centre.
+        met = edges.select("b").union(edges.select("a").distinct()).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+        if met.where("n > 1").isEmpty():
             break
-    components = stored(labels.select("node", F.col("label").alias("component")), "components")
-    discard(edges, labels)
+        before, edges = edges, stored(_small_stars(_large_stars(edges)), "edges")
+        discard(before)
+    components = stored(edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(edges.select("a", "a").distinct()), "components")
+    discard(edges)
     return components

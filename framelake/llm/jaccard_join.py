@@ -449,7 +449,9 @@ def _maybe_linked(members: DataFrame, maps: DataFrame, shingles: Shingles) -> Da
     def compare(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         block, classes, component, size = (table.column(c).to_numpy() for c in ("block", "class", "component", "size"))
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        # In the order of their numbers, so that tokens which the same classes share give the same pairs.
+        order = np.argsort(classes)
+        left, right = order[block[order] == i], order[block[order] == j]
         apart = component[left][:, None] != component[right][None]
         bits = [np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()]
         x, y = forest(may_link([bits[k] for k in left], size[left], [bits[k] for k in right], size[right], apart, shingles.percent))

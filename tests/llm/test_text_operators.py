@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framelake.llm import jaccard_join, lm_scoring, order_minhash, pii, queries, wordhash
+from framelake.llm import components, jaccard_join, lm_scoring, order_minhash, pii, queries, wordhash
 from framelake.llm.components import connected_components
 from framelake.llm.lattice import Lattice
 
@@ -476,3 +476,37 @@ def test_connected_components_on_a_path(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 102: 100}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_edges_of_components_shrink_to_the_nodes(spark, monkeypatch):
+    """A group whose nodes are all linked with the same twenty: only the first table of edges holds all links."""
+    sizes, stored = [], components.stored
+
+    def counted(df, name):
+        table = stored(df, name)
+        sizes.extend([table.count()] if name == "edges" else [])
+        return table
+
+    monkeypatch.setattr(components, "stored", counted)
+    links = [(k, 20 + n) for n in range(300) for k in range(20)]
+    got = connected_components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == [(k, 0) for k in range(320)]
+    assert sizes[0] == len(links) and len(sizes) > 1 and max(sizes[1:]) < 320
+
+
+def test_components_of_random_links(spark):
+    rng = random.Random(3)
+    links = [(rng.randrange(-500, 500), rng.randrange(-500, 500)) for _ in range(450)]
+    want = {node: min(group) for group in _joined([x for x in links if x[0] != x[1]]) for node in group}
+    got = connected_components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(got) == len(want) and {r.node: r.component for r in got} == want
+
+
+def test_tokens_of_the_same_classes_give_the_same_pairs(spark):
+    """The pairs that join classes do not depend on the order in which rows arrive."""
+    rng = random.Random(4)
+    bits = jaccard_join.bits_of(np.arange(30, dtype=np.uint64))
+    members = [(token, c, c, 40) for token in range(6) for c in rng.sample(range(40), 40)]
+    maps = spark.createDataFrame([(c, 30, bits) for c in range(40)], "class long, size long, bits binary")
+    pairs = jaccard_join._maybe_linked(spark.createDataFrame(members, "shared_by long, class long, component long, held_by long").coalesce(1), maps, jaccard_join.Shingles())
+    assert pairs.count() == 6 * pairs.distinct().count()
