@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.scalars import big_endian
-from framelake.operators.fragments import data_base, fragment_samples, track_defaults
-from framelake.sources.mp4 import box_payloads, boxes, parsed
+from framelake.operators.fragments import data_base, placed_samples, track_defaults
+from framelake.sources.mp4 import box_payloads, parsed
 from framelake.storage import written
 
 #: Flag bits of a fragment's header with the fields that they announce and their bytes, in order.
@@ -119,34 +119,34 @@ def samples_of_fragments(files: DataFrame) -> DataFrame:
     places behind an error in a fragment are null, as they are not known.
     """
     files = written(parsed(files, KINDS)) if "content" in files.columns else files
-    sound = boxes(files).where("error IS NULL")
-    trafs = sound.where("kind = 'traf'").select("path", F.col("offset").alias("fragment"), F.col("parent").alias("moof"))
-    inside = box_payloads(files, ["tfhd", "tfdt", "trun"]).select("path", F.col("parent").alias("fragment"), "offset", "kind", "payload")
-    of = lambda kind: F.when(F.col("kind") == kind, F.col("payload"))
-    heads = inside.where("kind <> 'trun'").groupBy("path", "fragment").agg(*(f(of(k)).alias(f"{name}{k}") for k in ("tfhd", "tfdt") for f, name in ((F.max, "_"), (F.count, "_n_"))))
-    joined = with_fragment_header(trafs.join(heads, ["path", "fragment"], "left"), "_tfhd").withColumn("_time", F.when(F.col("_tfdt").isNotNull(), decode_time(F.col("_tfdt"))))
+    is_ = lambda kind: F.col("kind") == kind
+    of = lambda kind: F.when(is_(kind), F.col("payload"))
+    parts = files.where(F.col("error").isNull() & F.col("kind").isin("traf", "tfhd", "tfdt", "trun")).select("path", F.when(is_("traf"), F.col("offset")).otherwise(F.col("parent")).alias("fragment"), F.when(is_("traf"), F.col("parent")).alias("moof"), "offset", "kind", of("tfhd").alias("_tfhd"), of("tfdt").alias("_tfdt"), of("trun").alias("payload"))
+    fragment = Window.partitionBy("path", "fragment")
+    heads = parts.withColumns({"run": F.when(is_("trun"), F.row_number().over(Window.partitionBy("path", "fragment", "kind").orderBy("offset")) - 1).cast("long"), "moof": F.max("moof").over(fragment), **{f"{name}{k}": f(f"_{k}").over(fragment) for k in ("tfhd", "tfdt") for f, name in ((F.count, "_n_"), (F.max, "_"))}})
+    # A fragment keeps a row of its own, without run and payload, beside those of its runs.
+    kept = heads.where(F.col("moof").isNotNull() & F.col("kind").isin("traf", "trun"))
+    joined = with_fragment_header(kept, "_tfhd").withColumn("_time", F.when(F.col("_tfdt").isNotNull(), decode_time(F.col("_tfdt"))))
     places = joined.withColumn("_base", data_base(F.col("h_base"), F.col("base_is_moof"), F.col("moof")))
     extends = extends_rows(box_payloads(files, ["trex"]).select("path", "payload"))
-    defaults = written(track_defaults(extends.where("error IS NULL").drop("error"), ["path", "track_id"]))
-    known = defaults.select("path", "track_id", F.col("description").alias("_d"), F.col("error").alias("_track_error"))
+    defaults = track_defaults(extends.where("error IS NULL").drop("error"), ["path", "track_id"])
+    known = defaults.select("path", "track_id", F.col("description").alias("_d"), F.col("error").alias("_track_error"), *(F.col(c).alias(f"_{c}") for c in ("duration", "size", "flags")))
     fault = (
         F.when(F.coalesce(F.col("_n_tfhd"), F.lit(0)) == 0, "invalid: fragment has no header").when(F.col("_n_tfhd") > 1, "invalid: more than one header").when(F.col("_n_tfdt") > 1, "invalid: more than one decode time")
         .when(F.col("header_error").isNotNull(), F.col("header_error")).when(F.col("_time.error").isNotNull(), F.col("_time.error")).when(F.col("_base.error").isNotNull(), F.col("_base.error"))
         .when(F.col("_track_error").isNotNull(), F.col("_track_error")).when(F.coalesce("h_description", "_d").isNull(), "invalid: no description")
     )
-    fragments = written(places.join(known, ["path", "track_id"], "left").withColumn("fault", fault).select("path", "fragment", "moof", "track_id", "is_empty", F.col("_time.value").alias("start"), F.col("_base.base").alias("base"), F.coalesce("h_description", "_d").alias("description"), "h_duration", "h_size", "h_flags", "fault"))
-    numbered = inside.where("kind = 'trun'").withColumn("run", (F.row_number().over(Window.partitionBy("path", "fragment").orderBy("offset")) - 1).cast("long"))
-    entries = run_entries(numbered.select("path", "fragment", "run", "payload"), "payload").drop("payload")
-    held = written(fragments.join(entries, ["path", "fragment"], "left"))
-    fault = F.coalesce("fault", "run_error", F.when(F.col("run").isNull() & ~F.col("is_empty"), "invalid: fragment has no run"), F.when(F.col("run").isNotNull() & F.col("is_empty"), "invalid: empty fragment has a run"))
-    judged = held.withColumn("fault", fault)
-    bad = judged.where("fault IS NOT NULL").groupBy("path", "fragment").agg(F.first("track_id").alias("track_id"), F.min("fault").alias("error"))
-    good = judged.join(bad.select("path", "fragment"), ["path", "fragment"], "left_anti").where("k IS NOT NULL")
-    filled = good.withColumns({"duration": F.coalesce("duration", "h_duration"), "size": F.coalesce("size", "h_size"), "flags": F.coalesce("flags", "h_flags")})
-    starts = filled.select("path", "fragment", "run", "base", "data_offset").distinct()
-    placed = fragment_samples(filled.select("path", "fragment", "track_id", "run", "k", "duration", "size", "flags"), starts, defaults.drop("error"), ["path", "fragment"], ["path", "track_id"])
-    more = good.select("path", "fragment", "run", "k", F.col("shift"), "start", "description")
-    timed = placed.join(more, ["path", "fragment", "run", "k"])
+    default = {f"_{c}": F.coalesce(f"h_{c}", f"_{c}") for c in ("duration", "size", "flags")}
+    runs = places.join(known, ["path", "track_id"], "left").withColumns({"fault": fault, **default}).select("path", "fragment", "track_id", "is_empty", F.col("_time.value").alias("start"), F.col("_base.base").alias("base"), F.coalesce("h_description", "_d").alias("description"), *(F.col(c).alias(f"_default_{c[1:]}") for c in default), "fault", "run", "payload")
+    # Dealt by file before there is a row for each sample: all windows from here on are within files.
+    held = run_entries(runs.repartition("path"), "payload").drop("payload")
+    none = F.col("run").isNull() & (F.count("run").over(fragment) == 0)
+    fault = F.coalesce("fault", F.when(F.col("run").isNotNull(), F.col("run_error")), F.when(none & ~F.col("is_empty"), "invalid: fragment has no run"), F.when(F.col("run").isNotNull() & F.col("is_empty"), "invalid: empty fragment has a run"))
+    judged = held.withColumn("_fault", fault).withColumn("fault", F.min("_fault").over(fragment))
+    # Of a fragment that cannot be read its own row stays, which has no part in places and times.
+    good = judged.where(F.when(F.col("fault").isNull(), F.col("k").isNotNull()).otherwise(F.col("run").isNull()))
+    filled = good.withColumns({c: F.when(F.col("k").isNotNull(), F.coalesce(c, f"_default_{c}")) for c in ("duration", "size", "flags")})
+    timed = placed_samples(filled, ["path", "fragment"])
     # A fragment's own time holds for its first sample; the sums start anew there.
     first = (F.col("run") == 0) & (F.col("k") == 0)
     opened = timed.withColumn("_own", F.when(first, F.col("start")))
@@ -155,7 +155,7 @@ def samples_of_fragments(files: DataFrame) -> DataFrame:
     within = Window.partitionBy("path", "track_id", "_island").orderBy("fragment", "run", "k")
     lost = F.count_if(F.col("error").isNotNull()).over(within.rowsBetween(Window.unboundedPreceding, 0)) > 0
     dts = F.coalesce(F.first("_own").over(within), F.lit(0)) + F.coalesce(F.sum("duration").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    times = island.withColumn("dts", F.when(~lost, dts).cast("long")).withColumn("pts", F.col("dts") + F.coalesce("shift", F.lit(0)))
-    names = ["path", "track_id", "fragment", "run", "k", "offset", "size", "dts", "pts", "duration", "description", "sync", "error"]
-    nothing = [F.lit(None).cast(t).alias(n) for n, t in zip(names[3:12], ["long"] * 8 + ["boolean"], strict=True)]
-    return times.select(*names).unionByName(bad.select("path", "track_id", "fragment", *nothing, "error"))
+    read = F.col("k").isNotNull()
+    times = island.withColumn("dts", F.when(read & ~lost, dts).cast("long")).withColumn("pts", F.col("dts") + F.coalesce("shift", F.lit(0)))
+    when_read = [F.when(read, F.col(c)).alias(c) for c in ("offset", "size", "dts", "pts", "duration", "description", "sync")]
+    return times.select("path", "track_id", "fragment", "run", "k", *when_read, F.coalesce("fault", "error").alias("error"))

@@ -34,11 +34,16 @@ def fragment_samples(samples: DataFrame, runs: DataFrame, defaults: DataFrame, f
     """
     known = defaults.select(*track, *(F.col(c).alias(f"_{c}") for c in ("duration", "size", "flags")))
     filled = samples.join(known, track, "left").withColumns({c: F.coalesce(c, f"_{c}") for c in ("duration", "size", "flags")})
-    rows = filled.join(runs, [*fragment, "run"])
+    placed = placed_samples(filled.join(runs, [*fragment, "run"]), fragment)
+    return placed.select(*fragment, *track, "run", "k", "offset", "size", "duration", "sync", "error")
+
+
+def placed_samples(rows: DataFrame, fragment: list[str]) -> DataFrame:
+    """``rows`` (fragment, run, k, base, data_offset, duration, size, flags) with offset, sync and error as in ``fragment_samples``; rows without k take no part."""
     ordered = Window.partitionBy(*fragment).orderBy("run", "k").rowsBetween(Window.unboundedPreceding, 0)
     first = Window.partitionBy(*fragment, "run").orderBy("k")
     starts = (F.row_number().over(first) == 1) & F.col("data_offset").isNotNull()
-    bad = F.coalesce((F.col("size") <= 0) | (F.col("duration") <= 0), F.lit(True))
+    bad = F.col("k").isNotNull() & F.coalesce((F.col("size") <= 0) | (F.col("duration") <= 0), F.lit(True))
     marked = rows.withColumns({"_starts": starts, "_bad": bad}).withColumn("_island", F.count_if("_starts").over(ordered))
     island = Window.partitionBy(*fragment, "_island").orderBy("run", "k")
     base = F.first(F.when(F.col("_starts"), F.col("base") + F.col("data_offset"))).over(island)
@@ -50,6 +55,6 @@ def fragment_samples(samples: DataFrame, runs: DataFrame, defaults: DataFrame, f
         .when(F.coalesce(F.col("size") <= 0, F.lit(True)), "invalid: sample has no size")
         .when(F.col("flags").isNull(), "invalid: sample has no flags")
     )
-    return marked.select(
-        *fragment, *track, "run", "k", F.when(~lost, base + before).cast("long").alias("offset"), "size", "duration", (F.col("flags").bitwiseAND(NON_SYNC) == 0).alias("sync"), error.alias("error")
-    )
+    sync = F.col("flags").bitwiseAND(NON_SYNC) == 0
+    found = marked.withColumns({"offset": F.when(~lost, base + before).cast("long"), "sync": sync, "error": F.when(F.col("k").isNotNull(), error)})
+    return found.drop("_starts", "_bad", "_island")

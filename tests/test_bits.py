@@ -174,3 +174,14 @@ def test_faults_of_fragments(spark, part, error):
 def test_two_defaults_of_a_track_are_an_error(spark):
     twice = (box(b"trex", numbers(0, 1, 1, 10, 20, 0)),) * 2
     assert [r[-1] for r in fragments(spark, traf(box(b"trun", numbers(1, 1, 0))), extends=twice)] == ["invalid: duplicate track"]
+
+
+def test_samples_of_fragments_are_dealt_once(spark):
+    """Rows of samples are neither joined nor dealt again: the only join and the shuffles are of boxes, before there are samples."""
+    data = box(b"moov", box(b"mvex", box(b"trex", numbers(0, 1, 1, 10, 20, 0)))) + box(b"moof", traf(box(b"trun", numbers(1, 2, 100)))) + box(b"moof", traf()) + box(b"moof", traf(box(b"trun", numbers(0x201, 1, 9, 7))))
+    found = fragment_bytes.samples_of_fragments(spark.createDataFrame([("f", bytearray(data))], "path string, content binary"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Generate explode(")]
+    assert "Exchange" not in above and "Join" not in above and plan.count("Join") == 1
+    got = [(r.run, r.k, r.size, r.dts, r.error) for r in found.orderBy("fragment", "run", "k").collect()]
+    assert got == [(0, 0, 20, 0, None), (0, 1, 20, 10, None), (None, None, None, None, "invalid: fragment has no run"), (0, 0, 7, 20, None)]
