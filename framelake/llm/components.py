@@ -37,8 +37,10 @@ def connected_components(links: DataFrame) -> DataFrame:
         met = edges.select("b").union(edges.select("a").distinct()).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
         if met.where("n > 1").isEmpty():
             break
-        before, edges = edges, stored(_small_stars(_large_stars(edges)), "edges")
-        discard(before)
+        # Stored, as the second step reads the first one's edges more than once.
+        moved = stored(_large_stars(edges), "moved")
+        before, edges = edges, stored(_small_stars(moved), "edges")
+        discard(before, moved)
     components = stored(edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(edges.select("a", "a").distinct()), "components")
     discard(edges)
     return components
