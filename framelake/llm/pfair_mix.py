@@ -17,7 +17,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.shared import shuffle_partitions, small_table, stored
+from framelake.llm.shared import discard, shuffle_partitions, small_table, stored
 
 #: Bytes of a block, doubled until all rows fit in MOST_BLOCKS blocks.
 BLOCK_BYTES = 1 << 16
@@ -203,20 +203,23 @@ def stored_slots(docs: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     """``docs`` of stored_mix with mix_file and mix_row, their place in the stored order, and (mix_file, mix_row, mix_slot).
 
     A block of a source holds ``block`` of its bytes in the stored order, and
-    blocks are numbered without gaps by their first rows.
+    blocks are numbered without gaps by their first rows. Each step is stored,
+    narrow as it is, since the next ones read it more than once: the texts are
+    read once for their sizes, and no plan holds all the steps several times.
     """
     named = docs.select("*", F.col("_metadata.file_name").alias("_fl_name"), F.col("_metadata.row_index").alias("mix_row"))
-    files = named.select("_fl_name").distinct().select("_fl_name", (F.row_number().over(Window.orderBy("_fl_name")) - 1).cast("long").alias("mix_file"))
+    files = stored(named.select("_fl_name").distinct().select("_fl_name", (F.row_number().over(Window.orderBy("_fl_name")) - 1).cast("long").alias("mix_file")), "mix_files")
     read = named.join(F.broadcast(files), "_fl_name").drop("_fl_name")
-    light = read.select("mix_file", "mix_row", F.coalesce("source", F.lit(NO_SOURCE)).alias("_s"), _size().alias("_bytes"), F.expr(f"mix_row div {SPAN_ROWS}").alias("_span"))
+    light = stored(read.select("mix_file", "mix_row", F.coalesce("source", F.lit(NO_SOURCE)).alias("_s"), _size().alias("_bytes"), F.expr(f"mix_row div {SPAN_ROWS}").alias("_span")), "mix_sizes")
     spans_before = Window.partitionBy("_s").orderBy("mix_file", "_span").rowsBetween(Window.unboundedPreceding, -1)
     bases = light.groupBy("_s", "mix_file", "_span").agg(F.sum("_bytes").alias("_sum")).select("_s", "mix_file", "_span", F.coalesce(F.sum("_sum").over(spans_before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("_s", "mix_file", "_span").orderBy("mix_row").rowsBetween(Window.unboundedPreceding, -1)
     at = light.withColumn("_before", F.coalesce(F.sum("_bytes").over(inside), F.lit(0))).join(bases, ["_s", "mix_file", "_span"])
-    placed = at.select("mix_file", "mix_row", "_s", F.expr(f"(_base + _before) div {block}").alias("_block"))
-    firsts = placed.groupBy("_s", "_block").agg(F.min(F.struct("mix_file", "mix_row")).alias("_first"))
+    placed = stored(at.select("mix_file", "mix_row", "_s", F.expr(f"(_base + _before) div {block}").alias("_block")), "mix_places")
+    firsts = stored(placed.groupBy("_s", "_block").agg(F.min(F.struct("mix_file", "mix_row")).alias("_first")), "mix_firsts")
     in_file = firsts.withColumn("_k", F.row_number().over(Window.partitionBy("_first.mix_file").orderBy("_first.mix_row")) - 1)
     before = Window.orderBy("mix_file").rowsBetween(Window.unboundedPreceding, -1)
     counts = firsts.groupBy(F.col("_first.mix_file").alias("mix_file")).agg(F.count(F.lit(1)).alias("_n")).select(F.col("mix_file").alias("_file"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_slots"))
-    slots = in_file.join(counts, F.col("_first.mix_file") == F.col("_file")).select("_s", "_block", (F.col("_slots") + F.col("_k")).cast("long").alias("mix_slot"))
+    slots = stored(in_file.join(counts, F.col("_first.mix_file") == F.col("_file")).select("_s", "_block", (F.col("_slots") + F.col("_k")).cast("long").alias("mix_slot")), "mix_slots")
+    discard(light, firsts)
     return read, placed.join(slots, ["_s", "_block"]).select("mix_file", "mix_row", "mix_slot")

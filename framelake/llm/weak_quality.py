@@ -271,6 +271,16 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array(out["pattern"], pa.int64()), pa.array(out["index"], pa.list_(pa.int32())), pa.array(out["value"], pa.list_(pa.float32())), batch.column(1)], names=["pattern", "index_", "value", "drawn"])
 
 
+def _cut(lists: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    """The lists of a column, none of them null."""
+    out: list[np.ndarray] = []
+    for chunk in lists.chunks:
+        values = chunk.flatten().to_numpy().astype(kind)
+        ends = np.cumsum(chunk.value_lengths().to_numpy())
+        out += np.split(values, ends[:-1]) if len(ends) else []
+    return out
+
+
 @dataclass
 class QualityModel:
     labels: LabelModel
@@ -289,11 +299,12 @@ class QualityModel:
         patterns = {r.pattern: r.n for r in counted.collect()}
         labels = fit_label_model(patterns)
         total = sum(patterns.values())
-        rows = _training_texts(docs, train_documents, total).mapInArrow(_feature_batches, "pattern long, index_ array<int>, value array<float>, drawn long").collect()
+        # As Arrow batches: as rows of lists, each number would be an object in the driver's JVM and again in its Python.
+        rows = _training_texts(docs, train_documents, total).mapInArrow(_feature_batches, "pattern long, index_ array<int>, value array<float>, drawn long").toArrow()
         # The texts come from several tasks; the scorer depends on their order. Equal hashes are equal rows.
-        rows.sort(key=lambda r: r.drawn)
-        targets = np.array([labels.posterior[r.pattern] for r in rows])
-        weights, bias = fit_scorer([(np.array(r.index_, dtype=np.int64), np.array(r.value)) for r in rows], targets)
+        rows = rows.take(np.argsort(rows.column("drawn").to_numpy(), kind="stable"))
+        targets = np.array([labels.posterior[k] for k in rows.column("pattern").to_pylist()])
+        weights, bias = fit_scorer(list(zip(_cut(rows.column("index_"), np.int64), _cut(rows.column("value"), np.float64), strict=True)), targets)
         return QualityModel(labels, weights.astype(np.float32), bias)
 
     def score(self, docs: DataFrame) -> DataFrame:

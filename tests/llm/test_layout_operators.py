@@ -366,5 +366,25 @@ def test_pack_takes_the_order_that_the_mix_stored(spark):
     assert packed(stored(other, "test_mixed")) != one
 
 
+def test_slots_are_those_of_the_stored_order_and_read_in_few_scans(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "text")
+    mixed = stored(pfair_mix.in_mixed_order(docs, pfair_mix.root_weights(pfair_mix.source_sizes(docs)), block_bytes=4000), "test_mixed")
+    read, slots = pfair_mix.stored_slots(mixed, 4000)
+    joined = read.join(slots, ["mix_file", "mix_row"])
+    # A plan that repeats its steps took more of the driver's memory than all stages before it.
+    assert joined._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") <= 4
+    rows = sorted(joined.collect(), key=lambda r: (r.mix_file, r.mix_row))
+    at, first, blocks = {}, {}, []
+    for k, r in enumerate(rows):
+        s = r.source or ""
+        block = (s, at.get(s, 0) // 4000)
+        at[s] = at.get(s, 0) + len((r.text or "").encode()) + 1
+        first.setdefault(block, k)
+        blocks.append(block)
+    number = {block: n for n, block in enumerate(sorted(first, key=first.get))}
+    assert [r.mix_slot for r in rows] == [number[block] for block in blocks]
+    assert len(rows) == docs.count() and len(number) > 10
+
+
 def test_pipeline_runs_whole(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0

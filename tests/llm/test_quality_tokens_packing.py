@@ -40,6 +40,24 @@ def test_quality_agrees_with_the_labels(spark):
     assert np.mean(good) > 0.97 and (not bad or np.mean(bad) < 0.2)
 
 
+def test_features_reach_the_driver_as_arrow(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    collect = type(docs).collect
+
+    def collected(self):
+        assert "index_" not in self.columns, "each number would be an object"
+        return collect(self)
+
+    monkeypatch.setattr(type(docs), "collect", collected)
+    model = weak_quality.QualityModel.fit(docs)
+    # The same as from rows of plain lists, in the order of their hash.
+    texts = weak_quality._training_texts(docs, weak_quality.TRAIN_DOCUMENTS, docs.count())
+    rows = sorted(texts.mapInArrow(weak_quality._feature_batches, "pattern long, index_ array<int>, value array<float>, drawn long").toLocalIterator(), key=lambda r: r.drawn)
+    targets = np.array([model.labels.posterior[r.pattern] for r in rows])
+    weights, bias = weak_quality.fit_scorer([(np.array(r.index_, np.int64), np.array(r.value)) for r in rows], targets)
+    assert len(rows) == docs.count() and (model.weights == weights.astype(np.float32)).all() and model.bias == bias
+
+
 def test_label_model_finds_the_bad_labeller():
     rng = random.Random(1)
     patterns: dict[int, int] = {}
