@@ -71,8 +71,11 @@ def movie_files(spark, sf_dir) -> DataFrame:
     placed = _file_runs(spark, sf_dir).withColumns({"chunk": F.row_number().over(w), "before": F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
     f, odd, n = F.col("f"), F.col("odd"), F.col("n")
     four = lambda *values: F.concat(*(boxes.number_hex(v, 4) for v in values))
+    # Places of chunks take eight bytes in all of a file where its last may not fit in four.
+    far = 5000 * (FILE_KEYS * (f + 1) - 1) >= 1 << 32
+    place = 5000 * F.col("run")
     sizes = F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), n), lambda k: boxes.number_hex(F.col("size") + k % 3, 4)), "")
-    entries = {"stts": four(n, F.col("delta")), "ctts": four(n, F.col("shift")), "stsc": four(F.col("chunk"), n, F.lit(1)), "stco": four(5000 * F.col("run")), "stss": four(F.col("before") + 1), "stsz": sizes}
+    entries = {"stts": four(n, F.col("delta")), "ctts": four(n, F.col("shift")), "stsc": four(F.col("chunk"), n, F.lit(1)), "chunks": F.when(far, boxes.number_hex(place, 8)).otherwise(four(place)), "stss": four(F.col("before") + 1), "stsz": sizes}
     listed = placed.groupBy("f", "odd").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("run", *(v.alias(k) for k, v in entries.items())))).alias("e"))
     of = lambda kind: F.transform("e", lambda x: x[kind])
     table = lambda kind, version=0: boxes.table_box(kind, of(kind), version=version)
@@ -85,7 +88,7 @@ def movie_files(spark, sf_dir) -> DataFrame:
     identity = F.when((f % 13 == 0) & (odd == 1), 0).otherwise(odd + 1)
     track = boxes.full_box("tkhd", _zeros(8 + 8 * wide), boxes.number(identity, 4), _zeros(8 + 4 * wide + 52), boxes.number((16 + f % 100) * 65536, 4), boxes.number((8 + odd) * 65536, 4), version=wide, flags=7)
     head = F.concat(boxes.full_box("mdhd", _zeros(8), boxes.number(1000 + f, 4), boxes.number(duration, 4), _zeros(4)), boxes.full_box("hdlr", _zeros(4), F.when(sound, F.lit("soun")).otherwise(F.lit("vide")).cast("binary"), _zeros(13)))
-    tables = boxes.box("stbl", described, table("stts"), table("ctts", wide), table("stsc"), sized, table("stco"), table("stss"))
+    tables = boxes.box("stbl", described, table("stts"), table("ctts", wide), table("stsc"), sized, F.when(far, boxes.table_box("co64", of("chunks"))).otherwise(boxes.table_box("stco", of("chunks"))), table("stss"))
     edits = F.array(F.concat(boxes.number_hex(100 + f, 4), boxes.number_hex(F.lit(-1), 4), four(F.lit(65536))), F.concat(four(1000 + f, f % 7, F.lit(65536))))
     edit = F.when(odd == 0, boxes.box("edts", boxes.table_box("elst", edits))).otherwise(_zeros(0))
     whole = listed.select("f", "odd", F.hex(boxes.box("trak", track, edit, boxes.box("mdia", head, boxes.box("minf", tables)))).alias("trak"))

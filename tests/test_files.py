@@ -147,3 +147,14 @@ def test_small_files_of_the_fixture(spark):
     want = [(1000, 10, 0, 10, 100, True), (1010, 11, 100, 110, 100, False), (2000, 12, 200, 220, 100, False), (2012, 13, 300, 320, 50, True), (2025, 14, 350, 370, 50, False)]
     assert [got["a", k] for k in range(5)] == want
     assert [got["b", k][3] for k in range(5)] == [10, 110, 198, 298, 348]
+
+
+def test_chunks_that_lie_behind_four_bytes(spark, tmp_path):
+    """Places of 5000 a key: those of the first file fit in four bytes, the second has some on both sides, the third all behind."""
+    keys = [858959, 858993, 858994, 859000, 1 << 32]
+    spark.createDataFrame([(k, 2) for k in keys], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    files = byte_queries.movie_files(spark, str(tmp_path))
+    kinds = {(r.path, r.kind) for r in mp4.boxes(files).where("kind in ('stco', 'co64')").collect()}
+    assert kinds == {("part-21473", "stco"), ("part-21474", "co64"), ("part-21475", "co64"), (f"part-{(1 << 32) // 40}", "co64")}
+    got = sorted(r.offset for r in byte_queries.samples_of_files(spark, str(tmp_path)).where("sync").collect())
+    assert got == [5000 * k for k in keys]
