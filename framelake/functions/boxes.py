@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ def number_hex(value: Column, size: int) -> Column:
     if size == 8:
         return F.lpad(F.hex(value.cast("long")), 16, "0")
     # A one before the digits keeps their zeros.
-    return F.substring(F.hex(value.cast("long").bitwiseAND((1 << 8 * size) - 1) + F.lit(1 << 8 * size)), 2, 2 * size)
+    return F.substring(F.hex(value.cast("long").bitwiseAND((1 << 8 * size) - 1).bitwiseOR(F.lit(1 << 8 * size))), 2, 2 * size)
 
 
 def number(value: Column, size: int) -> Column:
@@ -31,6 +32,12 @@ def box(kind: str, *parts: Column) -> Column:
     return let(body, lambda b: F.concat(number(F.length(b) + 8, 4), F.lit(kind).cast("binary"), b))
 
 
+def flat_box(kind: str, *parts: Column) -> Column:
+    """``box`` of parts that stand in the expression twice: columns of the step before, and constants."""
+    size = reduce(lambda a, b: a + b, (F.length(part) for part in parts), F.lit(8))
+    return F.concat(number(size, 4), F.lit(kind).cast("binary"), *parts)
+
+
 def nested(body: Column, *kinds: str) -> Column:
     """Boxes of the given kinds, the innermost first, that hold nothing but each other and the body."""
     heads = lambda b: [part for k, kind in reversed(list(enumerate(kinds, 1))) for part in (number(F.length(b) + 8 * k, 4), F.lit(kind).cast("binary"))]

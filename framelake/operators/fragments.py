@@ -34,27 +34,31 @@ def fragment_samples(samples: DataFrame, runs: DataFrame, defaults: DataFrame, f
     """
     known = defaults.select(*track, *(F.col(c).alias(f"_{c}") for c in ("duration", "size", "flags")))
     filled = samples.join(known, track, "left").withColumns({c: F.coalesce(c, f"_{c}") for c in ("duration", "size", "flags")})
-    placed = placed_samples(filled.join(runs, [*fragment, "run"]), fragment)
+    opens = F.row_number().over(Window.partitionBy(*fragment, "run").orderBy("k")) == 1
+    placed = placed_samples(filled.join(runs, [*fragment, "run"]).withColumn("opens", opens), fragment)
     return placed.select(*fragment, *track, "run", "k", "offset", "size", "duration", "sync", "error")
 
 
 def placed_samples(rows: DataFrame, fragment: list[str]) -> DataFrame:
-    """``rows`` (fragment, run, k, base, data_offset, duration, size, flags) with offset, sync and error as in ``fragment_samples``; rows without k take no part."""
-    ordered = Window.partitionBy(*fragment).orderBy("run", "k").rowsBetween(Window.unboundedPreceding, 0)
-    first = Window.partitionBy(*fragment, "run").orderBy("k")
-    starts = (F.row_number().over(first) == 1) & F.col("data_offset").isNotNull()
+    """``rows`` (fragment, run, k, opens, base, data_offset, duration, size, flags) with offset, sync and error as in ``fragment_samples``; rows without k take no part.
+
+    ``opens`` are the first samples of runs. All windows have the one order of
+    a fragment, so the rows are sorted once: a place is the sum of the bytes
+    before it from where the last start lies on that sum.
+    """
+    up_to = Window.partitionBy(*fragment).orderBy("run", "k").rowsBetween(Window.unboundedPreceding, 0)
     bad = F.col("k").isNotNull() & F.coalesce((F.col("size") <= 0) | (F.col("duration") <= 0), F.lit(True))
-    marked = rows.withColumns({"_starts": starts, "_bad": bad}).withColumn("_island", F.count_if("_starts").over(ordered))
-    island = Window.partitionBy(*fragment, "_island").orderBy("run", "k")
-    base = F.first(F.when(F.col("_starts"), F.col("base") + F.col("data_offset"))).over(island)
-    before = F.coalesce(F.sum(F.when(~F.col("_bad"), F.col("size"))).over(island.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lost = F.count_if("_bad").over(ordered) > 0
+    judged = rows.withColumn("_bad", bad).withColumn("_counts", F.when(F.col("_bad"), 0).otherwise(F.coalesce("size", F.lit(0))))
+    summed = judged.withColumns({"_lost": F.count_if("_bad").over(up_to) > 0, "_before": F.sum("_counts").over(up_to) - F.col("_counts"), "_starts": F.col("opens") & F.col("data_offset").isNotNull()})
+    # A start without a base is one as well, whose places are null.
+    marked = summed.withColumn("_from", F.when(F.col("_starts"), F.struct((F.col("base") + F.col("data_offset") - F.col("_before")).alias("at"))))
+    held = marked.withColumn("_start", F.last("_from", ignorenulls=True).over(up_to))
     error = (
-        F.when(F.col("_island") == 0, "unsupported: first run has no data offset")
+        F.when(F.col("_start").isNull(), "unsupported: first run has no data offset")
         .when(F.coalesce(F.col("duration") <= 0, F.lit(True)), "invalid: sample has no duration")
         .when(F.coalesce(F.col("size") <= 0, F.lit(True)), "invalid: sample has no size")
         .when(F.col("flags").isNull(), "invalid: sample has no flags")
     )
     sync = F.col("flags").bitwiseAND(NON_SYNC) == 0
-    found = marked.withColumns({"offset": F.when(~lost, base + before).cast("long"), "sync": sync, "error": F.when(F.col("k").isNotNull(), error)})
-    return found.drop("_starts", "_bad", "_island")
+    found = held.withColumns({"offset": F.when(~F.col("_lost"), F.col("_start.at") + F.col("_before")).cast("long"), "sync": sync, "error": F.when(F.col("k").isNotNull(), error)})
+    return found.drop("opens", "_starts", "_bad", "_counts", "_lost", "_before", "_from", "_start")

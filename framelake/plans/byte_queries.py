@@ -435,31 +435,37 @@ _FRAGMENTS_SQL = """WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, l_part
 def fragments_of_files(spark, sf_dir):
     """Orders as files of one or two fragments whose flags leave out one field or another, their lines as samples (B11-B15 from bytes)."""
     lines = _table(spark, sf_dir, "lineitem").selectExpr("cast(l_orderkey as bigint) o", "cast(l_linenumber as bigint) n", "cast(l_partkey as bigint) p", "cast(l_suppkey as bigint) s")
-    w = Window.partitionBy("o").orderBy("n", "p", "s")
     o, n, p, s = map(F.col, "onps")
     four = lambda value: boxes.number_hex(value, 4)
     only = lambda condition, value: F.when(condition, value).otherwise(F.lit(""))
     duration, size = four(p % 9), four(1 + s % 40)
     signed = o % 8 == 4
     early = F.concat(only(o % 2 == 0, duration), only(o % 3 > 0, size), only(o % 5 == 0, four(65536 * (n % 2))), only(o % 4 == 0, four(p % 7 - F.when(signed, 3).otherwise(0))))
-    placed = lines.withColumn("part", F.when(F.row_number().over(w) <= 2, 0).otherwise(1)).withColumn("entry", F.when(F.col("part") == 0, early).otherwise(F.concat(duration, size)))
-    runs_ = placed.groupBy("o", "part").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "p", "s", "entry"))), lambda x: x["entry"]).alias("e"))
-    files = runs_.groupBy("o").agg(F.max(F.when(F.col("part") == 0, F.col("e"))).alias("first"), F.max(F.when(F.col("part") == 1, F.col("e"))).alias("second"))
+    # One shuffle brings the lines of an order together; each has the bytes for either fragment.
+    entries = lines.select(*"onps", early.alias("early"), F.concat(duration, size).alias("later")).repartition("o")
+    orders = entries.groupBy("o").agg(F.sort_array(F.collect_list(F.struct(*"nps", "early", "later"))).alias("e"))
+    rest = F.greatest(F.size("e") - 2, F.lit(0))
+    cut = orders.select("o", F.least(F.size("e"), F.lit(2)).alias("n_first"), rest.alias("n_second"), F.array_join(F.slice("e", 1, 2)["early"], "").alias("first"), F.array_join(F.slice("e", 3, rest)["later"], "").alias("second"))
     bit = lambda condition, value: F.when(condition, value).otherwise(0)
     header_bits = bit(o % 10 > 0, 0x2) + bit(o % 7 > 0, 0x8) + bit(o % 6 > 2, 0x10) + bit(o % 9 > 0, 0x20)
     fields = F.concat(only(o % 10 > 0, four(1 + o % 2)), only(o % 7 > 0, four(5 + o % 4)), only(o % 6 > 2, four(F.lit(50))), only(o % 9 > 0, four(65536 * (o % 2))))
-    header = lambda bits, base: boxes.box("tfhd", boxes.number(header_bits + bits, 4), boxes.number(1 + o % 2, 4), F.unhex(F.concat(base, fields)))
-    moof_based = o % 3 == 1
-    time = F.when(o % 11 == 0, _zeros(0)).when(o % 2 == 0, boxes.full_box("tfdt", boxes.number(o * 10, 4))).otherwise(boxes.full_box("tfdt", boxes.number(o * 10, 8), version=1))
+    moof_based, has_more = o % 3 == 1, F.col("n_second") > 0
+    header = lambda bits, base: F.unhex(F.concat(four(F.col("bits") + bits), four(1 + o % 2), base, F.col("fields")))
+    short = (o % 2 == 0) & (o * 10 < 1 << 32)
+    time = F.when(o % 11 == 0, "").when(short, F.concat(F.lit("0000001074666474" "00000000"), four(o * 10))).otherwise(F.concat(F.lit("0000001474666474" "01000000"), boxes.number_hex(o * 10, 8)))
     run_bits = 1 + bit(o % 5 == 1, 4) + bit(o % 2 == 0, 0x100) + bit(o % 3 > 0, 0x200) + bit(o % 5 == 0, 0x400) + bit(o % 4 == 0, 0x800)
-    run = boxes.box("trun", boxes.number(F.when(signed, 1 << 24).otherwise(0) + run_bits, 4), boxes.number(F.size("first"), 4), boxes.number(100 - 3 * (o % 2), 4), F.unhex(F.concat(only(o % 5 == 1, four(F.lit(0))), F.array_join("first", ""))), _zeros(bit(o % 17 == 3, 1)))
-    later = boxes.box("trun", boxes.number(F.lit(0x301), 4), boxes.number(F.size("second"), 4), boxes.number(F.lit(7), 4), F.unhex(F.array_join("second", "")))
-    moof = boxes.box("moof", boxes.box("traf", header(F.when(moof_based, 0x20000).otherwise(1), only(~moof_based, boxes.number_hex(o * 1000, 8))), time, run))
-    more = F.when(F.col("second").isNull(), _zeros(0)).otherwise(boxes.box("moof", boxes.box("traf", header(F.lit(1), boxes.number_hex(o * 2000, 8)), later)))
-    extends = boxes.full_box("trex", *[boxes.number(F.lit(v), 4) for v in (1, 3, 7, 9, 65536)])
-    content = F.concat(boxes.box("ftyp", F.lit("isom").cast("binary")), boxes.box("moov", boxes.box("mvex", extends)), moof, more)
-    found = fragment_bytes.samples_of_fragments(files.select(F.concat(F.lit("o"), o).alias("path"), content.alias("content")))
-    numbered = found.withColumn("part", (F.dense_rank().over(Window.partitionBy("path").orderBy("fragment")) - 1).cast("long"))
+    run = F.unhex(F.concat(four(bit(signed, 1 << 24) + run_bits), four(F.col("n_first")), four(100 - 3 * (o % 2)), only(o % 5 == 1, "00000000"), "first", only(o % 17 == 3, "00")))
+    later = F.unhex(F.concat(four(F.lit(0x301)), four(F.col("n_second")), four(F.lit(7)), "second"))
+    # Each step frames columns of the one before, so that no expression holds a body and its length twice.
+    bodies = cut.withColumns({"bits": header_bits, "fields": fields}).select("o", F.unhex(time).alias("time"), run.alias("run"), header(F.when(moof_based, 0x20000).otherwise(1), only(~moof_based, boxes.number_hex(o * 1000, 8))).alias("head"), F.when(has_more, later).alias("later"), F.when(has_more, header(F.lit(1), boxes.number_hex(o * 2000, 8))).alias("later_head"))
+    trafs = bodies.select("o", F.concat(boxes.flat_box("tfhd", F.col("head")), "time", boxes.flat_box("trun", F.col("run"))).alias("one"), F.concat(boxes.flat_box("tfhd", F.col("later_head")), boxes.flat_box("trun", F.col("later"))).alias("two"))
+    framed = trafs.select("o", boxes.flat_box("traf", F.col("one")).alias("one"), boxes.flat_box("traf", F.col("two")).alias("two"))
+    extends = [boxes.number(F.lit(v), 4) for v in (0, 1, 3, 7, 9, 65536)]
+    start = F.concat(boxes.flat_box("ftyp", F.lit("isom").cast("binary")), *(part for size, kind in ((48, "moov"), (40, "mvex"), (32, "trex")) for part in (boxes.number(F.lit(size), 4), F.lit(kind).cast("binary"))), *extends)
+    content = F.concat(start, boxes.flat_box("moof", F.col("one")), F.coalesce(boxes.flat_box("moof", F.col("two")), _zeros(0)))
+    found = fragment_bytes.samples_of_fragments(framed.select(F.concat(F.lit("o"), o).alias("path"), content.alias("content")))
+    # A file has one or two fragments; that needs no order beside the one that its samples are in.
+    numbered = found.withColumn("part", (F.col("fragment") > F.min("fragment").over(Window.partitionBy("path"))).cast("long"))
     return numbered.drop("fragment")
 
 

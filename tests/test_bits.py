@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import struct
 
 import numpy as np
@@ -11,10 +12,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from framelake.operators import fragment_bytes
+from framelake.plans import byte_queries
+from framelake.sources import mp4
 from framelake.sources.bits import BitBatch, bit_fields, read_picture_sets, read_sequence_sets
 from framelake.sources.bitstreams import Bits
 from framelake.sources.frame_heads import read_frame_heads
 from framelake.sources.slices import read_slice_heads
+from framelake.storage import written
 
 
 class Plain(Bits):
@@ -185,3 +189,76 @@ def test_samples_of_fragments_are_dealt_once(spark):
     assert "Exchange" not in above and "Join" not in above and plan.count("Join") == 1
     got = [(r.run, r.k, r.size, r.dts, r.error) for r in found.orderBy("fragment", "run", "k").collect()]
     assert got == [(0, 0, 20, 0, None), (0, 1, 20, 10, None), (None, None, None, None, "invalid: fragment has no run"), (0, 0, 7, 20, None)]
+
+
+def longest_method(df) -> int:
+    """Bytes of the longest method that is generated for a plan; none over 8,000 is ever compiled."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    code = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df.select("*")._jdf.queryExecution(), "codegen")
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    return max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code))
+
+
+def test_methods_of_fragments_are_short_enough_to_be_compiled(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(fragment_bytes, "written", lambda df: made.append(longest_method(df)) or written(df))
+    made.append(longest_method(byte_queries.fragments_of_files(spark, "/root/testdata/sf0.001")))
+    assert len(made) == 2 and max(made) < 8000
+
+
+def test_samples_of_fragments_are_sorted_once(spark):
+    plan = byte_queries.fragments_of_files(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Generate explode(")]
+    assert above.count("Sort [") == 1 and above.count("Window [") == 5
+
+
+def test_long_runs_and_times_that_start_anew(spark):
+    """A run of more entries than are cut at once, an error that the next own time ends, and a second track that nothing touches."""
+    n = 2 * fragment_bytes.PIECE_ENTRIES + 3
+    sizes = [1 + k % 50 for k in range(n)]
+    other = box(b"traf", box(b"tfhd", numbers(0x20000, 2)), box(b"tfdt", numbers(0, 7)), box(b"trun", numbers(0x201, 1, 50, 3)))
+    bad = traf(box(b"trun", numbers(0x101, 2, 9, 4, 0)))
+    parts = [traf(box(b"tfdt", numbers(0, 500)), box(b"trun", numbers(0x201, n, 100, *sizes))), bad, other, traf(box(b"trun", numbers(1, 1, 9))), traf(box(b"tfdt", numbers(0, 9000)), box(b"trun", numbers(1, 1, 9)))]
+    got = fragments(spark, *parts, extends=(box(b"trex", numbers(0, 1, 1, 10, 20, 0)), box(b"trex", numbers(0, 2, 1, 30, 40, 0))))
+    first = got[:n]
+    start = first[0][1]
+    assert [(r[0], r[1] - start, r[2], r[3]) for r in first] == [(k, sum(sizes[:k]), sizes[k], 500 + 10 * k) for k in range(n)]
+    assert [(r[0], r[3], r[5], r[7]) for r in got[n:]] == [(0, 500 + 10 * n, 4, None), (1, None, 0, "invalid: sample has no duration"), (0, 7, 30, None), (0, None, 10, None), (0, 9000, 10, None)]
+
+
+def test_boxes_of_many_files_are_those_of_each():
+    rng = random.Random(7)
+
+    def some(depth=0):
+        parts = []
+        for _ in range(rng.randint(0, 3)):
+            kind = rng.choice([b"moov", b"trak", b"stsd", b"avc1", b"uuid", b"\xff\xfe\0a", b"trun"])
+            body = some(depth + 1) if depth < 5 and rng.random() < 0.6 else bytes(rng.randint(0, 40))
+            long, wrong = struct.pack(">I4sQ", 1, kind, rng.choice([16 + len(body), 0, 15, 1 << 40, (1 << 64) - 1])), struct.pack(">I4s", rng.choice([0, 2, 7, 9, 1000, (1 << 32) - 1]), kind)
+            parts.append(rng.choice([box(kind, body)] * 5 + [long + body, wrong + body]))
+        data = b"".join(parts)
+        return data[: rng.randint(0, len(data))] if rng.random() < 0.2 else data
+
+    deep = b""
+    for _ in range(40):
+        deep = box(b"moov", deep, b"abc")
+    for files in ([some() for _ in range(2000)] + [deep] * 40 + [None, b""], [some() for _ in range(mp4.FEW_LEVELS - 1)], []):
+        # The first two are cut off, as batches may begin inside their buffers.
+        data, starts, lengths = mp4._contents(pa.array([None, b"zz", *files], pa.binary())[2:])
+        rows = zip(*(c.tolist() for c in mp4.scan_batch(data, starts, lengths)), strict=True)
+        got = [(f, at, size, None if kind < 0 else kind.to_bytes(4, "big").decode("latin-1"), *more, None if error < 0 else mp4.ERRORS[error]) for f, at, size, kind, *more, error in rows]
+        assert got == [(k, *row) for k, content in enumerate(files) for row in mp4.box_rows(content or b"")]
+
+
+def test_holders_of_contents_and_of_parsed_boxes(spark):
+    stray, kinds = box(b"trex", numbers(9)), ["tfhd", "trun", "trex"]
+    data = stray + box(b"moov", box(b"mvex", stray, stray)) + box(b"moof", box(b"tfhd", b"abcd"), traf(box(b"trun", b"one"), box(b"free"), box(b"trun", b"two")), box(b"traf"))
+    files = spark.createDataFrame([("a", bytearray(data)), ("b", None), ("c", bytearray(b"abc"))], "path string, content binary")
+    key = lambda rows: sorted((r.path, r.box, r.parent, *([bytes(x) for x in r[k]] for k in kinds)) for r in rows)
+    found = {r.box: r for r in mp4.holders(files, "traf", kinds).collect()}
+    trafs = [r for r in found.values() if r.parent is not None]
+    assert sorted(([bytes(x) for x in r.trun], len(r.tfhd)) for r in trafs) == [([], 0), ([b"one", b"two"], 1)] and {len(r.trex) for r in trafs} == {0}
+    assert len(found[-1].trex) == 1 and sorted(len(r.trex) for r in found.values()) == [0, 0, 0, 1, 2]
+    same = [mp4.holders(f, "traf", kinds).na.fill({"parent": -2}).collect() for f in (files, mp4.parsed(files, kinds))]
+    assert key(same[0]) == key(same[1])
