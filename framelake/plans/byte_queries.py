@@ -441,9 +441,11 @@ def fragments_of_files(spark, sf_dir):
     duration, size = four(p % 9), four(1 + s % 40)
     signed = o % 8 == 4
     early = F.concat(only(o % 2 == 0, duration), only(o % 3 > 0, size), only(o % 5 == 0, four(65536 * (n % 2))), only(o % 4 == 0, four(p % 7 - F.when(signed, 3).otherwise(0))))
-    # One shuffle brings the lines of an order together; each has the bytes for either fragment.
-    entries = lines.select(*"onps", early.alias("early"), F.concat(duration, size).alias("later")).repartition("o")
-    orders = entries.groupBy("o").agg(F.sort_array(F.collect_list(F.struct(*"nps", "early", "later"))).alias("e"))
+    # Each line has the bytes for either fragment; the first line of an order takes those of all, in their order.
+    entries = lines.select(*"onps", early.alias("early"), F.concat(duration, size).alias("later"))
+    w = Window.partitionBy("o").orderBy(*"nps")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    orders = entries.select("o", F.row_number().over(w).alias("line"), F.collect_list(F.struct("early", "later")).over(whole).alias("e")).where("line = 1")
     rest = F.greatest(F.size("e") - 2, F.lit(0))
     cut = orders.select("o", F.least(F.size("e"), F.lit(2)).alias("n_first"), rest.alias("n_second"), F.array_join(F.slice("e", 1, 2)["early"], "").alias("first"), F.array_join(F.slice("e", 3, rest)["later"], "").alias("second"))
     bit = lambda condition, value: F.when(condition, value).otherwise(0)

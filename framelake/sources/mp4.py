@@ -117,7 +117,8 @@ def scan_batch(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> lis
         if len(file) < FEW_LEVELS:
             break
         room, place = end - at, starts[file] + at
-        size, kind = _numbers(data, place, 4).astype(np.int64), _numbers(data, place + 4, 4).astype(np.int64)
+        both = _numbers(data, place, 8).astype(np.uint64)
+        size, kind = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
         large = (size == 1) & (room >= 8)
         cut = (room < 8) | (large & (room < 16))
         if large.any():
@@ -161,8 +162,13 @@ def _pieces(data: np.ndarray, at: np.ndarray, lengths: np.ndarray, there: np.nda
     """Binary values cut from one buffer; null where they are not there."""
     ends = np.cumsum(np.where(there, lengths, 0))
     offsets = np.concatenate(([0], ends)).astype(np.int32)
-    bytes_ = memoryview(data)
-    taken = b"".join([bytes_[a : a + n] for a, n in zip(at[there].tolist(), lengths[there].tolist(), strict=True)])
+    if offsets[-1] < 64 * len(at):
+        # Short ones all at once, with the place of each byte.
+        own = np.where(there, lengths, 0)
+        taken = data[np.repeat(at - (ends - own), own) + np.arange(offsets[-1])]
+    else:
+        bytes_ = memoryview(data)
+        taken = b"".join([bytes_[a : a + n] for a, n in zip(at[there].tolist(), lengths[there].tolist(), strict=True)])
     return pa.Array.from_buffers(pa.binary(), len(at), [pa.py_buffer(np.packbits(there, bitorder="little")), pa.py_buffer(offsets), pa.py_buffer(taken)])
 
 
